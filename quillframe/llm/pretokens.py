@@ -1,26 +1,26 @@
-"""Byte-level BPE over word-sized pieces: distinct pieces of a batch are looked up or encoded once.
+"""Byte-level BPE over word-sized pieces, each looked up in a worker's cache or encoded once.
 
 A text is cut before each single space and newline, where byte-level pre-tokenisation always has a
 boundary, so the pieces' ids, laid end to end, are the text's ids. Pieces whose white space could join
 across a cut, special strings, and letters outside the Latin blocks (where Unicode versions differ) go
-to the library whole. ``Pieces`` finds a batch's distinct pieces with Arrow; a worker keeps what it has
-encoded in a bounded cache.
+to the library whole. A worker keeps what it has encoded in bounded caches.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
+from array import array
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
 #: Fixed value: the pattern of byte-level pre-tokenisation.
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-CACHE_ENTRIES = 400_000
-_TWO_SPACES = re.compile(r"\s\s")
+#: Entries of a worker's caches.
+PRETOKENS_KEPT = 250_000
+PIECES_KEPT = 700_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -51,8 +51,23 @@ def vocabulary_pretokens(tokenizer_json: str) -> dict[str, int]:
     return table
 
 
+class _Memo(dict):
+    """A bounded cache: ``make`` computes what is missing; a full cache starts anew."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Library:
-    """A worker's tokenizer with its cache. ``ids`` gives a piece's ids as little-endian 32-bit bytes, None if the piece can't be taken alone."""
+    """A worker's tokenizer with its caches: ids of pre-tokens, and of pieces of text."""
 
     def __init__(self, tokenizer_json: str, table: dict[str, int]):
         from tokenizers import Tokenizer
@@ -61,80 +76,56 @@ class Library:
         kind = made.get("pre_tokenizer") or {}
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model = self.tokenizer.model
-        self.special = [t["content"] for t in made.get("added_tokens", [])]
         self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not made.get("normalizer")
+        self.joins = re.compile("|".join([r"\s\s", r"\s\Z", "\0", *(re.escape(t["content"]) for t in made.get("added_tokens", []))]))
         self.table = {p: int(n).to_bytes(4, "little") for p, n in table.items()}
-        self.pieces: dict[str, bytes | None] = {}
-        self.misses: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts, by the library alone."""
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pretoken(self, p: str) -> bytes:
-        """Ids of one pre-token: the frequent ones from the table, the others by the model, through the cache."""
-        got = self.table.get(p) or self.misses.get(p)
-        if got is None:
-            if len(self.misses) >= CACHE_ENTRIES:
-                self.misses.clear()
-            got = np.array([t.id for t in self.model.tokenize(p.encode().decode("latin1").translate(_LETTERS))], np.uint32).tobytes()
-            self.misses[p] = got
-        return got
-
-    def piece(self, key: str) -> bytes | None:
-        """Ids of a piece; a key begins with NUL at a text's start, with its newline, or stands after a space."""
+        self.pretokens = _Memo(self._pretoken, PRETOKENS_KEPT)
+        self.ids = _Memo(self._piece, PIECES_KEPT)
+        self.counts = _Memo(self._count, PIECES_KEPT)
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a whole text, by the library alone, as little-endian 32-bit integers."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _pretoken(self, p: str) -> bytes:
+        """Ids of one pre-token: the frequent ones from the table, the others by the model."""
+        return self.table.get(p) or array("I", [t.id for t in self.model.tokenize(p.encode().decode("latin1").translate(_LETTERS))]).tobytes()
+
+    def _piece(self, key: str) -> bytes | None:
+        """Ids of a piece, None if it can't be taken alone. A key begins with NUL at a text's start, with its newline, or stands after a space."""
+        if key.isascii() and key.isalpha():
+            return self.pretokens[f" {key}"]
         if not key:
             return None
         text = key[1:] if key[0] == "\0" else key if key[0] == "\n" else f" {key}"
-        if not text:
-            return b""
-        if text[-1].isspace() or _TWO_SPACES.search(text) or "\0" in text or any(s in text for s in self.special):
+        if self.joins.search(text):
             return None
-        if max(text) < "ɐ":
-            return b"".join(map(self.pretoken, PRETOKEN.findall(text)))
-        return self.whole([text])[0].tobytes()
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and each text's offsets in them."""
-        counts, slow, pool, starts, sizes, keys, first = self._look_up(texts)
-        taken = sizes[keys]
-        ends = np.cumsum(taken)
-        flat = pool[np.repeat(starts[keys] - ends + taken, taken) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[first]
-        if not len(slow):
-            return flat, bounds
-        wholes = dict(zip(slow.tolist(), self.whole([texts[i] for i in slow]), strict=True))
-        parts = [wholes[i] if i in wholes else flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-
-    def count(self, texts: list[str]) -> np.ndarray:
-        """Number of ids of each text."""
-        counts, slow, *_ = self._look_up(texts)
-        for i, ids in zip(slow.tolist(), self.whole([texts[i] for i in slow]) if len(slow) else [], strict=True):
-            counts[i] = len(ids)
-        return counts
-
-    def _look_up(self, texts: list[str]) -> tuple:
-        marked = [f"\0{t}".replace("\n", " \n") if self.by_piece else "" for t in texts]
-        lists = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
-        coded = lists.flatten().dictionary_encode()
-        keys, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        first = lists.offsets.to_numpy().astype(np.int64)
-        known = self.pieces
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        for name in names:
-            if name not in known:
-                known[name] = self.piece(name)
-        values = [known[n] for n in names]
-        alone = np.fromiter((v is not None for v in values), bool, len(values))
-        values = [v or b"" for v in values]
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        starts = np.cumsum(sizes) - sizes
-        sums = np.concatenate([[0], np.cumsum(sizes[keys])])
-        joined = np.concatenate([[0], np.cumsum(~alone[keys])])
-        slow = np.flatnonzero((joined[first[1:]] > joined[first[:-1]]) | (not self.by_piece))
-        return sums[first[1:]] - sums[first[:-1]], slow, np.frombuffer(b"".join(values), np.uint32), starts, sizes, keys, first
+        if text.isascii() or max(text) < "ɐ":
+            return b"".join([self.pretokens[p] for p in PRETOKEN.findall(text)])
+        return self.whole(text)
+
+    def _count(self, key: str) -> int | None:
+        ids = self._piece(key)
+        return None if ids is None else len(ids) // 4
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
+        if self.by_piece:
+            with contextlib.suppress(TypeError):  # a None among the pieces
+                return b"".join(map(self.ids.__getitem__, pieces(text)))
+        return self.whole(text)
+
+    def count(self, text: str) -> int:
+        """Number of ids of a text."""
+        if self.by_piece:
+            with contextlib.suppress(TypeError):
+                return sum(map(self.counts.__getitem__, pieces(text)))
+        return len(self.whole(text)) // 4
+
+
+def pieces(text: str) -> list[str]:
+    """A text's pieces as keys: the first is marked by NUL, the others follow a space or begin with their newline."""
+    return f"\0{text}".replace("\n", " \n").split(" ")
 
 
 _workers: dict[int, Library] = {}

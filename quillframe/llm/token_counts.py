@@ -28,7 +28,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
         counter = library(shared.value)
         for batch in batches:
             for start, texts in text_groups(batch):
-                n = counter.count(texts)
+                n = np.fromiter(map(counter.count, texts), np.int64, len(texts))
                 size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -36,15 +36,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     shared = docs.sparkSession.sparkContext.broadcast(load(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, written = library(shared.value), 0
+        encoder, written, end = library(shared.value), 0, end_id.to_bytes(4, "little")
         for batch in batches:
             for start, texts in text_groups(batch):
-                ids, bounds = encoder.encode(texts)
-                sizes = np.diff(bounds)
-                ids = np.insert(ids, bounds[1:], end_id).astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
+                lists = [encoder.encode(t) + end for t in texts]
+                sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                ids = np.frombuffer(b"".join(lists), np.int32)
                 rows = len(texts)
-                columns = [batch.column(0).slice(start, rows), batch.column(2).slice(start, rows), pa.array(written + offsets[:-1]), pa.array((sizes + 1).astype(np.int32)), pa.ListArray.from_arrays(offsets.astype(np.int32), ids)]
+                columns = [batch.column(0).slice(start, rows), batch.column(2).slice(start, rows), pa.array(written + offsets[:-1]), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets.astype(np.int32), ids)]
                 written += int(offsets[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "local_start", "n_tokens", "token_ids"])
 
