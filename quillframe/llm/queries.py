@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to the module that defines it.
 MODULES = {
     "op1_token_orc": "token_store",
+    "op3_byte_bpe": "byte_bpe",
+    "op5_mix_sources": "mixing",
     "op7_token_counts": "token_counts",
+    "op8_main_text": "main_text",
     "op10_quality_rules": "quality",
 }
 
