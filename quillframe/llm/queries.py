@@ -14,6 +14,7 @@ MODULES = {
     "op5_mix_sources": "mixing",
     "op7_token_counts": "token_counts",
     "op8_main_text": "main_text",
+    "op9_substring_dedup": "substring_dedup",
     "op10_quality_rules": "quality",
 }
 
