@@ -93,10 +93,11 @@ class Library:
 
     def _piece(self, key: str) -> bytes | None:
         """Ids of a piece, None if it can't be taken alone. A key begins with NUL at a text's start, with its newline, or stands after a space."""
-        if key.isascii() and key.isalpha():
-            return self.pretokens[f" {key}"]
         if not key:
             return None
+        stem = key[:-1] if key[-1] in ".,!" else key
+        if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
+            return self.pretokens[f" {stem}"] + (b"" if len(stem) == len(key) else self.pretokens[key[-1]])
         text = key[1:] if key[0] == "\0" else key if key[0] == "\n" else f" {key}"
         if self.joins.search(text):
             return None

@@ -27,7 +27,7 @@ from quillframe.llm.pretokens import library, load
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, token_ids array<int>"
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
-    "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20), "compression": "zlib",
+    "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20), "compression": "zstd",
 }
 
 
