@@ -12,6 +12,7 @@ MODULES = {
     "op1_token_orc": "token_store",
     "op3_byte_bpe": "byte_bpe",
     "op5_mix_sources": "mixing",
+    "op6_ngram_join": "ngram_join",
     "op7_token_counts": "token_counts",
     "op8_main_text": "main_text",
     "op9_substring_dedup": "substring_dedup",
