@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name to the module that defines it.
 MODULES = {
     "op1_token_orc": "token_store",
+    "op2_spotsigs": "spotsigs",
     "op3_byte_bpe": "byte_bpe",
+    "op4_maxent_lm": "maxent_lm",
     "op5_mix_sources": "mixing",
     "op6_ngram_join": "ngram_join",
     "op7_token_counts": "token_counts",
