@@ -1,4 +1,13 @@
-"""A corpus pipeline of the llm operators: each stage takes the documents its predecessor kept."""
+"""A corpus pipeline of the llm operators: each stage takes the documents its predecessor kept.
+
+1. quality rules: documents that fail the base rules or the trees go;
+2. n-gram Jaccard join: of each component of near copies (five-word shingles, 0.8 alike) one stays;
+3. substring dedup: words in 50-word runs that an earlier document has are removed;
+4. mixing: each source gives its target, documents being repeated or left out by hash threshold;
+5. byte-level BPE: every document of the mix is encoded and decoded, and both are digested.
+
+Stages 1 to 4 return the columns of ``documents``; a text that loses words in stage 3 stays, even empty.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +15,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import quality
+from quillframe.llm import byte_bpe, mixing, ngram_join, quality, substring_dedup
+from quillframe.llm.common import materialise
 
-#: SQL cannot express fitted trees; the stages are tested against brute force instead.
+#: SQL cannot express fitted trees or byte-pair merges; the stages are tested against brute force.
 ORACLE_SQL = None
+SHINGLE, PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,13 +28,40 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality_stage)]
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, the one with the least id."""
+    return ngram_join.keep_one(docs, SHINGLE, PERCENT)
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    from quillframe.llm.common import materialise
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word runs that documents with smaller ids have."""
+    return substring_dedup.drop_repeats(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by weight, with repeated documents repeated."""
+    return mixing.take_mix(docs)
+
 
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the bytes they decode to, for every document of the mix."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("substring dedup", substring_stage),
+    ("mixing sources", mixing_stage),
+    ("byte-level BPE", encoding_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each but the last written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))

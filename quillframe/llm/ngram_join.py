@@ -38,7 +38,8 @@ from quillframe.llm.common import materialise, text_groups
 from quillframe.llm.graph import connected_components
 from quillframe.llm.words import Words, mix
 
-SHINGLE, PERCENT = 4, 85
+#: Words of a shingle, and the threshold in hundredths.
+SHINGLE, PERCENT = 5, 80
 #: Growth of the size classes' upper ends.
 CLASS_RATIO = 1.35
 BLOCK_LEAST, BLOCK_MOST, BLOCKS = 128, 4096, 24
@@ -271,8 +272,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shingle counts and components of every row of ``documents``."""
-    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Components of every row of ``documents`` at 0.85 on shingles of four words."""
+    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4, percent=85)
 
 
 ORACLE_SQL = r"""
