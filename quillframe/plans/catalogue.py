@@ -463,7 +463,12 @@ def to_json_rows(spark, d):
     return writer.loop_json(cells, loops, ["sf_ord"])
 
 
-@query("SELECT 'e' AS entry_id, chr(10) || '   loop_' || chr(10) || '      _region.r_regionkey' || chr(10) || '      _region.r_name' || chr(10) || chr(10) || string_agg('     ' || rpad(CAST(r_regionkey AS VARCHAR), w0, ' ') || rpad(q, w1, ' ') || ' ' || chr(10), '' ORDER BY r_regionkey) || chr(10) || '   stop_' || chr(10) AS text FROM (SELECT *, CASE WHEN contains(r_name, ' ') THEN '' || r_name || '' ELSE r_name END AS q FROM region) r, (SELECT CAST(greatest(4, max(length(CAST(r_regionkey AS VARCHAR))) + 3) AS INTEGER) AS w0, CAST(greatest(4, max(length(r_name) + CASE WHEN contains(r_name, ' ') THEN 2 ELSE 0 END) + 3) AS INTEGER) AS w1 FROM region) w")
+@query("""
+SELECT 'e' AS entry_id, chr(10) || '   loop_' || chr(10) || '      _region.r_regionkey' || chr(10) || '      _region.r_name' || chr(10) || chr(10)
+  || string_agg('     ' || rpad(k, w0, ' ') || rpad(q, w1, ' ') || ' ' || chr(10), '' ORDER BY r_regionkey) || chr(10) || '   stop_' || chr(10) AS text
+FROM (SELECT r_regionkey, k, q, CAST(greatest(4, max(length(k)) OVER () + 3) AS INTEGER) AS w0, CAST(greatest(4, max(length(q)) OVER () + 3) AS INTEGER) AS w1
+  FROM (SELECT r_regionkey, CAST(r_regionkey AS VARCHAR) AS k, CASE WHEN contains(r_name, ' ') THEN chr(39) || r_name || chr(39) ELSE r_name END AS q FROM region) r) t
+""")
 def format_loop(spark, d):
     region = table(spark, d, "region")
     cells = Loop(region.withColumn(ROW, F.col("r_regionkey")), "_region", ("r_regionkey", "r_name")).as_cells().withColumn("entry_id", F.lit("e"))
