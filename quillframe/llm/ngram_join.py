@@ -5,7 +5,7 @@ at least ``PERCENT`` hundredths of their union.
 
 1. Equal sets become one class. Sets are dealt to size classes, and a size class's universe to parts: one
    more than linked sets of that class can differ by, so linked sets agree in a whole part. A set sends a
-   signature for each part that it has members in (for all parts, should it have too few such parts).
+   signature for each of its fullest parts, as many as that takes: full parts rarely agree by chance.
    Equal signatures of a batch are related there, and only one row goes on: a signature that a third of
    all sets share sends one row a batch. Related sets form families, by connected components.
 2. Within a family, the sets of a block are joined exactly. Index lists hold sets by position in order of
@@ -95,7 +95,7 @@ def _signatures(sets: list[np.ndarray], keys: list[bytes], percent: int) -> tupl
     nodes = np.array([_node(keys[i], c) for i, c in picks], np.int64)
     # |A - B| + |B - A| of a link is at most (100 - percent) / (100 + percent) of |A| + |B|
     differ = np.array([2 * int(ends[c]) * (100 - percent) // (100 + percent) for _, c in picks], np.int64)
-    parts = differ + 2 + differ // 12
+    parts = differ + 2 + 3 * differ // 20
     base = np.cumsum(parts) - parts
     members = np.concatenate([sets[i] for i, _ in picks])
     owner = np.repeat(np.arange(len(picks)), [len(sets[i]) for i, _ in picks])
@@ -104,10 +104,12 @@ def _signatures(sets: list[np.ndarray], keys: list[bytes], percent: int) -> tupl
     total = int(parts.sum())
     sums = np.zeros(total, np.uint64)
     np.add.at(sums, part, mix(spread))
-    filled = np.bincount(part, minlength=total) > 0
+    counts = np.bincount(part, minlength=total)
     of = np.repeat(np.arange(len(picks)), parts)
-    short = np.add.reduceat(filled.astype(np.int64), base) <= differ
-    sent = np.flatnonzero(filled | short[of])
+    # the fullest parts, one more than may differ, ties included: of two linked sets, the one that asks for more
+    # members finds a part that both have, and the other sends it too
+    asked = -np.sort(np.stack([of * (1 << 32) - counts]), axis=1)[0][base + differ] + of[base] * (1 << 32)
+    sent = np.flatnonzero(counts >= asked[of])
     place = (np.array([c for _, c in picks], np.uint64)[of] << np.uint64(40)) | (np.arange(total) - base[of]).astype(np.uint64)
     return mix(sums[sent] + mix(place[sent])), nodes[of[sent]]
 
