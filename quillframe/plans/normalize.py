@@ -2,7 +2,8 @@
 
 Stages, each a join or a window over cells of one entry: order frames, loops, rows and tags; number the
 frames of a category; note every key's old and new value; rewrite foreign keys; let labels decide the
-ids beside them; number loop ids. Later stages win over earlier ones on the same cell.
+ids beside them; number loop ids. Later stages win over earlier ones on the same cell. The cells are
+checkpointed between stages, each of which reads them more than once.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions.lineage import cut
 from quillframe.functions.names import is_null
 from quillframe.functions.values import is_integer_text, is_number_text
 from quillframe.operators.dictionary import category_order
@@ -45,10 +47,11 @@ def _ordered(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def normalize(cells: DataFrame, frames: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The (cells, frames) of normalised entries."""
-    order = frame_order(frames, cells, dictionary)
+    order = cut(frame_order(frames, cells, dictionary))
     names = [c for c in cells.columns]
     rows = _ordered(cells, dictionary).join(order, ["entry_id", "sf_ord"]).drop("sf_ord").withColumnRenamed("new_ord", "sf_ord")
     rows = rows.withColumn("tag", F.coalesce("tag_field", "tag")).withColumn("old", F.col("value"))
+    rows = cut(rows)
 
     local, null = F.coalesce("local_id_flag", F.lit(False)), is_null(F.col("value"))
     parent = rows.where("kind = 'tag'").select("entry_id", "sf_ord", F.lower(F.concat(F.substring(F.col("category"), F.lit(2), F.length("category")), F.lit("."), "tag")).alias("_parent"), F.col("value").alias("_parent_value"))
@@ -59,14 +62,14 @@ def normalize(cells: DataFrame, frames: DataFrame, dictionary: DataFrame) -> tup
         .when(local & (F.col("kind") == "loop"), F.coalesce("_parent_value", "value"))
         .otherwise(F.col("value"))
     )
-    rows = rows.withColumn("value", value).drop("_parent", "_parent_value")
+    rows = cut(rows.withColumn("value", value).drop("_parent", "_parent_value"))
 
     key = [F.lower(F.substring(F.col("category"), F.lit(2), F.length("category"))).alias("_table"), F.lower("tag").alias("_column")]
     new = F.when(F.col("kind") == "tag", F.col("value")).otherwise(F.col("old"))
     mapping = rows.where("known_tag is not null").groupBy("entry_id", *key, F.col("old").alias("_old")).agg(F.max_by(new, F.struct("sf_ord", "loop_ord", "row_ord", "col_ord")).alias("_new"))
     points = F.col("fk_table").isNotNull() & ~F.coalesce("sf_pointer", F.lit(False)) & ~(is_null(F.col("value")) & F.coalesce("nullable", F.lit(True)))
     rows = rows.withColumn("_table", F.when(points, F.lower("fk_table"))).withColumn("_column", F.lower("fk_column")).withColumn("_old", F.col("value"))
-    rows = rows.join(mapping, ["entry_id", "_table", "_column", "_old"], "left").withColumn("value", F.coalesce("_new", "value")).drop("_table", "_column", "_old", "_new")
+    rows = cut(rows.join(mapping, ["entry_id", "_table", "_column", "_old"], "left").withColumn("value", F.coalesce("_new", "value")).drop("_table", "_column", "_old", "_new"))
 
     frame_ids = rows.where((F.col("kind") == "tag") & (F.lower("tag") == "id")).select("entry_id", F.concat(F.lit("$"), "sf_name").alias("_label"), F.col("value").alias("_id"))
     labels = rows.where((F.col("kind") == "loop") & (F.lower("fk_column") == "sf_framecode")).select("entry_id", "sf_ord", "loop_ord", "row_ord", F.lower("fk_table").alias("_table"), F.col("value").alias("_label"))

@@ -168,8 +168,9 @@ ENTRY_JSON = "struct<entry_id:string,bmrb_id:string,saveframes:array<struct<name
 def from_json(texts: DataFrame, json_col: str = "value") -> DataFrame:
     """The cells of entries in JSON; ``bmrb_id`` may stand for ``entry_id``. Missing keys are errors."""
     read = texts.select(F.from_json(json_col, ENTRY_JSON).alias("e"))
-    entry_id = F.coalesce("e.entry_id", "e.bmrb_id", F.raise_error(F.lit("an entry needs entry_id")).cast("string"))
-    frames = read.select(entry_id.alias("entry_id"), F.posexplode(F.coalesce("e.saveframes", F.raise_error(F.lit("an entry needs saveframes")).cast(_frames_type()))).alias("f", "frame"))
+    entry_id = F.coalesce("e.entry_id", "e.bmrb_id")
+    whole = F.when(entry_id.isNull() | F.col("e.saveframes").isNull(), F.raise_error(F.lit("an entry needs entry_id and saveframes")).cast("boolean")).otherwise(True)
+    frames = read.where(whole).select(entry_id.alias("entry_id"), F.posexplode("e.saveframes").alias("f", "frame"))
     frames = frames.select("entry_id", (F.col("f") + 1).cast("long").alias("sf_ord"), "frame")
     head = ["entry_id", "sf_ord", F.col("frame.name").alias("sf_name"), F.col("frame.category").alias("sf_category")]
     tags = frames.select(*head, F.col("frame.tag_prefix").alias("category"), F.posexplode("frame.tags").alias("col_ord", "pair"))
@@ -178,6 +179,3 @@ def from_json(texts: DataFrame, json_col: str = "value") -> DataFrame:
     loops = loops.select("entry_id", "sf_ord", "sf_name", "sf_category", F.lit("loop").alias("kind"), (F.col("l") + 1).cast("long").alias("loop_ord"), F.col("loop.category").alias("category"), F.col("r").cast("long").alias("row_ord"), "col_ord", F.col("pair")["tags"].alias("tag"), F.col("pair")["row"].alias("value"))
     return tags.unionByName(loops)
 
-
-def _frames_type() -> str:
-    return ENTRY_JSON.split("saveframes:", 1)[1][:-1]

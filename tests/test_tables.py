@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from quillframe.functions.lineage import cut
 from quillframe.operators import compare, dictionary, entries
 from quillframe.operators.table import ROW, Loop, numbered
 from quillframe.plans import normalize, validate
@@ -95,7 +96,8 @@ def known(spark):
 
 
 def parsed(spark, text, name="e"):
-    return star.parse(spark.createDataFrame([("f", text.format(id=name))], "file string, text string"))
+    found = star.parse(cut(spark.createDataFrame([("f", text.format(id=name))], "file string, text string")))
+    return star.StarTables(found.entries, *map(cut, (found.saveframes, found.loops, found.cells)), found.errors)
 
 
 def values_of(cells):
