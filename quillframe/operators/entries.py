@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillframe.functions.names import as_reference, is_null, strip_reference
 
 #: Tags that say what a saveframe is and do not make it non-empty.
-STRUCTURAL = ("sf_category", "sf_framecode", "id", "entry_id", "nmr_star_version", "original_nmr_star_version")
+STRUCTURAL = ("sf_category", "sf_framecode", "id", "entry_id")
+STRUCTURAL_END = "_star_version"
 
 
 def _same(name: str, value: Column) -> Column:
@@ -56,7 +57,7 @@ def duplicate_names(frames: DataFrame) -> DataFrame:
 
 def empty_frames(cells: DataFrame, frames: DataFrame) -> DataFrame:
     """(entry_id, sf_ord) of saveframes all of whose values are null-equivalent, structural tags aside."""
-    held = cells.where(~is_null(F.col("value")) & ~((F.col("kind") == "tag") & F.lower("tag").isin(*STRUCTURAL))).select("entry_id", "sf_ord").distinct()
+    held = cells.where(~is_null(F.col("value")) & ~((F.col("kind") == "tag") & (F.lower("tag").isin(*STRUCTURAL) | F.lower("tag").endswith(STRUCTURAL_END)))).select("entry_id", "sf_ord").distinct()
     return frames.select("entry_id", "sf_ord").join(held, ["entry_id", "sf_ord"], "left_anti")
 
 

@@ -162,13 +162,13 @@ def wrap_loop(text: Column) -> Column:
 
 
 #: Shape of an entry in JSON.
-ENTRY_JSON = "struct<entry_id:string,bmrb_id:string,saveframes:array<struct<name:string,category:string,tag_prefix:string,tags:array<array<string>>,loops:array<struct<category:string,tags:array<string>,data:array<array<string>>>>>>>"
+ENTRY_JSON = "struct<{ids},saveframes:array<struct<name:string,category:string,tag_prefix:string,tags:array<array<string>>,loops:array<struct<category:string,tags:array<string>,data:array<array<string>>>>>>>"
 
 
-def from_json(texts: DataFrame, json_col: str = "value") -> DataFrame:
-    """The cells of entries in JSON; ``bmrb_id`` may stand for ``entry_id``. Missing keys are errors."""
-    read = texts.select(F.from_json(json_col, ENTRY_JSON).alias("e"))
-    entry_id = F.coalesce("e.entry_id", "e.bmrb_id")
+def from_json(texts: DataFrame, json_col: str = "value", id_keys: tuple[str, ...] = ("entry_id",)) -> DataFrame:
+    """The cells of entries in JSON; the first of ``id_keys`` that an entry has names it. Missing keys are errors."""
+    read = texts.select(F.from_json(json_col, ENTRY_JSON.format(ids=",".join(f"{k}:string" for k in id_keys))).alias("e"))
+    entry_id = F.coalesce(*[f"e.{k}" for k in id_keys])
     whole = F.when(entry_id.isNull() | F.col("e.saveframes").isNull(), F.raise_error(F.lit("an entry needs entry_id and saveframes")).cast("boolean")).otherwise(True)
     frames = read.where(whole).select(entry_id.alias("entry_id"), F.posexplode("e.saveframes").alias("f", "frame"))
     frames = frames.select("entry_id", (F.col("f") + 1).cast("long").alias("sf_ord"), "frame")
