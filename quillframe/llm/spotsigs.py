@@ -63,7 +63,7 @@ def as_fingerprint(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two signature sets; sets of very different sizes are pruned by their bound when it is 0."""
+    """Jaccard likeness of two signature sets."""
     both = F.size(F.array_intersect(a, b))
     return (both / (F.size(a) + F.size(b) - both)).cast("double")
 

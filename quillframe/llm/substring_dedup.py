@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.llm.common import text_groups
 from quillframe.llm.words import Words, mix, windows
@@ -209,8 +210,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             texts = [_kept(t, r, window)[2] if r else t for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.string())], names=["row", "text"])
 
-    row = joined.schema["row"].dataType
-    kept = joined.select(F.col("row")[text_col].alias("text"), "runs", "row").mapInArrow(run, f"row {row.simpleString()}, text string")
+    schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])
+    kept = joined.select(F.col("row")[text_col].alias("text"), "runs", "row").mapInArrow(run, schema)
     return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
