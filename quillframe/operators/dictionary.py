@@ -87,9 +87,9 @@ def entry_template(dictionary: DataFrame, entry_id: str) -> DataFrame:
 
 def listing(dictionary: DataFrame, search: str | None = None) -> DataFrame:
     """(tag, line): a table row a tag, padded to the longest, optionally only tags that hold a text."""
-    width = dictionary.agg(F.max(F.length("tag")).alias("_w"))
+    width = dictionary.agg(F.max(F.length("tag"))).scalar()
     rows = dictionary if search is None else dictionary.where(F.contains("tag", F.lit(search)))
-    return rows.crossJoin(F.broadcast(width)).select("tag", F.concat(F.rpad("tag", F.col("_w") + 2, F.lit(" ")), F.col("data_type")).alias("line"))
+    return rows.select("tag", F.concat(F.rpad("tag", width + 2, F.lit(" ")), F.col("data_type")).alias("line"))
 
 
 def extend(dictionary: DataFrame, tag: str, data_type: str, after: str | None = None, **attributes: object) -> DataFrame:
@@ -101,8 +101,8 @@ def extend(dictionary: DataFrame, tag: str, data_type: str, after: str | None =
     added = from_rows(dictionary.sparkSession, [{"tag": tag, "data_type": data_type, "star_type": "any", **attributes}]).drop("seq")
     places = dictionary.select("tag_lc", "seq", F.lead("seq").over(Window.orderBy("seq")).alias("next"))
     at = places.where(F.col("tag_lc") == after.lower()) if after else places.orderBy(F.desc("seq")).limit(1)
-    seq = at.agg(F.max(F.coalesce((F.col("seq") + F.col("next")) / 2, F.col("seq") + 1)).alias("seq"))
-    return dictionary.unionByName(added.crossJoin(F.broadcast(seq)).select(*dictionary.columns))
+    seq = at.agg(F.max(F.coalesce((F.col("seq") + F.col("next")) / 2, F.col("seq") + 1))).scalar()
+    return dictionary.unionByName(added.withColumn("seq", seq).select(*dictionary.columns))
 
 
 def place_of(tag: Column) -> Column:

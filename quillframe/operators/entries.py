@@ -87,9 +87,9 @@ def set_entry_id(cells: DataFrame, dictionary: DataFrame, entry_id: str) -> Data
 def remove_items(rows: DataFrame, key: str, items: Iterable[str]) -> DataFrame:
     """Rows without those of the given keys; all keys must exist."""
     wanted = rows.sparkSession.createDataFrame([(i,) for i in items], f"{key} string")
-    missing = wanted.join(rows.select(key), key, "left_anti").agg(F.max(key).alias("_missing"))
-    kept = rows.join(F.broadcast(wanted), key, "left_anti").crossJoin(F.broadcast(missing))
-    return kept.where(F.when(F.col("_missing").isNull(), True).otherwise(F.raise_error(F.concat(F.lit("there is no "), "_missing")).cast("boolean"))).drop("_missing")
+    missing = wanted.join(rows.select(key), key, "left_anti").agg(F.max(key)).scalar()
+    kept = rows.join(F.broadcast(wanted), key, "left_anti")
+    return kept.where(F.when(missing.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("there is no "), missing)).cast("boolean")))
 
 
 def upsert(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

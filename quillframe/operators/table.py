@@ -94,16 +94,17 @@ class Loop:
         if not maintain_ordering:
             return replace(self, df=numbered(self.df, [ROW], "_number", start).withColumn(tag, F.col("_number").cast(self.df.schema[tag].dataType)).drop("_number"))
         bad = F.max((~is_integer_text(F.coalesce(F.col(tag).cast("string"), F.lit("")))).cast("int"))
-        first = self.df.agg(F.min_by(F.col(tag).try_cast("long"), ROW).alias("_first"), bad.alias("_bad"))
-        moved = F.when(F.col("_bad") == 1, F.raise_error(F.lit("a value is no integer")).cast("long")).otherwise(F.col(tag).cast("long") + (start - F.col("_first")))
-        return replace(self, df=self.df.crossJoin(F.broadcast(first)).withColumn(tag, moved.cast(self.df.schema[tag].dataType)).drop("_first", "_bad"))
+        first, wrong = self.df.agg(F.min_by(F.col(tag).try_cast("long"), ROW)).scalar(), self.df.agg(bad).scalar()
+        moved = F.when(wrong == 1, F.raise_error(F.lit("a value is no integer")).cast("long")).otherwise(F.col(tag).cast("long") + (start - first))
+        return replace(self, df=self.df.withColumn(tag, moved.cast(self.df.schema[tag].dataType)))
 
     def sort(self, *names: str) -> Loop:
         """Sort stably by tags, the last being the most significant; a tag sorts as numbers where all its values are."""
         tags = [self.resolve(n) for n in reversed(names)]
         texts = {t: F.col(t).cast("string") for t in tags}
-        numeric = self.df.agg(*[F.coalesce(F.min(F.coalesce(is_number_text(texts[t]), F.lit(False)).cast("int")), F.lit(0)).alias(f"_n_{t}") for t in tags])
-        keyed = self.df.crossJoin(F.broadcast(numeric))
+        keyed = self.df
+        for t in tags:
+            keyed = keyed.withColumn(f"_n_{t}", self.df.agg(F.min(F.coalesce(is_number_text(texts[t]), F.lit(False)).cast("int"))).scalar())
         order = [c for t in tags for c in (F.when(F.col(f"_n_{t}") == 1, texts[t].try_cast("double")), texts[t])]
         return replace(self, df=numbered(keyed.withColumnRenamed(ROW, "_was"), [*order, "_was"]).drop("_was", *[f"_n_{t}" for t in tags]))
 
@@ -118,8 +119,8 @@ class Loop:
     def append(self, rows: DataFrame) -> Loop:
         """Add rows of known tags, which have an ordinal of their own; missing tags are null, unknown ones an error."""
         spelled = {c: self.resolve(c) for c in rows.columns if c != ROW}
-        top = self.df.agg((F.coalesce(F.max(ROW), F.lit(-1)) + 1).alias("_top"))
-        added = rows.select(ROW, *[F.col(c).alias(t) for c, t in spelled.items()]).crossJoin(F.broadcast(top)).withColumn(ROW, F.col(ROW) + F.col("_top")).drop("_top")
+        top = self.df.agg(F.coalesce(F.max(ROW), F.lit(-1)) + 1).scalar()
+        added = rows.select((F.col(ROW) + top).alias(ROW), *[F.col(c).alias(t) for c, t in spelled.items()])
         return replace(self, df=self.df.unionByName(added, allowMissingColumns=True))
 
     def add_dicts(self, rows: Sequence[Mapping[str, object]]) -> Loop:

@@ -30,8 +30,9 @@ class StarTables:
 
     def checked(self) -> StarTables:
         """The same tables, whose cells raise an error when read if the files have any."""
-        bad = self.errors.select(F.concat(F.col("message"), F.lit(" Error detected on line "), F.col("line_no").cast("string"), F.lit(".")).alias("message")).limit(1)
-        cells = self.cells.crossJoin(F.broadcast(bad.agg(F.first("message").alias("bad")))).where(F.when(F.col("bad").isNull(), True).otherwise(F.raise_error(F.col("bad")).cast("boolean"))).drop("bad")
+        bad = self.errors.select(F.concat(F.col("message"), F.lit(" Error detected on line "), F.col("line_no").cast("string"), F.lit(".")).alias("message"))
+        first = bad.agg(F.min("message")).scalar()
+        cells = self.cells.where(F.when(first.isNull(), True).otherwise(F.raise_error(first).cast("boolean")))
         return StarTables(self.entries, self.saveframes, self.loops, cells, self.errors)
 
 
