@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillframe.llm import byte_bpe, mixing, ngram_join, quality, substring_dedup
 from quillframe.llm.common import materialise
@@ -34,8 +35,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 50-word runs that documents with smaller ids have."""
-    return substring_dedup.drop_repeats(docs)
+    """Documents without the 50-word runs that documents with smaller ids have, and their lengths thereafter."""
+    return substring_dedup.drop_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
