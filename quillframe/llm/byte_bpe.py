@@ -38,19 +38,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """Each rank's bytes; ranks that are not used have none."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 class Coder:
-    """A worker's encoder and decoder for one vocabulary."""
+    """A worker's encoder for one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
         self.pattern = regex.compile(pattern)
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.memo = _Memo(lambda p: array("I", encoding.encode_ordinary(p)).tobytes(), 2 * PRETOKENS_KEPT)
-        self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.decimals = [str(i) for i in range(len(self.tokens))]
+        self.memo = _Memo(lambda p: array("I", encoding.encode_ordinary(p)).tobytes(), PRETOKENS_KEPT)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, each match of the pattern by itself, as little-endian 32-bit integers."""
@@ -173,10 +177,10 @@ def _encode_long(texts: DataFrame, shared: _Shared, chunk: int, overlap: int) ->
 
 def decode_ids(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, content): the bytes of each row's ids, end to end."""
-    shared = _Shared(tokens.sparkSession, read_ranks(ranks_path), "")
+    shared = tokens.sparkSession.sparkContext.broadcast(token_table(read_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _coder(shared).tokens
+        table = shared.value
         for batch in batches:
             contents = [b"".join(map(table.__getitem__, ids)) for ids in _id_rows(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], names=["doc_id", "content"])
@@ -192,11 +196,11 @@ def _id_rows(lists: pa.Array) -> Iterator[list[int]]:
 
 def digests(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """Per row: the number of ids, and SHA-256 of the ids in decimal and of the bytes they decode to."""
-    shared = _Shared(tokens.sparkSession, read_ranks(ranks_path), "")
+    shared = tokens.sparkSession.sparkContext.broadcast(token_table(read_ranks(ranks_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared)
-        table, decimals = coder.tokens.__getitem__, coder.decimals.__getitem__
+        table = shared.value.__getitem__
+        decimals = [str(i) for i in range(len(shared.value))].__getitem__
         for batch in batches:
             rows = [(len(ids), hashlib.sha256(" ".join(map(decimals, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(map(table, ids))).hexdigest()) for ids in _id_rows(batch.column(1))]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +41,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def text_groups(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Texts of a batch (null: empty) in runs of about ``limit`` characters, each with its first row's index.
+    """Texts of a batch (null: empty) in runs of about ``limit`` bytes, each with its first row's index.
 
-    A text longer than the limit makes a run of its own; nothing is cut.
+    A text longer than the limit makes a run of its own; nothing is cut. Only one run at a time leaves Arrow.
     """
-    start, size, run = 0, 0, []
-    for i, text in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
-        text = text or ""
-        if run and size + len(text) > limit:
-            yield start, run
-            start, size, run = i, 0, []
-        run.append(text)
-        size += len(text)
-    if run:
-        yield start, run
+    texts = batch.column(batch.schema.get_field_index(column))
+    start, size = 0, 0
+    for i, length in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i > start and size + length > limit:
+            yield start, [t or "" for t in texts.slice(start, i - start).to_pylist()]
+            start, size = i, 0
+        size += length
+    if len(texts) > start:
+        yield start, [t or "" for t in texts.slice(start).to_pylist()]

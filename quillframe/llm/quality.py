@@ -33,6 +33,8 @@ FEATURES = {
 }
 MIN_WORDS = 50
 MAX_LABELLED = 20_000
+#: Bytes of text whose arrays are held at once in a task.
+GROUP = 1 << 19
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -210,7 +212,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_groups(batch):
+            for start, texts in text_groups(batch, limit=GROUP):
                 base, features = text_stats(texts)
                 vectors = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * features.shape[1], features.ravel())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *(pa.array(v, pa.int64()) for v in base.values()), vectors], names=["doc_id", *base, "features"])
@@ -236,7 +238,7 @@ def assess_quality(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_groups(batch):
+            for start, texts in text_groups(batch, limit=GROUP):
                 base, features = text_stats(texts)
                 failed, margin = base_failed(base), trees.margin(features)
                 columns = {"doc_id": batch.column(0).slice(start, len(texts)), **base, "base_failed": failed, "kept": ~failed & (margin >= trees.threshold), "margin": margin}
@@ -251,7 +253,7 @@ def keep_quality(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
-            for _, texts in text_groups(batch, text_col):
+            for _, texts in text_groups(batch, text_col, GROUP):
                 base, features = text_stats(texts)
                 kept.append(~base_failed(base) & trees.good(features))
             yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
