@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import byte_bpe, mixing, ngram_join, quality, substring_dedup
-from quillframe.llm.common import materialise
+from quillframe.llm.common import bound_batches, materialise
 
 #: SQL cannot express fitted trees or byte-pair merges; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -26,16 +26,19 @@ SHINGLE, PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, by trees fitted to the labels of these documents."""
+    bound_batches(spark)
     return quality.keep_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, the one with the least id."""
+    bound_batches(spark)
     return ngram_join.keep_one(docs, SHINGLE, PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-word runs that documents with smaller ids have, and their lengths thereafter."""
+    bound_batches(spark)
     return substring_dedup.drop_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
@@ -48,6 +51,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token count and digests of the ids and of the bytes they decode to, for every document of the mix."""
     import public_tokenizers
 
+    bound_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN), ranks)
 

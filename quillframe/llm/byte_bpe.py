@@ -108,6 +108,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CH
         for batch in batches:
             for start, group in text_groups(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), _lists([coder.encode(t) for t in group])], names=["doc_id", "token_ids"])
+        coder.memo.clear()  # the worker goes on to other work
 
     short = texts.where(~long).mapInArrow(whole, "doc_id long, token_ids array<int>")
     return short.unionByName(_encode_long(texts.where(long), shared, chunk, overlap))

@@ -28,6 +28,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let this session's Arrow batches hold about ``most`` bytes, so that a task's memory does not grow with the texts' length.
+
+    Tasks hold several copies of a batch in the JVM and in Python; the default of 64 MB a batch is ample for numbers, not for texts.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the scratch store and read it back: recomputation stops there when an executor is lost."""
     path = scratch_folder(df.sparkSession, name)
