@@ -79,6 +79,16 @@ def test_main_text(spark):
     assert main_text.extract_main_text(none).count() == 0
 
 
+def test_main_text_keeps_articles_and_sections(spark):
+    told = "<section id=search><h2 id=related-work>Related</h2><p id=navigation>Sea ways</p></section><div class=share-price>9 euros</div><ul class='share-buttons'><li>no</ul><div class=comment-list>no</div>"
+    pages = [
+        (1, "http://a", "<div class=content>The text</div><article class=comment-body>no</article>"), (2, "http://b", "<script>x = '<article >'</script><!-- <main> --><div>The text</div>"),
+        (3, "http://c", "<nav><article>no</article></nav><div>The text</div>"), (4, "http://d", f"<article>{told}</article>"), (5, "http://e", "<body class='post no-sidebar'><article class=post><p>The text</article>"),
+    ]
+    found = {r.page_id: r.text for r in main_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {1: "The text", 2: "The text", 3: "The text", 4: "Related\nSea ways\n9 euros", 5: "The text"}
+
+
 def test_language_model(spark, docs):
     rows = corpus()
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
