@@ -89,6 +89,16 @@ def test_main_text_keeps_articles_and_sections(spark):
     assert found == {1: "The text", 2: "The text", 3: "The text", 4: "Related\nSea ways\n9 euros", 5: "The text"}
 
 
+def test_main_text_keeps_copied_pages(spark):
+    menu, story = " ".join(f"m{k}" for k in range(12)), [" ".join(f"s{p}x{k}" for k in range(30)) for p in range(3)]
+    article = "".join(f"<p>{p}</p>" for p in story)
+    pages = [(i, "http://h/", f"<div>{menu}</div>{article}<p>day {i}</p>") for i in range(2)] + [(i, "http://h/", f"<div>{menu}</div><p>p{i} has own words</p>") for i in range(2, 7)]
+    pages += [(i, "http://g/", "<p>a short text that two pages of a host have</p>") for i in (7, 8)]
+    found = {r.page_id: r.text for r in main_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    told = {i: "\n".join([*story, f"day {i}"]) for i in range(2)} | {i: f"p{i} has own words" for i in range(2, 7)}
+    assert found == told | {i: "a short text that two pages of a host have" for i in (7, 8)}
+
+
 def test_language_model(spark, docs):
     rows = corpus()
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
