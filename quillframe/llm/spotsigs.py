@@ -7,6 +7,7 @@ counted over all documents; they and the chain length decide what is alike, so t
 ``near_duplicates`` compares fingerprints within partitions by set size: sets of very different sizes
 cannot reach the threshold, so each meets its own partition and the next only, through the signatures
 of its prefix, and the Jaccard bound of the sizes prunes what is left before sets are compared.
+``near_components`` gives every row its class of equal sets and its component of linked classes.
 
 Defined results: a null or empty text, or one without words, has one signature for the empty text; a
 text without anchors has one signature for its whole word sequence, so equal texts are always alike;
@@ -22,10 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import id_and_text, materialise
+from quillframe.llm.graph import connected_components
 
 ANCHORS, ANCHOR_CHARS = 48, 5
 CHAIN, REACH = 2, 8
 SIMILARITY = 0.8
+#: Signatures whose frequency orders prefixes; the others come before these. Any one order gives the same pairs.
+FREQUENT = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -121,27 +125,55 @@ def compare_edits(docs: DataFrame, anchors: list[str], chain: int = CHAIN) -> Da
     )
 
 
+def set_class(found: Column) -> Column:
+    """The name of all equal signature sets: a hash of the set."""
+    return F.md5(F.array_join(F.transform(found, lambda h: h.cast("string")), ",").cast("binary"))
+
+
 def near_duplicates(fingerprints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, likeness): pairs of classes of equal sets at or above ``similarity``, named by their least ids.
+    """(class_a, class_b, a, b, likeness): pairs of classes of equal sets at or above ``similarity``, and their least ids.
 
     Sets are partitioned by the logarithm of their size to the base 1 / similarity: a partner is in the
     same partition or a neighbour. Within a partition sets meet through the signatures of their prefix,
-    of which linked sets share one; the bound of the sizes prunes before sets are compared.
+    rarest first, of which linked sets share one; the bound of the sizes prunes before sets are compared.
     """
-    classes = fingerprints.groupBy("found").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "found", F.size("found").alias("n"))
-    classes = materialise(classes, "signature_classes")
+    classes = fingerprints.groupBy(set_class(F.col("found")).alias("class")).agg(F.min("doc_id").alias("doc_id"), F.first("found").alias("found"))
+    # a number stands for the class from here on: it is shorter in every shuffle
+    classes = materialise(classes.withColumn("n", F.size("found")).withColumn("k", F.monotonically_increasing_id()), "signature_classes")
+    held = classes.select("k", "n", F.explode("found").alias("signature"))
+    frequent = held.groupBy("signature").agg(F.count("*").alias("held")).where("held > 1").orderBy(F.desc("held"), "signature").limit(FREQUENT)
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "signature")))
+    sorted_ = held.join(F.broadcast(frequent), "signature", "left").groupBy("k", "n").agg(order.alias("order"))
     part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    prefix = F.slice("found", 1, (F.col("n") - F.ceil(F.col("n") * similarity) + 1).cast("int"))
-    entries = classes.select("doc_id", "n", part.alias("part"), F.explode(prefix).alias("signature"))
+    prefix = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
+    entries = materialise(sorted_.select("k", "n", part.alias("part"), F.explode(prefix["signature"]).alias("signature")), "prefixes")
     mine, other = entries.alias("x"), entries.withColumn("part", F.explode(F.array("part", F.col("part") + 1))).alias("y")
-    meet = mine.join(other, ["part", "signature"]).where("y.doc_id <> x.doc_id and y.n <= x.n").where(F.col("y.n") >= F.col("x.n") * similarity)
-    pairs = meet.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    sets = classes.select("doc_id", "found")
-    both = pairs.join(sets.toDF("a", "found_a"), "a").join(sets.toDF("b", "found_b"), "b")
-    return both.select("a", "b", likeness(F.col("found_a"), F.col("found_b")).alias("likeness")).where(F.col("likeness") >= similarity)
+    meet = mine.join(other, ["part", "signature"]).where("y.k <> x.k and y.n <= x.n").where(F.col("y.n") >= F.col("x.n") * similarity - 1e-9)
+    pairs = meet.select(F.least("x.k", "y.k").alias("k_a"), F.greatest("x.k", "y.k").alias("k_b")).distinct()
+    sets = classes.select("k", "class", "doc_id", "found")
+    both = pairs.join(sets.toDF("k_a", "class_a", "a", "found_a"), "k_a").join(sets.toDF("k_b", "class_b", "b", "found_b"), "k_b")
+    both = both.withColumn("likeness", likeness(F.col("found_a"), F.col("found_b"))).where(F.col("likeness") >= similarity)
+    first, pick = F.coalesce(F.col("a") <= F.col("b"), F.col("b").isNull()), lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return both.select(pick("class_a", "class_b").alias("class_a"), pick("class_b", "class_a").alias("class_b"), pick("a", "b").alias("a"), pick("b", "a").alias("b"), "likeness")
+
+
+def near_components(fingerprints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class, component_id) of every row: its class of equal sets, and the least id of all rows linked to it (null: they have none)."""
+    rows = materialise(fingerprints.select("doc_id", set_class(F.col("found")).alias("class")), "class_members")
+    labels = connected_components(near_duplicates(fingerprints, similarity).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    least = rows.groupBy("class").agg(F.min("doc_id").alias("least")).join(labels, F.col("class") == F.col("node"), "left")
+    named = least.select("class", "least", F.coalesce("label", "class").alias("component"))
+    told = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", "component_id")
+    return rows.select("doc_id", "class").join(told, "class", "left").select("doc_id", "class", "component_id")
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SpotSigs fingerprints of every row of ``documents`` and of its edited text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return compare_edits(docs, common_words(docs))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of equal fingerprints and near-duplicate component of every row of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return near_components(fingerprint_documents(docs, common_words(docs)))

@@ -171,3 +171,18 @@ def test_spotsigs_pairs(docs):
         reps[frozenset(r.found)] = min(r.doc_id, reps.get(frozenset(r.found), r.doc_id))
     expected = {tuple(sorted((i, j))) for s, i in reps.items() for t, j in reps.items() if i < j and len(s & t) >= 0.8 * len(s | t)}
     assert {(r.a, r.b) for r in spotsigs.near_duplicates(fingerprints).collect()} == expected
+
+
+def test_spotsigs_components_name_every_row(spark):
+    near = list(range(2, 12))
+    rows = [(1, [500]), (2, [500]), (None, near), (None, near[:9]), (7, near[1:]), (9, [700, 701]), (9, [800, 801]), (None, [900]), (None, [900]), (5, [601, 602, 603, 604, 605]), (5, [601, 602, 603, 604])]
+    found = spotsigs.near_components(spark.createDataFrame(rows, "doc_id long, found array<long>")).collect()
+    assert len(found) == len(rows)
+    classes = collections.defaultdict(list)
+    for r in found:
+        classes[r["class"]].append((r.doc_id, r.component_id))
+    expected = [[(1, 1), (2, 1)], [(None, 7)], [(None, 7)], [(7, 7)], [(9, 9)], [(9, 9)], [(None, None)] * 2, [(5, 5)], [(5, 5)]]
+    assert sorted(map(str, map(sorted, classes.values()))) == sorted(map(str, expected))
+    pairs = spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, found array<long>")).collect()
+    assert sorted((str(p.a), str(p.b)) for p in pairs) == [("5", "5"), ("7", "None"), ("7", "None"), ("None", "None")]
+    assert all(p.class_a != p.class_b for p in pairs)
