@@ -413,6 +413,14 @@ def quote_value(spark, d):
     return odd.unionByName(docs).unionByName(part).select("kind", "i", quoting.quote_value(F.col("v")).alias("quoted"))
 
 
+@query(f"SELECT 'conversation' AS kind, conv_id AS i, CAST(turn AS BIGINT) AS turn, CASE WHEN v IS NULL THEN '.' ELSE {_QUOTED} END AS quoted FROM (SELECT conv_id, turn, text AS v FROM conversations WHERE text IS NULL OR text <> '') t UNION ALL SELECT 'document', doc_id, NULL, '.' FROM documents WHERE text IS NULL")
+def quote_value_conversations(spark, d):
+    """Conversations, and the texts that quote_value leaves out for being null; an empty one is an error."""
+    turns = table(spark, d, "conversations").where("text is null or text <> ''").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("i"), F.col("turn").cast("long").alias("turn"), F.col("text").alias("v"))
+    docs = table(spark, d, "documents").where("text is null").select(F.lit("document").alias("kind"), F.col("doc_id").alias("i"), F.lit(None).cast("long").alias("turn"), F.col("text").alias("v"))
+    return turns.unionByName(docs).select("kind", "i", "turn", quoting.quote_value(F.col("v")).alias("quoted"))
+
+
 @query("SELECT conv_id, turn, chr(10) || coalesce(text, '') || chr(10) || ';end' AS text FROM conversations")
 def escape_roundtrip(spark, d):
     held = F.concat(F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n;end"))
@@ -549,13 +557,29 @@ def schema_extend(spark, d):
 # order and listings
 
 
+def _frame_order(spark, docs: DataFrame, category: str, known: list[str]) -> DataFrame:
+    """The normalised order of documents as saveframes of one entry."""
+    frames = docs.select(F.lit("e").alias("entry_id"), F.col("doc_id").alias("sf_ord"), F.col(category).alias("sf_category"), F.concat(F.lit("_"), category).alias("tag_prefix"))
+    cells = docs.select(F.lit("e").alias("entry_id"), F.col("doc_id").alias("sf_ord"), F.lit("tag").alias("kind"), F.lit("ID").alias("tag"), F.lit(0).alias("col_ord"), F.col("doc_id").cast("string").alias("value"))
+    order = normalize.frame_order(frames, cells, dictionary.from_rows(spark, [{"tag": f"_{k}.ID"} for k in known]))
+    return order.select("sf_ord", F.col("new_ord").cast("long").alias("new_ord"))
+
+
 @query("SELECT doc_id AS sf_ord, row_number() OVER (ORDER BY CASE WHEN lang = 'de' THEN 0 WHEN lang = 'en' THEN 1 ELSE 2 END, CASE WHEN lang = 'es' THEN '98' WHEN lang = 'fr' THEN '99' END, doc_id) AS new_ord FROM (SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'en')) t")
 def normalize_order(spark, d):
-    docs = table(spark, d, "documents").where("lang in ('de', 'en')")
-    frames = docs.select(F.lit("e").alias("entry_id"), F.col("doc_id").alias("sf_ord"), F.col("lang").alias("sf_category"), F.concat(F.lit("_"), "lang").alias("tag_prefix"))
-    cells = docs.select(F.lit("e").alias("entry_id"), F.col("doc_id").alias("sf_ord"), F.lit("tag").alias("kind"), F.lit("ID").alias("tag"), F.lit(0).alias("col_ord"), F.col("doc_id").cast("string").alias("value"))
-    known = dictionary.from_rows(spark, [{"tag": "_de.ID"}, {"tag": "_en.ID"}])
-    return normalize.frame_order(frames, cells, known).select("sf_ord", F.col("new_ord").cast("long").alias("new_ord"))
+    return _frame_order(spark, table(spark, d, "documents").where("lang in ('de', 'en')"), "lang", ["de", "en"])
+
+
+@query("SELECT doc_id AS sf_ord, row_number() OVER (ORDER BY CASE WHEN lang IN ('de', 'en') THEN 0 WHEN lang IS NOT NULL THEN 1 ELSE 2 END, CASE WHEN lang = 'de' THEN 0 WHEN lang = 'en' THEN 1 END, sha1(lang), doc_id) AS new_ord FROM documents")
+def normalize_order_lang(spark, d):
+    """All documents: languages of the dictionary, then others by hash, then rows without one."""
+    return _frame_order(spark, table(spark, d, "documents"), "lang", ["de", "en"])
+
+
+@query("SELECT doc_id AS sf_ord, row_number() OVER (ORDER BY CASE WHEN source IS NOT NULL THEN 1 ELSE 2 END, sha1(source), doc_id) AS new_ord FROM documents")
+def normalize_order_source(spark, d):
+    """All documents with their source as category, which no dictionary knows."""
+    return _frame_order(spark, table(spark, d, "documents"), "source", ["de"])
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 AS first_in_category FROM documents")

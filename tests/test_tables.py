@@ -1,5 +1,6 @@
 """Loops, entries, the dictionary, validation, normalisation and comparison."""
 
+import hashlib
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from quillframe.functions.lineage import cut
 from quillframe.operators import compare, dictionary, entries
 from quillframe.operators.table import ROW, Loop, numbered
-from quillframe.plans import normalize, validate
+from quillframe.plans import catalogue, normalize, validate
 from quillframe.sources import star
 
 
@@ -177,3 +178,18 @@ def test_dictionary(spark, known, tmp_path):
     positions = {"tag": 0, "seq": 1, "sf_category": 2, "is_loop": 4, "data_type": 3, "star_type": 4}
     read = dictionary.read_dictionary(spark, str(path), positions, {"any": ".*"})
     assert [r.tag for r in read.orderBy("seq").collect()] == ["_A.a", "_A.b"]
+
+
+def test_catalogue_takes_whole_tables(spark, tmp_path):
+    docs = [(i, lang, source, text) for i, (lang, source, text) in enumerate([(None, "b", "t"), ("fr", None, None), ("es", "a", "t"), ("en", "c", "t"), ("de", "a", "t"), ("es", "b", "t")])]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "a b"), (1, 1, None)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def key(name, known):
+        return (0, known.index(name), "") if name in known else (1, 0, hashlib.sha1(name.encode()).hexdigest()) if name else (2, 0, "")
+
+    for query, column, known in (("normalize_order_lang", 1, ["de", "en"]), ("normalize_order_source", 2, ["de"])):
+        found = [r.sf_ord for r in catalogue.QUERIES[query](spark, str(tmp_path)).orderBy("new_ord").collect()]
+        assert found == [d[0] for d in sorted(docs, key=lambda d: (*key(d[column], known), d[0]))]
+    quoted = catalogue.QUERIES["quote_value_conversations"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, quoted), key=str) == [("conversation", 1, 0, "'a b'"), ("conversation", 1, 1, "."), ("document", 1, None, ".")]
