@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words, as the contracts state them: space and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Bytes of text whose arrays are held at once in a task.
+GROUP = 1 << 19
+#: Keys with more than one in so many rows are joined by broadcast, since one task would get all rows of a key. There are fewer such keys than this.
+HOT = 1000
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables, in the store that every node shares.
 
-    The cluster names that store in ``spark.checkpoint.dir``. Where the setting is absent (local
-    tests) a temporary folder takes its place for the life of the session.
+    The cluster names that store in ``spark.checkpoint.dir``. Where the setting is absent, a temporary
+    folder takes its place for the life of a local session; on a cluster that is an error, since other
+    machines would not see the folder.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,12 +50,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """Left join of ``rows`` with ``small``, which has one row a key, its columns, and in ``key_rows`` how many of ``rows`` have it.
+
+    Keys of more than one in ``HOT`` rows are joined by broadcast (fewer than ``HOT`` rows, by their counts), the
+    others by shuffle, so no task gets all rows of a hot key. Rows whose key is null have nulls in the added columns.
+    """
+    total = rows.count() if total is None else total
+    added = [c for c in small.columns if c not in (key, "key_rows")]
+    hot = small.where(F.col("key_rows") * HOT > total)
+    held = rows.where(F.col(key).isNotNull())
+    common = held.join(F.broadcast(hot.drop("key_rows")), key)
+    others = held.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.drop("key_rows"), key, "left")
+    none = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(small.schema[c].dataType).alias(c) for c in added])
+    columns = [*rows.columns, *added]
+    return common.select(columns).unionByName(others.select(columns)).unionByName(none.select(columns))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names, so that other columns cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def text_groups(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
+def text_groups(batch: pa.RecordBatch, column: str = "text", limit: int = GROUP) -> Iterator[tuple[int, list[str]]]:
     """Texts of a batch (null: empty) in runs of about ``limit`` bytes, each with its first row's index.
 
     A text longer than the limit makes a run of its own; nothing is cut. Only one run at a time leaves Arrow.

@@ -1,32 +1,34 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-A word's probability is that of its class given its context, times that of the word in its class. The
-``TOP`` most frequent words fill classes of ``SLOTS`` by frequency, with a softmax in each; all other
-words fall into ``RARE`` classes by their endings, and have add-one unigram shares there, one share kept
-for any unknown word. Contexts give features: the words one, two and three places before (the latter two
-skip what is between), and the two words before together; feature rows are hashed into tables.
-
-Training is by full passes over all training documents, each a distributed update:
-
-1. words are counted, combined in tasks and then over the cluster;
-2. feature counts give the gradient of the likelihood at the unigram model; the first update is that
-   gradient preconditioned by the expected counts, in logarithms, smoothed;
-3. every task then follows the gradient for the scale of each feature kind, over the half of the texts
-   (by a hash) whose counts are left out of the weights for that pass, and the scales are averaged by tokens.
-
-Scoring runs in numpy over batches, row tables being gathered for a batch's contexts. The broadcast
-tables are bounded by parameters; counts of words outside the ``KNOWN`` most frequent are joined by
-shuffle, so the vocabulary may be of any size.
-
-Defined results: a null or empty text is its end token alone; a null id counts as empty text for the
-fold; repeated rows are scored one by one; an empty table gives an empty result; with no training
-documents every word is unknown; other columns are ignored.
+The vocabulary is a tree of nested classes: an inner node has ``BRANCH`` outcomes, of which ``OWN`` are leaves
+and the others classes of their own, so frequent words have short paths. A word's probability is the product of
+the softmaxes on its path, times its add-one unigram share among the words of its leaf. Frequent words have
+leaves of their own; all others, known or not, fall into the deepest leaves by their hash. The tree's depth and
+the feature table's rows follow the number of words counted.
+
+At each node the features are the word before, the word two places before (a skip) and both together; the deeper
+the node, the fewer. A feature and its node are hashed to a row of ``BRANCH`` weights.
+
+1. Words are counted, combined in tasks and then over the cluster; the nodes' biases are the unigram shares.
+2. Each training pass goes over all training texts. A task takes the shared weights, follows the gradient of the
+   likelihood in small steps (AdaGrad over rows) and sends what it changed, weighted by the squared gradients it
+   saw; the changes are averaged over the cluster, in groups of at most ``FAN_IN`` tasks.
+3. Texts are scored in numpy batches that gather only the rows of their own contexts.
+
+The broadcast tables are bounded by parameters: ``ROWS`` of weights and the counts of about ``KNOWN`` frequent words.
+Other words' counts are joined by shuffle, so the vocabulary may be of any size, and no count depends on ``KNOWN``.
+
+Defined results: a null or empty text is its end token alone; a null id counts as empty text for the fold;
+repeated rows are scored one by one; an empty table gives an empty result; with no training documents every
+word is unknown; other columns are ignored. How rows are dealt to tasks decides the order of the gradient steps, and
+so the last digits of ``score``; all other columns depend on the texts alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,20 +40,21 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import id_and_text, materialise, text_groups
 from quillframe.llm.words import Words, mix
 
-SLOTS, CLASSES, RARE = 64, 16, 16
-TOP = SLOTS * CLASSES
-KNOWN = 200_000
-#: Rows of the hashed tables: class layer and word layer, for each feature kind.
-CLASS_ROWS = (2048, 2048, 2048, 16384)
-WORD_ROWS = (8192, 8192, 8192, 16384)
-SMOOTHING = 20.0
+BRANCH, OWN = 16, 4
+KNOWN = 1 << 19
+#: Most rows of the table of weights; words of the vocabulary to a leaf, at most, before the tree grows a layer.
+ROWS, CROWD = 1 << 18, 64
+#: Feature kinds (0: the word before, 1: the one before that, 2: both) at each layer; deeper layers have the last.
+KINDS = ((0, 1, 2), (0, 1, 2), (0, 2), (0,))
+RATE, START, STEP = 0.3, 1.0, 4096
+PASSES, FAN_IN = 1, 64
 PENDING = 1_500_000
+_CLASSES = BRANCH - OWN
 _END = np.uint64(0xE4D00000E4D1)
-_GROUPS = CLASSES + RARE
-_CLASS_START = np.concatenate([[0], np.cumsum(CLASS_ROWS)]) * _GROUPS
-_WORD_START = _CLASS_START[-1] + np.concatenate([[0], np.cumsum(WORD_ROWS)]) * SLOTS
-_CELLS = int(_WORD_START[-1])
-_PIECE = 1 << 16
+_PIECE = 1 << 12
+_SALT, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_COLUMNS = np.arange(BRANCH)
+_ONES = np.ones(BRANCH, np.float32)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -59,36 +62,31 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and rare class of every token, an end after each text's words, and the texts' bounds."""
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every token, an end after each text's words, and the texts' bounds."""
     words = Words(texts, lower=True)
-    last = words.raw[words.ends - 1].astype(np.uint64)
-    before = np.where(words.ends - words.starts > 1, words.raw[np.maximum(words.ends - 2, 0)], 0).astype(np.uint64)
-    folded = [np.where((x >= 65) & (x < 91), x + np.uint64(32), x) for x in (last, before)]
-    ending = (mix(folded[0] * np.uint64(256) + folded[1]) % np.uint64(RARE)).astype(np.int64)
-    return np.insert(words.hashes, words.first[1:], _END), np.insert(ending, words.first[1:], 0), words.first + np.arange(len(words.first))
+    return np.insert(words.hashes, words.first[1:], _END), words.first + np.arange(len(words.first))
 
 
-def _add_up(keys: list[np.ndarray], *values: list[np.ndarray]) -> list[np.ndarray]:
-    """Distinct keys, the first of the first values and the sum of the second at each."""
-    key, at, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return [key, np.concatenate(values[0])[at], np.bincount(inverse, np.concatenate(values[1]), len(key)).astype(np.int64)]
+def _add_up(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum at each."""
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate(sums), len(key)).astype(np.int64)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, ending, n): the training words' hashes, rare classes and counts."""
+    """(word, n): the training words' hashes and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            word, ending, n = _add_up(*map(list, zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(ending), pa.array(n)], names=["word", "ending", "n"])
+            word, n = _add_up(*map(list, zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
         for batch in batches:
             for _, group in text_groups(batch):
-                tokens, ending, _ = _tokens(group)
-                held.append(_add_up([tokens], [ending], [np.ones(len(tokens))]))
+                held.append(np.unique(_tokens(group)[0], return_counts=True))
                 if sum(len(h[0]) for h in held) > PENDING:
                     held = [_add_up(*map(list, zip(*held, strict=True)))]
                     if len(held[0][0]) > PENDING // 2:
@@ -97,39 +95,83 @@ def count_words(texts: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    found = texts.select("text").mapInArrow(run, "word long, ending long, n long")
-    return found.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Nested classes of some depth. Nodes of a layer are numbered so that a node's class k is node + k * (nodes of the layer)."""
+
+    depth: int
+
+    @classmethod
+    def of(cls, types: int) -> Tree:
+        """The shallowest tree whose deepest leaves are not too crowded."""
+        depth = 3
+        while BRANCH * _CLASSES ** (depth - 1) * CROWD < types:
+            depth += 1
+        return cls(depth)
+
+    @cached_property
+    def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Layer, node and outcome of each leaf, the shortest paths first."""
+        parts = []
+        for layer in range(self.depth):
+            nodes = _CLASSES**layer
+            place = np.arange(nodes * (OWN if layer < self.depth - 1 else BRANCH))
+            parts.append((np.full(len(place), layer), place % nodes, place // nodes))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    @cached_property
+    def paths(self) -> tuple[np.ndarray, np.ndarray]:
+        """Node and outcome of each leaf's path at each layer (meaningless below the leaf)."""
+        layer, node, outcome = self.leaves
+        nodes = np.stack([node % _CLASSES**k for k in range(self.depth)])
+        outcomes = np.stack([np.where(layer == k, outcome, OWN + node // _CLASSES**k % _CLASSES) for k in range(self.depth)])
+        return nodes, outcomes
+
+    @property
+    def size(self) -> int:
+        """Number of leaves."""
+        return len(self.leaves[0])
+
+    def hashed(self, words: np.ndarray) -> np.ndarray:
+        """The deepest-layer leaf of each word, by its hash."""
+        deepest = BRANCH * _CLASSES ** (self.depth - 1)
+        return (mix(words) % np.uint64(deepest)).astype(np.int64) + self.size - deepest
+
+    def biases(self, leaf_n: np.ndarray) -> list[np.ndarray]:
+        """Logarithms of the outcomes' shares at the nodes of each layer."""
+        found, (nodes, outcomes) = [], self.paths
+        for k in range(self.depth):
+            below = self.leaves[0] >= k
+            n = np.bincount(nodes[k, below] * BRANCH + outcomes[k, below], leaf_n[below], _CLASSES**k * BRANCH).reshape(-1, BRANCH) + 0.5
+            found.append(np.log(n / n.sum(1, keepdims=True)).astype(np.float32))
+        return found
 
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs; ``cells`` holds the class layer's rows and then the word layer's."""
+    """What scoring needs."""
 
-    known: np.ndarray  # hashes of the most frequent words, sorted, and their counts
+    tree: Tree
+    known: np.ndarray  # hashes of the frequent words, sorted, with their counts and leaves
     known_n: np.ndarray
-    top: np.ndarray  # hashes of the words with slots, sorted, and their places by frequency
-    top_place: np.ndarray
+    known_leaf: np.ndarray
     n_tokens: int
     n_types: int
-    group_log: np.ndarray  # logarithms of the classes' shares and of the slots' shares in their class
-    slot_log: np.ndarray
-    rare_log: np.ndarray  # logarithm of the unigram mass of each rare class
-    cells: np.ndarray
-    scales: np.ndarray
-
-    def symbols(self, tokens: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        """Place of a token with a slot, else TOP plus its rare class."""
-        if not len(self.top):
-            return TOP + ending
-        at = np.minimum(np.searchsorted(self.top, tokens), len(self.top) - 1)
-        return np.where(self.top[at] == tokens, self.top_place[at], TOP + ending)
-
-    def counts(self, tokens: np.ndarray) -> np.ndarray:
-        """Training count of each token, -1 where the table of known words does not tell."""
-        if not len(self.known):
-            return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
-        return np.where(self.known[at] == tokens, self.known_n[at], -1)
+    biases: list[np.ndarray]
+    leaf_log: np.ndarray  # logarithm of each leaf's sum of counts plus one, and one for unknown words
+    weights: np.ndarray
+
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf and training count of each word; the count is -1 where the table does not tell."""
+        leaf, n = self.tree.hashed(words), np.full(len(words), -1)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+            hit = self.known[at] == words
+            leaf, n = np.where(hit, self.known_leaf[at], leaf), np.where(hit, self.known_n[at], n)
+        return leaf, n
 
     @property
     def whole_log(self) -> float:
@@ -137,164 +179,127 @@ class Model:
         return float(np.log10(self.n_tokens + self.n_types + 1))
 
 
-def _rows(symbols: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Hash of each feature kind at every token, from the symbols before it in its text."""
-    n, starts = len(symbols), np.repeat(bounds[:-1], np.diff(bounds))
+def _contexts(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Hash of each feature kind at every token, from the words before it in its text."""
+    n, starts = len(tokens), np.repeat(bounds[:-1], np.diff(bounds))
     before = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         at = np.arange(n) - k
-        before.append(np.where(at >= starts, symbols[np.maximum(at, 0)], TOP + RARE).astype(np.uint64))
-    return [mix(before[0] + np.uint64(1 << 20)), mix(before[1] + np.uint64(2 << 20)), mix(before[2] + np.uint64(3 << 20)), mix(before[0] * np.uint64(8192) + before[1] + np.uint64(1 << 40))]
-
-
-def _cells(rows: list[np.ndarray], group: np.ndarray | None) -> list[np.ndarray]:
-    """First cell of each feature kind's row: in the class layer, or in the word layer of a class."""
-    if group is None:
-        return [(r % np.uint64(m)).astype(np.int64) * _GROUPS + s for r, m, s in zip(rows, CLASS_ROWS, _CLASS_START[:-1], strict=True)]
-    return [(mix(r + group.astype(np.uint64)) % np.uint64(m)).astype(np.int64) * SLOTS + s for r, m, s in zip(rows, WORD_ROWS, _WORD_START[:-1], strict=True)]
-
-
-def _group_of(symbols: np.ndarray) -> np.ndarray:
-    return np.where(symbols < TOP, symbols // SLOTS, symbols - TOP + CLASSES)
-
-
-def _count_features(texts: DataFrame, model: Model) -> np.ndarray:
-    """How often each cell's outcome followed its features, over all texts."""
+        before.append(np.where(at >= starts, tokens[np.maximum(at, 0)], np.uint64(7)))
+    return [mix(before[0] + np.uint64(1)), mix(before[1] + np.uint64(2)), mix(before[0] * np.uint64(3) + before[1])]
+
+
+def _walk(model: Model, tokens: np.ndarray, leaf: np.ndarray, bounds: np.ndarray, weights: np.ndarray, squares: np.ndarray | None = None) -> np.ndarray:
+    """Natural logarithm of the probability of each token's leaf. With ``squares``, ``weights`` follow the gradient on the way."""
+    contexts, found = _contexts(tokens, bounds), np.zeros(len(tokens))
+    nodes, outcomes = model.tree.paths
+    layer_of, flat, shift = model.tree.leaves[0], weights.reshape(-1), np.uint64(64 - int(len(weights)).bit_length() + 1)
+    for a in range(0, len(tokens), STEP):
+        part = slice(a, a + STEP)
+        leaves, here = leaf[part], [c[part] for c in contexts]
+        at, reach = np.arange(len(leaves)), layer_of[leaf[part]]
+        for layer in range(model.tree.depth):
+            at = at[reach[at] >= layer] if layer else at
+            node, outcome = nodes[layer, leaves[at]], outcomes[layer, leaves[at]]
+            z = np.take(model.biases[layer], node, axis=0, mode="clip")
+            salt = (node + (layer << 40) + 1).astype(np.uint64) * _SALT
+            rows = [(((here[k][at] ^ salt) * _SPREAD) >> shift).view(np.int64) for k in KINDS[min(layer, len(KINDS) - 1)]]
+            for r in rows:
+                z += np.take(weights, r, axis=0, mode="clip")
+            p = np.exp(z)
+            sums, chosen = p @ _ONES, np.arange(len(at)) * BRANCH + outcome
+            found[a + at] += z.reshape(-1)[chosen] - np.log(sums)
+            if squares is not None:
+                p *= (1 / sums)[:, None]
+                p.reshape(-1)[chosen] -= 1
+                size = np.einsum("ij,ij->i", p, p)
+                for r in rows:
+                    np.add.at(squares, r, size)
+                    rate = -RATE / np.sqrt(np.take(squares, r, mode="clip"))
+                    np.add.at(flat, (r[:, None] * BRANCH + _COLUMNS).reshape(-1), (p * rate[:, None]).reshape(-1))
+    return found
+
+
+def gradient_pass(texts: DataFrame, model: Model) -> Model:
+    """The model after one pass over all texts (text): every task follows the gradient, and the changes are averaged."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(_CELLS, np.int64)
+        m = shared.value
+        weights, squares = m.weights.copy(), np.full(len(m.weights), START, np.float32)
         for batch in batches:
             for _, group in text_groups(batch):
-                tokens, ending, bounds = _tokens(group)
-                symbols = shared.value.symbols(tokens, ending)
-                rows, groups = _rows(symbols, bounds), _group_of(symbols)
-                placed = symbols < TOP
-                inner = _cells([r[placed] for r in rows], groups[placed])
-                for cell in _cells(rows, None):
-                    sums += np.bincount(cell + groups, minlength=_CELLS)
-                for cell in inner:
-                    sums += np.bincount(cell + symbols[placed] % SLOTS, minlength=_CELLS)
-        part = TaskContext.get().partitionId()
-        pieces = [(k, part % 64, sums[k * _PIECE : (k + 1) * _PIECE]) for k in range(-(-_CELLS // _PIECE))]
-        pieces = [(k, s, v.astype(np.int32 if v.max() < 1 << 31 else np.int64)) for k, s, v in pieces if v.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.int32()), pa.array([p[2].dtype.itemsize for p in pieces], pa.int32()), pa.array([p[2].tobytes() for p in pieces], pa.binary())], names=["piece", "salt", "width", "sums"])
+                tokens, bounds = _tokens(group)
+                words, inverse = np.unique(tokens, return_inverse=True)
+                _walk(m, tokens, m.look_up(words)[0][inverse], bounds, weights, squares)
+        squares -= START
+        weights -= m.weights
+        weights *= squares[:, None]
+        pieces = [k for k in range(0, len(squares), _PIECE) if squares[k : k + _PIECE].any()]
+        sums = [squares[k : k + _PIECE].tobytes() + weights[k : k + _PIECE].tobytes() for k in pieces]
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int64()), pa.array([TaskContext.get().partitionId()] * len(pieces), pa.int64()), pa.array(sums, pa.binary())], names=["piece", "part", "sums"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.int32 if w == 4 else np.int64).astype(np.int64) for b, w in zip(frame["sums"], frame["width"], strict=True))
-        return pd.DataFrame({"piece": frame["piece"].iloc[:1], "salt": 0, "width": 8, "sums": [total.tobytes()]})
-
-    kind = "piece int, salt int, width int, sums binary"
-    found = texts.select("text").mapInArrow(run, kind).groupBy("piece", "salt").applyInPandas(add, kind).groupBy("piece").applyInPandas(add, kind)
-    whole = np.zeros(_CELLS, np.int64)
+        total = np.frombuffer(frame["sums"].iloc[0], np.float32).copy()
+        for more in frame["sums"].iloc[1:]:
+            total += np.frombuffer(more, np.float32)
+        return pd.DataFrame({"piece": frame["piece"].iloc[:1], "part": frame["part"].iloc[:1] // FAN_IN, "sums": [total.tobytes()]})
+
+    kind = "piece long, part long, sums binary"
+    tasks, found = texts.rdd.getNumPartitions(), texts.select("text").mapInArrow(run, kind)
+    while tasks > 1:
+        found = found.groupBy("piece", F.floor(F.col("part") / FAN_IN)).applyInPandas(lambda _, frame: add(frame), kind)
+        tasks = -(-tasks // FAN_IN)
+    weights = model.weights.copy()
     for row in found.toLocalIterator():
-        whole[row.piece * _PIECE : row.piece * _PIECE + len(row.sums) // 8] = np.frombuffer(row.sums, np.int64)
-    return whole
-
-
-def _weights(sums: np.ndarray, width: int, shares: np.ndarray) -> np.ndarray:
-    """Smoothed logarithms of observed over expected outcomes, row by row; rows never seen are 0."""
-    seen = sums.reshape(-1, width).astype(float)
-    return np.log((seen + SMOOTHING * shares) / (seen.sum(1, keepdims=True) + SMOOTHING) / shares).astype(np.float32).ravel()
-
-
-def _logits(model: Model, cells: list[np.ndarray], width: int, scales: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    table = model.cells
-    parts = [table[c[:, None] + np.arange(width)] for c in cells]
-    return base + sum(s * p for s, p in zip(scales.astype(np.float32), parts, strict=True)), parts
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def _score(model: Model, tokens: np.ndarray, ending: np.ndarray, bounds: np.ndarray, gradient: bool = False, step: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logarithm of each token's class and slot probability; with ``gradient``, that of the scales instead of zeros."""
-    symbols = model.symbols(tokens, ending)
-    rows, groups = _rows(symbols, bounds), _group_of(symbols)
-    found, slope = np.zeros(len(tokens)), np.zeros(8)
-    for a in range(0, len(tokens), step):
-        part = slice(a, a + step)
-        g, s = groups[part], symbols[part]
-        for k, (cells, width, base, chosen, at) in enumerate((
-            (_cells([r[part] for r in rows], None), _GROUPS, model.group_log, g, np.arange(len(g))),
-            (None, SLOTS, None, None, np.flatnonzero(s < TOP)),
-        )):
-            if k:
-                cells, base, chosen = _cells([r[part][at] for r in rows], g[at]), model.slot_log[g[at]], s[at] % SLOTS
-            if not len(at):
-                continue
-            z, parts = _logits(model, cells, width, model.scales[4 * k : 4 * k + 4], base)
-            logs, pick = _log_softmax(z), np.arange(len(at))
-            found[a + at] += logs[pick, chosen]
-            if gradient:
-                p = np.exp(logs)
-                slope[4 * k : 4 * k + 4] += [float(x[pick, chosen].sum() - (p * x).sum()) for x in parts]
-    return found, slope
-
-
-def _fit_scales(texts: DataFrame, model: Model) -> np.ndarray:
-    """Scales of the feature kinds: each task follows the gradient over its texts; averaged by tokens."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+        sums = np.frombuffer(row.sums, np.float32)
+        n = len(sums) // (BRANCH + 1)
+        weights[row.piece : row.piece + n] += sums[n:].reshape(n, BRANCH) / np.maximum(sums[:n], 1e-9)[:, None]
+    return replace(model, weights=weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, squares, n = shared.value, np.full(8, 1e-4), 0
-        for batch in batches:
-            for _, group in text_groups(batch, limit=1 << 19):
-                tokens, ending, bounds = _tokens(group)
-                slope = _score(mine, tokens, ending, bounds, gradient=True)[1] / max(1, len(tokens))
-                squares += slope**2
-                mine = replace(mine, scales=np.clip(mine.scales + 0.08 * slope / np.sqrt(squares), 0.0, 1.5))
-                n += len(tokens)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([list(mine.scales)], pa.list_(pa.float64()))], names=["n", "scales"])
 
-    found = texts.select("text").mapInArrow(run, "n long, scales array<double>").where("n > 0")
-    sums = found.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col("scales")[k]).alias(f"s{k}") for k in range(8)]).first()
-    return np.array([sums[f"s{k}"] / sums.n for k in range(8)]) if sums.n else model.scales
+def _frequent(counts: DataFrame) -> pd.DataFrame:
+    """About ``KNOWN`` of the most frequent words, by levels of their count, the last level thinned by the words' hashes."""
+    level, kept = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int"), 0
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if kept + row["count"] > KNOWN:
+            share = int((KNOWN - kept) / row["count"] * 2**32)
+            return counts.where((level > row.level) | ((level == row.level) & (F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < share))).toPandas()
+        kept += row["count"]
+    return counts.toPandas()
 
 
-def fit_model(docs: DataFrame, counts: DataFrame) -> Model:
-    """The model of the training texts ``docs`` (text) with the word counts ``counts`` (word, ending, n)."""
+def start_model(counts: DataFrame) -> Model:
+    """The model before any gradient step: the unigram shares of the counted words (word, n)."""
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("types")).first()
     n_tokens, n_types = int(whole.n or 0), int(whole.types)
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int").alias("level")
-    cut, kept = None, 0
-    for row in counts.groupBy(level).count().orderBy(F.desc("level")).collect():
-        if kept + row["count"] > KNOWN:
-            break
-        cut, kept = row.level, kept + row["count"]
-    frequent = counts.where(level >= cut) if cut is not None else counts.limit(0)
-    rows = frequent.toPandas().sort_values(["n", "word"], ascending=[False, True])
-    end = rows["word"] == int(_END)
-    best = pd.concat([rows[end], rows[~end].head(TOP - int(end.sum()))]).sort_values(["n", "word"], ascending=[False, True])
-    top = best["word"].to_numpy(np.int64).view(np.uint64)
-    slot_n = np.zeros(TOP)
-    slot_n[: len(best)] = best["n"]
-    outside = counts if not len(best) else counts.join(F.broadcast(docs.sparkSession.createDataFrame(best[["word"]])), "word", "left_anti")
-    rare = np.zeros((RARE, 2))
-    for row in outside.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
-        rare[row.ending] = row.n, row.types
-    group_n = np.concatenate([slot_n.reshape(CLASSES, SLOTS).sum(1), rare[:, 0]]) + 0.5
-    slots = slot_n.reshape(CLASSES, SLOTS) + 0.01
-    order, known = np.argsort(top), rows.sort_values("word", key=lambda w: w.to_numpy(np.int64).view(np.uint64))
-    model = Model(
-        known["word"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64), top[order], order, n_tokens, n_types,
-        np.log(group_n / group_n.sum()).astype(np.float32), np.log(slots / slots.sum(1, keepdims=True)).astype(np.float32),
-        np.log((rare.sum(1) + 1) / (n_tokens + n_types + 1)), np.zeros(_CELLS, np.float32), np.full(8, 0.5),
-    )
-    if not n_tokens:
-        return model
-    shares, slot_shares = np.exp(model.group_log.astype(float)), (slots.sum(0) + 1) / (slots.sum() + SLOTS)
+    tree, rows = Tree.of(n_types), _frequent(counts).sort_values(["n", "word"], ascending=[False, True])
+    words = rows["word"].to_numpy(np.int64).view(np.uint64)
+    leaf = tree.hashed(words)
+    leaf[: tree.size] = np.arange(min(tree.size, len(leaf)))
+    order = np.argsort(words)
+    model = Model(tree, words[order], rows["n"].to_numpy(np.int64)[order], leaf[order], n_tokens, n_types, [], np.zeros(0), np.zeros((1 << min(max(n_types.bit_length(), 12), ROWS.bit_length() - 1), BRANCH), np.float32))
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves = shared.value.look_up(batch.column(0).to_numpy().view(np.uint64))[0]
+            sums = np.bincount(leaves, batch.column(1).to_numpy() + 1.0, tree.size)
+            held = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], names=["leaf", "n"])
+
+    leaf_n = np.ones(tree.size)
+    for row in counts.select("word", "n").mapInArrow(run, "leaf long, n double").groupBy("leaf").agg(F.sum("n").alias("n")).toLocalIterator():
+        leaf_n[row.leaf] += row.n
+    return replace(model, biases=tree.biases(leaf_n), leaf_log=np.log(leaf_n))
 
-    def weighed(sums: np.ndarray) -> Model:
-        layers = _weights(sums[: _CLASS_START[-1]], _GROUPS, shares), _weights(sums[_CLASS_START[-1] :], SLOTS, slot_shares)
-        return replace(model, cells=np.concatenate(layers))
 
-    half = F.pmod(F.xxhash64("text"), F.lit(2))
-    one, other = (_count_features(docs.where(half == k), model) for k in (0, 1))
-    # scales are fitted on texts whose own counts the weights don't hold
-    return replace(weighed(one + other), scales=_fit_scales(docs.where(half == 1), weighed(one)))
+def fit_model(docs: DataFrame, counts: DataFrame, passes: int = PASSES) -> Model:
+    """The model of the training texts ``docs`` (text) with the word counts ``counts`` (word, n)."""
+    model = start_model(counts)
+    for _ in range(passes if model.n_tokens else 0):
+        model = gradient_pass(docs, model)
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -302,20 +307,18 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, row = shared.value, TaskContext.get().partitionId() << 40
-        rare_log10, ln10 = m.rare_log / np.log(10), np.log(10)
+        m, row, ln10 = shared.value, TaskContext.get().partitionId() << 40, np.log(10)
         for batch in batches:
             for start, group in text_groups(batch):
-                tokens, ending, bounds = _tokens(group)
-                found = _score(m, tokens, ending, bounds)[0] / ln10
-                known, symbols = m.counts(tokens), m.symbols(tokens, ending)
-                unigram = np.where(known >= 0, np.log10(np.maximum(known, 0) + 1) - m.whole_log, 0.0)
-                found += np.where(symbols >= TOP, unigram - rare_log10[ending], 0.0)
-                spans = [np.concatenate([[0.0], np.cumsum(x)]) for x in (unigram, found, known > 0)]
-                doc = np.repeat(np.arange(len(group)), np.diff(bounds))
+                tokens, bounds = _tokens(group)
+                words, inverse = np.unique(tokens, return_inverse=True)
+                leaf, known = m.look_up(words)
+                own = np.where(known >= 0, np.log10(np.maximum(known, 0) + 1), 0.0)
+                model_log = _walk(m, tokens, leaf[inverse], bounds, m.weights) / ln10 + (own - m.leaf_log[leaf] / ln10)[inverse]
+                known = known[inverse]
+                spans = [np.concatenate([[0.0], np.cumsum(x)]) for x in ((own - m.whole_log)[inverse], model_log, known > 0)]
                 at = np.flatnonzero(known < 0)
-                outside = np.searchsorted(at, bounds)
-                lists = pa.ListArray.from_arrays(outside.astype(np.int32), pa.array(tokens[at].view(np.int64)))
+                lists = pa.ListArray.from_arrays(np.searchsorted(at, bounds).astype(np.int32), pa.array(tokens[at].view(np.int64)))
                 n = len(group)
                 columns = [batch.column(0).slice(start, n), batch.column(2).slice(start, n), pa.array(row + np.arange(n)), pa.array(np.diff(bounds)), *(pa.array(s[bounds[1:]] - s[bounds[:-1]]) for s in spans), lists]
                 row += n
@@ -324,8 +327,7 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
     scored = docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, row long, n_tokens long, unigram double, found double, known double, outside array<long>")
     scored = materialise(scored, "scored")
     outside = scored.select("row", F.explode("outside").alias("word")).groupBy("row", "word").count()
-    told = outside.join(counts.select("word", "n"), "word", "left").groupBy("row").agg(
-        F.sum(F.col("count") * (F.log10(F.coalesce("n", F.lit(0)) + 1.0) - model.whole_log)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("count")).otherwise(0)).alias("more_known"))
+    told = outside.join(counts.select("word", "n"), "word").groupBy("row").agg(F.sum(F.col("count") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("count").alias("more_known"))
     more = F.coalesce("more", F.lit(0.0))
     return scored.drop("outside").join(told, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known").cast("long") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),

@@ -17,17 +17,18 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD6E8FEB86659FD93 | 1
+_KEPT = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest array so far is kept, up to 4 M numbers."""
+    """base**0 .. base**(n-1) modulo 2**64; the longest array so far is kept, up to a million numbers."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
+        have = np.full(max(n, 1 << 16) if n > _KEPT else 1 << (max(n, 1 << 16) - 1).bit_length(), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if len(have) <= 1 << 22:
+        if len(have) <= _KEPT:
             _powers[base] = have
     return have[:n]
 

@@ -121,16 +121,54 @@ def test_language_model_is_a_distribution(docs):
     counts = maxent_lm.count_words(texts).cache()
     model = maxent_lm.fit_model(texts, counts)
     vocabulary = counts.toPandas()
-    words_, ending = vocabulary["word"].to_numpy(np.int64).view(np.uint64), vocabulary["ending"].to_numpy()
-    context = words_[:3]
-    mass = 0.0
-    for w, e, n in zip(words_, ending, vocabulary["n"], strict=True):
-        one = np.append(context, w)
-        logs = maxent_lm._score(model, one, np.append(ending[:3], e), np.array([0, 4]))[0][3]
-        rare = model.symbols(one[3:], np.array([e]))[0] >= maxent_lm.TOP
-        mass += math.exp(logs) * (math.exp(math.log((n + 1) / (model.n_tokens + model.n_types + 1)) - model.rare_log[e]) if rare else 1)
-    # the rest of each rare class is its share for unknown words
-    assert 0.3 < mass < 1.0 + 1e-6
+    words_ = vocabulary["word"].to_numpy(np.int64).view(np.uint64)
+    leaf, n = model.look_up(words_)
+    assert n.tolist() == vocabulary["n"].tolist()
+    tokens = np.stack([np.repeat(words_[:3], len(words_)).reshape(3, -1)[k] for k in range(3)] + [words_], axis=1).reshape(-1)
+    leaves = np.stack([np.repeat(leaf[:3], len(words_)).reshape(3, -1)[k] for k in range(3)] + [leaf], axis=1).reshape(-1)
+    logs = maxent_lm._walk(model, tokens, leaves, np.arange(len(words_) + 1) * 4, model.weights)[3::4]
+    shares = (n + 1) / np.exp(model.leaf_log[leaf])
+    # the rest of each leaf is its share for unknown words
+    assert 0.3 < (np.exp(logs) * shares).sum() < 1.0 + 1e-6
+
+
+def test_language_model_depths_are_distributions():
+    for depth in (3, 4):
+        tree = maxent_lm.Tree(depth)
+        nodes, outcomes = tree.paths
+        biases, layer = tree.biases(np.arange(tree.size) % 7 + 1.0), tree.leaves[0]
+        logs = sum(np.where(layer >= k, biases[k][nodes[k], outcomes[k]], 0.0) for k in range(depth))
+        assert abs(np.exp(logs).sum() - 1) < 1e-4
+    assert maxent_lm.Tree.of(10**9).size * maxent_lm.CROWD > 10**9
+
+
+def test_language_model_gradient_raises_held_out_likelihood(spark):
+    rng = np.random.default_rng(4)
+    follows = rng.integers(0, 400, (400, 3))
+
+    def text():
+        at, found = int(rng.integers(400)), []
+        for _ in range(150):
+            found.append(f"w{at}")
+            at = int(follows[at, rng.integers(3)] if rng.random() < 0.8 else rng.integers(400))
+        return " ".join(found)
+
+    docs = spark.createDataFrame([(i, text(), i % 7 == 2) for i in range(700)], "doc_id long, text string, held_out boolean").repartition(4).cache()
+    training, held = docs.where("not held_out"), docs.where("held_out")
+    counts = maxent_lm.count_words(training).cache()
+    start = maxent_lm.start_model(counts)
+    models = [start, maxent_lm.gradient_pass(training, start)]
+    models.append(maxent_lm.gradient_pass(training, models[1]))
+    scores = [sum(r.score for r in maxent_lm.score_documents(held, m, counts).collect()) for m in models]
+    base = sum(r.base_score for r in maxent_lm.score_documents(held, start, counts).collect())
+    assert scores[0] > 1.02 * base and scores[1] > 0.8 * scores[0] and scores[2] > scores[1]
+
+
+def test_language_model_joins_rare_words(docs, monkeypatch):
+    whole = {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in maxent_lm.language_model(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(maxent_lm, "KNOWN", 60)
+    few = {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in maxent_lm.language_model(docs.coalesce(1)).collect()}
+    assert few == {w[:4] for w in whole}
 
 
 def test_pipeline_stages(spark, tmp_path):
