@@ -17,6 +17,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 GROUP = 1 << 19
 #: Keys with more than one in so many rows are joined by broadcast, since one task would get all rows of a key. There are fewer such keys than this.
 HOT = 1000
+#: Rows that one task may join at any rate.
+FEW = 20_000
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -55,8 +57,11 @@ def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int | None = No
 
     Keys of more than one in ``HOT`` rows are joined by broadcast (fewer than ``HOT`` rows, by their counts), the
     others by shuffle, so no task gets all rows of a hot key. Rows whose key is null have nulls in the added columns.
+    Up to ``FEW`` rows are joined as they are.
     """
     total = rows.count() if total is None else total
+    if total <= FEW:
+        return rows.join(small.drop("key_rows"), key, "left").select(*rows.columns, *[c for c in small.columns if c not in (key, "key_rows")])
     added = [c for c in small.columns if c not in (key, "key_rows")]
     hot = small.where(F.col("key_rows") * HOT > total)
     held = rows.where(F.col(key).isNotNull())

@@ -1,29 +1,47 @@
-"""Connected components of an edge table, by labels that spread and jump over joins."""
+"""Connected components of an edge table, by contraction: every round merges nodes and drops the edges within them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import materialise
+from quillframe.llm.common import join_hot, materialise
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the least node of its component.
 
-    Each round takes the least label among a node's neighbours and then that label's own label, so
-    chains halve. Every round is written to the scratch store, which ends its lineage; the rounds stop
-    when no label changed. Nodes may be of any type that sorts. Least labels combine map-side.
+    In each round a node follows the first of its neighbours, or itself, in an order that is hashed anew, so
+    that chains shrink by a constant factor. Edges then join what their ends followed; those within one node go.
+    Only live edges and nodes are read again, so the rounds get cheaper. At last the rounds' tables are composed,
+    from the smallest on. Every table is written to the scratch store, which ends its lineage. Hubs are joined by
+    ``join_hot``: no task gets all edges of a node. Nodes may be of any type that sorts and hashes.
     """
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
-    while True:
-        spread = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        nearer = labels.join(spread, labels["node"] == spread["a"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        found = nearer.join(jump, F.col("label") == F.col("via"), "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old")
-        found = materialise(found, "labels")
-        changed = found.where("label <> old").limit(1).count()
-        labels = found.select("node", "label")
-        if not changed:
-            return labels
+    live = materialise(edges.select(*_ordered("a", "b")).where("a <> b").distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while n := live.count():
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))), c)  # noqa: B023, E731
+        ends = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = ends.groupBy("a").agg(F.min(order(F.col("b"))).alias("near"), F.count("*").alias("key_rows"))
+        label = F.least(F.col("near"), order(F.col("a")).cast(first.schema["near"].dataType))
+        follows = materialise(first.select(F.col("a").alias("node"), label[first.schema["near"].dataType.names[1]].alias("label"), "key_rows"), "follows")
+        moved = join_hot(live, follows.select(F.col("node").alias("a"), F.col("label").alias("to_a"), "key_rows"), "a", n)
+        moved = join_hot(moved, follows.select(F.col("node").alias("b"), F.col("label").alias("to_b"), "key_rows"), "b", n)
+        live = materialise(moved.select(*_ordered("to_a", "to_b")).where("a <> b").distinct(), "edges")
+        rounds.append(follows.select("node", "label"))
+    if not rounds:
+        return live.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds[-1]
+    for follows in reversed(rounds[:-1]):
+        labels = materialise(_via(follows, labels.select(F.col("node").alias("label"), F.col("label").alias("root"))), "labels")
+    return _via(labels, labels.groupBy("label").agg(F.min("node").alias("root")))
+
+
+def _via(follows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, label) with each label replaced by its root, where it has one."""
+    held = follows.groupBy("label").agg(F.count("*").alias("key_rows"))
+    return join_hot(follows, roots.join(held, "label"), "label").select("node", F.coalesce("root", "label").alias("label"))

@@ -6,20 +6,25 @@ at least ``PERCENT`` hundredths of their union.
 1. Equal sets become one class. Sets are dealt to size classes, and a size class's universe to parts: one
    more than linked sets of that class can differ by, so linked sets agree in a whole part. A set sends a
    signature for each of its fullest parts, as many as that takes: full parts rarely agree by chance.
-   Equal signatures of a batch are related there, and only one row goes on: a signature that a third of
-   all sets share sends one row a batch. Related sets form families, by connected components.
+   Sets that agree are joined in their task, and one row a signature and one row a set go on; a signature that
+   a task has seen in several sets is kept, and sent no more. Related sets form families, by connected components.
 2. Within a family, the sets of a block are joined exactly. Index lists hold sets by position in order of
-   size, and a set skips the positions whose sizes rule a link out. A set that differs little from the
+   size, and a set skips to the positions whose sizes allow a link. A set that differs little from the
    set before it derives its answers from that set's: only the lists of members that differ are read.
-   Families above a block are cut by hash into blocks, and each pair of blocks is joined.
+   A family above a block is cut by hash into blocks, each joined together with the family's pivots. Sets that are in
+   the family's largest component by then have nothing to learn from each other; only the others are joined
+   with every block, in probe blocks of their own. So a group of copies of one text costs one pass over its blocks.
 3. Links become components; of each component only a spanning star leaves a task.
 
-Documents of one class are joined to their class by its key, never pair by pair.
+Documents of one class are joined to their class by its key, never pair by pair; hot keys are joined by broadcast.
+
+Shingles are compared by 64-bit hashes and whole sets by 128 bits. A chance match of two shingles moves one
+count by one, and among the some hundred members of two sets it is rarer than one in 10**13.
 
 Defined results: texts without words have empty sets and link with nothing; texts with fewer words than
 a shingle have their whole sequence as one; null ids are kept and take part, but a component is named by
-the least id that is not null; repeated rows link with each other; an empty table gives an empty result;
-other columns are ignored by ``similar_components`` and kept by ``keep_one``.
+the least id that is not null (null if it has none); repeated rows link with each other; an empty table gives an
+empty result; other columns are ignored by ``similar_components`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillframe.llm.common import materialise, text_groups
+from quillframe.llm.common import join_hot, materialise, text_groups
 from quillframe.llm.graph import connected_components
 from quillframe.llm.words import Words, mix
 
@@ -42,9 +47,13 @@ from quillframe.llm.words import Words, mix
 SHINGLE, PERCENT = 5, 80
 #: Growth of the size classes' upper ends.
 CLASS_RATIO = 1.35
-BLOCK_LEAST, BLOCK_MOST, BLOCKS = 128, 4096, 24
-#: Rows up to which a table of family members is broadcast; above, it is joined by shuffle.
+#: Sets, and members of sets, in a block; pivots of a family that has several blocks.
+BLOCK, BLOCK_MEMBERS = 1024, 1 << 20
+PIVOTS = 4
+#: Rows up to which a table of family members is broadcast (some 20 MB, as rows have a fixed width); above, it is joined by shuffle.
 SMALL = 300_000
+#: Shared signatures that a task remembers.
+REMEMBERED = 1 << 18
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -138,6 +147,7 @@ def _relations(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): nodes that agree in a part, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, kept_nodes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for _, texts in text_groups(batch):
                 sets = [s for s in {_key(s): s for s in shingle_sets(texts, shingle)}.values() if len(s)]
@@ -145,9 +155,25 @@ def _relations(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
                 order = np.lexsort((nodes, signatures))
                 signatures, nodes = signatures[order], nodes[order]
                 first = np.flatnonzero(np.concatenate([[True], signatures[1:] != signatures[:-1]])) if len(order) else order
-                heads = np.repeat(nodes[first], np.diff(np.concatenate([first, [len(order)]])))
-                pairs = np.unique(np.column_stack([nodes, heads])[nodes != heads], axis=0)
-                columns = [pa.array(np.concatenate([signatures[first].view(np.int64), mix(pairs[:, 0].astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([nodes[first], pairs[:, 0]])), pa.array(np.concatenate([nodes[first], pairs[:, 1]]), mask=np.arange(len(first) + len(pairs)) < len(first))]
+                counts = np.diff(np.concatenate([first, [len(order)]]))
+                pairs = np.column_stack([nodes, np.repeat(nodes[first], counts)])
+                found, at = signatures[first], np.searchsorted(kept, signatures[first])
+                seen = np.zeros(len(found), bool)
+                if len(kept):
+                    at = np.minimum(at, len(kept) - 1)
+                    seen = kept[at] == found
+                    pairs = np.concatenate([pairs, np.column_stack([nodes[first][seen], kept_nodes[at[seen]]])])
+                pairs, roots = _stars(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+                new = ~seen
+                heads = nodes[first][new]
+                heads = np.array([roots.get(x, x) for x in heads.tolist()], np.int64) if roots else heads
+                several = counts[new] > 1
+                if several.any() and len(kept) < REMEMBERED:
+                    kept, kept_nodes = np.concatenate([kept, found[new][several]]), np.concatenate([kept_nodes, heads[several]])
+                    order = np.argsort(kept)
+                    kept, kept_nodes = kept[order], kept_nodes[order]
+                n = len(heads)
+                columns = [pa.array(np.concatenate([found[new].view(np.int64), mix(pairs[:, 0].astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([heads, pairs[:, 0]])), pa.array(np.concatenate([heads, pairs[:, 1]]), mask=np.arange(n + len(pairs)) < n)]
                 yield pa.RecordBatch.from_arrays(columns, names=["signature", "a", "b"])
 
     found = rows.select("text").mapInArrow(run, "signature long, a long, b long")
@@ -155,6 +181,16 @@ def _relations(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return found.withColumn("b", F.coalesce("b", least)).where("a <> b").select("a", "b").distinct()
 
 
+def _stars(pairs: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+    """A spanning star of each component of the pairs: (node, root) rows, and the same as a dictionary."""
+    names, ends = np.unique(pairs, return_inverse=True)
+    union = _Union(len(names))
+    for a, b in ends.reshape(-1, 2).tolist():
+        union.join(a, b)
+    roots = {int(names[k]): int(names[union.find(k)]) for k in range(len(names)) if union.find(k) != k}
+    return np.array(list(roots.items()), np.int64).reshape(-1, 2), roots
+
+
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -168,8 +204,26 @@ class _Union:
         self.up[self.find(x)] = self.find(y)
 
 
-def link_stars(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Exact links among sets, as (member, chosen member of its component) for every member that has a link."""
+class _Lists:
+    """Index lists of sets by position: for each member the positions that hold it, ascending, end to end in one sorted array."""
+
+    def __init__(self, members: np.ndarray, positions: np.ndarray, n: int):
+        self.n = n
+        self.flat = np.sort(members * n + positions)
+
+    def tally(self, members: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How often each position in [low, high) stands in the members' lists; each list is entered and left by binary search."""
+        begin, end = np.searchsorted(self.flat, members * self.n + low), np.searchsorted(self.flat, members * self.n + high)
+        sizes = end - begin
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return np.bincount(self.flat[at] % self.n - low, minlength=high - low)
+
+
+def link_stars(sets: list[np.ndarray], percent: int, asking: set[int] | None = None) -> list[tuple[int, int]]:
+    """Exact links among sets, as (member, chosen member of its component) for every member that has a link.
+
+    With ``asking``, only links that one of these sets has.
+    """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order], np.int64)
     union = _Union(len(sets))
@@ -179,14 +233,7 @@ def link_stars(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     _, member, counts = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     held = counts[member] > 1
     by_set = np.split(member[held], np.cumsum(np.bincount(owner[held], minlength=len(order)))[:-1])
-    ranked = np.argsort(member[held], kind="stable")
-    positions, starts = owner[held][ranked], np.concatenate([[0], np.cumsum(np.bincount(member[held], minlength=len(counts)))])
-
-    def tally(members: np.ndarray, low: int, high: int) -> np.ndarray:
-        """How often each position in [low, high) stands in the members' lists; the rest of a list is skipped."""
-        lists = [positions[starts[m] : starts[m + 1]] for m in members.tolist()]
-        found = np.concatenate(lists) if lists else positions[:0]
-        return np.bincount(found[(found >= low) & (found < high)] - low, minlength=high - low)
+    lists = _Lists(member[held], owner[held], len(order))
 
     def bounds(n: int, slack: int) -> tuple[int, int]:
         low, high = -(-n * percent // 100) - slack, n * 100 // percent + slack
@@ -195,19 +242,19 @@ def link_stars(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     last: tuple[np.ndarray, np.ndarray, int, int] | None = None
     shared = np.array([len(b) for b in by_set])
     # similar sets have their least common member alike, and come one after the other
-    visit = sorted((k for k in range(len(order)) if shared[k] * 100 >= percent * sizes[k]), key=lambda k: (int(by_set[k][0]) if len(by_set[k]) else -1, k))
-    for k in visit:
+    chosen = (k for k in range(len(order)) if shared[k] * 100 >= percent * sizes[k] and (asking is None or order[k] in asking))
+    for k in sorted(chosen, key=lambda k: (int(by_set[k][0]) if len(by_set[k]) else -1, k)):
         n, mine = int(sizes[k]), np.sort(by_set[k])
         low, high = bounds(n, 0)
         answers = None
         if last is not None and last[2] <= low and high <= last[3]:
             more, less = np.setdiff1d(mine, last[0], assume_unique=True), np.setdiff1d(last[0], mine, assume_unique=True)
             if 2 * (len(more) + len(less)) < len(mine):
-                answers = last[1] + tally(more, last[2], last[3]) - tally(less, last[2], last[3])
+                answers = last[1] + lists.tally(more, last[2], last[3]) - lists.tally(less, last[2], last[3])
                 from_low = last[2]
         if answers is None:
             from_low, to_high = bounds(n, n // 8)
-            answers = tally(mine, from_low, to_high)
+            answers = lists.tally(mine, from_low, to_high)
             last = (mine, answers, from_low, to_high)
         both = answers[low - from_low : high - from_low]
         linked = np.flatnonzero(100 * both >= percent * (n + sizes[low:high] - both)) + low
@@ -217,45 +264,75 @@ def link_stars(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return [(order[k], order[union.find(k)]) for k in range(len(order)) if union.find(k) != k]
 
 
-def _links(members: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): keys of linked sets, as stars, from families (family, row, key)."""
-    sizes = members.groupBy("family").count().where("count > 1")
-    blocks = F.ceil(F.col("count") / F.least(F.lit(BLOCK_MOST), F.greatest(F.lit(BLOCK_LEAST), F.ceil(F.col("count") / BLOCKS)))).cast("int")
-    dealt = members.join(sizes, "family").withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("key"), "blocks"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    dealt = dealt.withColumn("other", F.explode(others)).select("row", "key", "family", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+def _join_blocks(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): keys of linked sets, as stars, within each block of (row, key, family, one, two, asks)."""
     dealt = materialise(dealt, "family_blocks")
     if dealt.count() <= SMALL:
         dealt = F.broadcast(dealt)
-    texts = rows.select("row", "text").join(dealt, "row").repartition("family", "one", "two")
+    # rows that repeat one another in id and text are one row here
+    texts = rows.select("row", "text").join(dealt.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    pieces = texts.join(dealt, "row").repartition("family", "one", "two")
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = {}
-        for key, members in zip(frame["key"], shingle_sets(list(frame["text"]), shingle), strict=True):
+        sets, asking = {}, set()
+        for key, members, asks in zip(frame["key"], shingle_sets(list(frame["text"]), shingle), frame["asks"], strict=True):
             if bytes(key) == _key(members):
                 sets[bytes(key)] = members
+                if asks:
+                    asking.add(bytes(key))
         keys = list(sets)
-        return pd.DataFrame([(keys[a], keys[b]) for a, b in link_stars(list(sets.values()), percent)], columns=["a", "b"])
-
-    return texts.groupBy("family", "one", "two").applyInPandas(join, "a binary, b binary").distinct()
-
-
-def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, n, class): class names the component of the row's set; null for empty sets."""
+        return pd.DataFrame([(keys[a], keys[b]) for a, b in link_stars(list(sets.values()), percent, {i for i, k in enumerate(keys) if k in asking})], columns=["a", "b"])
+
+    return pieces.groupBy("family", "one", "two").applyInPandas(join, "a binary, b binary")
+
+
+def _components_of_links(members: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(key, label): components of linked sets, from families (family, row, key, n)."""
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_MEMBERS)).cast("int")
+    sizes = materialise(members.groupBy("family").agg(F.count("*").alias("key_rows"), blocks.alias("blocks")).where("key_rows > 1"), "families")
+    dealt = materialise(join_hot(members, sizes, "family").where("blocks is not null").withColumn("one", F.pmod(F.hash("key"), "blocks")), "blocks")
+    columns = ["row", "key", "family", "one", F.lit(0).alias("two"), F.lit(True).alias("asks")]
+    large = dealt.where("blocks > 1")
+    chosen = large.groupBy("family", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).alias("nth")).agg(F.min(F.struct(F.xxhash64("row"), "row", "key", "blocks")).alias("p"))
+    pivots = chosen.select("p.row", "p.key", "family", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)).alias("one"), F.lit(0).alias("two"), F.lit(True).alias("asks"))
+    links = materialise(_join_blocks(dealt.select(columns).unionByName(pivots), rows, shingle, percent).distinct(), "links")
+    found = connected_components(links).select(F.col("node").alias("key"), "label")
+    if not large.limit(1).count():
+        return found
+    # sets outside of their family's largest component are joined with every block
+    found = materialise(found, "block_components")
+    placed = large.join(found, "key", "left").select("key", "row", "family", "blocks", "one", F.coalesce("label", "key").alias("label"))
+    counted = placed.groupBy("family", "label").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
+    top = counted.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("key_rows"))
+    others = materialise(join_hot(placed, top, "family").where("label <> top"), "others")
+    probes = others.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("probes"), F.sum(F.lit(1)).alias("n_others"))
+    asked = join_hot(others, probes.withColumnRenamed("n_others", "key_rows"), "family").withColumn("two", F.pmod(F.xxhash64("key"), "probes").cast("int"))
+    asked = asked.select("row", "key", "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), "two", F.lit(True).alias("asks"))
+    told = join_hot(large.select("row", "key", "family", "one"), probes.join(sizes.select("family", "key_rows"), "family").drop("n_others"), "family").where("probes is not null")
+    told = told.select("row", "key", "family", "one", F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("two"), F.lit(False).alias("asks"))
+    more = _join_blocks(asked.unionByName(told), rows, shingle, percent)
+    return connected_components(links.unionByName(more)).select(F.col("node").alias("key"), "label")
+
+
+def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Each row as (doc_id, row, n, key), and each key with its rows' number and the least (absent, doc_id, row) of its component."""
     rows = _rows(docs, id_col, text_col)
     table = materialise(_set_table(rows, shingle, percent), "sets")
+    least = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
+    classes = table.where("key is not null").groupBy("key").agg(F.min(least).alias("least"), F.count("*").alias("key_rows"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
+    classes = materialise(classes, "set_classes")
     families = connected_components(_relations(rows, shingle, percent)).withColumnRenamed("label", "family")
-    classes = table.where("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.first("nodes").alias("nodes"))
-    members = classes.select("key", "row", F.explode("nodes").alias("node")).join(families, "node").select("family", "row", "key")
-    found = connected_components(_links(materialise(members, "families"), rows, shingle, percent)).select(F.col("node").alias("key"), "label")
-    return table.join(found, "key", "left").select("doc_id", "row", "n", F.coalesce("label", "key").alias("class"))
+    members = classes.select("key", "row", "n", F.explode("nodes").alias("node")).join(families, "node").select("family", "row", "key", "n")
+    found = materialise(_components_of_links(materialise(members, "family_members"), rows, shingle, percent), "set_components")
+    first = found.join(classes.select("key", "least"), "key").groupBy("label").agg(F.min("least").alias("first"), F.count("*").alias("key_rows"))
+    told = join_hot(found, first, "label").select("key", "first")
+    return table.drop("nodes"), materialise(classes.join(told, "key", "left").select("key", F.coalesce("first", "least").alias("first"), "key_rows"), "class_components")
 
 
 def similar_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the least id that links reach from each document."""
-    rows = materialise(_components(docs, shingle, percent, id_col, text_col), "components")
-    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    table, classes = _components(docs, shingle, percent, id_col, text_col)
+    return join_hot(table, classes, "key").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,14 +340,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id
 
     Rows that repeat one another in id and text count as one document.
     """
-    rows = materialise(_components(docs, shingle, percent, id_col, text_col), "components")
-    chosen = rows.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("kept")).select("kept.doc_id", "kept.row")
-    empty = rows.where("class is null").select("doc_id", "row")
-    kept = chosen.unionByName(empty).distinct().select(F.col("row").alias("kept_row"), F.col("doc_id").alias("kept_id"))
-    held = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row_hash"))
-    joined = held.join(kept, (F.col("row_hash") == F.col("kept_row")) & F.col("doc")[id_col].cast("long").eqNullSafe(F.col("kept_id")))
-    one = F.row_number().over(Window.partitionBy("row_hash", "kept_id").orderBy(F.lit(1)))
-    return joined.withColumn("nth", one).where("nth = 1").select("doc.*")
+    table, classes = _components(docs, shingle, percent, id_col, text_col)
+    chosen = classes.select("first.doc_id", "first.row").unionByName(table.where("key is null").select("doc_id", "row")).distinct()
+    kept = chosen.select(F.col("row").alias("kept_row"), F.col("doc_id").alias("kept_id"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row_hash"), F.col(id_col).cast("long").alias("own_id"))
+    if table.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():
+        held = held.groupBy("row_hash", "own_id").agg(F.first("doc").alias("doc"))
+    joined = held.join(kept, (F.col("row_hash") == F.col("kept_row")) & F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return joined.select("doc.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.llm import ngram_join, spotsigs, substring_dedup
+from quillframe.llm import common, ngram_join, spotsigs, substring_dedup
 from quillframe.llm.graph import connected_components
 from tests.llm.samples import SCHEMA, corpus, words
 
@@ -52,7 +52,7 @@ def test_ngram_join(docs, size, percent):
 
 
 def test_ngram_join_blocks_of_one_family(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_LEAST", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
     base = [f"w{k}" for k in range(60)]
     rows = [(i, " ".join(["x", *base[: 60 - i % 5], *[f"v{i % 7}"] * (i % 3)])) for i in range(50)]
     rows += [(100 + i, " ".join([*base[:40], *[f"z{i}_{k}" for k in range(20)]])) for i in range(20)]
@@ -61,6 +61,27 @@ def test_ngram_join_blocks_of_one_family(spark, monkeypatch):
     assert found == {r[0]: rows[roots.index(root)][0] for r, root in zip(rows, roots, strict=True)}
 
 
+def test_ngram_join_of_many_repeats(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 10)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    copy = " ".join(f"c{k}" for k in range(30))
+    rows = [(None, copy, "x")] * 300 + [(i, copy, "y") for i in range(5, 200)] + [(None, None, None)] * 40 + [(1000 + i, f"{copy} extra{i}", "z") for i in range(40)] + [(5, copy, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(5)
+    found = ngram_join.similar_components(docs).collect()
+    assert len(found) == len(rows) and {(r.component_id, r.n_shingles) for r in found if r.n_shingles} == {(5, 26), (5, 27)}
+    kept = sorted(map(tuple, ngram_join.keep_one(docs).collect()), key=str)
+    assert [k[:2] for k in kept] == [(5, copy), (None, None)] and kept[0][2] in ("y", "other")
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 0)
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(None, 7), (2, 8), (3, 9)], "k long, v long")
+    monkeypatch.setattr(common, "HOT", 10)
+    small = spark.createDataFrame([(1, "a", 50), (2, None, 1), (9, "z", 0)], "k long, name string, key_rows long")
+    found = collections.Counter(map(tuple, common.join_hot(rows, small, "k").collect()))
+    assert found == collections.Counter([(1, i, "a") for i in range(50)] + [(None, 7, None), (2, 8, None), (3, 9, None)])
+
+
 def test_signatures_meet_every_link():
     rng = np.random.default_rng(3)
     sets = []
@@ -86,7 +107,7 @@ def test_signatures_meet_every_link():
 
 
 def test_components_of_long_chains(spark):
-    edges = [(i, i + 1) for i in range(70)] + [(200, 201), (201, 199)]
+    edges = [(i, i + 1) for i in range(70)] + [(200, 201), (201, 199), (3, 3)]
     found = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(71)} | {199: 199, 200: 199, 201: 199}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
