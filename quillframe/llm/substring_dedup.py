@@ -13,7 +13,11 @@ and are sent once.
    shows to start in a smaller document is covered; the first occurrences meet over the cluster.
 3. The covered windows of each document are gathered and its words filtered.
 
-A run that occurs in very many documents sends one row a batch, not one a document.
+A run that occurs in very many documents sends one row a task, not one a document: a task remembers runs that it has
+seen in several documents.
+
+Windows meet by 96 bits, two hashes of their words: among 10**13 windows a chance match is expected less than once in
+a thousand corpora. Rows are told apart by their id and a 64-bit hash of their text.
 
 Defined results: a null or empty text has no words; a null id counts as greater than all ids; rows with
 the same id never remove each other's words; an empty table gives an empty result; other columns are
@@ -29,16 +33,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillframe.llm.common import text_groups
+from quillframe.llm.common import materialise, text_groups
 from quillframe.llm.words import Words, mix, windows
 
 WINDOW = 50
 GRAM = 10
 BLOOM_BITS = 1 << 30
+#: Repeated windows that a task remembers, and bytes of text that it compares at once.
+REMEMBERED, GROUP = 1 << 18, 1 << 20
 _LAST = (1 << 63) - 1
-_PLACE_BITS = 40
+_OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
 def _slide(values: np.ndarray, width: int) -> np.ndarray:
@@ -78,14 +83,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _tag(text_col: str) -> Column:
-    return F.xxhash64(text_col).bitwiseAND(F.lit((1 << (63 - _PLACE_BITS)) - 1))
+    return F.xxhash64(F.col(text_col))
 
 
 def _hit_keys(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for start, texts in text_groups(batch):
+            for start, texts in text_groups(batch, limit=GROUP):
                 b = _Batch(texts, window)
                 doc_at = b.words.doc_of_word()
                 docs = ids[start : start + len(texts)][doc_at]
@@ -134,12 +139,13 @@ def _in_bloom(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def covered_windows(rows: DataFrame, window: int = WINDOW, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """(doc, tag, starts, counts): per row of documents, runs of windows that also start in a document with a smaller id."""
-    bloom = rows.sparkSession.sparkContext.broadcast(_bloom(_hit_keys(rows, window), bloom_bits))
+    bloom = rows.sparkSession.sparkContext.broadcast(_bloom(materialise(_hit_keys(rows, window), "hit_keys"), bloom_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, seen_in = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for start, texts in text_groups(batch):
+            for start, texts in text_groups(batch, limit=GROUP):
                 b = _Batch(texts, window)
                 hit = b.whole.copy()
                 hit[hit] = _in_bloom(bloom.value, b.keys[hit])
@@ -148,26 +154,40 @@ def covered_windows(rows: DataFrame, window: int = WINDOW, bloom_bits: int = BLO
                 reach = np.minimum(np.arange(n) + window - b.block + 1, n)
                 at = np.flatnonzero(b.words.inside(window) & (sums[reach] > sums[:n]))
                 doc_at = b.words.doc_of_word()[at]
-                docs, hashes = ids[start : start + len(texts)][doc_at], windows(b.words.hashes, window)[at]
-                place = (tags[start : start + len(texts)][doc_at] << _PLACE_BITS) | (at - b.words.first[doc_at])
+                docs, tag, hashes = ids[start : start + len(texts)][doc_at], tags[start : start + len(texts)][doc_at], windows(b.words.hashes, window)[at]
+                check = windows(mix(b.words.hashes ^ _OTHER), window)[at].astype(np.uint32).view(np.int32)
+                place = (at - b.words.first[doc_at]).astype(np.int32)
                 order, first = _group(hashes, docs)
-                least = np.repeat(docs[order][first], np.diff(np.concatenate([first, [len(order)]])))
+                ends = np.concatenate([first[1:], [len(order)]]).astype(np.int64)
+                least = docs[order][first]
                 later = np.zeros(len(at), bool)
-                later[order] = docs[order] > least
-                # windows covered within the batch, as runs
+                later[order] = docs[order] > np.repeat(least, ends - first)
+                several = docs[order][ends - 1] > least if len(order) else np.zeros(0, bool)
+                if len(seen):
+                    near = np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)
+                    known = seen[near] == hashes
+                    later |= known & (docs > seen_in[near])
+                    several &= ~known[order][first]
+                if several.any() and len(seen) < REMEMBERED:
+                    seen, seen_in = np.concatenate([seen, hashes[order][first][several]]), np.concatenate([seen_in, least[several]])
+                    by_hash = np.argsort(seen)
+                    seen, seen_in = seen[by_hash], seen_in[by_hash]
+                # windows covered as far as this task knows, as runs
                 known = np.flatnonzero(later)
-                cut = np.flatnonzero(np.concatenate([[True], (place[known][1:] != place[known][:-1] + 1) | (docs[known][1:] != docs[known][:-1])])) if len(known) else known
+                cut = np.flatnonzero(np.concatenate([[True], (place[known][1:] != place[known][:-1] + 1) | (doc_at[known][1:] != doc_at[known][:-1])])) if len(known) else known
                 sizes = np.diff(np.concatenate([cut, [len(known)]]))
                 heads = known[cut]
                 rest = np.flatnonzero(~later)
-                columns = [np.concatenate([mix(hashes[heads] ^ place[heads].astype(np.uint64) ^ docs[heads].astype(np.uint64)), hashes[rest]]).view(np.int64), np.concatenate([docs[heads], docs[rest]]), np.concatenate([place[heads], place[rest]]), np.concatenate([sizes, np.zeros(len(rest), np.int64)]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "doc", "place", "known"])
+                spread = mix(hashes[heads] ^ place[heads].astype(np.uint64) ^ docs[heads].astype(np.uint64))
+                both = lambda x: np.concatenate([x[heads], x[rest]])  # noqa: B023, E731
+                columns = [np.concatenate([spread, hashes[rest]]).view(np.int64), both(check), both(docs), both(tag), both(place), np.concatenate([sizes, np.zeros(len(rest), np.int64)]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "check", "doc", "tag", "place", "known"])
 
-    found = rows.select("doc", "tag", "text").mapInArrow(run, "hash long, doc long, place long, known int")
-    least = F.min(F.when(F.col("known") == 0, F.col("doc"))).over(Window.partitionBy("hash"))
+    found = rows.select("doc", "tag", "text").mapInArrow(run, "hash long, check int, doc long, tag long, place int, known int")
+    least = F.min(F.when(F.col("known") == 0, F.col("doc"))).over(Window.partitionBy("hash", "check"))
     covered = found.withColumn("least", least).where("known > 0 or least < doc")
-    place = F.col("place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
-    return covered.groupBy("doc", F.shiftright("place", _PLACE_BITS).alias("tag")).agg(F.collect_list(F.struct(place.alias("start"), F.greatest("known", F.lit(1)).alias("count"))).alias("runs"))
+    # rows that repeat one another in id and text give the same runs
+    return covered.groupBy("doc", "tag").agg(F.collect_set(F.struct(F.col("place").alias("start"), F.greatest("known", F.lit(1)).alias("count"))).alias("runs"))
 
 
 def _kept(text: str | None, runs: list[dict] | None, window: int) -> tuple[int, int, str]:
@@ -184,7 +204,7 @@ def _kept(text: str | None, runs: list[dict] | None, window: int) -> tuple[int,
 
 
 def _with_runs(docs: DataFrame, covered: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), _tag(text_col).alias("tag"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), _tag(text_col).alias("tag"))
     return keyed.join(covered, ["doc", "tag"], "left").select("row", "runs")
 
 
@@ -205,14 +225,12 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """The documents with all their columns; texts that lose words keep the others, joined by one space."""
     joined = _with_runs(docs, covered_windows(_rows(docs, id_col, text_col), window), id_col, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_kept(t, r, window)[2] if r else t for t, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.string())], names=["row", "text"])
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        return pa.array([_kept(t, r, window)[2] if r else t for t, r in zip(texts.to_pylist(), runs.to_pylist(), strict=True)], pa.string())
 
-    schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])
-    kept = joined.select(F.col("row")[text_col].alias("text"), "runs", "row").mapInArrow(run, schema)
-    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    found = joined.select("row", kept(F.col("row")[text_col], F.col("runs")).alias("text"))
+    return found.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

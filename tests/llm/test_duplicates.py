@@ -147,6 +147,23 @@ def test_substring_dedup_with_a_full_filter(docs):
     assert places(full) == places(usual)
 
 
+def test_substring_dedup_of_many_null_ids(spark):
+    shared = " ".join(f"s{k}" for k in range(60))
+    rows = [(None, f"own{i} {shared} end{i}" if i % 4 == 0 else " ".join(f"w{i}x{k}" for k in range(i % 90))) for i in range(20_000)] + [(None, shared)] * 50 + [(3, shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept if r.n_removed else "") for r in substring_dedup.removed_words(docs).collect())
+    expected = collections.Counter((d, len(words(t)), 60 if d is None and "s59" in t else 0, t.replace(shared, "").replace("  ", " ") if d is None and "s59" in t else "") for d, t in rows)
+    assert found == expected
+
+
+def test_substring_dedup_keeps_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(55))
+    docs = spark.createDataFrame([(1, text, "a", "b"), (2, f"x {text}", "c", "d")], "doc_id long, text string, runs string, tag string")
+    kept = substring_dedup.drop_repeats(docs)
+    assert kept.schema == docs.schema and sorted(map(tuple, kept.collect())) == [(1, text, "a", "b"), (2, "x", "c", "d")]
+    assert substring_dedup.drop_repeats(docs.limit(0)).count() == 0
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert ngram_join.similar_components(none).count() == 0 and substring_dedup.removed_words(none).count() == 0
