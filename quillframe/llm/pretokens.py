@@ -3,7 +3,8 @@
 A text is cut before each single space and newline, where byte-level pre-tokenisation always has a
 boundary, so the pieces' ids, laid end to end, are the text's ids. Pieces whose white space could join
 across a cut, special strings, and letters outside the Latin blocks (where Unicode versions differ) go
-to the library whole. A worker keeps what it has encoded in bounded caches.
+to the library whole, as do texts with a NUL, which marks a text's first piece here. The look-up has two
+tiers in one hash table: the frequent pre-tokens, which stay, and what the worker has encoded, up to a bound.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import regex
 #: Fixed value: the pattern of byte-level pre-tokenisation.
 PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Entries of a worker's caches.
-PRETOKENS_KEPT = 250_000
+PRETOKENS_KEPT = 120_000
 PIECES_KEPT = 700_000
 
 
@@ -52,16 +53,17 @@ def vocabulary_pretokens(tokenizer_json: str) -> dict[str, int]:
 
 
 class _Memo(dict):
-    """A bounded cache: ``make`` computes what is missing; a full cache starts anew."""
+    """A bounded cache: ``make`` computes what is missing; a full cache starts anew from the entries it was given."""
 
-    def __init__(self, make: Callable, most: int):
-        super().__init__()
-        self.make, self.most = make, most
+    def __init__(self, make: Callable, most: int, given: dict | None = None):
+        super().__init__(given or {})
+        self.make, self.most, self.given = make, most + len(self), dict(self)
 
     def __missing__(self, key: str):
         value = self.make(key)
         if len(self) >= self.most:
             self.clear()
+            self.update(self.given)
         self[key] = value
         return value
 
@@ -80,8 +82,10 @@ class Library:
         self.joins = re.compile("|".join([r"\s\s", r"\s\Z", "\0", *(re.escape(t["content"]) for t in made.get("added_tokens", []))]))
         self.table = {p: int(n).to_bytes(4, "little") for p, n in table.items()}
         self.pretokens = _Memo(self._pretoken, PRETOKENS_KEPT)
-        self.ids = _Memo(self._piece, PIECES_KEPT)
-        self.counts = _Memo(self._count, PIECES_KEPT)
+        # the first tier, as pieces after a space
+        first = {p[1:]: n for p, n in self.table.items() if p[0] == " " and len(p) > 1 and not any(map(str.isspace, p[1:]))}
+        self.ids = _Memo(self._piece, PIECES_KEPT, first)
+        self.counts = _Memo(self._count, PIECES_KEPT, {p: len(n) // 4 for p, n in first.items()})
 
     def whole(self, text: str) -> bytes:
         """Ids of a whole text, by the library alone, as little-endian 32-bit integers."""
@@ -111,14 +115,14 @@ class Library:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
-        if self.by_piece:
+        if self.by_piece and "\0" not in text:
             with contextlib.suppress(TypeError):  # a None among the pieces
                 return b"".join(map(self.ids.__getitem__, pieces(text)))
         return self.whole(text)
 
     def count(self, text: str) -> int:
         """Number of ids of a text."""
-        if self.by_piece:
+        if self.by_piece and "\0" not in text:
             with contextlib.suppress(TypeError):
                 return sum(map(self.counts.__getitem__, pieces(text)))
         return len(self.whole(text)) // 4

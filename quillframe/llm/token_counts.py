@@ -1,7 +1,8 @@
 """Token counts: map-side two-tier lookup.
 
-Tier one is a broadcast table of frequent pre-tokens, bounded by the tokenizer's vocabulary; tier two
-encodes the others through each worker's bounded cache. No pre-token leaves its task, so there is no
+Tier one is a broadcast table of frequent pre-tokens, bounded by the tokenizer's vocabulary, whose merges
+rank frequency; it is asked first and always kept. Tier two encodes the others through each worker's bounded
+cache. No pre-token leaves its task, so there is no
 shuffle at all, and a key that holds a third of the rows changes nothing.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; null ids, repeated rows and ties are
