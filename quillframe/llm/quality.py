@@ -33,8 +33,6 @@ FEATURES = {
 }
 MIN_WORDS = 50
 MAX_LABELLED = 20_000
-#: Bytes of text whose arrays are held at once in a task.
-GROUP = 1 << 19
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -212,7 +210,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_groups(batch, limit=GROUP):
+            for start, texts in text_groups(batch):
                 base, features = text_stats(texts)
                 vectors = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * features.shape[1], features.ravel())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *(pa.array(v, pa.int64()) for v in base.values()), vectors], names=["doc_id", *base, "features"])
@@ -224,7 +222,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED
     """Trees fitted to ``labels`` (doc_id, quality 0/1); at most ``max_rows`` labelled documents reach the driver."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # of several rows with one id, the one with the least text hash is learnt from
+    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     rows = document_stats(texts).join(F.broadcast(chosen), "doc_id").select("features", "quality", "n_words", "n_repeat_words").orderBy("doc_id").collect()
     if not rows:
         return grow_trees(np.zeros((0, len(FEATURES))), np.zeros(0), list(FEATURES.values()))
@@ -238,7 +237,7 @@ def assess_quality(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_groups(batch, limit=GROUP):
+            for start, texts in text_groups(batch):
                 base, features = text_stats(texts)
                 failed, margin = base_failed(base), trees.margin(features)
                 columns = {"doc_id": batch.column(0).slice(start, len(texts)), **base, "base_failed": failed, "kept": ~failed & (margin >= trees.threshold), "margin": margin}
@@ -248,17 +247,17 @@ def assess_quality(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_c
 
 
 def keep_quality(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns."""
+    """The documents that pass, with all their columns. Only the text goes to Python, and only the verdict comes back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for _, texts in text_groups(batch, text_col, GROUP):
-                base, features = text_stats(texts)
-                kept.append(~base_failed(base) & trees.good(features))
-            yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        found = []
+        for _, group in text_groups(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            base, features = text_stats(group)
+            found.append(~base_failed(base) & trees.good(features))
+        return pa.array(np.concatenate(found) if found else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col(text_col)))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, quality, token_counts, token_store
+from quillframe.llm import byte_bpe, pretokens, quality, token_counts, token_store
 from quillframe.llm.common import scratch_folder
 from tests.llm.samples import SCHEMA, corpus, words
 
@@ -70,6 +71,10 @@ def test_quality_fit_keeps_good_and_all_columns(spark):
     kept = quality.keep_quality(docs, quality.fit_quality(docs, labels))
     assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == list(range(60))
     assert quality.fit_quality(docs, labels.limit(0)).roots.size == 0
+    assert quality.keep_quality(docs.limit(0), quality.fit_quality(docs, labels)).count() == 0
+    twice = docs.unionByName(docs.where("doc_id < 30").withColumn("text", F.concat("text", F.lit(" ***"))))
+    one, other = (quality.fit_quality(d, labels) for d in (twice.repartition(3), twice.orderBy("text").coalesce(1)))
+    assert all(np.array_equal(getattr(one, k), getattr(other, k)) for k in ("feature", "cut", "value"))
     assert quality.assess_quality(docs.limit(0), quality.fit_quality(docs, labels)).count() == 0
 
 
@@ -83,6 +88,23 @@ def test_token_counts(docs, tokenizer):
     assert token_counts.count_tokens(clash.limit(0), JSON).count() == 0 and token_counts.count_tokens(clash, JSON).count() == docs.count()
 
 
+def test_pieces_are_what_the_library_gives(tokenizer):
+    rng = random.Random(6)
+    bag = ["the", "and", "Quick", "naïve", "日本", " ", "  ", "\n", "\n\n", "\t", "\0", ".", ",", "!", "'s", "it's", "<|endoftext|>", "123", "\x1c", "\u00a0", "a\0b", "\r", "#$%"]
+    library = pretokens.Library(*pretokens.load(JSON))
+    for text in ["x \0nul y", " \0", "\0", "a \0", *("".join(rng.choice(bag) + rng.choice(["", " "]) for _ in range(rng.randrange(12))) for _ in range(8000))]:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(library.encode(text), np.uint32).tolist() == ids and library.count(text) == len(ids), repr(text)
+
+
+def test_full_caches_keep_the_first_tier(monkeypatch, tokenizer):
+    monkeypatch.setattr(pretokens, "PIECES_KEPT", 3)
+    library = pretokens.Library(*pretokens.load(JSON))
+    text = " ".join(f"word{k} the of" for k in range(50))
+    assert library.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    assert "the" in library.counts and len(library.counts) <= len(library.counts.given) + 3
+
+
 def test_token_store(spark, docs, tokenizer):
     path = scratch_folder(spark, "store")
     token_store.write_tokens(docs, path, JSON)
