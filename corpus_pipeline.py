@@ -6,7 +6,14 @@
 4. mixing: each source gives its target, documents being repeated or left out by hash threshold;
 5. byte-level BPE: every document of the mix is encoded and decoded, and both are digested.
 
-Stages 1 to 4 return the columns of ``documents``; a text that loses words in stage 3 stays, even empty.
+Stages 1 to 4 return the columns of ``documents``, and any more that the input has; a text that loses words in stage 3
+stays, even empty.
+
+Defined results: a null or empty text fails the base rules of stage 1, and is kept by all other stages; null ids are
+kept, and count as the last in stages 2 and 3; rows that repeat one another in id and text count as one in stage 2; ties are
+decided by a hash of the text; an empty table stays empty through all stages. ``n_chars`` is set anew in stage 3 where the
+input has it. The stages bound the Arrow batches of the session they are given, and leave the bound set: it must still hold
+when their result is read.
 """
 
 from __future__ import annotations
@@ -39,7 +46,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-word runs that documents with smaller ids have, and their lengths thereafter."""
     bound_batches(spark)
-    return substring_dedup.drop_repeats(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+    kept = substring_dedup.drop_repeats(docs)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else kept
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
