@@ -18,7 +18,7 @@ GROUP = 1 << 19
 #: Keys with more than one in so many rows are joined by broadcast, since one task would get all rows of a key. There are fewer such keys than this.
 HOT = 1000
 #: Rows that one task may join at any rate.
-FEW = 20_000
+FEW = 100_000
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -45,11 +45,23 @@ def bound_batches(spark: SparkSession, most: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+#: Spark's setting that removes the shuffle files of a query as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the scratch store and read it back: recomputation stops there when an executor is lost."""
-    path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to the scratch store and read it back: recomputation stops there when an executor is lost.
+
+    The shuffle files that led to it go at once; Spark would keep them until the driver collects its garbage.
+    """
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int | None = None) -> DataFrame:

@@ -341,13 +341,16 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id
     Rows that repeat one another in id and text count as one document.
     """
     table, classes = _components(docs, shingle, percent, id_col, text_col)
-    chosen = classes.select("first.doc_id", "first.row").unionByName(table.where("key is null").select("doc_id", "row")).distinct()
-    kept = chosen.select(F.col("row").alias("kept_row"), F.col("doc_id").alias("kept_id"))
+    chosen = classes.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"))
+    gone = table.where("key is not null").join(chosen, (F.col("row") == F.col("kept_row")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_anti")
+    gone = materialise(gone.select(F.col("row").alias("gone_row"), F.col("doc_id").alias("gone_id")).distinct(), "dropped")
+    if gone.count() <= SMALL:
+        gone = F.broadcast(gone)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row_hash"), F.col(id_col).cast("long").alias("own_id"))
+    held = held.join(gone, (F.col("row_hash") == F.col("gone_row")) & F.col("own_id").eqNullSafe(F.col("gone_id")), "left_anti")
     if table.groupBy("doc_id", "row").count().where("count > 1").limit(1).count():
         held = held.groupBy("row_hash", "own_id").agg(F.first("doc").alias("doc"))
-    joined = held.join(kept, (F.col("row_hash") == F.col("kept_row")) & F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return joined.select("doc.*")
+    return held.select("doc.*")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
