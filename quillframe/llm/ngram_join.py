@@ -11,7 +11,9 @@ at least ``PERCENT`` hundredths of their union.
 2. Within a family, the sets of a block are joined exactly. Index lists hold sets by position in order of
    size, and a set skips to the positions whose sizes allow a link. A set that differs little from the
    set before it derives its answers from that set's: only the lists of members that differ are read.
-   A family above a block is cut by hash into blocks, each joined together with the family's pivots. Sets that are in
+   Families above a block are dealt anew: with members in order of their count, rarest first, linked sets share a member
+   among the first ones of each, one more than a set of that size may lack. Passages that many sets share come last there. A
+   family still above a block is cut by hash into blocks, each joined together with the family's pivots. Sets that are in
    the family's largest component by then have nothing to learn from each other; only the others are joined
    with every block, in probe blocks of their own. So a group of copies of one text costs one pass over its blocks.
 3. Links become components; of each component only a spanning star leaves a task.
@@ -48,7 +50,7 @@ SHINGLE, PERCENT = 5, 80
 #: Growth of the size classes' upper ends.
 CLASS_RATIO = 1.35
 #: Sets, and members of sets, in a block; pivots of a family that has several blocks.
-BLOCK, BLOCK_MEMBERS = 1024, 1 << 20
+BLOCK, BLOCK_MEMBERS = 2048, 1 << 20
 PIVOTS = 4
 #: Rows up to which a table of family members is broadcast (some 20 MB, as rows have a fixed width); above, it is joined by shuffle.
 SMALL = 300_000
@@ -264,14 +266,41 @@ def link_stars(sets: list[np.ndarray], percent: int, asking: set[int] | None = N
     return [(order[k], order[union.find(k)]) for k in range(len(order)) if union.find(k) != k]
 
 
+def _texts_of(dealt: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, text) of the rows that are dealt; rows that repeat one another in id and text are one row here."""
+    return rows.select("row", "text").join(dealt.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+
+
+def _rare_relations(sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b): keys of sets (row, key, n) that share a member among their rarest, as stars."""
+    small = F.broadcast(sets) if sets.count() <= SMALL else sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in text_groups(batch):
+                found = shingle_sets(texts, shingle)
+                keys = [k.as_py() if _key(s) == k.as_py() else None for s, k in zip(found, batch.column(1).slice(start, len(texts)), strict=True)]
+                owner = np.repeat(np.arange(len(found)), [len(s) if k is not None else 0 for s, k in zip(found, keys, strict=True)])
+                members = np.concatenate([s for s, k in zip(found, keys, strict=True) if k is not None] or [np.zeros(0, np.uint64)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(owner)), pa.array(members.view(np.int64))], names=["key", "member"])
+
+    members = materialise(_texts_of(small, rows).join(small, "row").select("text", "key").mapInArrow(run, "key binary, member long"), "members")
+    shared = materialise(members.groupBy("member").agg(F.count("*").alias("key_rows")).where("key_rows > 1"), "shared_members")
+    held = join_hot(members, shared.withColumn("held", F.col("key_rows")), "member").where("held is not null")
+    # members of one set only come before the shared ones, and relate nothing
+    reach = F.col("n") + F.floor(-F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("order"))
+    order = held.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("held", "member"))).alias("order")).join(sets.select("key", "n"), "key").where(reach > 0)
+    first = materialise(order.select("key", F.explode(F.slice("order", 1, reach.cast("int"))["member"]).alias("member")), "rare_members")
+    least = first.groupBy("member").agg(F.min("key").alias("least"), F.count("*").alias("key_rows")).where("key_rows > 1")
+    return join_hot(first, least, "member").where("least is not null and least <> key").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+
+
 def _join_blocks(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): keys of linked sets, as stars, within each block of (row, key, family, one, two, asks)."""
     dealt = materialise(dealt, "family_blocks")
     if dealt.count() <= SMALL:
         dealt = F.broadcast(dealt)
-    # rows that repeat one another in id and text are one row here
-    texts = rows.select("row", "text").join(dealt.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
-    pieces = texts.join(dealt, "row").repartition("family", "one", "two")
+    pieces = _texts_of(dealt, rows).join(dealt, "row").repartition("family", "one", "two")
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         sets, asking = {}, set()
@@ -286,11 +315,23 @@ def _join_blocks(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int)
     return pieces.groupBy("family", "one", "two").applyInPandas(join, "a binary, b binary")
 
 
-def _components_of_links(members: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(key, label): components of linked sets, from families (family, row, key, n)."""
+def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Families of several sets with their number of sets and of blocks, and their members beside the number of blocks."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_MEMBERS)).cast("int")
     sizes = materialise(members.groupBy("family").agg(F.count("*").alias("key_rows"), blocks.alias("blocks")).where("key_rows > 1"), "families")
-    dealt = materialise(join_hot(members, sizes, "family").where("blocks is not null").withColumn("one", F.pmod(F.hash("key"), "blocks")), "blocks")
+    return sizes, join_hot(members, sizes, "family").where("blocks is not null")
+
+
+def _components_of_links(members: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(key, label): components of linked sets, from families (family, row, key, n)."""
+    sizes, told = _sized(members)
+    whole = told.where("blocks = 1").drop("blocks")
+    wide = materialise(told.where("blocks > 1").groupBy("key").agg(F.first("row").alias("row"), F.first("n").alias("n")), "wide_families")
+    if wide.limit(1).count():
+        finer = connected_components(_rare_relations(wide, rows, shingle, percent)).select(F.col("node").alias("key"), F.col("label").alias("family"))
+        finer = wide.join(finer, "key").select(F.xxhash64("family", F.lit("finer")).alias("family"), "row", "key", "n")
+        sizes, told = _sized(materialise(whole.unionByName(finer), "finer_families"))
+    dealt = materialise(told.withColumn("one", F.pmod(F.hash("key"), "blocks")), "blocks")
     columns = ["row", "key", "family", "one", F.lit(0).alias("two"), F.lit(True).alias("asks")]
     large = dealt.where("blocks > 1")
     chosen = large.groupBy("family", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).alias("nth")).agg(F.min(F.struct(F.xxhash64("row"), "row", "key", "blocks")).alias("p"))
