@@ -11,7 +11,7 @@ at least ``PERCENT`` hundredths of their union.
 2. Within a family, the sets of a block are joined exactly. Index lists hold sets by position in order of
    size, and a set skips to the positions whose sizes allow a link. A set that differs little from the
    set before it derives its answers from that set's: only the lists of members that differ are read.
-   Families above a block are dealt anew: with members in order of their count, rarest first, linked sets share a member
+   Families of more than ``WIDE`` sets are dealt anew: with members in order of their count, rarest first, linked sets share a member
    among the first ones of each, one more than a set of that size may lack. Passages that many sets share come last there. A
    family still above a block is cut by hash into blocks, each joined together with the family's pivots. Sets that are in
    the family's largest component by then have nothing to learn from each other; only the others are joined
@@ -51,6 +51,8 @@ SHINGLE, PERCENT = 5, 80
 CLASS_RATIO = 1.35
 #: Sets, and members of sets, in a block; pivots of a family that has several blocks.
 BLOCK, BLOCK_MEMBERS = 2048, 1 << 20
+#: Sets from which a family is dealt anew.
+WIDE = 64
 PIVOTS = 4
 #: Rows up to which a table of family members is broadcast (some 20 MB, as rows have a fixed width); above, it is joined by shuffle.
 SMALL = 300_000
@@ -319,14 +321,15 @@ def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Families of several sets with their number of sets and of blocks, and their members beside the number of blocks."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_MEMBERS)).cast("int")
     sizes = materialise(members.groupBy("family").agg(F.count("*").alias("key_rows"), blocks.alias("blocks")).where("key_rows > 1"), "families")
-    return sizes, join_hot(members, sizes, "family").where("blocks is not null")
+    return sizes, join_hot(members, sizes.withColumn("family_sets", F.col("key_rows")), "family").where("blocks is not null")
 
 
 def _components_of_links(members: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(key, label): components of linked sets, from families (family, row, key, n)."""
     sizes, told = _sized(members)
-    whole = told.where("blocks = 1").drop("blocks")
-    wide = materialise(told.where("blocks > 1").groupBy("key").agg(F.first("row").alias("row"), F.first("n").alias("n")), "wide_families")
+    narrow = F.col("family_sets") <= min(WIDE, BLOCK)
+    whole = told.where(narrow).drop("blocks", "family_sets")
+    wide = materialise(told.where(~narrow).groupBy("key").agg(F.first("row").alias("row"), F.first("n").alias("n")), "wide_families")
     if wide.limit(1).count():
         finer = connected_components(_rare_relations(wide, rows, shingle, percent)).select(F.col("node").alias("key"), F.col("label").alias("family"))
         finer = wide.join(finer, "key").select(F.xxhash64("family", F.lit("finer")).alias("family"), "row", "key", "n")
