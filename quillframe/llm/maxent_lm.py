@@ -48,6 +48,8 @@ ROWS, CROWD = 1 << 18, 64
 KINDS = ((0, 1, 2), (0, 1, 2), (0, 2), (0,))
 RATE, START, STEP = 0.3, 1.0, 4096
 PASSES, FAN_IN = 1, 64
+#: Tokens of a training task, at least: each task sends what it changed in the whole table.
+TASK_TOKENS = 1 << 21
 PENDING = 1_500_000
 _CLASSES = BRANCH - OWN
 _END = np.uint64(0xE4D00000E4D1)
@@ -297,6 +299,7 @@ def start_model(counts: DataFrame) -> Model:
 def fit_model(docs: DataFrame, counts: DataFrame, passes: int = PASSES) -> Model:
     """The model of the training texts ``docs`` (text) with the word counts ``counts`` (word, n)."""
     model = start_model(counts)
+    docs = docs.coalesce(max(1, model.n_tokens // TASK_TOKENS))
     for _ in range(passes if model.n_tokens else 0):
         model = gradient_pass(docs, model)
     return model
