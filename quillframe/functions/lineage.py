@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from a checkpoint in the store that every node shares (``spark.checkpoint.dir``).
 
-    Where the session names no such store, as in local tests, a temporary folder takes its place.
+    Where a local session names no such store, as in tests, a temporary folder takes its place. On a cluster that is an
+    error: other machines would not see the folder.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()

@@ -6,11 +6,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillframe.errors import ParseError
+from quillframe.functions.lineage import cut
 from quillframe.functions.names import RESERVED, format_category, format_tag, is_null
 from quillframe.functions.quoting import normalise_newlines, repair_block_starts, unescape_block
 
@@ -28,12 +30,21 @@ class StarTables:
     cells: DataFrame
     errors: DataFrame
 
-    def checked(self) -> StarTables:
-        """The same tables, whose cells raise an error when read if the files have any."""
-        bad = self.errors.select(F.concat(F.col("message"), F.lit(" Error detected on line "), F.col("line_no").cast("string"), F.lit(".")).alias("message"))
-        first = bad.agg(F.min("message")).scalar()
-        cells = self.cells.where(F.when(first.isNull(), True).otherwise(F.raise_error(first).cast("boolean")))
-        return StarTables(self.entries, self.saveframes, self.loops, cells, self.errors)
+    def checked(self, warnings: bool = False) -> StarTables:
+        """The same tables, if no file breaks a rule; else a ``ParseError`` with the first error of the first file.
+
+        With ``warnings``, loops without tags or without data are errors too. One row reaches the driver.
+        """
+        bad = self.errors if not warnings else self.errors.unionByName(self.warnings())
+        found = bad.agg(F.min(F.struct("file", "line_no", "message")).alias("first")).first().first
+        if found is not None:
+            raise ParseError(found.message, found.line_no, found.file)
+        return self
+
+    def warnings(self) -> DataFrame:
+        """(file, line_no, message): what is allowed but odd."""
+        message = F.when(F.size("tags") == 0, "A loop has no tags.").when(F.col("n_rows") == 0, "A loop has no data.")
+        return self.loops.select("file", "line_no", message.alias("message")).where("message is not null")
 
 
 def tokens(texts: DataFrame) -> DataFrame:
@@ -82,7 +93,8 @@ def _classified(found: DataFrame) -> DataFrame:
 
 def parse(texts: DataFrame) -> StarTables:
     """Tables of the files (file, text). Errors are rows of ``errors``; well-formed parts are read all the same."""
-    rows = _classified(tokens(texts))
+    # one pass over the texts: all tables below are read from its result
+    rows = cut(_classified(tokens(texts)))
     loop = Window.partitionBy("file", "loop_no")
     inner = rows.where("in_loop and kind in ('tag', 'value')")
     inner = inner.withColumn("tags", F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "tag", F.struct("pos", "token"))).over(loop)), lambda x: x["token"]))
@@ -99,9 +111,9 @@ def parse(texts: DataFrame) -> StarTables:
     category = frame_cells.where(F.lower("tag") == "sf_category").groupBy("file", "sf_ord").agg(F.first("value").alias("sf_category"))
     prefix = frame_cells.groupBy("file", "sf_ord").agg(F.min_by("category", "col_ord").alias("tag_prefix"))
     frames = rows.where("kind = 'open'").select(*place, "line_no").join(category, ["file", "sf_ord"], "left").join(prefix, ["file", "sf_ord"], "left")
-    heads = inner.where("kind = 'tag'").groupBy(*place, "loop_no", "loop_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tags"))
+    heads = rows.where("in_loop and kind in ('loop', 'tag')").groupBy(*place, "loop_no", "loop_ord").agg(F.min("line_no").alias("line_no"), F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "tag", F.struct("pos", "token")))), lambda x: x["token"]).alias("tags"))
     sizes = values.groupBy("file", "loop_no").agg(F.max(F.floor(F.col("nth") / n) + 1).alias("n_rows"))
-    loops = heads.join(sizes, ["file", "loop_no"], "left").select(*place, "loop_ord", format_category(F.col("tags")[0]).alias("category"), F.transform("tags", format_tag).alias("tags"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+    loops = heads.join(sizes, ["file", "loop_no"], "left").select(*place, "loop_ord", format_category(F.col("tags")[0]).alias("category"), F.transform("tags", format_tag).alias("tags"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "line_no")
     entries = rows.groupBy("file").agg(F.max("entry_id").alias("entry_id"), F.max("sf_ord").alias("n_frames"))
     cells = frame_cells.unionByName(loop_cells).join(category, ["file", "sf_ord"], "left")
     return StarTables(entries, frames, loops, cells, _errors(rows, values))
@@ -139,7 +151,12 @@ def _errors(rows: DataFrame, values: DataFrame) -> DataFrame:
     heads = rows.where("kind = 'tag'").withColumn("at", F.when(F.col("in_loop"), F.col("loop_no")).otherwise(-F.col("sf_ord")))
     twice = heads.groupBy("file", "at", F.lower("token")).agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1").select("file", "line_no", F.lit("A tag occurs twice.").alias("message"))
     mixed = heads.groupBy("file", "at").agg(F.max("line_no").alias("line_no"), F.count_distinct(F.lower(format_category(F.col("token")))).alias("n")).where("n > 1").select("file", "line_no", F.lit("Tags of one saveframe or loop have different categories.").alias("message"))
-    return by_token.unionByName(ragged).unionByName(names).unionByName(twice).unionByName(mixed)
+    opens = rows.where("kind = 'open'").select("file", "sf_ord", "line_no")
+    bare = opens.join(heads.where("not in_loop").select("file", "sf_ord").distinct(), ["file", "sf_ord"], "left_anti").select("file", "line_no", F.lit("A saveframe has no tag that names its category.").alias("message"))
+    of_loop = heads.where("in_loop").groupBy("file", "sf_ord", "loop_no").agg(F.min_by(F.lower(format_category(F.col("token"))), "pos").alias("category"), F.min("line_no").alias("line_no"))
+    again = of_loop.groupBy("file", "sf_ord", "category").agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1").select("file", "line_no", F.lit("Two loops of one saveframe have one category.").alias("message"))
+    cased = heads.groupBy("file", "at").agg(F.max("line_no").alias("line_no"), F.count_distinct(F.lower(format_category(F.col("token")))).alias("k"), F.count_distinct(format_category(F.col("token"))).alias("n")).where("k = 1 and n > 1 and at < 0").select("file", "line_no", F.lit("Tags of one saveframe spell its category differently.").alias("message"))
+    return by_token.unionByName(ragged).unionByName(names).unionByName(twice).unionByName(mixed).unionByName(bare).unionByName(again).unionByName(cased)
 
 
 def read_files(spark: SparkSession, path: str) -> StarTables:
@@ -152,6 +169,29 @@ def from_strings(texts: DataFrame, id_col: str, text_col: str) -> StarTables:
     return parse(texts.select(F.col(id_col).cast("string").alias("file"), F.col(text_col).alias("text")))
 
 
+def one_frame(texts: DataFrame, id_col: str, text_col: str) -> StarTables:
+    """Texts of one saveframe each, as tables; a text of several is an error."""
+    read = parse(texts.select(F.col(id_col).cast("string").alias("file"), wrap_frame(F.col(text_col)).alias("text")))
+    many = read.saveframes.groupBy("file").agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1")
+    return replace(read, errors=read.errors.unionByName(many.select("file", "line_no", F.lit("There is more than one saveframe.").alias("message"))))
+
+
+def one_loop(texts: DataFrame, id_col: str, text_col: str) -> StarTables:
+    """Texts of one loop each, as tables; a text of several is an error. The frame around the loop has a tag of its own."""
+    read = parse(texts.select(F.col(id_col).cast("string").alias("file"), wrap_loop(F.col(text_col)).alias("text")))
+    many = read.loops.groupBy("file").agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1")
+    return replace(read, errors=read.errors.unionByName(many.select("file", "line_no", F.lit("There is more than one loop.").alias("message"))))
+
+
+def empty_tables(spark: SparkSession, entry_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frames, cells, loops) of an entry without saveframes; the schemas are those of ``parse`` without places in files."""
+    place = "entry_id string, sf_ord long, sf_name string"
+    frames = spark.createDataFrame([], f"{place}, sf_category string, tag_prefix string")
+    cells = spark.createDataFrame([], f"{place}, sf_category string, kind string, loop_ord long, category string, row_ord long, col_ord int, tag string, value string")
+    loops = spark.createDataFrame([], f"{place}, loop_ord long, category string, tags array<string>, n_rows long")
+    return frames, cells, loops
+
+
 def wrap_frame(text: Column) -> Column:
     """A single saveframe as a file."""
     return F.concat(F.lit("data_1\n"), text)
@@ -159,7 +199,34 @@ def wrap_frame(text: Column) -> Column:
 
 def wrap_loop(text: Column) -> Column:
     """A single loop as a file."""
-    return F.concat(F.lit("data_1\nsave_1\n"), text, F.lit("\nsave_\n"))
+    return F.concat(F.lit("data_1\nsave_1\n_Wrapped.Loop .\n"), text, F.lit("\nsave_\n"))
+
+
+LOOP_JSON = "struct<category:string,tags:array<string>,data:array<array<string>>>"
+FRAME_JSON = f"struct<name:string,category:string,tag_prefix:string,tags:array<array<string>>,loops:array<{LOOP_JSON}>>"
+
+
+def _with_keys(read: DataFrame, what: str, keys: tuple[str, ...]) -> DataFrame:
+    missing = F.coalesce(*[F.when(F.col(f"e.{k}").isNull(), F.lit(k)) for k in keys])
+    return read.where(F.when(missing.isNull(), True).otherwise(F.raise_error(F.concat(F.lit(f"a {what} needs "), missing)).cast("boolean")))
+
+
+def frames_from_json(texts: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """The cells of single saveframes in JSON, each an entry of its own; missing keys are errors."""
+    read = texts.select(F.col(id_col).cast("string").alias("entry_id"), F.from_json(json_col, FRAME_JSON).alias("e"))
+    whole = _with_keys(read, "saveframe", ("name", "tag_prefix", "tags", "loops"))
+    packed = whole.select(F.to_json(F.struct("entry_id", F.array("e").alias("saveframes")), {"ignoreNullFields": "false"}).alias("value"))
+    return from_json(packed)
+
+
+def loops_from_json(texts: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, category, row_ord, col_ord, tag, value) of single loops in JSON; missing keys are errors."""
+    read = texts.select(F.col(id_col).alias("id"), F.from_json(json_col, LOOP_JSON).alias("e"))
+    rows = _with_keys(read, "loop", ("tags", "category", "data")).select("id", "e.category", "e.tags", F.posexplode("e.data").alias("row_ord", "row"))
+    wrong = F.size("row") != F.size("tags")
+    pairs = F.when(wrong, F.raise_error(F.lit("a row has not as many values as its loop has tags")).cast("array<struct<tags:string,row:string>>")).otherwise(F.arrays_zip("tags", "row"))
+    cells = rows.select("id", "category", F.col("row_ord").cast("long").alias("row_ord"), F.posexplode(pairs).alias("col_ord", "pair"))
+    return cells.select("id", "category", "row_ord", "col_ord", F.col("pair.tags").alias("tag"), F.col("pair.row").alias("value"))
 
 
 #: Shape of an entry in JSON.
