@@ -13,5 +13,8 @@ class ParseError(PySparkException):
         self.line_no, self.file = line_no, file
 
 
-class InvalidStateError(ValueError):
-    """An operation would leave tables that contradict one another."""
+class InvalidStateError(PySparkException):
+    """An operation would leave tables that contradict one another, or names what is not there."""
+
+    def __init__(self, message: str):
+        super().__init__(message=message)

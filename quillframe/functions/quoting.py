@@ -33,8 +33,13 @@ def unescape_block(value: Column) -> Column:
     return F.when(held, F.replace(body, F.lit("\n   "), F.lit("\n"))).otherwise(value)
 
 
-def quote_value(value: Column) -> Column:
-    """A value as it is written: quoted, or a text block (which ends with a newline), or bare. Null is a dot, empty an error."""
+def quote_value(value: Column, nulls: dict[str | None, str] | None = None) -> Column:
+    """A value as it is written: quoted, or a text block (which ends with a newline), or bare. Null is a dot, empty an error.
+
+    ``nulls`` maps values, null among them, to others before they are written.
+    """
+    for old, new in (nulls or {}).items():
+        value = F.when(value.isNull() if old is None else value == old, F.lit(new)).otherwise(value)
     single, double = F.contains(value, F.lit("'")), F.contains(value, F.lit('"'))
     in_single, in_double = F.concat(F.lit("'"), value, F.lit("'")), F.concat(F.lit('"'), value, F.lit('"'))
     needed = value.rlike("^[_\"'#]") | value.rlike(_KEYWORD) | value.rlike(SPACE)

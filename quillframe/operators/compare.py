@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.operators.listing import numbered_lines
+
 
 def compare_rows(one: DataFrame, other: DataFrame) -> DataFrame:
     """Rows that only one side has, as multisets; ``side`` names it."""
@@ -30,10 +32,22 @@ def exactly_equal(one: DataFrame, other: DataFrame) -> DataFrame:
 
 def report(differences: DataFrame, message: str, order: Sequence[str]) -> DataFrame:
     """Numbered lines of a report; one line when there is nothing to say."""
-    lines = differences.select(*order, F.expr(message).alias("line"))
-    found = lines.withColumn("n", F.row_number().over(Window.orderBy(*order)).cast("long")).select("n", "line")
-    none = lines.agg(F.count("*").alias("k")).where("k = 0").select(F.lit(0).cast("long").alias("n"), F.lit("Identical entries.").alias("line"))
-    return found.unionByName(none)
+    return numbered_lines(differences.select(*order, F.expr(message).alias("line")), order, "Identical entries.")
+
+
+def equal_text(texts: DataFrame, text_col: str, other: str) -> DataFrame:
+    """One row: whether every text of a column is exactly a given rendering."""
+    return texts.agg(F.bool_and(F.sha2(F.col(text_col).cast("binary"), 256) == F.sha2(F.lit(other).cast("binary"), 256)).alias("equal"))
+
+
+def entry_messages(one: tuple[DataFrame, DataFrame], other: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Messages on whole entries: ids and numbers of saveframes that differ, then those of ``compare_entries``."""
+    count = lambda side: side[0].agg(F.max("entry_id").alias("entry_id"), F.count("*").alias("n"))
+    a, b = count(one).toDF("id_a", "n_a"), count(other).toDF("id_b", "n_b")
+    both = a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k")  # one row each
+    ids = both.where(~F.col("id_a").eqNullSafe(F.col("id_b"))).select(F.concat_ws(" ", F.lit("entry ids differ:"), "id_a", "id_b").alias("message"))
+    sizes = both.where("n_a <> n_b").select(F.concat_ws(" ", F.lit("numbers of saveframes differ:"), F.col("n_a").cast("string"), F.col("n_b").cast("string")).alias("message"))
+    return ids.unionByName(sizes).unionByName(compare_entries(one, other).select("message"))
 
 
 def compare_entries(one: tuple[DataFrame, DataFrame], other: tuple[DataFrame, DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.values import java_pattern
+from quillframe.operators.table import ROW, Loop
 
 SCHEMA = (
     "tag string, seq double, sf_category string, is_loop boolean, data_type string, star_type string, nullable boolean, public string, default_value string, "
@@ -27,7 +28,7 @@ def from_rows(spark: SparkSession, rows: Sequence[Mapping[str, object]], pattern
 
 def prepared(dictionary: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     """Add what look-ups need: lower-case name, category, short name and the type's pattern."""
-    types = dictionary.sparkSession.createDataFrame([(k, java_pattern(v)) for k, v in patterns.items()] or [("any", java_pattern(".*"))], "star_type string, pattern string")
+    types = dictionary.sparkSession.createDataFrame([(k, java_pattern(v), f"^{v}$") for k, v in (patterns or {"any": ".*"}).items()], "star_type string, pattern string, regex string")
     parts = dictionary.withColumn("tag_lc", F.lower("tag")).withColumn("category", F.substring_index("tag", ".", 1)).withColumn("tag_field", F.substring_index("tag", ".", -1))
     return parts.join(F.broadcast(types), "star_type", "left")
 
@@ -66,6 +67,15 @@ def loop_template(dictionary: DataFrame, category: str, all_tags: bool = False)
     return tags.select("tag", F.row_number().over(Window.orderBy("seq")).cast("long").alias("place"))
 
 
+def loop_from_template(dictionary: DataFrame, category: str, all_tags: bool = False) -> Loop:
+    """A loop without rows that has a category's tags, all text; an error if the dictionary has none."""
+    tags = [r.tag.partition(".")[2] for r in loop_template(dictionary, category, all_tags).orderBy("place").collect()]
+    if not tags:
+        raise ValueError(f"the dictionary has no tags of {category}")
+    rows = dictionary.sparkSession.createDataFrame([], ", ".join([f"{ROW} long", *[f"`{t}` string" for t in tags]]))
+    return Loop(rows, category if category.startswith("_") else f"_{category}", tuple(tags))
+
+
 def frame_template(dictionary: DataFrame, sf_category: str, name: str, entry_id: str, all_tags: bool = False, default_values: bool = False) -> DataFrame:
     """(tag, value, place): a new saveframe's tags, with its category, name, entry id and, on request, defaults."""
     tags = dictionary.where((F.col("sf_category") == sf_category) & ~F.col("is_loop")).where(F.lit(all_tags) | (F.col("public") != "I"))
@@ -76,12 +86,12 @@ def frame_template(dictionary: DataFrame, sf_category: str, name: str, entry_id:
     return tags.select("tag", value.alias("value"), F.row_number().over(Window.orderBy("seq")).cast("long").alias("place"))
 
 
-def entry_template(dictionary: DataFrame, entry_id: str) -> DataFrame:
-    """(sf_category, sf_name, place, tag, value): one saveframe for each category, with its tags."""
+def entry_template(dictionary: DataFrame, entry_id: str, all_tags: bool = False, default_values: bool = False) -> DataFrame:
+    """(sf_category, sf_name, place, tag, value): one saveframe for each category, with its tags and, on request, their defaults."""
     first = dictionary.where(~F.col("is_loop")).groupBy("sf_category").agg(F.min("seq").alias("first"))
     frames = first.select("sf_category", F.concat("sf_category", F.lit("_1")).alias("sf_name"), F.row_number().over(Window.orderBy("first")).cast("long").alias("place"))
-    tags = dictionary.where(~F.col("is_loop") & (F.col("public") != "I")).join(frames, "sf_category")
-    value = F.when(F.lower("tag_field") == "sf_category", F.col("sf_category")).when(F.lower("tag_field") == "sf_framecode", F.col("sf_name")).when(F.col("entry_id_flag"), F.lit(entry_id))
+    tags = dictionary.where(~F.col("is_loop") & (F.lit(all_tags) | (F.col("public") != "I"))).join(frames, "sf_category")
+    value = F.when(F.lower("tag_field") == "sf_category", F.col("sf_category")).when(F.lower("tag_field") == "sf_framecode", F.col("sf_name")).when(F.col("entry_id_flag"), F.lit(entry_id)).when(F.lit(default_values), F.col("default_value"))
     return tags.select("sf_category", "sf_name", "place", "tag", value.alias("value"))
 
 
@@ -103,8 +113,3 @@ def extend(dictionary: DataFrame, tag: str, data_type: str, after: str | None =
     at = places.where(F.col("tag_lc") == after.lower()) if after else places.orderBy(F.desc("seq")).limit(1)
     seq = at.agg(F.max(F.coalesce((F.col("seq") + F.col("next")) / 2, F.col("seq") + 1))).scalar()
     return dictionary.unionByName(added.withColumn("seq", seq).select(*dictionary.columns))
-
-
-def place_of(tag: Column) -> Column:
-    """Key by which a tag is looked up."""
-    return F.lower(tag)

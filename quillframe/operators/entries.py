@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.names import as_reference, is_null, strip_reference
+from quillframe.functions.names import is_null, strip_reference
+from quillframe.operators.frames import raise_where
 
 #: Tags that say what a saveframe is and do not make it non-empty.
 STRUCTURAL = ("sf_category", "sf_framecode", "id", "entry_id")
@@ -61,6 +62,12 @@ def empty_frames(cells: DataFrame, frames: DataFrame) -> DataFrame:
     return frames.select("entry_id", "sf_ord").join(held, ["entry_id", "sf_ord"], "left_anti")
 
 
+def remove_empty_frames(cells: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The (cells, frames) without the saveframes that hold nothing."""
+    gone = empty_frames(cells, frames)
+    return tuple(x.join(gone, ["entry_id", "sf_ord"], "left_anti").select(*x.columns) for x in (cells, frames))
+
+
 def dangling_references(cells: DataFrame, frames: DataFrame) -> DataFrame:
     """Cells whose ``$name`` names no saveframe of their entry. Text blocks are no references."""
     references = cells.where(F.col("value").startswith("$")).withColumn("sf_name_wanted", strip_reference(F.col("value")))
@@ -69,8 +76,10 @@ def dangling_references(cells: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def rename_frame(cells: DataFrame, frames: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """Rename a saveframe and every reference to it."""
+    """Rename a saveframe and every reference to it; another saveframe of the new name is an error."""
     old, new = old.removeprefix("$"), new.removeprefix("$")
+    taken = frames.where((F.col("sf_name") == new) & F.lit(old != new)).select("sf_name")
+    frames = raise_where(frames, taken, "there is a saveframe ")
     own = (F.col("sf_name") == old) & (F.col("kind") == "tag") & (F.lower("tag") == "sf_framecode")
     value = F.when(F.col("value") == f"${old}", F.lit(f"${new}")).when(own, F.lit(new)).otherwise(F.col("value"))
     name = F.when(F.col("sf_name") == old, F.lit(new)).otherwise(F.col("sf_name"))
@@ -87,9 +96,7 @@ def set_entry_id(cells: DataFrame, dictionary: DataFrame, entry_id: str) -> Data
 def remove_items(rows: DataFrame, key: str, items: Iterable[str]) -> DataFrame:
     """Rows without those of the given keys; all keys must exist."""
     wanted = rows.sparkSession.createDataFrame([(i,) for i in items], f"{key} string")
-    missing = wanted.join(rows.select(key), key, "left_anti").agg(F.max(key)).scalar()
-    kept = rows.join(F.broadcast(wanted), key, "left_anti")
-    return kept.where(F.when(missing.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("there is no "), missing)).cast("boolean")))
+    return raise_where(rows.join(F.broadcast(wanted), key, "left_anti"), wanted.join(rows.select(key), key, "left_anti"), "there is no ")
 
 
 def upsert(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,8 +109,3 @@ def contains_all(rows: DataFrame, key: str, items: Iterable[str]) -> DataFrame:
     wanted = rows.sparkSession.createDataFrame([(i.lower(),) for i in items], "_item string")
     found = rows.select(F.lower(key).alias("_item")).distinct()
     return wanted.join(found, "_item", "left_anti").agg((F.count("*") == 0).alias("all_there"))
-
-
-def label_references(name: Column) -> Column:
-    """A saveframe's reference from its name."""
-    return as_reference(name)

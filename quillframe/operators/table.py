@@ -8,8 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.errors import InvalidStateError
 from quillframe.functions.names import is_null
-from quillframe.functions.values import is_integer_text, is_number_text
+from quillframe.functions.values import is_integer_text, is_number_text, typed
 
 ROW = "_row"
 
@@ -74,8 +75,19 @@ class Loop:
             found.append(tag)
         return replace(self, df=self.df.select(ROW, *found), tags=tuple(found))
 
-    def get_tag(self, *names: str, whole_tag: bool = False) -> DataFrame:
-        """Values of the named tags (all: none named) with their row; ``whole_tag`` puts each beside its full name."""
+    def tag_names(self) -> list[str]:
+        """The full names of the tags, in order."""
+        return [f"{self.category}.{t}" for t in self.tags]
+
+    def get_tag(self, *names: str, whole_tag: bool = False, dict_result: bool = False) -> DataFrame:
+        """Values of the named tags (all: none named) with their row; ``whole_tag`` puts each beside its full name.
+
+        With ``dict_result`` each row is one map of text from names, as the caller spells them or in full, to values.
+        """
+        if dict_result:
+            spelled = {n: self.resolve(n) for n in names} or {t: t for t in self.tags}
+            keys = [f"{self.category}.{t}" if whole_tag else n for n, t in spelled.items()]
+            return self.df.select(ROW, F.create_map(*[x for k, t in zip(keys, spelled.values(), strict=True) for x in (F.lit(k), F.col(t).cast("string"))]).alias("values"))
         found = [self.resolve(n) for n in names] or list(self.tags)
         if not whole_tag:
             return self.df.select(ROW, *found)
@@ -123,6 +135,35 @@ class Loop:
         added = rows.select((F.col(ROW) + top).alias(ROW), *[F.col(c).alias(t) for c, t in spelled.items()])
         return replace(self, df=self.df.unionByName(added, allowMissingColumns=True))
 
+    def append_positional(self, rows: DataFrame) -> Loop:
+        """Add rows whose columns, but the ordinal, are the loop's tags in order; the width must be the same."""
+        columns = [c for c in rows.columns if c != ROW]
+        if len(columns) != len(self.tags):
+            raise ValueError(f"{len(columns)} values for {len(self.tags)} tags")
+        return self.append(rows.select(ROW, *[F.col(c).alias(t) for c, t in zip(columns, self.tags, strict=True)]))
+
+    def add_by_tag(self, pairs: Sequence[tuple[str, object]]) -> Loop:
+        """Add values one by one as (tag, value); they must come in the order of the tags, and fill whole rows."""
+        for i, (tag, _) in enumerate(pairs):
+            if self.resolve(tag) != self.tags[i % len(self.tags)]:
+                raise ValueError(f"{tag} is not the next tag")
+        return self.add_flat([v for _, v in pairs])
+
+    def set_category(self, category: str) -> Loop:
+        """The loop under another category."""
+        name = category.partition(".")[0]
+        return replace(self, category=name if name.startswith("_") else f"_{name}")
+
+    def converted(self, dictionary: DataFrame, strict: bool = False) -> Loop:
+        """The loop with columns of the dictionary's types: integers (exact to 38 digits), doubles, dates, else text.
+
+        Null-equivalents are null. Other values that do not convert are null, or an error with ``strict``; unknown tags stay.
+        """
+        wanted = [f"{self.category}.{t}".lower() for t in self.tags]
+        types = {r.tag_lc: r.data_type for r in dictionary.where(F.col("tag_lc").isin(wanted)).select("tag_lc", "data_type").collect()}
+        columns = [typed(F.col(t).cast("string"), types.get(w), strict).alias(t) if w in types else F.col(t) for t, w in zip(self.tags, wanted, strict=True)]
+        return replace(self, df=self.df.select(ROW, *columns))
+
     def add_dicts(self, rows: Sequence[Mapping[str, object]]) -> Loop:
         """Add a few literal rows by tag."""
         names = list(dict.fromkeys(k for r in rows for k in r))
@@ -164,6 +205,10 @@ class Loop:
     def set_tag(self, name: str, values: DataFrame) -> Loop:
         """Replace a tag's values by those of (_row, value)."""
         tag = self.resolve(name)
+        # one value a row, no more and no fewer
+        held = self.df.select(ROW, F.lit(1).alias("_n")).unionByName(values.select(ROW, F.lit(-1).alias("_n"))).groupBy(ROW).agg(F.sum("_n").alias("_n"))
+        if held.where("_n <> 0").limit(1).count():
+            raise InvalidStateError("there must be a value for each row")
         return replace(self, df=self.df.drop(tag).join(values.select(ROW, F.col("value").alias(tag)), ROW, "left").select(ROW, *self.tags))
 
     def order_tags(self, order: Sequence[str]) -> Loop:
@@ -172,6 +217,15 @@ class Loop:
         tags = tuple(sorted(self.tags, key=lambda t: (place.get(t.lower(), len(place)), t)))
         return replace(self, df=self.df.select(ROW, *tags), tags=tags)
 
+    def add_missing_tags_and_order(self, order: Sequence[str]) -> Loop:
+        """As ``add_missing_tags``; then rows are sorted by their ``Ordinal``, or numbered by position where one is missing."""
+        made = self.add_missing_tags(order)
+        if "ordinal" not in (t.lower() for t in made.tags):
+            return made
+        tag = made.resolve("Ordinal")
+        missing = made.df.agg(F.count_if(F.col(tag).isNull())).first()[0]
+        return made.renumber(tag) if missing else made.sort(tag)
+
     def add_missing_tags(self, order: Sequence[str]) -> Loop:
         """Add a dictionary's tags that the loop lacks, as nulls, and order all."""
         have = {t.lower() for t in self.tags}

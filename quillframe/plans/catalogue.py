@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import names, quoting, values
-from quillframe.operators import compare, dictionary, entries
+from quillframe.operators import compare, dictionary, entries, listing
+from quillframe.operators import frames as upkeep
 from quillframe.operators.table import ROW, Loop, numbered, wide
 from quillframe.plans import normalize, validate
 from quillframe.sources import star, writer
+from quillframe.sources import tables as csv_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,7 +110,8 @@ def frames_by_tag_value(spark, d):
 @query("SELECT l_orderkey, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS n FROM lineitem) t WHERE n = 1")
 def first_value_per_frame(spark, d):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct(*order)).alias("l_returnflag"))
+    cells = table(spark, d, "lineitem").select(F.lit("e").alias("entry_id"), F.col("l_orderkey").alias("sf_ord"), *order, F.lit("l_returnflag").alias("tag"), F.col("l_returnflag").alias("value"))
+    return upkeep.first_value(cells, "L_ReturnFlag", order).select(F.col("sf_ord").alias("l_orderkey"), F.col("value").alias("l_returnflag"))
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS sf_ord, 'n_name' AS tag, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation")
@@ -174,7 +177,8 @@ def slice_rows(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def top_rows(spark, d):
-    return table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderkey").alias(ROW))
+    return Loop(orders, "_orders", ("o_orderkey", "o_totalprice")).sort_by(F.desc("o_totalprice")).slice(0, 25).select("o_orderkey", "o_totalprice")
 
 
 # aggregates and checks
@@ -188,7 +192,9 @@ def category_list(spark, d):
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey")
 def object_counts(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    frames = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("entry_id"))
+    loops = frames.select("entry_id", F.lit(0).cast("long").alias("n_rows")).limit(0)
+    return upkeep.sizes(frames, loops).select(F.col("entry_id").alias("l_orderkey"), F.col("n_frames").alias("n"))
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS entry_id, CAST(l_linenumber AS VARCHAR) AS sf_name, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
@@ -238,7 +244,9 @@ def contains_all(spark, d):
 @query("SELECT o.o_orderkey, c.new_id FROM orders o LEFT JOIN (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS new_id FROM customer) c ON o.o_custkey = c.c_custkey")
 def fk_remap(spark, d):
     ids = table(spark, d, "customer").select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long").alias("new_id"))
-    return table(spark, d, "orders").join(ids, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "new_id")
+    mapping = ids.select(F.lit("e").alias("entry_id"), F.lit("customer").alias("_table"), F.lit("c_custkey").alias("_column"), F.col("c_custkey").cast("string").alias("_old"), F.col("new_id").cast("string").alias("_new"))
+    cells = table(spark, d, "orders").select(F.lit("e").alias("entry_id"), "o_orderkey", F.col("o_custkey").cast("string").alias("value"), F.lit("customer").alias("_table"), F.lit("c_custkey").alias("_column"))
+    return normalize.remap(cells, mapping).select("o_orderkey", F.col("_new").cast("long").alias("new_id"))
 
 
 @query("SELECT s_suppkey, CAST(n.n_nationkey AS BIGINT) AS nation_id FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey")
@@ -246,7 +254,7 @@ def label_to_id(spark, d):
     nation = table(spark, d, "nation")
     labelled = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", names.as_reference(F.col("n_name")).alias("label"))
     ids = nation.select(names.as_reference(F.col("n_name")).alias("label"), F.col("n_nationkey").cast("long").alias("nation_id"))
-    return labelled.join(ids, "label", "left").select("s_suppkey", "nation_id")
+    return normalize.ids_of_labels(labelled, ids, "label", ["s_suppkey"]).select("s_suppkey", "nation_id")
 
 
 @query("SELECT o_orderkey AS sf_ord, 'o_orderstatus' AS tag, 'new' AS value FROM orders UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders")
@@ -264,7 +272,9 @@ def rename_frame(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey AS parent FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def parent_id_fill(spark, d):
-    return table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("o_custkey").alias("parent"))
+    orders = table(spark, d, "orders").select(F.lit("e").alias("entry_id"), F.col("o_orderkey").alias("sf_ord"), F.lit("orders.o_custkey").alias("_parent"), F.col("o_custkey").alias("_parent_value"))
+    rows = table(spark, d, "lineitem").select(F.lit("e").alias("entry_id"), F.col("l_orderkey").alias("sf_ord"), "l_linenumber", "l_partkey", "l_suppkey", F.lit("orders.o_custkey").alias("_parent"))
+    return normalize.beside_parent(rows, orders).select(F.col("sf_ord").alias("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", F.col("_parent_value").alias("parent"))
 
 
 # rows and tags
@@ -292,7 +302,8 @@ def add_rows_flat(spark, d):
 
 @query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
 def append_positional(spark, d):
-    return table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name"))
+    nation = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias(ROW))
+    return Loop(nation, "_names", ("name",)).append_positional(table(spark, d, "region").select(F.col("r_regionkey").alias(ROW), "r_name")).df.drop(ROW)
 
 
 @query("SELECT r_regionkey, 'new ' || r_regionkey AS r_name FROM region")
@@ -436,9 +447,9 @@ def convert_types(spark, d):
 @query("""
 SELECT o_orderkey AS id, '_orders.o_orderpriority' AS tag, 'Length of ''' || length(o_orderpriority) || ''' is too long for ''VARCHAR(8)'': ''_orders.o_orderpriority'':''' || o_orderpriority || '''.' AS message FROM orders WHERE length(o_orderpriority) > 8
 UNION ALL SELECT o_orderkey, '_orders.o_orderstatus', 'Value does not match specification: ''_orders.o_orderstatus'':''' || o_orderstatus || '''.' FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderstatus NOT IN ('', '.', '?')
-UNION ALL SELECT o_orderkey, '_orders.o_orderkey', 'Value cannot be NULL but is: _orders.o_orderkey'':''..''' || '.' FROM orders WHERE o_orderkey % 50 = 0
+UNION ALL SELECT o_orderkey, '_orders.o_orderkey', 'Value cannot be NULL but is: _orders.o_orderkey'':''.''.' FROM orders WHERE o_orderkey % 50 = 0
 UNION ALL SELECT o_orderkey, '_orders.o_comment', 'Tag ''_orders.o_comment'' not found in schema.' FROM orders WHERE o_orderkey % 100 = 0
-""".replace("':''..''' || '.'", "':''.''.'"))
+""")
 def validate_values(spark, d):
     orders = table(spark, d, "orders").withColumn("key", F.col("o_orderkey"))
     orders = orders.withColumn("o_orderkey", F.when(F.col("key") % 50 == 0, ".").otherwise(F.col("key").cast("string"))).withColumn("o_comment", F.lit("x"))
@@ -521,7 +532,7 @@ def json_roundtrip(spark, d):
 def csv_roundtrip(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), F.concat("p_name", F.lit(', "'), "p_brand").alias("p_name"))
     lines = rows.select(writer.csv_line([F.col("p_partkey"), F.col("p_name")]).alias("line"))
-    return lines.select(F.from_csv("line", "p_partkey string, p_name string", {"escape": '"'}).alias("r")).select("r.*")
+    return csv_tables.loop_rows_from_csv(lines, "line", ["p_partkey", "p_name"])
 
 
 @query("SELECT CAST(greatest(4, max(length(p_name)) + 3) AS BIGINT) AS p_name, CAST(greatest(4, max(length(p_brand)) + 3) AS BIGINT) AS p_brand FROM part")
@@ -584,7 +595,7 @@ def normalize_order_source(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 AS first_in_category FROM documents")
 def first_in_category(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) == 1).alias("first_in_category"))
+    return listing.first_of_category(table(spark, d, "documents"), "source", "doc_id", ()).select("doc_id", "first_in_category")
 
 
 @query("SELECT n_nationkey, row_number() OVER (ORDER BY n_name, n_nationkey) - 1 AS place FROM nation")
@@ -594,16 +605,16 @@ def frame_order(spark, d):
 
 @query("SELECT 0 AS depth, CAST(r_regionkey AS BIGINT) AS parent, CAST(0 AS BIGINT) AS nth, r_name AS label FROM region UNION ALL SELECT 1, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), n_name FROM nation")
 def tree_listing(spark, d):
-    top = table(spark, d, "region").select(F.lit(0).alias("depth"), F.col("r_regionkey").cast("long").alias("parent"), F.lit(0).cast("long").alias("nth"), F.col("r_name").alias("label"))
-    below = table(spark, d, "nation").select(F.lit(1).alias("depth"), F.col("n_regionkey").cast("long").alias("parent"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("long").alias("nth"), F.col("n_name").alias("label"))
-    return top.unionByName(below)
+    parents = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("parent"), F.col("r_name").alias("label"))
+    children = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("parent"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("label"))
+    return listing.outline(parents, children)
 
 
 @query("SELECT coalesce(a.n, b.n) AS n, coalesce(x, '') || chr(9) || coalesce(y, '') AS line FROM (SELECT CAST(n_nationkey AS BIGINT) AS n, n_name AS x FROM nation) a FULL JOIN (SELECT CAST(r_regionkey AS BIGINT) AS n, r_name AS y FROM region) b ON a.n = b.n")
 def tag_table(spark, d):
-    a = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_name").alias("x"))
-    b = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("n"), F.col("r_name").alias("y"))
-    return a.join(b, "n", "full").select("n", F.concat(F.coalesce("x", F.lit("")), F.lit("\t"), F.coalesce("y", F.lit(""))).alias("line"))
+    a = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_name").alias("value"))
+    b = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("n"), F.col("r_name").alias("value"))
+    return listing.side_by_side([a, b])
 
 
 @query("SELECT i, regexp_replace(lower(trim(v)), '^bmr', '') AS accession FROM (VALUES (1, 'bmr15000'), (2, ' BMR17 '), (3, '99'), (4, 'abmr1')) t(i, v)")
@@ -618,7 +629,8 @@ def polymer_sequence(spark, d):
 
 @query("SELECT 'orders_' || o_orderkey || ': ' || o_orderstatus AS line FROM orders")
 def list_frames(spark, d):
-    return table(spark, d, "orders").select(F.concat(F.lit("orders_"), F.col("o_orderkey").cast("string"), F.lit(": "), "o_orderstatus").alias("line"))
+    frames = table(spark, d, "orders").select(F.concat(F.lit("orders_"), F.col("o_orderkey").cast("string")).alias("sf_name"), "o_orderstatus")
+    return listing.frame_lines(frames, F.col("o_orderstatus"))
 
 
 @query("SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -630,3 +642,164 @@ def star_join(spark, d):
     nation = wide(entries.loops_by_category(cells, "nation"), ["n_name", "n_regionkey"], ["file"])
     region = wide(entries.loops_by_category(cells, "region"), ["r_regionkey", "r_name"], ["file"])
     return nation.join(region.drop("file", ROW), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
+
+
+# saveframes
+
+
+@query("SELECT o_orderkey AS sf_ord, o_orderstatus AS sf_category, 'o_orderstatus' AS tag, CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderstatus END AS value FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, 'note', '.' FROM orders WHERE o_orderkey % 3 = 0")
+def frame_add_tags(spark, d):
+    frames, cells = frames_of(table(spark, d, "orders"), "o_orderkey", "orders", "o_orderstatus")
+    category = table(spark, d, "orders").select(F.col("o_orderkey").alias("sf_ord"), F.col("o_orderstatus").alias("c"))
+    frames, cells = (x.join(category, "sf_ord").withColumn("sf_category", F.col("c")).drop("c") for x in (frames, cells))
+    third = frames.where("sf_ord % 3 = 0").select("entry_id", "sf_ord")
+    tags = third.select("*", F.lit("_Orders.O_OrderStatus").alias("tag"), F.lit("changed").alias("value")).unionByName(third.select("*", F.lit("note").alias("tag"), F.lit(None).cast("string").alias("value")))
+    found, _ = upkeep.add_tags(cells, frames, tags, update=True)
+    return found.select("sf_ord", "sf_category", F.lower("tag").alias("tag"), "value")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS sf_ord, CASE WHEN n_nationkey = 3 THEN 'new' ELSE 'nation_' || n_nationkey END AS sf_name, CASE WHEN n_nationkey = 3 THEN 'land' ELSE 'nation' END AS sf_category, CASE WHEN n_nationkey = 3 THEN '_Land' ELSE '_nation' END AS category, n_name AS value FROM nation")
+def frame_rename_all(spark, d):
+    frames, cells = frames_of(table(spark, d, "nation"), "n_nationkey", "nation", "n_name")
+    cells, _ = upkeep.set_frame(cells, frames, "nation_3", "new", "land", "Land")
+    return cells.select("sf_ord", "sf_name", "sf_category", "category", "value")
+
+
+@query("SELECT o_orderkey AS sf_ord, CAST(i AS BIGINT) AS col_ord, t AS tag, CASE t WHEN 'o_custkey' THEN CAST(o_custkey AS VARCHAR) WHEN 'o_orderpriority' THEN o_orderpriority WHEN 'o_extra' THEN o_orderstatus END AS value FROM orders CROSS JOIN (VALUES (0, 'o_orderkey'), (1, 'o_custkey'), (2, 'o_orderstatus'), (3, 'o_orderpriority'), (4, 'o_extra')) v(i, t)")
+def frame_missing_tags(spark, d):
+    frames, cells = frames_of(table(spark, d, "orders").withColumn("o_extra", F.col("o_orderstatus")), "o_orderkey", "orders", "o_extra", "o_orderpriority", "o_custkey")
+    found = upkeep.add_missing_tags(cells, frames, fixture(spark))
+    return found.select("sf_ord", F.col("col_ord").cast("long").alias("col_ord"), "tag", "value")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS sf_ord FROM nation WHERE n_nationkey IN (4, 7)")
+def frame_access(spark, d):
+    frames, _ = frames_of(table(spark, d, "nation"), "n_nationkey", "nation", "n_name")
+    return upkeep.frame_by_name(frames, "nation_7").unionByName(upkeep.frame_by_place(frames, 4)).select("sf_ord")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS sf_ord, n_name AS value FROM nation")
+def frame_get_tag(spark, d):
+    _, cells = frames_of(table(spark, d, "nation"), "n_nationkey", "nation", "n_name", "n_regionkey")
+    return upkeep.frame_tag(cells, "N_Name").select("sf_ord", "value")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100, 'new'")
+def add_unique_items(spark, d):
+    return upkeep.add_items(table(spark, d, "nation").select("n_nationkey", "n_name"), spark.createDataFrame([(100, "new")], "n_nationkey int, n_name string"), ["n_name"], "saveframe")
+
+
+@query("SELECT 'e' AS entry_id, (SELECT count(*) FROM customer) AS n_frames, count(*) AS n_loops, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t")
+def entry_sizes(spark, d):
+    frames, _ = frames_of(table(spark, d, "customer"), "c_custkey", "customer", "c_name")
+    loops = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_rows")).withColumn("entry_id", F.lit("e"))
+    return upkeep.sizes(frames, loops)
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS g, to_json(map_from_entries(list((n_name, CAST(n_nationkey AS VARCHAR)) ORDER BY n_name))) AS items FROM nation GROUP BY n_regionkey")
+def items_as_map(spark, d):
+    nation = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("g"), "n_name", F.col("n_nationkey").cast("string").alias("k"))
+    return upkeep.as_map(nation, ["g"], "n_name", "k").select("g", F.to_json("items").alias("items"))
+
+
+# typed rows, comparison, listings
+
+
+@query("SELECT p_partkey AS k, CAST(CAST(p_partkey AS BIGINT) * 1000003 AS VARCHAR) AS whole, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS price, DATE '1995-01-01' + CAST(p_size AS INTEGER) AS day FROM part")
+def convert_loop(spark, d):
+    rows = [{"tag": "_part.whole", "data_type": "INTEGER"}, {"tag": "_part.price", "data_type": "FLOAT"}, {"tag": "_part.day", "data_type": "DATETIME year to day"}]
+    part = table(spark, d, "part").select(F.col("p_partkey").alias(ROW), F.col("p_partkey").alias("k"), (F.col("p_partkey") * 1000003).cast("string").alias("whole"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice").cast("string")).otherwise(".").alias("price"), F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size")).cast("string").alias("day"))
+    return Loop(part, "_part", ("k", "whole", "price", "day")).converted(dictionary.from_rows(spark, rows), strict=True).df.select("k", F.col("whole").cast("string").alias("whole"), "price", "day")
+
+
+@query("SELECT n_nationkey, to_json(map(['N_Name', 'key'], [n_name, CAST(n_nationkey AS VARCHAR)])) AS row FROM (SELECT n_nationkey, n_name FROM nation) t")
+def get_tag_maps(spark, d):
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_nationkey").alias("key"), F.col("n_nationkey").alias(ROW))
+    return Loop(nation, "_nation", ("n_nationkey", "n_name", "key")).get_tag("N_Name", "key", dict_result=True).select(F.col(ROW).alias("n_nationkey"), F.to_json("values").alias("row"))
+
+
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS ordinal, CAST(NULL AS VARCHAR) AS added FROM nation")
+def missing_tags_fill_ordinals(spark, d):
+    nation = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") > 3, F.col("n_nationkey")).cast("long").alias("Ordinal"), F.col("n_nationkey").alias(ROW))
+    found = Loop(nation, "_nation", ("n_nationkey", "Ordinal")).add_missing_tags_and_order(["Ordinal", "added", "n_nationkey"])
+    return found.df.select("n_nationkey", F.col("Ordinal").alias("ordinal"), "added")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 90, 'a' UNION ALL SELECT 91, 'b'")
+def add_rows_by_tag(spark, d):
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name", F.col("n_nationkey").cast("long").alias(ROW))
+    return Loop(nation, "_nation", ("n_nationkey", "n_name")).add_by_tag([("n_nationkey", 90), ("N_Name", "a"), ("n_nationkey", 91), ("n_name", "b")]).set_category("land").df.drop(ROW)
+
+
+@query("SELECT CASE WHEN count(*) = 0 THEN true ELSE false END AS equal FROM (SELECT n_nationkey, n_name FROM nation EXCEPT ALL SELECT n_nationkey, CASE WHEN n_nationkey = 5 THEN 'x' ELSE n_name END FROM nation) t")
+def exact_unequal(spark, d):
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return compare.exactly_equal(nation, nation.withColumn("n_name", F.when(F.col("n_nationkey") == 5, "x").otherwise(F.col("n_name"))))
+
+
+@query("SELECT bool_and(r_name = 'AFRICA') AS equal FROM region")
+def equal_text(spark, d):
+    return compare.equal_text(table(spark, d, "region"), "r_name", "AFRICA")
+
+
+@query("SELECT 'numbers of saveframes differ: ' || (SELECT count(*) FROM nation) || ' ' || (SELECT count(*) FROM nation WHERE n_nationkey <> 4) AS message UNION ALL SELECT 'saveframe differs or is missing: nation_4' UNION ALL SELECT 'tag differs: _nation.n_name ' || n_name || ' other' FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'tag differs: _nation.n_name ' || n_name FROM nation WHERE n_nationkey = 4")
+def compare_whole_entries(spark, d):
+    nation = table(spark, d, "nation")
+    other = nation.where("n_nationkey <> 4").withColumn("n_name", F.when(F.col("n_nationkey") % 5 == 0, "other").otherwise(F.col("n_name")))
+    return compare.entry_messages(*(frames_of(n, "n_nationkey", "nation", "n_name") for n in (nation, other)))
+
+
+@query("SELECT 'entry e' AS line UNION ALL SELECT chr(9) || '[' || (row_number() OVER (ORDER BY n_nationkey) - 1) || '] saveframe nation_' || n_nationkey FROM nation UNION ALL SELECT chr(9) || chr(9) || '[0] loop _supplier' FROM (SELECT DISTINCT s_nationkey FROM supplier) t")
+def print_tree(spark, d):
+    frames, _ = frames_of(table(spark, d, "nation"), "n_nationkey", "nation", "n_name")
+    loops = table(spark, d, "supplier").select(F.lit("e").alias("entry_id"), F.col("s_nationkey").alias("sf_ord"), F.lit(1).alias("loop_ord"), F.lit("_supplier").alias("category")).distinct()
+    return listing.tree_lines(frames, loops).select("line")
+
+
+@query("SELECT CAST(-1 AS BIGINT) AS n, '_part.p_partkey,_part.p_name' AS line UNION ALL SELECT p_partkey, p_partkey || ',' || p_name FROM part")
+def loop_to_csv(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    return csv_tables.loop_to_csv(part, ["p_partkey", "p_name"], "_part", "p_partkey")
+
+
+@query("SELECT o_orderkey AS sf_ord, '_orders.o_orderstatus,_orders.o_orderpriority' AS header, o_orderstatus || ',' || o_orderpriority AS line FROM orders")
+def frames_to_csv(spark, d):
+    _, cells = frames_of(table(spark, d, "orders"), "o_orderkey", "orders", "o_orderstatus", "o_orderpriority")
+    return csv_tables.frames_to_csv(cells).select("sf_ord", "header", "line")
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS entry_id, min(n_nationkey) AS only FROM nation WHERE n_nationkey < 5 AND n_name <> 'x' GROUP BY n_regionkey HAVING count(*) = 1")
+def only_frame(spark, d):
+    nation = table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_regionkey").cast("long").alias("entry_id"), F.col("n_nationkey").alias("only"), F.lit("nation").alias("sf_category"))
+    single = nation.join(nation.groupBy("entry_id").count().where("count = 1").select("entry_id"), "entry_id")
+    return listing.only_frame(single, "nation").select("entry_id", "only")
+
+
+@query(f"SELECT doc_id, CASE WHEN v IS NULL THEN 'none' WHEN v = '' THEN '.' ELSE {_QUOTED} END AS quoted FROM (SELECT doc_id, text AS v FROM documents) t")
+def quote_value_with_nulls(spark, d):
+    return table(spark, d, "documents").select("doc_id", quoting.quote_value(F.col("text"), {None: "none", "": "."}).alias("quoted"))
+
+
+@query("""SELECT o_orderkey AS id, 'Value does not match specification: ''_orders.o_orderstatus'':''' || o_orderstatus || '''.' || chr(10) || '     Type specified: yes_no' || chr(10) || '     Regular expression for type: ''^(?:yes|no)?$''' AS message FROM orders WHERE o_orderstatus NOT IN ('', '.', '?')""")
+def validate_values_explained(spark, d):
+    _, cells = frames_of(table(spark, d, "orders"), "o_orderkey", "orders", "o_orderstatus")
+    return validate.cell_errors(cells, fixture(spark), explained=True).select(F.col("sf_ord").alias("id"), "message")
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS id, '_region' AS category, CAST(0 AS BIGINT) AS row_ord, 'r_name' AS tag, r_name AS value FROM region")
+def loops_from_json(spark, d):
+    _, cells = frames_of(table(spark, d, "region"), "r_regionkey", "region", "r_name")
+    loops = cells.select("sf_ord", "category", F.array(F.lit("r_name")).alias("tags")).distinct()
+    texts_ = writer.loop_json(cells, loops, ["sf_ord"]).withColumn("id", F.col("sf_ord").cast("string"))
+    return star.loops_from_json(texts_, "id", "json").select("id", "category", "row_ord", "tag", "value")
+
+
+@query("SELECT 'e' AS entry_id, 'Several saveframes are named region_' || r_regionkey AS message FROM region WHERE r_regionkey = 2 UNION ALL SELECT 'e', 'Dangling saveframe reference $region_99 in _nation.r' FROM nation WHERE n_regionkey = 1")
+def validate_whole(spark, d):
+    frames, cells = frames_of(table(spark, d, "region"), "r_regionkey", "region", "r_name")
+    frames = frames.unionByName(frames.where("sf_ord = 2").withColumn("sf_ord", F.col("sf_ord") + 100))
+    wanted = F.when(F.col("n_regionkey") == 1, F.lit("$region_99")).otherwise(F.concat(F.lit("$region_"), F.col("n_regionkey").cast("string")))
+    _, references = frames_of(table(spark, d, "nation").withColumn("r", wanted), "n_nationkey", "nation", "r")
+    known = dictionary.from_rows(spark, [{"tag": "_nation.r", "sf_category": "nation"}, {"tag": "_region.r_name", "sf_category": "region"}])
+    loops = spark.createDataFrame([], "entry_id string, sf_ord long, loop_ord long, tags array<string>")
+    return validate.validate(cells.unionByName(references), frames, loops, known)

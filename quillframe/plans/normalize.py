@@ -45,8 +45,24 @@ def _ordered(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
     return rows.withColumn("_tags", tags).withColumn("loop_ord", F.when(F.col("kind") == "tag", 0).otherwise(places - F.col("_tags")).cast("long")).drop("_ordinal", "_numeric", "_tags", "place")
 
 
-def normalize(cells: DataFrame, frames: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The (cells, frames) of normalised entries."""
+def beside_parent(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """Rows beside ``_parent_value``, the value that ``_parent`` names in their saveframe."""
+    return rows.join(parents, ["entry_id", "sf_ord", "_parent"], "left")
+
+
+def remap(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows whose value is a key of (_table, _column), beside the key's new value ``_new``, which is null for unknown keys."""
+    keyed = rows.withColumn("_old", F.col("value"))
+    return keyed.join(mapping, ["entry_id", "_table", "_column", "_old"], "left")
+
+
+def ids_of_labels(rows: DataFrame, ids: DataFrame, label: str, keys: list[str], how: str = "left") -> DataFrame:
+    """Rows (keys, label) beside the id that their label's saveframe has."""
+    return rows.join(ids, [*[k for k in keys if k in ids.columns], label], how)
+
+
+def normalize(cells: DataFrame, frames: DataFrame, dictionary: DataFrame, keeps_ids: tuple[str, ...] = ("_Experiment",)) -> tuple[DataFrame, DataFrame]:
+    """The (cells, frames) of normalised entries; loops of the categories ``keeps_ids`` keep their own ids."""
     order = cut(frame_order(frames, cells, dictionary))
     names = [c for c in cells.columns]
     rows = _ordered(cells, dictionary).join(order, ["entry_id", "sf_ord"]).drop("sf_ord").withColumnRenamed("new_ord", "sf_ord")
@@ -55,7 +71,8 @@ def normalize(cells: DataFrame, frames: DataFrame, dictionary: DataFrame) -> tup
 
     local, null = F.coalesce("local_id_flag", F.lit(False)), is_null(F.col("value"))
     parent = rows.where("kind = 'tag'").select("entry_id", "sf_ord", F.lower(F.concat(F.substring(F.col("category"), F.lit(2), F.length("category")), F.lit("."), "tag")).alias("_parent"), F.col("value").alias("_parent_value"))
-    rows = rows.withColumn("_parent", F.lower(F.concat("fk_table", F.lit("."), "fk_column"))).join(parent, ["entry_id", "sf_ord", "_parent"], "left")
+    rows = rows.withColumn("_parent", F.lower(F.concat("fk_table", F.lit("."), "fk_column")))
+    rows = beside_parent(rows, parent)
     value = (
         F.when(local & F.col("entry_id_flag"), F.col("entry_id"))
         .when(local & (F.col("star_type") == "int"), F.when((F.col("kind") == "tag") | null, F.col("frame_id")).otherwise(F.col("value")))
@@ -68,16 +85,16 @@ def normalize(cells: DataFrame, frames: DataFrame, dictionary: DataFrame) -> tup
     new = F.when(F.col("kind") == "tag", F.col("value")).otherwise(F.col("old"))
     mapping = rows.where("known_tag is not null").groupBy("entry_id", *key, F.col("old").alias("_old")).agg(F.max_by(new, F.struct("sf_ord", "loop_ord", "row_ord", "col_ord")).alias("_new"))
     points = F.col("fk_table").isNotNull() & ~F.coalesce("sf_pointer", F.lit(False)) & ~(is_null(F.col("value")) & F.coalesce("nullable", F.lit(True)))
-    rows = rows.withColumn("_table", F.when(points, F.lower("fk_table"))).withColumn("_column", F.lower("fk_column")).withColumn("_old", F.col("value"))
-    rows = cut(rows.join(mapping, ["entry_id", "_table", "_column", "_old"], "left").withColumn("value", F.coalesce("_new", "value")).drop("_table", "_column", "_old", "_new"))
+    rows = rows.withColumn("_table", F.when(points, F.lower("fk_table"))).withColumn("_column", F.lower("fk_column"))
+    rows = cut(remap(rows, mapping).withColumn("value", F.coalesce("_new", "value")).drop("_table", "_column", "_old", "_new"))
 
     frame_ids = rows.where((F.col("kind") == "tag") & (F.lower("tag") == "id")).select("entry_id", F.concat(F.lit("$"), "sf_name").alias("_label"), F.col("value").alias("_id"))
     labels = rows.where((F.col("kind") == "loop") & (F.lower("fk_column") == "sf_framecode")).select("entry_id", "sf_ord", "loop_ord", "row_ord", F.lower("fk_table").alias("_table"), F.col("value").alias("_label"))
-    told = labels.join(frame_ids, ["entry_id", "_label"]).groupBy("entry_id", "sf_ord", "loop_ord", "row_ord", "_table").agg(F.max("_id").alias("_id"))
+    told = ids_of_labels(labels, frame_ids, "_label", ["entry_id"], "inner").groupBy("entry_id", "sf_ord", "loop_ord", "row_ord", "_table").agg(F.max("_id").alias("_id"))
     takes = (F.col("kind") == "loop") & (F.lower("fk_column") == "id") & ~F.coalesce("entry_id_flag", F.lit(False))
     rows = rows.withColumn("_table", F.when(takes, F.lower("fk_table"))).join(told, ["entry_id", "sf_ord", "loop_ord", "row_ord", "_table"], "left").withColumn("value", F.coalesce("_id", "value"))
 
-    numbered = (F.col("kind") == "loop") & (F.lower("tag") == "id") & (F.col("category") != "_Experiment")
+    numbered = (F.col("kind") == "loop") & (F.lower("tag") == "id") & ~F.col("category").isin(*keeps_ids)
     rows = rows.withColumn("value", F.when(numbered, (F.col("row_ord") + 1).cast("string")).otherwise(F.col("value")))
     moved = frames.join(order.select("entry_id", "sf_ord", "new_ord"), ["entry_id", "sf_ord"]).drop("sf_ord").withColumnRenamed("new_ord", "sf_ord")
     return rows.select(*names), moved.select(*frames.columns)

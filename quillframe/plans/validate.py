@@ -11,15 +11,15 @@ from quillframe.operators.entries import dangling_references, duplicate_names
 
 def with_dictionary(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Cells beside the dictionary row of their tag, if there is one (one row a tag, broadcast)."""
-    known = dictionary.select("tag_lc", F.col("tag").alias("known_tag"), F.col("sf_category").alias("dict_category"), "nullable", "data_type", "star_type", "pattern", "seq", "tag_field", "entry_id_flag", "local_id_flag", "fk_table", "fk_column", "sf_pointer")
+    known = dictionary.select("tag_lc", F.col("tag").alias("known_tag"), F.col("sf_category").alias("dict_category"), "nullable", "data_type", "star_type", "pattern", "regex", "seq", "tag_field", "entry_id_flag", "local_id_flag", "fk_table", "fk_column", "sf_pointer")
     full = F.concat("category", F.lit("."), "tag")
     return cells.withColumn("tag_full", full).join(F.broadcast(known), F.lower(full) == F.col("tag_lc"), "left")
 
 
-def cell_errors(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Cells that break a rule of the dictionary, with the first message."""
+def cell_errors(cells: DataFrame, dictionary: DataFrame, explained: bool = False) -> DataFrame:
+    """Cells that break a rule of the dictionary, with the first message; ``explained`` adds the type's pattern."""
     rows = with_dictionary(cells, dictionary).withColumn("own_category", F.col("sf_category")).drop("sf_category").withColumnRenamed("dict_category", "sf_category")
-    return rows.withColumn("message", first_error(F.col("value"), F.col("own_category"))).where("message is not null").select("entry_id", "sf_ord", "loop_ord", "row_ord", "tag_full", "value", "message")
+    return rows.withColumn("message", first_error(F.col("value"), F.col("own_category"), explained)).where("message is not null").select("entry_id", "sf_ord", "loop_ord", "row_ord", "tag_full", "value", "message")
 
 
 def width_errors(cells: DataFrame, loops: DataFrame) -> DataFrame:

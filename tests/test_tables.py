@@ -8,7 +8,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillframe.functions.lineage import cut
-from quillframe.operators import compare, dictionary, entries
+from quillframe.operators import compare, dictionary, entries, listing
+from quillframe.operators import frames as upkeep
 from quillframe.operators.table import ROW, Loop, numbered
 from quillframe.plans import catalogue, normalize, validate
 from quillframe.sources import star
@@ -148,6 +149,10 @@ def test_entries(spark, known):
     assert [r.sf_category for r in entries.category_list(found.saveframes).orderBy("nth").collect()] == ["sample", "use"]
     empty = parsed(spark, "data_a save_b _B.Sf_category b _B.c . save_ save_d _B.Sf_category b _B.c 1 save_")
     assert [r.sf_ord for r in entries.empty_frames(empty.cells, empty.saveframes).collect()] == [1]
+    left = entries.remove_empty_frames(empty.cells, empty.saveframes)
+    assert [x.where("sf_ord = 1").count() for x in left] == [0, 0] and left[1].count() == 1
+    with pytest.raises(PySparkException):
+        entries.rename_frame(found.cells, found.saveframes, "one", "two")
     with pytest.raises(PySparkException):
         entries.remove_items(found.saveframes, "sf_name", ["nobody"]).collect()
     assert entries.remove_items(found.saveframes, "sf_name", ["two"]).count() == 2
@@ -193,3 +198,54 @@ def test_catalogue_takes_whole_tables(spark, tmp_path):
         assert found == [d[0] for d in sorted(docs, key=lambda d: (*key(d[column], known), d[0]))]
     quoted = catalogue.QUERIES["quote_value_conversations"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, quoted), key=str) == [("conversation", 1, 0, "'a b'"), ("conversation", 1, 1, "."), ("document", 1, None, ".")]
+
+
+def test_frames(spark):
+    found = parsed(spark, TEXT)
+    frames, cells = found.saveframes, found.cells.select("entry_id", "sf_ord", "sf_name", "sf_category", "kind", "loop_ord", "category", "row_ord", "col_ord", "tag", "value")
+    at = frames.where("sf_name = 'one'").select("entry_id", "sf_ord")
+    tag = lambda t, v: at.select("*", F.lit(t).alias("tag"), F.lit(v).cast("string").alias("value"))
+    more, moved = upkeep.add_tags(cells, frames, tag("_Sample.New", None).unionByName(tag("Sf_category", "other")).unionByName(tag("name", "x")), update=True)
+    value = values_of(more)
+    assert value["one", "_Sample", 0, "New"] == "." and value["one", "_Sample", 0, "name"] == "x" and value["one", "_Part", 0, "ID"] == "8" and more.count() == cells.count() + 1
+    assert moved.where("sf_name = 'one'").first().sf_category == "other" and moved.columns == frames.columns
+    for wrong in (tag("Name", "x"), tag("_Other.a", "x"), tag("a b", "x")):
+        with pytest.raises(PySparkException):
+            upkeep.add_tags(cells, frames, wrong)[0].collect()
+    with pytest.raises(PySparkException):
+        upkeep.add_tags(cells, frames, tag("Sf_framecode", "two"), update=True)[0].collect()
+    renamed, frames_ = upkeep.set_frame(cells, frames, "one", "uno", "kind", "Probe")
+    value = values_of(renamed)
+    assert value["uno", "_Probe", 0, "Sf_framecode"] == "uno" and value["uno", "_Probe", 0, "Sf_category"] == "kind" and value["uno", "_Part", 0, "ID"] == "8"
+    assert frames_.where("sf_name = 'uno'").first().tag_prefix == "_Probe"
+    for name in ("a b", ".", "", None):
+        with pytest.raises(ValueError):
+            upkeep.checked_name(name)
+    with pytest.raises(PySparkException):
+        upkeep.frame_by_name(frames, "nobody").collect()
+    with pytest.raises(PySparkException):
+        upkeep.add_items(frames, frames.limit(1), ["entry_id", "sf_name"]).collect()
+    with pytest.raises(PySparkException):
+        listing.only_frame(frames, "sample").collect()
+    assert upkeep.frame_by_place(frames, 1).first().sf_name == "two"
+
+
+def test_typed_loops(spark, loop):
+    known = dictionary.from_rows(spark, [{"tag": "_t.i", "data_type": "INTEGER"}, {"tag": "_t.f", "data_type": "FLOAT"}, {"tag": "_t.d", "data_type": "DATETIME year to day"}])
+    made = Loop(spark.createDataFrame([(0, "12345678901234567890", "1e3", "2006-9-7", "x"), (1, ".", "?", "", None)], f"{ROW} long, i string, f string, d string, other string"), "_t", ("i", "f", "d", "other"))
+    typed = rows(made.converted(known, strict=True))
+    assert [str(x) for x in typed[0]] == ["12345678901234567890", "1000.0", "2006-09-07", "x"] and typed[1] == (None,) * 4
+    bad = Loop(spark.createDataFrame([(0, "1x")], f"{ROW} long, i string"), "_t", ("i",))
+    assert rows(bad.converted(known)) == [(None,)]
+    with pytest.raises(PySparkException):
+        bad.converted(known, strict=True).df.collect()
+    with pytest.raises(ValueError):
+        loop.add_by_tag([("tag2", 1)])
+    with pytest.raises(ValueError):
+        loop.append_positional(loop.df.select(ROW, "tag1"))
+    with pytest.raises(PySparkException):
+        loop.set_tag("tag1", loop.df.limit(1).select(ROW, F.lit(1).alias("value"))).df.collect()
+    assert loop.tag_names()[0] == "_test.tag1" and loop.set_category("new.x").category == "_new"
+    assert dictionary.loop_from_template(known, "t").tags == ("i", "f", "d")
+    with pytest.raises(ValueError):
+        dictionary.loop_from_template(known, "nothing")

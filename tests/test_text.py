@@ -5,7 +5,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillframe.functions import names, quoting, values
-from quillframe.sources import star, writer
+from quillframe.errors import ParseError
+from quillframe.sources import star, tables, writer
 from quillframe.streaming.ingest import ingest
 
 ENTRY = """data_e1
@@ -157,3 +158,50 @@ def test_files_and_stream(spark, tmp_path):
     for _ in range(2):
         ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "cells")).count() == 20
+
+
+@pytest.mark.parametrize(
+    ("text", "message"),
+    [
+        ("data_a save_a save_", "no tag that names its category"), ("data_a save_a _A.b c loop_ _B.a 1 stop_ loop_ _b.c 2 stop_ save_", "Two loops"),
+        ("data_a save_a _A.x 1 _a.y 2 save_", "spell its category"),
+    ],
+)
+def test_rules_of_saveframes(spark, text, message):
+    with pytest.raises(ParseError, match=message) as error:
+        parse(spark, text).checked()
+    assert error.value.line_no == 1 and error.value.file == "f"
+
+
+def test_single_frames_and_loops(spark):
+    texts = spark.createDataFrame([("x", "save_a _A.b c save_"), ("y", "save_a _A.b c save_ save_b _A.b c save_")], "id string, text string")
+    read = star.one_frame(texts, "id", "text")
+    assert [(r.file, r.message) for r in read.errors.collect()] == [("y", "There is more than one saveframe.")]
+    loops = star.one_loop(spark.createDataFrame([("x", "loop_ _L.a 1 2 stop_"), ("y", "loop_ _L.a 1 stop_ loop_ _M.a 1 stop_"), ("z", "loop_ _L.a stop_")], "id string, text string"), "id", "text")
+    assert [(r.file, r.message) for r in loops.errors.collect()] == [("y", "There is more than one loop.")]
+    assert [(r.file, r.message) for r in loops.warnings().collect()] == [("z", "A loop has no data.")]
+    assert [t.count() for t in star.empty_tables(spark, "e")] == [0, 0, 0]
+
+
+def test_json_of_frames_and_loops(spark):
+    frame = '{"name":"n","category":"c","tag_prefix":"_A","tags":[["x","1"]],"loops":[{"category":"_L","tags":["a","b"],"data":[["1",null]]}]}'
+    cells = star.frames_from_json(spark.createDataFrame([("i", frame)], "id string, j string"), "id", "j").collect()
+    assert sorted((r.entry_id, r.sf_name, r.kind, r.tag, r.value or "") for r in cells) == [("i", "n", "loop", "a", "1"), ("i", "n", "loop", "b", ""), ("i", "n", "tag", "x", "1")]
+    for wrong in ('{"tags":["a"],"data":[["1"]]}', '{"category":"_L","tags":["a"],"data":[["1","2"]]}'):
+        with pytest.raises(PySparkException):
+            star.loops_from_json(spark.createDataFrame([("i", wrong)], "id string, j string"), "id", "j").collect()
+
+
+def test_csv_files(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('_L.a,_L.b\n1,"x, ""y"""\n2,"two\nlines"\n')
+    category, rows = tables.loop_from_csv(spark, str(tmp_path / "l.csv"))
+    assert category == "_L" and sorted(map(tuple, rows.collect())) == [("1", 'x, "y"'), ("2", "two\nlines")]
+    lines = tables.loop_to_csv(rows.withColumn("n", F.col("a").cast("long")), ["a", "b"], "_L", "n", show_category=False).orderBy("n").collect()
+    assert [r.line for r in lines] == ["a,b", '1,"x, ""y"""', '2,"two\nlines"']
+    category, tags = tables.frame_from_csv(spark, str(tmp_path / "l.csv"))
+    assert [(r.tag, r.value) for r in tags.orderBy("col_ord").collect()] == [("a", "1"), ("b", 'x, "y"')]
+    (tmp_path / "m.csv").write_text("_L.a,_M.b\n1,2\n")
+    with pytest.raises(ValueError):
+        tables.loop_from_csv(spark, str(tmp_path / "m.csv"))
+    read = parse(spark, "data_x save_c _C.a b loop_ _Banner.category _Banner.comment first 'hello  ' second . stop_ save_")
+    assert [tuple(r) for r in tables.banners(read.cells).collect()] == [("first", "hello\n\n")]
