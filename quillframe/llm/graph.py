@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillframe.llm.common import join_hot, materialise
 
+#: Live edges up to which one task ends the contraction, instead of a dozen rounds over ever fewer rows. A fixed bound at any size of input.
+REST = 20_000
+
 
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -17,13 +24,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     In each round a node follows the first of its neighbours, or itself, in an order that is hashed anew, so
     that chains shrink by a constant factor. Edges then join what their ends followed; those within one node go.
-    Only live edges and nodes are read again, so the rounds get cheaper. At last the rounds' tables are composed,
-    from the smallest on. Every table is written to the scratch store, which ends its lineage. Hubs are joined by
+    Only live edges and nodes are read again, so the rounds get cheaper; the last ``REST`` edges are contracted
+    at once. At last the rounds' tables are composed, from the smallest on. Every table is written to the scratch store, which ends its lineage. Hubs are joined by
     ``join_hot``: no task gets all edges of a node. Nodes may be of any type that sorts and hashes.
     """
     live = materialise(edges.select(*_ordered("a", "b")).where("a <> b").distinct(), "edges")
     rounds: list[DataFrame] = []
     while n := live.count():
+        if n <= REST:
+            rounds.append(materialise(_contract(live), "follows"))
+            break
         order = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))), c)  # noqa: B023, E731
         ends = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = ends.groupBy("a").agg(F.min(order(F.col("b"))).alias("near"), F.count("*").alias("key_rows"))
@@ -41,6 +51,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return _via(labels, labels.groupBy("label").agg(F.min("node").alias("root")))
 
 
+def _contract(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of at most ``REST`` edges (a, b): the least node of its component, found in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, kind = {}, None
+
+        def find(x):
+            up.setdefault(x, x)
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(a), find(b)
+                up[max(a, b)] = min(a, b)
+        if up:
+            nodes = list(up)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["node", "label"])
+
+    kind = edges.schema["a"].dataType
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, StructType([StructField("node", kind), StructField("label", kind)]))
+
+
 def _via(follows: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, label) with each label replaced by its root, where it has one."""
     held = follows.groupBy("label").agg(F.count("*").alias("key_rows"))

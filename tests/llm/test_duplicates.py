@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.llm import common, ngram_join, spotsigs, substring_dedup
+from quillframe.llm import common, graph, ngram_join, spotsigs, substring_dedup
 from quillframe.llm.graph import connected_components
 from tests.llm.samples import SCHEMA, corpus, words
 
@@ -106,11 +106,16 @@ def test_signatures_meet_every_link():
     assert len({(union.find(i), r) for i, r in enumerate(roots)}) == len(set(roots)) == len({union.find(i) for i in range(len(sets))})
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("rest", [0, 20, 20_000])
+def test_components_of_long_chains(spark, monkeypatch, rest):
+    monkeypatch.setattr(graph, "REST", rest)
     edges = [(i, i + 1) for i in range(70)] + [(200, 201), (201, 199), (3, 3)]
     found = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(71)} | {199: 199, 200: 199, 201: 199}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    named = [(bytes([200, a]), bytes([b])) for a, b in [(1, 130), (2, 130), (3, 4)]]
+    found = {(bytes(r.node), bytes(r.label)) for r in connected_components(spark.createDataFrame(named, "a binary, b binary")).collect()}
+    assert found == {(b"\xc8\x01", b"\x82"), (b"\xc8\x02", b"\x82"), (b"\x82", b"\x82"), (b"\xc8\x03", b"\x04"), (b"\x04", b"\x04")}
 
 
 def brute_removed(rows, size):
