@@ -11,9 +11,9 @@ at least ``PERCENT`` hundredths of their union.
 2. Within a family, the sets of a block are joined exactly. Index lists hold sets by position in order of
    size, and a set skips to the positions whose sizes allow a link. A set that differs little from the
    set before it derives its answers from that set's: only the lists of members that differ are read.
-   Families of more than ``WIDE`` sets are dealt anew: with members in order of their count, rarest first, linked sets share a member
-   among the first ones of each, one more than a set of that size may lack. Passages that many sets share come last there. A
-   family still above a block is cut by hash into blocks, each joined together with the family's pivots. Sets that are in
+   Families of more than ``WIDE`` sets are dealt anew: with members in one order for all, about rarest first, linked sets share a member
+   among the first ones of each, one more than a set of that size may lack. Passages that many sets share come last there, as
+   a broadcast table of counted cells tells. A family still above a block is cut by hash into blocks, each joined together with the family's pivots. Sets that are in
    the family's largest component by then have nothing to learn from each other; only the others are joined
    with every block, in probe blocks of their own. So a group of copies of one text costs one pass over its blocks.
 3. Links become components; of each component only a spanning star leaves a task.
@@ -56,6 +56,8 @@ WIDE = 64
 PIVOTS = 4
 #: Rows up to which a table of family members is broadcast (some 20 MB, as rows have a fixed width); above, it is joined by shuffle.
 SMALL = 300_000
+#: Cells of the counts that order members by rarity: 8 MB, broadcast, at any size of input.
+CELLS = 1 << 20
 #: Shared signatures that a task remembers.
 REMEMBERED = 1 << 18
 
@@ -273,26 +275,55 @@ def _texts_of(dealt: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").join(dealt.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
 
 
+def _cell_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many members of the sets of all ``texts`` fall into each of ``CELLS`` cells by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, group in text_groups(batch):
+                found, n = np.unique(_cells(np.concatenate(shingle_sets(group, shingle))), return_counts=True)
+                cells[found] += n
+        held = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(cells[held])], names=["cell", "n"])
+
+    table = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
+    return counts
+
+
+def _cells(members: np.ndarray) -> np.ndarray:
+    return (mix(members) % np.uint64(CELLS)).astype(np.int64)
+
+
+def first_members(members: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The members of a set that come first by the count of their cell, then by hash: one more than a linked set may lack.
+
+    Every set is put in the same order, whatever the counts are, so the first ones of two linked sets always meet.
+    """
+    reach = len(members) + -len(members) * percent // 100 + 1
+    return members[np.lexsort((members, counts[_cells(members)]))[:reach]]
+
+
 def _rare_relations(sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): keys of sets (row, key, n) that share a member among their rarest, as stars."""
+    """(a, b): keys of sets (row, key, n) that share a member among their rarest, as stars.
+
+    Rarity is told by the counts of ``CELLS`` cells, which are broadcast; so only the first members of a set leave its task.
+    """
     small = F.broadcast(sets) if sets.count() <= SMALL else sets
+    texts = materialise(_texts_of(small, rows).join(small, "row").select("text", "key"), "wide_texts")
+    shared = rows.sparkSession.sparkContext.broadcast(_cell_counts(texts, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in text_groups(batch):
-                found = shingle_sets(texts, shingle)
-                keys = [k.as_py() if _key(s) == k.as_py() else None for s, k in zip(found, batch.column(1).slice(start, len(texts)), strict=True)]
-                owner = np.repeat(np.arange(len(found)), [len(s) if k is not None else 0 for s, k in zip(found, keys, strict=True)])
-                members = np.concatenate([s for s, k in zip(found, keys, strict=True) if k is not None] or [np.zeros(0, np.uint64)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(owner)), pa.array(members.view(np.int64))], names=["key", "member"])
-
-    members = materialise(_texts_of(small, rows).join(small, "row").select("text", "key").mapInArrow(run, "key binary, member long"), "members")
-    shared = materialise(members.groupBy("member").agg(F.count("*").alias("key_rows")).where("key_rows > 1"), "shared_members")
-    held = join_hot(members, shared.withColumn("held", F.col("key_rows")), "member").where("held is not null")
-    # members of one set only come before the shared ones, and relate nothing
-    reach = F.col("n") + F.floor(-F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("order"))
-    order = held.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("held", "member"))).alias("order")).join(sets.select("key", "n"), "key").where(reach > 0)
-    first = materialise(order.select("key", F.explode(F.slice("order", 1, reach.cast("int"))["member"]).alias("member")), "rare_members")
+            for start, group in text_groups(batch):
+                keys = batch.column(1).slice(start, len(group))
+                found = [first_members(s, shared.value, percent) if _key(s) == k.as_py() else s[:0] for s, k in zip(shingle_sets(group, shingle), keys, strict=True)]
+                owner = np.repeat(np.arange(len(found)), [len(s) for s in found])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(np.concatenate(found).view(np.int64))], names=["key", "member"])
+
+    first = materialise(texts.mapInArrow(run, "key binary, member long"), "rare_members")
     least = first.groupBy("member").agg(F.min("key").alias("least"), F.count("*").alias("key_rows")).where("key_rows > 1")
     return join_hot(first, least, "member").where("least is not null and least <> key").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
 

@@ -106,6 +106,23 @@ def test_signatures_meet_every_link():
     assert len({(union.find(i), r) for i, r in enumerate(roots)}) == len(set(roots)) == len({union.find(i) for i in range(len(sets))})
 
 
+@pytest.mark.parametrize("cells", [1, 64, 1 << 20])
+def test_first_members_meet_every_link(monkeypatch, cells):
+    monkeypatch.setattr(ngram_join, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(30):
+        base = rng.integers(0, 2**63, int(rng.integers(1, 120)), dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(len(base)) > lost], rng.integers(0, 2**63, int(more), dtype=np.uint64)])) for lost, more in zip(rng.choice([0, 0.05, 0.1], 6), rng.integers(0, 9, 6), strict=True)]
+    counts = rng.integers(0, 5, cells)
+    first = [set(ngram_join.first_members(s, counts, 85).tolist()) for s in sets]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(set(a.tolist()) & set(sets[j].tolist()))
+            assert not both or 100 * both < 85 * (len(a) + len(sets[j]) - both) or first[i] & first[j]
+    assert [len(ngram_join.first_members(np.arange(n, dtype=np.uint64), counts, 85)) for n in (0, 1, 7, 20, 100)] == [0, 1, 2, 4, 16]
+
+
 @pytest.mark.parametrize("rest", [0, 20, 20_000])
 def test_components_of_long_chains(spark, monkeypatch, rest):
     monkeypatch.setattr(graph, "REST", rest)
