@@ -20,6 +20,9 @@ MODULES = {
     "op8_main_text": "main_text",
     "op9_substring_dedup": "substring_dedup",
     "op10_quality_rules": "quality",
+    "op11_vector_codes": "vector_codes",
+    "op12_lexical_search": "lexical",
+    "op13_language_id": "language_id",
 }
 
 

@@ -48,17 +48,18 @@ class Words:
     """The words of a list of texts.
 
     ``hashes`` has a hash for each word, ``starts``/``ends`` its byte range in ``data``, and the words
-    of text i are ``first[i]:first[i + 1]``. With ``lower``, A-Z count as a-z.
+    of text i are ``first[i]:first[i + 1]``. With ``lower``, A-Z count as a-z. ``gaps`` tells the bytes between words, of which
+    the space is one.
     """
 
-    def __init__(self, texts: list[str], lower: bool = False):
+    def __init__(self, texts: list[str], lower: bool = False, gaps: np.ndarray = _IS_SPACE):
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b" ".join(parts) + b" "
         sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
         raw = np.frombuffer(self.data, np.uint8)
         self.raw = raw
-        space = _IS_SPACE[raw]
+        space = gaps[raw]
         edge = np.diff(space.view(np.int8), prepend=np.int8(1))
         self.starts = np.flatnonzero(edge == -1)
         self.ends = np.flatnonzero(edge == 1)
