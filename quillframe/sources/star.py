@@ -1,7 +1,17 @@
-"""Tag/loop text files as relational tables: tokens by one pattern, structure by window functions.
+"""Tag/loop text files as relational tables: tokens by one pattern, structure by running sums over a file's tokens.
 
-``read_files``/``parse`` give the cell model: ``entries``, ``saveframes``, ``loops``, ``cells`` and
-``errors``. A file is the unit of parallelism; all windows are partitioned by file, in one shuffle.
+``read_files``/``parse`` give the cell model: ``entries``, ``saveframes``, ``loops``, ``cells`` and ``errors``.
+
+``parse`` takes whole texts, each tokenised and ordered in one task. ``parse_segments`` takes texts that were cut into
+segments of whole lines (``cut_texts``, or the reader in ``datasource``), so that one large file is parsed by many tasks:
+
+1. A segment may begin outside or inside of a text block. Where it ends is found for either case; these maps of two
+   states are composed by a running window with one row a segment, which gives every segment its true beginning.
+2. Segments are tokenised from there. Blocks that span segments are stitched, and take the place of their beginning.
+3. Every count that runs over a file (loops, saveframes, values of a loop) is a sum within the segment plus the sums of the
+   segments before, and no task holds more tokens than a segment has.
+
+A text that is null, empty or only comments has a row in ``entries`` and an error.
 """
 
 from __future__ import annotations
@@ -13,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillframe.errors import ParseError
 from quillframe.functions.lineage import cut
-from quillframe.functions.names import RESERVED, format_category, format_tag, is_null
+from quillframe.functions.names import NULL_TEXTS, RESERVED, format_category, format_tag
 from quillframe.functions.quoting import normalise_newlines, repair_block_starts, unescape_block
 
 _SPACE = "[ \\n\\t\\x0B]"
@@ -47,86 +57,253 @@ class StarTables:
         return self.loops.select("file", "line_no", message.alias("message")).where("message is not null")
 
 
-def tokens(texts: DataFrame) -> DataFrame:
-    """(file, pos, line_no, token, delim) of each token of (file, text) but comments.
+#: Characters of a segment, about; segments end with a line.
+SEGMENT = 1 << 22
+_RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
-    ``delim`` is a quote, ``;`` for text blocks, ``$`` for bare references and a space for bare words.
+
+def _lines(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
+def _repaired(text: Column) -> Column:
+    return repair_block_starts(normalise_newlines(F.coalesce(text, F.lit(""))))
+
+
+def cut_texts(texts: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """(file, seg, last, text): texts of (file, text) in segments of at least ``size`` characters, except the last.
+
+    A segment ends with a line, and before a line that does not begin with a semicolon, so no delimiter is cut.
+    """
+    whole = texts.select("file", _repaired(F.col("text")).alias("text"))
+    pieces = F.when(F.length("text") <= size, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"[\\s\\S]{{{size}}}[\\s\\S]*?\\n(?!;)|[\\s\\S]+"), F.lit(0)))
+    found = whole.select("file", F.posexplode(pieces).alias("seg", "piece"), F.size(pieces).alias("n"))
+    return found.select("file", "seg", (F.col("seg") == F.col("n") - 1).alias("last"), F.col("piece").alias("text"))
+
+
+def _all_tokens(text: Column, open_end: bool = False) -> Column:
+    """The raw tokens of a text; with ``open_end``, a block that does not end reaches to the end of the text."""
+    tail = "|;(?=\\n)[\\s\\S]*" if open_end else ""
+    block, _, rest = _TOKEN.partition("|")
+    return F.regexp_extract_all(text, F.lit(f"{_SPACE}*(?:{block}{tail}|{rest})"), F.lit(0))
+
+
+def _left_open(text: Column) -> Column:
+    """Whether a text that begins outside of blocks ends within one."""
+    final = F.regexp_replace(F.try_element_at(_all_tokens(text, True), F.lit(-1)), f"^{_SPACE}+", "")
+    return F.coalesce(final.startswith(";\n") & ~final.endswith("\n;"), F.lit(False))
+
+
+def _after_block(text: Column) -> Column:
+    """What follows the first end of a block; null without one."""
+    at = F.instr(text, "\n;")
+    return F.when(at > 0, F.substring(text, at + 2, F.length(text)))
+
+
+def segment_states(segments: DataFrame) -> DataFrame:
+    """(file, seg, inside, opens, opener, line_before) of (file, seg, last, text): how each segment begins and ends.
+
+    ``inside``: it begins within a block; ``opens``: it ends within one that began in it; ``opener``: the segment where the block
+    began that it begins in. A block that the file never ends is none: from there on segments begin outside.
+    """
+    alone = (F.col("seg") == 0) & F.col("last")
+    rest = _after_block(F.col("text"))
+    maps = segments.select(
+        "file", "seg", "last", F.when(alone, 0).otherwise(_lines(F.col("text"))).alias("lines"), rest.isNotNull().alias("ends"),
+        F.when(alone, False).otherwise(_left_open(F.col("text"))).cast("int").alias("a"), F.when(alone, False).otherwise(F.when(rest.isNull(), True).otherwise(_left_open(rest))).cast("int").alias("b"),
+    )
+    by_seg = Window.partitionBy("file").orderBy("seg")
+    past = by_seg.rowsBetween(Window.unboundedPreceding, -1)
+    # a map that ignores its beginning decides; the ones after it that swap the two states change its parity
+    swaps = F.sum((F.col("a") > F.col("b")).cast("int")).over(by_seg)
+    rows = maps.withColumn("swaps", swaps)
+    fixed = F.last(F.when(F.col("a") == F.col("b"), F.struct("a", "swaps")), True).over(past)
+    rows = rows.withColumn("fixed", fixed).withColumn("swapped", F.coalesce(F.lag("swaps").over(by_seg), F.lit(0)))
+    rows = rows.withColumn("inside", (F.coalesce(F.col("fixed.a"), F.lit(0)) + F.col("swapped") - F.coalesce(F.col("fixed.swaps"), F.lit(0))) % 2 == 1)
+    rows = rows.withColumn("exit", F.when(F.col("inside"), F.col("b")).otherwise(F.col("a")) == 1)
+    rows = rows.withColumn("opens", F.col("exit") & (~F.col("inside") | F.col("ends")))
+    whole = Window.partitionBy("file")
+    unended = F.max(F.col("exit") & F.col("last")).over(whole)
+    rows = rows.withColumn("never", F.when(unended, F.max(F.when(F.col("opens"), F.col("seg"))).over(whole)))
+    beyond = F.coalesce(F.col("seg") > F.col("never"), F.lit(False))
+    rows = rows.withColumn("inside", F.col("inside") & ~beyond).withColumn("opens", F.col("opens") & ~F.coalesce(F.col("seg") >= F.col("never"), F.lit(False)))
+    opener = F.last(F.when(F.col("opens"), F.col("seg")), True).over(past)
+    return rows.select("file", "seg", "inside", "opens", F.when(F.col("inside"), opener).alias("opener"), F.coalesce(F.sum("lines").over(past), F.lit(0)).alias("line_before"))
+
+
+def _stitched(joined: DataFrame) -> DataFrame:
+    """(file, seg, block): raw blocks that span segments, by the segment they begin in."""
+    last = F.try_element_at(_all_tokens(F.when(F.col("inside"), _after_block(F.col("text"))).otherwise(F.col("text")), True), F.lit(-1))
+    begun = joined.where("opens").select("file", F.col("seg").alias("at"), "seg", last.alias("part"))
+    at = F.instr("text", "\n;")
+    followed = joined.where("inside").select("file", F.col("opener").alias("at"), "seg", F.when(at > 0, F.substring(F.col("text"), F.lit(1), at + 1)).otherwise(F.col("text")).alias("part"))
+    parts = begun.unionByName(followed).groupBy("file", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "part"))), lambda x: x["part"]), "").alias("block"))
+    return parts.select("file", F.col("at").alias("seg"), "block")
+
+
+def _explode_tokens(segments: DataFrame) -> DataFrame:
+    """(file, seg, at, pos, line_no, token, delim): the tokens in order but comments, and a row for each file's end, whose delim is null.
+
+    ``segments``: (file, seg, last, text), and what ``segment_states`` and ``_stitched`` add where files have several.
     """
-    text = repair_block_starts(normalise_newlines(F.col("text")))
-    found = texts.select("file", F.posexplode(F.regexp_extract_all(text, F.lit(f"{_SPACE}*(?:{_TOKEN})"), F.lit(0))).alias("pos", "whole"))
+    several = "inside" in segments.columns
+    if several:
+        body = F.when(F.col("inside"), F.coalesce(_after_block(F.col("text")), F.lit(""))).otherwise(F.col("text"))
+        found = F.when(F.col("opens"), _all_tokens(body, True)).otherwise(_all_tokens(body))
+        found = F.when(F.col("opens"), F.concat(F.slice(found, 1, F.size(found) - 1), F.array("block"))).otherwise(found)
+        before = F.col("line_before") + F.when(F.col("inside"), _lines(F.col("text")) - _lines(body)).otherwise(0)
+    else:
+        found, before = _all_tokens(F.col("text")), F.lit(0)
+    end = F.when(F.col("last"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    rows = segments.select("file", "seg", before.alias("before"), F.posexplode(F.concat(found, end)).alias("at", "whole"))
     raw = F.regexp_replace("whole", f"^{_SPACE}+", "")
-    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = found.withColumn("raw", raw).withColumn("line_no", F.lit(1) + F.sum(lines(F.col("whole"))).over(before) - lines(F.col("raw")))
+    rows = rows.withColumn("raw", raw).withColumn("line_no", F.lit(1) + F.col("before") + F.sum(_lines(F.col("whole"))).over(Window.partitionBy("file", "seg").orderBy("at").rowsBetween(*_RUNNING)) - _lines(F.col("raw")))
     first, n = F.substring("raw", 1, 1), F.length("raw")
     block = F.col("raw").startswith(";\n") & F.col("raw").endswith("\n;") & (n > 2)
     quoted = first.isin("'", '"') & (n > 1) & (F.substring("raw", -1, 1) == first)
     value = F.when(block, unescape_block(F.substring(F.col("raw"), F.lit(3), n - 3))).when(quoted, F.substring(F.col("raw"), F.lit(2), n - 2)).otherwise(F.col("raw"))
-    delim = F.when(block, F.lit(";")).when(quoted, first).when(first == "#", F.lit("#")).when((first == "$") & (n > 1), F.lit("$")).otherwise(F.lit(" "))
-    return found.select("file", "pos", "line_no", value.alias("token"), delim.alias("delim")).where("delim <> '#'")
-
-
-def _classified(found: DataFrame) -> DataFrame:
-    """Tokens with their kind and the numbers of their frame and loop."""
-    order = Window.partitionBy("file").orderBy("pos")
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    low = F.lower("token")
-    rows = found.withColumn("bare", F.col("delim").isin(" ", "$"))
-    rows = rows.withColumn("is_loop", F.col("bare") & (low == "loop_")).withColumn("is_stop", F.col("bare") & (low == "stop_"))
-    depth = F.sum(F.col("is_loop").cast("int")).over(running) - F.sum(F.col("is_stop").cast("int")).over(running)
-    rows = rows.withColumn("depth", depth).withColumn("in_loop", F.col("depth") > 0)
-    rows = rows.withColumn("after_tag", F.coalesce(F.lag(F.col("bare") & F.col("token").startswith("_") & ~F.col("in_loop")).over(order), F.lit(False)))
+    delim = F.when(n == 0, F.lit(None)).when(block, F.lit(";")).when(quoted, first).when(first == "#", F.lit("#")).when((first == "$") & (n > 1), F.lit("$")).otherwise(F.lit(" "))
+    pos = F.shiftleft(F.col("seg").cast("long"), 32) + F.col("at")
+    return rows.select("file", "seg", "at", pos.alias("pos"), F.col("line_no").cast("int").alias("line_no"), value.alias("token"), delim.alias("delim")).where("delim is null or delim <> '#'")
+
+
+def _whole(texts: DataFrame) -> DataFrame:
+    return texts.select("file", F.lit(0).alias("seg"), F.lit(True).alias("last"), _repaired(F.col("text")).alias("text"))
+
+
+def tokens(texts: DataFrame) -> DataFrame:
+    """(file, pos, line_no, token, delim) of each token of (file, text) but comments.
+
+    ``delim`` is a quote, ``;`` for text blocks, ``$`` for bare references and a space for bare words.
+    """
+    return _explode_tokens(_whole(texts)).where("delim is not null").select("file", "pos", "line_no", "token", "delim")
+
+
+def tokens_of_segments(segments: DataFrame) -> DataFrame:
+    """As ``tokens``, of texts in segments (file, seg, last, text)."""
+    return _explode_tokens(_with_states(segments)).where("delim is not null").select("file", "pos", "line_no", "token", "delim")
+
+
+def _with_states(segments: DataFrame) -> DataFrame:
+    joined = segments.join(segment_states(segments), ["file", "seg"])
+    return joined.join(_stitched(joined), ["file", "seg"], "left")
+
+
+def _running(rows: DataFrame, sums: dict[str, Column], lasts: dict[str, Column], segmented: bool) -> DataFrame:
+    """Rows with, for each name, the sum so far, or the last value so far that is not null, over the file's tokens."""
+    here = Window.partitionBy("file", "seg").orderBy("at").rowsBetween(*_RUNNING)
+    columns = {k: F.sum(c).over(here) for k, c in sums.items()} | {k: F.last(c, True).over(here) for k, c in lasts.items()}
+    found = rows.withColumns(columns)
+    if not segmented:
+        return found
+    latest = {k: F.max(F.when(c.isNotNull(), F.struct(F.col("at"), c.alias("v")))) for k, c in lasts.items()}
+    totals = rows.groupBy("file", "seg").agg(*[F.sum(c).alias(k) for k, c in sums.items()], *[c["v"].alias(k) for k, c in latest.items()])
+    past = Window.partitionBy("file").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("file", "seg", *[F.sum(k).over(past).alias(f"_{k}") for k in sums], *[F.last(k, True).over(past).alias(f"_{k}") for k in lasts])
+    joined = found.join(carried, ["file", "seg"])
+    whole = {k: F.col(k) + F.coalesce(f"_{k}", F.lit(0)) for k in sums} | {k: F.coalesce(k, f"_{k}") for k in lasts}
+    return joined.withColumns(whole).drop(*[f"_{k}" for k in whole])
+
+
+def _neighbour(rows: DataFrame, name: str, value: Column, ahead: bool, segmented: bool) -> DataFrame:
+    """Rows with the value of the token after (``ahead``) or before; ``value`` is never null."""
+    here = Window.partitionBy("file", "seg").orderBy("at")
+    found = rows.withColumn(name, F.lead(value).over(here) if ahead else F.lag(value).over(here))
+    if not segmented:
+        return found
+    edge = rows.groupBy("file", "seg").agg((F.min_by if ahead else F.max_by)(value, "at").alias("v"))
+    by_seg = Window.partitionBy("file").orderBy("seg")
+    beyond = F.first("v").over(by_seg.rowsBetween(1, 1)) if ahead else F.last("v").over(by_seg.rowsBetween(-1, -1))
+    # every segment but an empty one has tokens, and those without are not rows here
+    return found.join(edge.select("file", "seg", beyond.alias("_v")), ["file", "seg"]).withColumn(name, F.coalesce(name, "_v")).drop("_v")
+
+
+def _classified(found: DataFrame, segmented: bool = False) -> DataFrame:
+    """Tokens with their kind, the numbers of their frame and loop, and their place in these."""
+    low, bare = F.lower("token"), F.coalesce(F.col("delim").isin(" ", "$"), F.lit(False))
+    rows = found.withColumn("bare", bare).withColumn("is_loop", bare & (low == "loop_")).withColumn("is_stop", bare & (low == "stop_"))
+    rows = _running(rows, {"depth": F.col("is_loop").cast("int") - F.col("is_stop").cast("int"), "nth_token": F.lit(1)}, {}, segmented).withColumn("in_loop", F.col("depth") > 0)
+    rows = _neighbour(rows, "after_tag", F.col("bare") & F.col("token").startswith("_") & ~F.col("in_loop"), False, segmented).withColumn("after_tag", F.coalesce("after_tag", F.lit(False)))
     outside = F.col("bare") & ~F.col("in_loop") & ~F.col("after_tag")
     kind = (
-        F.when(F.col("is_loop"), "loop").when(F.col("is_stop"), "stop").when(outside & low.startswith("data_"), "data").when(outside & (low == "save_"), "close")
+        F.when(F.col("delim").isNull(), "end").when(F.col("is_loop"), "loop").when(F.col("is_stop"), "stop").when(outside & low.startswith("data_"), "data").when(outside & (low == "save_"), "close")
         .when(outside & low.startswith("save_"), "open").when(F.col("bare") & F.col("token").startswith("_") & ~F.col("after_tag"), "tag").otherwise("value")
     )
     rows = rows.withColumn("kind", kind)
-    count = lambda k: F.sum((F.col("kind") == k).cast("int")).over(running)
-    rows = rows.withColumn("sf_ord", count("open")).withColumn("closed", count("close")).withColumn("loop_no", count("loop"))
-    rows = rows.withColumn("sf_name", F.last(F.when(F.col("kind") == "open", F.substring(F.col("token"), F.lit(6), F.length("token"))), True).over(running))
-    rows = rows.withColumn("entry_id", F.first(F.when(F.col("kind") == "data", F.substring(F.col("token"), F.lit(6), F.length("token"))), True).over(running))
-    rows = rows.withColumn("next_token", F.lead("token").over(order)).withColumn("next_delim", F.lead("delim").over(order)).withColumn("next_kind", F.lead("kind").over(order))
-    in_frame = Window.partitionBy("file", "sf_ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("loop_ord", F.sum((F.col("kind") == "loop").cast("int")).over(in_frame))
+    count = lambda *kinds: F.col("kind").isin(*kinds).cast("int")
+    name = F.substring(F.col("token"), F.lit(6), F.length("token"))
+    sums = {"sf_ord": count("open"), "closed": count("close"), "loop_no": count("loop"), "n_values": count("value") * F.col("in_loop").cast("int"), "n_tags": count("tag") * F.col("in_loop").cast("int"), "n_own": count("tag") * (~F.col("in_loop")).cast("int"), "n_data": count("data")}
+    rows = _running(rows, sums, {"sf_name": F.when(F.col("kind") == "open", name)}, segmented)
+    opens, loops = F.col("kind") == "open", F.col("kind") == "loop"
+    marks = {"_loops": F.when(opens, F.col("loop_no")), "_own": F.when(opens, F.col("n_own")), "_values": F.when(loops, F.col("n_values")), "_tags": F.when(loops, F.col("n_tags")), "entry_id": F.when((F.col("kind") == "data") & (F.col("n_data") == 1), name)}
+    rows = _running(rows, {}, marks, segmented)
+    since = lambda n, mark: F.col(n) - F.coalesce(mark, F.lit(0))
+    rows = rows.withColumns({"loop_ord": since("loop_no", "_loops"), "nth_own": since("n_own", "_own"), "loop_values": since("n_values", "_values"), "loop_tags": since("n_tags", "_tags")}).drop(*[m for m in marks if m != "entry_id"], "n_values", "n_tags", "n_own", "n_data")
+    following = F.struct(F.col("token").alias("token"), F.col("delim").alias("delim"), F.col("kind").alias("kind"))
+    rows = _neighbour(rows, "next", following, True, segmented)
+    return rows.select("*", F.col("next.token").alias("next_token"), F.col("next.delim").alias("next_delim"), F.col("next.kind").alias("next_kind")).drop("next")
 
 
 def parse(texts: DataFrame) -> StarTables:
-    """Tables of the files (file, text). Errors are rows of ``errors``; well-formed parts are read all the same."""
+    """Tables of the files (file, text). Errors are rows of ``errors``; well-formed parts are read all the same.
+
+    The tokens are checkpointed at once: building these tables runs a job.
+    """
     # one pass over the texts: all tables below are read from its result
-    rows = cut(_classified(tokens(texts)))
-    loop = Window.partitionBy("file", "loop_no")
-    inner = rows.where("in_loop and kind in ('tag', 'value')")
-    inner = inner.withColumn("tags", F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "tag", F.struct("pos", "token"))).over(loop)), lambda x: x["token"]))
-    values = inner.where("kind = 'value'").withColumn("nth", F.row_number().over(loop.orderBy("pos")) - 1).where(F.size("tags") > 0)
+    return _tables(cut(_classified(_explode_tokens(_whole(texts)))), False)
+
+
+def parse_segments(segments: DataFrame) -> StarTables:
+    """As ``parse``, of texts in segments (file, seg, last, text), so that no task holds a large file's tokens."""
+    return _tables(cut(_classified(cut(_explode_tokens(_with_states(segments))), True)), True)
+
+
+def _own_category(token: Column) -> Column:
+    """The category that a tag names itself; null without one."""
+    return F.when(F.contains(token, F.lit(".")), format_category(token))
+
+
+def _short(token: Column) -> Column:
+    return F.when(F.contains(token, F.lit(".")), format_tag(token)).otherwise(F.ltrim(token, F.lit("_")))
+
+
+def _with_heads(values: DataFrame, heads: DataFrame, segmented: bool) -> DataFrame:
+    """A loop's values beside its tags; in segments, so that a loop of many values is not one key."""
+    if not segmented:
+        return values.join(heads, ["file", "loop_no"])
+    held = values.select("file", "loop_no", "seg").distinct().join(heads, ["file", "loop_no"])
+    return values.join(held, ["file", "loop_no", "seg"])
+
+
+def _tables(rows: DataFrame, segmented: bool) -> StarTables:
+    place = ["file", "entry_id", "sf_ord", "sf_name"]
+    gathered = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "tag", F.struct("pos", "token")))), lambda x: x["token"])
+    heads = rows.where("in_loop and kind in ('loop', 'tag')").groupBy(*place, "loop_no", "loop_ord").agg(F.min("line_no").alias("line_no"), gathered.alias("tags"))
+    known = heads.select("file", "loop_no", "tags").where(F.size("tags") > 0)
+    values = _with_heads(rows.where("in_loop and kind = 'value'"), known, segmented).withColumn("nth", F.col("loop_values") - 1)
     n = F.size("tags")
     name = F.element_at("tags", (F.col("nth") % n + 1).cast("int"))
-    place = ["file", "entry_id", "sf_ord", "sf_name"]
     loop_cells = values.select(*place, F.lit("loop").alias("kind"), "loop_ord", format_category(name).alias("category"), F.floor(F.col("nth") / n).cast("long").alias("row_ord"), (F.col("nth") % n).cast("int").alias("col_ord"), format_tag(name).alias("tag"), F.col("token").alias("value"), "delim", "line_no")
     tags = rows.where("kind = 'tag' and not in_loop and sf_ord > 0")
-    frame_cells = tags.select(
-        *place, F.lit("tag").alias("kind"), F.lit(0).cast("long").alias("loop_ord"), format_category(F.col("token")).alias("category"), F.lit(0).cast("long").alias("row_ord"),
-        (F.row_number().over(Window.partitionBy("file", "sf_ord").orderBy("pos")) - 1).alias("col_ord"), format_tag(F.col("token")).alias("tag"), F.col("next_token").alias("value"), F.col("next_delim").alias("delim"), "line_no",
+    own = tags.select(
+        *place, F.lit("tag").alias("kind"), F.lit(0).cast("long").alias("loop_ord"), _own_category(F.col("token")).alias("category"), F.lit(0).cast("long").alias("row_ord"),
+        (F.col("nth_own") - 1).cast("int").alias("col_ord"), _short(F.col("token")).alias("tag"), F.col("next_token").alias("value"), F.col("next_delim").alias("delim"), "line_no",
     )
-    category = frame_cells.where(F.lower("tag") == "sf_category").groupBy("file", "sf_ord").agg(F.first("value").alias("sf_category"))
-    prefix = frame_cells.groupBy("file", "sf_ord").agg(F.min_by("category", "col_ord").alias("tag_prefix"))
-    frames = rows.where("kind = 'open'").select(*place, "line_no").join(category, ["file", "sf_ord"], "left").join(prefix, ["file", "sf_ord"], "left")
-    heads = rows.where("in_loop and kind in ('loop', 'tag')").groupBy(*place, "loop_no", "loop_ord").agg(F.min("line_no").alias("line_no"), F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "tag", F.struct("pos", "token")))), lambda x: x["token"]).alias("tags"))
-    sizes = values.groupBy("file", "loop_no").agg(F.max(F.floor(F.col("nth") / n) + 1).alias("n_rows"))
-    loops = heads.join(sizes, ["file", "loop_no"], "left").select(*place, "loop_ord", format_category(F.col("tags")[0]).alias("category"), F.transform("tags", format_tag).alias("tags"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "line_no")
+    told = own.groupBy("file", "sf_ord").agg(F.max(F.when(F.lower("tag") == "sf_category", F.col("value"))).alias("sf_category"), F.min_by("category", F.when(F.col("category").isNotNull(), F.col("col_ord"))).alias("tag_prefix"))
+    frames = rows.where("kind = 'open'").select(*place, "line_no").join(told, ["file", "sf_ord"], "left")
+    sizes = values.groupBy("file", "loop_no").agg(F.max(F.floor(F.col("nth") / n) + 1).alias("n_rows"), F.max("line_no").alias("end_line"), (F.count("*") % F.first(n)).alias("over"))
+    loops = heads.join(sizes, ["file", "loop_no"], "left")
     entries = rows.groupBy("file").agg(F.max("entry_id").alias("entry_id"), F.max("sf_ord").alias("n_frames"))
-    cells = frame_cells.unionByName(loop_cells).join(category, ["file", "sf_ord"], "left")
-    return StarTables(entries, frames, loops, cells, _errors(rows, values))
+    cells = own.unionByName(loop_cells).join(told, ["file", "sf_ord"], "left").withColumn("category", F.coalesce("category", "tag_prefix")).drop("tag_prefix")
+    shown = loops.select(*place, "loop_ord", format_category(F.col("tags")[0]).alias("category"), F.transform("tags", format_tag).alias("tags"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "line_no")
+    return StarTables(entries, frames, shown, cells, _errors(rows, loops))
 
 
-def _errors(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """(file, line_no, message): every rule of the format that a token breaks."""
-    low, bare = F.lower("token"), F.col("bare")
+def _errors(rows: DataFrame, loops: DataFrame) -> DataFrame:
+    """(file, line_no, message): every rule of the format that a token, a loop's size or a saveframe's names break."""
+    low, bare, loop, short = F.lower("token"), F.col("bare"), F.col("in_loop"), _short(F.col("token"))
+    tag, value, own = F.col("kind") == "tag", F.col("kind") == "value", (F.col("kind") == "tag") & ~F.col("in_loop")
     begins = F.substring("token", 1, 1)
-    first = Window.partitionBy("file").orderBy("pos")
-    rows = rows.withColumn("nth_token", F.row_number().over(first)).withColumn("last_token", F.lead("pos").over(first).isNull())
-    in_loop = Window.partitionBy("file", "loop_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("loop_tags", F.sum((F.col("in_loop") & (F.col("kind") == "tag")).cast("int")).over(in_loop)).withColumn("loop_values", F.sum((F.col("in_loop") & (F.col("kind") == "value")).cast("int")).over(in_loop))
     message = (
         F.when(bare & begins.isin("'", '"'), "A quoted value was never ended before its line was.")
         .when(bare & (F.col("token") == ";\n"), "A text block was never ended.")
@@ -134,29 +311,42 @@ def _errors(rows: DataFrame, values: DataFrame) -> DataFrame:
         .when((F.col("kind") == "data") & (F.col("nth_token") > 1), "'data_' may only begin a file.")
         .when((F.col("kind") == "open") & (F.col("sf_ord") - F.col("closed") > 1), "A saveframe begins before the last one ended.")
         .when((F.col("kind") == "close") & (F.col("closed") > F.col("sf_ord")), "'save_' ends no saveframe.")
-        .when((F.col("sf_ord") == F.col("closed")) & (F.col("nth_token") > 1) & ~F.col("kind").isin("open", "close", "data"), "Only 'save_' and a name may stand outside of saveframes.")
+        .when((F.col("sf_ord") == F.col("closed")) & (F.col("nth_token") > 1) & ~F.col("kind").isin("open", "close", "data", "end"), "Only 'save_' and a name may stand outside of saveframes.")
         .when((F.col("kind") == "loop") & (F.col("depth") > 1), "A loop begins before the last one ended.")
         .when((F.col("kind") == "stop") & (F.col("depth") < 0), "'stop_' ends no loop.")
-        .when(F.col("in_loop") & (F.col("kind") == "tag") & (F.col("loop_values") > 0), "A tag follows the data of its loop.")
-        .when(F.col("in_loop") & (F.col("kind") == "value") & (F.col("loop_tags") == 0), "A loop has data before any tag.")
-        .when((F.col("kind") == "value") & bare & low.isin(*RESERVED), "A reserved word must be quoted to be a value.")
-        .when((F.col("kind") == "value") & F.col("after_tag") & bare & F.col("token").startswith("_"), "A value that begins with an underscore must be quoted.")
-        .when((F.col("kind") == "tag") & ~F.col("in_loop") & (F.col("next_token").isNull() | F.col("next_kind").isin("loop", "stop")), "A tag has no value.")
-        .when((F.col("kind") == "value") & ~F.col("in_loop") & ~F.col("after_tag"), "A value has no tag.")
-        .when(F.col("last_token") & (F.col("in_loop") | (F.col("closed") < F.col("sf_ord"))), "The file ends within a saveframe or loop.")
+        .when(loop & tag & (F.col("loop_values") > 0), "A tag follows the data of its loop.")
+        .when(loop & value & (F.col("loop_tags") == 0), "A loop has data before any tag.")
+        .when(value & bare & low.isin(*RESERVED), "A reserved word must be quoted to be a value.")
+        .when(loop & value & ~bare & (low == "stop_"), "'stop_' may not be quoted within a loop.")
+        .when(value & F.col("after_tag") & bare & F.col("token").startswith("_"), "A value that begins with an underscore must be quoted.")
+        .when(own & (F.col("next_kind").isNull() | F.col("next_kind").isin("loop", "stop", "end")), "A tag has no value.")
+        .when(value & ~loop & ~F.col("after_tag"), "A value has no tag.")
+        .when(tag & short.isin(*NULL_TEXTS), "A tag has no name.")
+        .when(tag & F.contains(short, F.lit(".")), "A tag has more than one '.' in its name.")
+        .when(tag & loop & ~F.contains("token", F.lit(".")), "A tag of a loop names no category.")
+        .when(own & (F.lower(short) == "sf_framecode") & (F.col("next_token") != F.col("sf_name")), "Sf_framecode is not the saveframe's name.")
+        .when((F.col("kind") == "end") & (loop | (F.col("closed") < F.col("sf_ord"))), "The file ends within a saveframe or loop.")
     )
     by_token = rows.select("file", "line_no", message.alias("message")).where("message is not null")
-    ragged = values.groupBy("file", "loop_no").agg(F.max("line_no").alias("line_no"), F.count("*").alias("n"), F.first(F.size("tags")).alias("width")).where("n % width <> 0").select("file", "line_no", F.lit("The number of values is not a multiple of the number of tags.").alias("message"))
-    names = rows.where("kind = 'open'").groupBy("file", "sf_name").agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1").select("file", "line_no", F.lit("Two saveframes have one name.").alias("message"))
-    heads = rows.where("kind = 'tag'").withColumn("at", F.when(F.col("in_loop"), F.col("loop_no")).otherwise(-F.col("sf_ord")))
-    twice = heads.groupBy("file", "at", F.lower("token")).agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1").select("file", "line_no", F.lit("A tag occurs twice.").alias("message"))
-    mixed = heads.groupBy("file", "at").agg(F.max("line_no").alias("line_no"), F.count_distinct(F.lower(format_category(F.col("token")))).alias("n")).where("n > 1").select("file", "line_no", F.lit("Tags of one saveframe or loop have different categories.").alias("message"))
-    opens = rows.where("kind = 'open'").select("file", "sf_ord", "line_no")
-    bare = opens.join(heads.where("not in_loop").select("file", "sf_ord").distinct(), ["file", "sf_ord"], "left_anti").select("file", "line_no", F.lit("A saveframe has no tag that names its category.").alias("message"))
-    of_loop = heads.where("in_loop").groupBy("file", "sf_ord", "loop_no").agg(F.min_by(F.lower(format_category(F.col("token"))), "pos").alias("category"), F.min("line_no").alias("line_no"))
-    again = of_loop.groupBy("file", "sf_ord", "category").agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1").select("file", "line_no", F.lit("Two loops of one saveframe have one category.").alias("message"))
-    cased = heads.groupBy("file", "at").agg(F.max("line_no").alias("line_no"), F.count_distinct(F.lower(format_category(F.col("token")))).alias("k"), F.count_distinct(format_category(F.col("token"))).alias("n")).where("k = 1 and n > 1 and at < 0").select("file", "line_no", F.lit("Tags of one saveframe spell its category differently.").alias("message"))
-    return by_token.unionByName(ragged).unionByName(names).unionByName(twice).unionByName(mixed).unionByName(bare).unionByName(again).unionByName(cased)
+    ragged = loops.where("over <> 0").select("file", F.col("end_line").alias("line_no"), F.lit("The number of values is not a multiple of the number of tags.").alias("message"))
+    # a saveframe (negative) or loop and its tags
+    named = rows.where("kind = 'tag'").select("file", F.when(loop, F.col("loop_no")).otherwise(-F.col("sf_ord")).alias("at"), F.lower(short).alias("tag"), _own_category(F.col("token")).alias("category"), "line_no")
+    per_tag = named.groupBy("file", "at", "tag").agg(F.max("line_no").alias("line_no"), F.count("*").alias("n"), F.collect_set("category").alias("categories"))
+    twice = F.max(F.when(F.col("n") > 1, F.col("line_no")))
+    spelled = F.array_distinct(F.flatten(F.collect_list("categories")))
+    groups = per_tag.groupBy("file", "at").agg(F.max("line_no").alias("line_no"), twice.alias("twice"), spelled.alias("spelled")).withColumn("lowered", F.array_distinct(F.transform("spelled", F.lower)))
+    found = F.array_compact(F.array(
+        F.when(F.col("twice").isNotNull(), F.struct(F.col("twice").alias("line_no"), F.lit("A tag occurs twice.").alias("message"))),
+        F.when(F.size("lowered") > 1, F.struct("line_no", F.lit("Tags of one saveframe or loop have different categories.").alias("message"))),
+        F.when((F.size("lowered") == 1) & (F.size("spelled") > 1) & (F.col("at") < 0), F.struct("line_no", F.lit("Tags of one saveframe spell its category differently.").alias("message"))),
+    ))
+    of_tags = groups.select("file", F.explode(found).alias("e")).select("file", "e.*")
+    opens = rows.where("kind = 'open'").select("file", "sf_ord", "sf_name", "line_no")
+    names = opens.groupBy("file", "sf_name").agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1").select("file", "line_no", F.lit("Two saveframes have one name.").alias("message"))
+    told = groups.where((F.col("at") < 0) & (F.size("lowered") > 0)).select("file", (-F.col("at")).alias("sf_ord"))
+    untold = opens.join(told, ["file", "sf_ord"], "left_anti").select("file", "line_no", F.lit("A saveframe has no tag that names its category.").alias("message"))
+    again = loops.where(F.size("tags") > 0).groupBy("file", "sf_ord", F.lower(format_category(F.col("tags")[0]))).agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1").select("file", "line_no", F.lit("Two loops of one saveframe have one category.").alias("message"))
+    return by_token.unionByName(ragged).unionByName(of_tags).unionByName(names).unionByName(untold).unionByName(again)
 
 
 def read_files(spark: SparkSession, path: str) -> StarTables:
