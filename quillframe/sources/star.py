@@ -66,7 +66,8 @@ def _lines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def _repaired(text: Column) -> Column:
+def repaired(text: Column) -> Column:
+    """A text with plain newlines, whose blocks begin on lines of their own; null as empty."""
     return repair_block_starts(normalise_newlines(F.coalesce(text, F.lit(""))))
 
 
@@ -75,7 +76,7 @@ def cut_texts(texts: DataFrame, size: int = SEGMENT) -> DataFrame:
 
     A segment ends with a line, and before a line that does not begin with a semicolon, so no delimiter is cut.
     """
-    whole = texts.select("file", _repaired(F.col("text")).alias("text"))
+    whole = texts.select("file", repaired(F.col("text")).alias("text"))
     pieces = F.when(F.length("text") <= size, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"[\\s\\S]{{{size}}}[\\s\\S]*?\\n(?!;)|[\\s\\S]+"), F.lit(0)))
     found = whole.select("file", F.posexplode(pieces).alias("seg", "piece"), F.size(pieces).alias("n"))
     return found.select("file", "seg", (F.col("seg") == F.col("n") - 1).alias("last"), F.col("piece").alias("text"))
@@ -168,7 +169,7 @@ def _explode_tokens(segments: DataFrame) -> DataFrame:
 
 
 def _whole(texts: DataFrame) -> DataFrame:
-    return texts.select("file", F.lit(0).alias("seg"), F.lit(True).alias("last"), _repaired(F.col("text")).alias("text"))
+    return texts.select("file", F.lit(0).alias("seg"), F.lit(True).alias("last"), repaired(F.col("text")).alias("text"))
 
 
 def tokens(texts: DataFrame) -> DataFrame:
