@@ -13,7 +13,7 @@ class ParseError(PySparkException):
         self.line_no, self.file = line_no, file
 
 
-class InvalidStateError(PySparkException):
+class InvalidStateError(PySparkException, ValueError):
     """An operation would leave tables that contradict one another, or names what is not there."""
 
     def __init__(self, message: str):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,8 +11,7 @@ from quillframe.functions.names import is_null, strip_reference
 from quillframe.operators.frames import raise_where
 
 #: Tags that say what a saveframe is and do not make it non-empty.
-STRUCTURAL = ("sf_category", "sf_framecode", "id", "entry_id")
-STRUCTURAL_END = "_star_version"
+STRUCTURAL = ("sf_category", "sf_framecode", "id", "entry_id", "nmr_star_version", "original_nmr_star_version")
 
 
 def _same(name: str, value: Column) -> Column:
@@ -56,15 +55,15 @@ def duplicate_names(frames: DataFrame) -> DataFrame:
     return frames.groupBy("entry_id", "sf_name").count().where("count > 1")
 
 
-def empty_frames(cells: DataFrame, frames: DataFrame) -> DataFrame:
-    """(entry_id, sf_ord) of saveframes all of whose values are null-equivalent, structural tags aside."""
-    held = cells.where(~is_null(F.col("value")) & ~((F.col("kind") == "tag") & (F.lower("tag").isin(*STRUCTURAL) | F.lower("tag").endswith(STRUCTURAL_END)))).select("entry_id", "sf_ord").distinct()
+def empty_frames(cells: DataFrame, frames: DataFrame, structural: Sequence[str] = STRUCTURAL) -> DataFrame:
+    """(entry_id, sf_ord) of saveframes all of whose values are null-equivalent, structural tags (whole names, lower case) aside."""
+    held = cells.where(~is_null(F.col("value")) & ~((F.col("kind") == "tag") & F.lower("tag").isin(*structural))).select("entry_id", "sf_ord").distinct()
     return frames.select("entry_id", "sf_ord").join(held, ["entry_id", "sf_ord"], "left_anti")
 
 
-def remove_empty_frames(cells: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The (cells, frames) without the saveframes that hold nothing."""
-    gone = empty_frames(cells, frames)
+def remove_empty_frames(cells: DataFrame, frames: DataFrame, structural: Sequence[str] = STRUCTURAL) -> tuple[DataFrame, DataFrame]:
+    """The (cells, frames) without the saveframes that hold nothing but structural tags."""
+    gone = empty_frames(cells, frames, structural)
     return tuple(x.join(gone, ["entry_id", "sf_ord"], "left_anti").select(*x.columns) for x in (cells, frames))
 
 

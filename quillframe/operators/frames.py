@@ -6,13 +6,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.errors import InvalidStateError
-from quillframe.functions.names import NULL_TEXTS, format_category, format_tag_lower
+from quillframe.functions.names import NULL_TEXTS, format_category, format_tag, format_tag_lower
 
 KEYS = ["entry_id", "sf_ord"]
 
@@ -68,11 +68,11 @@ def add_tags(cells: DataFrame, frames: DataFrame, tags: DataFrame, update: bool
     """
     held = cells.where("kind = 'tag'")
     asked = tags.join(frames.select(*KEYS, "sf_name", "sf_category", "tag_prefix"), KEYS).withColumn("value", F.coalesce("value", F.lit(".")))
-    asked = asked.withColumn("low", format_tag_lower(F.col("tag"))).withColumn("short", F.substring_index("tag", ".", -1))
+    asked = asked.withColumn("low", format_tag_lower(F.col("tag"))).withColumn("short", format_tag(F.col("tag")))
     wrong = (
-        F.when(F.contains("tag", F.lit(".")) & (F.lower(format_category(F.col("tag"))) != F.lower("tag_prefix")), F.concat(F.col("tag"), F.lit(" is of another category")))
+        F.when((F.instr("tag", ".") > 1) & (F.lower(format_category(F.col("tag"))) != F.lower("tag_prefix")), F.concat(F.col("tag"), F.lit(" is of another category")))
         .when((F.col("low") == "sf_framecode") & (F.col("value") != F.col("sf_name")), F.concat(F.lit("Sf_framecode must be the saveframe's name: "), "sf_name"))
-        .when(F.col("short").isin(*NULL_TEXTS) | F.col("short").rlike(r"\s"), F.concat(F.lit("no name for a tag: "), "tag"))
+        .when(F.col("short").isin(*NULL_TEXTS) | F.col("short").rlike(r"[\s.]"), F.concat(F.lit("no name for a tag: "), "tag"))
     )
     bad = asked.select(wrong.alias("message")).where("message is not null")
     had = held.select(*KEYS, format_tag_lower(F.col("tag")).alias("low"), F.col("col_ord").alias("_at"))
@@ -149,11 +149,3 @@ def sizes(frames: DataFrame, loops: DataFrame) -> DataFrame:
 def as_map(items: DataFrame, group: Sequence[str], key: str, value: str | Column) -> DataFrame:
     """(group, items): a map from key to value of each group; a key twice is an error."""
     return items.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), (F.col(value) if isinstance(value, str) else value).alias("v"))))).alias("items"))
-
-
-def in_tag_order(columns: Mapping[str, Sequence[object]], tags: Sequence[str]) -> list[tuple[str, object]]:
-    """Values that are given tag by tag, as (tag, value), which must come in the order of a loop's tags, row by row."""
-    pairs = [(t, v) for t, values in columns.items() for v in values]
-    if any(t.lower() != tags[i % len(tags)].lower() for i, (t, _) in enumerate(pairs)):
-        raise InvalidStateError("values must be added in the order of the tags")
-    return pairs

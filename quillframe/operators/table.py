@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillframe.errors import InvalidStateError
-from quillframe.functions.names import is_null
+from quillframe.functions.lineage import cut
+from quillframe.functions.names import NULL_TEXTS, is_null
 from quillframe.functions.values import is_integer_text, is_number_text, typed
 
 ROW = "_row"
@@ -19,9 +20,10 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], name: str = ROW, st
     """Number all rows in a total order, without bringing them to one task.
 
     Rows are dealt by ranges and sorted there; a row's number is its place in its range plus the sizes of
-    the ranges before. Only one row a range goes through the small window.
+    the ranges before. Only one row a range goes through the small window. The dealt rows are checkpointed, at once:
+    ranges rest on a sample, and two runs may draw different ones.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = dealt.groupBy(part).count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
@@ -189,9 +191,12 @@ class Loop:
     # tags
 
     def add_tag(self, name: str, value: Column | None = None) -> Loop:
-        """Add a tag, null or computed; a name may hold no white space and no second dot."""
-        short = name.strip().rpartition(".")[2]
-        if not short or short in (".", "?") or any(c.isspace() for c in short):
+        """Add a tag, null or computed; a name may be qualified by this category, and hold no white space and no second dot."""
+        category, dot, short = name.strip().partition(".")
+        short = short if dot else category
+        if dot and category and category.lower().removeprefix("_") != self.category.lower().removeprefix("_"):
+            raise ValueError(f"{name} is no tag of {self.category}")
+        if short in NULL_TEXTS or "." in short or any(c.isspace() for c in short):
             raise ValueError(f"{name!r} is no name for a tag")
         if short.lower() in (t.lower() for t in self.tags):
             raise ValueError(f"there is a tag {short} already")

@@ -15,6 +15,7 @@ from quillframe.functions.lineage import cut
 from quillframe.functions.names import is_null
 from quillframe.functions.values import is_integer_text, is_number_text
 from quillframe.operators.dictionary import category_order
+from quillframe.operators.ranking import ranked_within
 from quillframe.plans.validate import with_dictionary
 
 
@@ -23,26 +24,31 @@ def frame_order(frames: DataFrame, cells: DataFrame, dictionary: DataFrame) -> D
     ids = cells.where((F.col("kind") == "tag") & (F.lower("tag") == "id")).groupBy("entry_id", "sf_ord").agg(F.min_by(F.when(is_integer_text(F.col("value")), F.col("value").try_cast("long")), "col_ord").alias("id"))
     placed = frames.join(F.broadcast(category_order(dictionary)), frames["tag_prefix"] == F.col("category"), "left").join(ids, ["entry_id", "sf_ord"], "left")
     group = F.when(F.col("place").isNotNull(), 0).when(F.col("sf_category").isNotNull(), 1).otherwise(2)
-    order = Window.partitionBy("entry_id").orderBy(group, "place", F.sha1("sf_category"), F.asc_nulls_last("id"), "sf_ord")
-    ordered = placed.select("entry_id", "sf_ord", "sf_category", F.row_number().over(order).alias("new_ord"))
-    return ordered.withColumn("frame_id", F.row_number().over(Window.partitionBy("entry_id", "sf_category").orderBy("new_ord")).cast("string")).drop("sf_category")
+    order = [group, "place", F.sha1("sf_category"), F.asc_nulls_last("id"), "sf_ord"]
+    ordered = ranked_within(placed.select("entry_id", "sf_ord", "sf_category", "place", "id"), ["entry_id"], order, "new_ord")
+    numbered = ranked_within(ordered.select("entry_id", "sf_ord", "sf_category", "new_ord"), ["entry_id", "sf_category"], ["new_ord"], "frame_id")
+    return numbered.withColumn("frame_id", F.col("frame_id").cast("string")).drop("sf_category")
 
 
 def _ordered(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Cells with new loop, row and column ordinals: by dictionary, by ``Ordinal``, by dictionary."""
+    """Cells with new loop, row and column ordinals: by dictionary, by ``Ordinal``, by dictionary.
+
+    Each is ranked over the distinct loops, rows or tags and joined back, so no task holds a loop.
+    """
     keys = ["entry_id", "sf_ord", "loop_ord"]
-    loop = Window.partitionBy(*keys)
-    ordinal = F.max(F.when((F.lower("tag") == "ordinal") & (F.col("kind") == "loop"), F.coalesce("value", F.lit("")))).over(Window.partitionBy(*keys, "row_ord"))
-    rows = with_dictionary(cells, dictionary).withColumn("_ordinal", ordinal)
-    numeric = F.min(is_number_text(F.col("_ordinal")).cast("int")).over(loop)
-    rows = rows.withColumn("_numeric", numeric)
-    by = [F.when(F.col("_numeric") == 1, F.col("_ordinal").try_cast("double")), F.col("_ordinal"), F.col("row_ord")]
-    rows = rows.withColumn("row_ord", (F.dense_rank().over(loop.orderBy(*by)) - 1).cast("long"))
-    rows = rows.withColumn("col_ord", F.dense_rank().over(loop.orderBy(F.asc_nulls_last("seq"), F.when(F.col("seq").isNull(), F.col("tag")), "col_ord")) - 1)
-    rows = rows.join(F.broadcast(category_order(dictionary)), "category", "left")
-    places = F.dense_rank().over(Window.partitionBy("entry_id", "sf_ord").orderBy(F.col("kind") == "loop", F.asc_nulls_last("place"), F.sha1("category"), "loop_ord"))
-    tags = F.max((F.col("kind") == "tag").cast("int")).over(Window.partitionBy("entry_id", "sf_ord"))
-    return rows.withColumn("_tags", tags).withColumn("loop_ord", F.when(F.col("kind") == "tag", 0).otherwise(places - F.col("_tags")).cast("long")).drop("_ordinal", "_numeric", "_tags", "place")
+    rows = with_dictionary(cells, dictionary)
+    ordinal = F.max(F.when((F.lower("tag") == "ordinal") & (F.col("kind") == "loop"), F.coalesce("value", F.lit(""))))
+    of_rows = rows.groupBy(*keys, "row_ord").agg(ordinal.alias("_ordinal"))
+    numeric = of_rows.groupBy(*keys).agg(F.min(is_number_text(F.col("_ordinal")).cast("int")).alias("_numeric"))
+    keyed = of_rows.join(numeric, keys).withColumn("_number", F.when(F.col("_numeric") == 1, F.col("_ordinal").try_cast("double")))
+    new_rows = ranked_within(keyed.select(*keys, "row_ord", "_ordinal", "_number"), keys, ["_number", "_ordinal", "row_ord"], "_row").select(*keys, "row_ord", (F.col("_row") - 1).alias("_row"))
+    own_tags = rows.groupBy(*keys, "col_ord").agg(F.first("seq").alias("seq"), F.first(F.when(F.col("seq").isNull(), F.col("tag"))).alias("_tag"))
+    new_tags = own_tags.select(*keys, "col_ord", (F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("seq"), "_tag", "col_ord")) - 1).alias("_col"))
+    loops = rows.where("kind = 'loop'").groupBy(*keys).agg(F.first("category").alias("category")).join(F.broadcast(category_order(dictionary)), "category", "left")
+    place = F.row_number().over(Window.partitionBy("entry_id", "sf_ord").orderBy(F.asc_nulls_last("place"), F.sha1("category"), "loop_ord"))
+    new_loops = loops.select(*keys, place.cast("long").alias("_loop"))
+    joined = rows.join(new_rows, [*keys, "row_ord"]).join(new_tags, [*keys, "col_ord"]).join(new_loops, keys, "left")
+    return joined.drop("row_ord", "col_ord", "loop_ord").withColumnsRenamed({"_row": "row_ord", "_col": "col_ord"}).withColumn("loop_ord", F.coalesce("_loop", F.lit(0).cast("long"))).drop("_loop")
 
 
 def beside_parent(rows: DataFrame, parents: DataFrame) -> DataFrame:

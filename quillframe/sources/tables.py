@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.errors import InvalidStateError
 from quillframe.functions.names import is_null
 from quillframe.sources.writer import csv_line
 
@@ -14,8 +15,11 @@ _OPTIONS = {"escape": '"', "multiLine": "true"}
 
 
 def loop_from_csv(spark: SparkSession, path: str) -> tuple[str | None, DataFrame]:
-    """(category, rows) of CSV files with a header of tags, qualified or not; all values are text, in one shared order of columns."""
-    read = spark.read.options(header=True, enforceSchema=False, **_OPTIONS).csv(path)
+    """(category, rows) of CSV files with a header of tags, qualified or not; all values are text, in one shared order of columns.
+
+    A row of more or fewer values than the header fails the job that reads it.
+    """
+    read = spark.read.options(header=True, enforceSchema=False, mode="FAILFAST", **_OPTIONS).csv(path)
     named = [c for c in read.columns if "." in c]
     category = named[0].partition(".")[0] if named else None
     if any(c.partition(".")[0].lower() != category.lower() for c in named):
@@ -30,10 +34,16 @@ def loop_rows_from_csv(lines: DataFrame, line_col: str, tags: Sequence[str]) ->
 
 
 def frame_from_csv(spark: SparkSession, path: str) -> tuple[str | None, DataFrame]:
-    """(category, tags) of a CSV file with a header of tags and one row: (tag, value, col_ord), never converted."""
+    """(category, tags) of a CSV file with a header of tags and one row: (tag, value, col_ord), never converted.
+
+    No row, or several, are an error, as is a row of another length than the header.
+    """
     category, read = loop_from_csv(spark, path)
+    n = len(read.select(*[F.col(f"`{c}`") for c in read.columns]).take(2))
+    if n != 1:
+        raise InvalidStateError("a saveframe has one row of values, and no more")
     pairs = F.array(*[F.struct(F.lit(t).alias("tag"), F.col(f"`{t}`").alias("value")) for t in read.columns])
-    return category, read.limit(1).select(F.posexplode(pairs).alias("col_ord", "pair")).select("pair.tag", "pair.value", "col_ord")
+    return category, read.select(F.posexplode(pairs).alias("col_ord", "pair")).select("pair.tag", "pair.value", "col_ord")
 
 
 def loop_to_csv(rows: DataFrame, tags: Sequence[str], category: str, order: str, header: bool = True, show_category: bool = True) -> DataFrame:

@@ -93,8 +93,3 @@ def csv_line(columns: list[Column]) -> Column:
     """A CSV line of some values: quoted only where needed, null as nothing."""
     shown = [F.when(c.rlike("[,\"\\r\\n]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))) for c in columns]
     return F.concat_ws(",", *shown)
-
-
-def write_entries(entry_texts: DataFrame, path: str) -> None:
-    """One file an entry, in a folder of its id."""
-    entry_texts.select("entry_id", F.col("text").alias("value")).write.partitionBy("entry_id").text(path)
