@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillframe.functions import names, quoting, values
+from quillframe.functions.lineage import scratch_folder
 from quillframe.operators import compare, dictionary, entries, listing
 from quillframe.operators import frames as upkeep
 from quillframe.operators.table import ROW, Loop, numbered, wide
 from quillframe.plans import normalize, validate
-from quillframe.sources import star, writer
+from quillframe.sources import datasource, star, writer
 from quillframe.sources import tables as csv_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -803,3 +804,132 @@ def validate_whole(spark, d):
     known = dictionary.from_rows(spark, [{"tag": "_nation.r", "sf_category": "nation"}, {"tag": "_region.r_name", "sf_category": "region"}])
     loops = spark.createDataFrame([], "entry_id string, sf_ord long, loop_ord long, tags array<string>")
     return validate.validate(cells.unionByName(references), frames, loops, known)
+
+
+# files of any size, malformed files, files written by commit
+
+
+#: A malformed file for each remainder of a key, and what is wrong with it.
+_MALFORMED = [
+    ("", "The file does not begin with 'data_' and a name."),
+    ("data_a save_a _A.Sf_framecode b save_", "Sf_framecode is not the saveframe's name."),
+    ("data_a save_a _Ax 1 save_", "A saveframe has no tag that names its category."),
+    ("data_a save_a _A.b c loop_ _B.a 1 'stop_' stop_ save_", "'stop_' may not be quoted within a loop."),
+    ("data_a save_a _A. c save_", "A tag has no name."),
+    ("data_a save_a _A.b.c d save_", "A tag has more than one '.' in its name."),
+    ("data_a save_a _A.b c loop_ _b 1 stop_ save_", "A tag of a loop names no category."),
+    ("# nothing else", "The file does not begin with 'data_' and a name."),
+    ("data_a save_a _A.b c save_", None),
+    (None, "The file does not begin with 'data_' and a name."),
+    ("data_a save_a _A.b c loop_ _B.a _B.b 1 2 3 stop_ save_", "The number of values is not a multiple of the number of tags."),
+]
+_MESSAGES = " ".join(f"WHEN {i} THEN '{m.replace(chr(39), chr(39) * 2)}'" for i, (_, m) in enumerate(_MALFORMED) if m)
+
+
+@query(f"SELECT message, count(*) AS n FROM (SELECT CASE p_partkey % {len(_MALFORMED)} {_MESSAGES} END AS message FROM part) t WHERE message IS NOT NULL GROUP BY message")
+def parse_errors(spark, d):
+    """A file for each part, most of them malformed; errors by kind."""
+    files = F.element_at(F.array(*[F.lit(t).cast("string") for t, _ in _MALFORMED]), (F.col("p_partkey") % len(_MALFORMED) + 1).cast("int"))
+    found = star.parse(table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), files.alias("text")))
+    return found.errors.groupBy("message").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def parse_large_files(spark, d):
+    """All orders in files of up to a million rows, each parsed in segments of 64 KB."""
+    orders = texts(table(spark, d, "orders"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    files = _star_text(spark, d, orders, "orders", orders.count() // 1_000_000 + 1)
+    parsed = star.parse_segments(star.cut_texts(files, 1 << 16)).checked()
+    return wide(entries.loops_by_category(parsed.cells, "orders"), orders.columns, ["file"]).drop("file", ROW)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer")
+def write_and_read_files(spark, d):
+    """Customers as text files that a commit wrote, and what the data source reads of them."""
+    customers = texts(table(spark, d, "customer"), "c_custkey", "c_name", "c_mktsegment")
+    folder = scratch_folder(spark, "entries")
+    datasource.write_entries(_star_text(spark, d, customers, "customer", customers.count() // 1000 + 1), folder, id_col="file")
+    parsed = datasource.read_large_files(spark, folder, 1 << 14, 1 << 20).checked()
+    return wide(entries.loops_by_category(parsed.cells, "customer"), customers.columns, ["file"]).drop("file", ROW)
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
+def write_json_files(spark, d):
+    """Suppliers by nation as JSON files that a commit wrote, read again."""
+    rows = table(spark, d, "supplier").withColumn("entry_id", F.concat(F.lit("n"), F.col("s_nationkey")))
+    columns = ["s_suppkey", "s_name", "s_nationkey"]
+    pairs = F.array(*[F.struct(F.lit(i).alias("col_ord"), F.lit(t).alias("tag"), F.col(t).cast("string").alias("value")) for i, t in enumerate(columns)])
+    cells = rows.select("entry_id", F.lit(1).cast("long").alias("sf_ord"), F.lit("loop").alias("kind"), F.lit(1).cast("long").alias("loop_ord"), F.col("s_suppkey").alias("row_ord"), F.explode(pairs).alias("c")).select("*", "c.*").drop("c")
+    framed = rows.select("entry_id").distinct().select("entry_id", F.lit(1).cast("long").alias("sf_ord"))
+    frames = framed.select("*", F.lit("all").alias("sf_name"), F.lit("all").alias("sf_category"), F.lit("_All").alias("tag_prefix"))
+    loops = framed.select("*", F.lit(1).cast("long").alias("loop_ord"), F.lit("_supplier").alias("category"), F.array(*map(F.lit, columns)).alias("tags"))
+    folder = scratch_folder(spark, "json-entries")
+    datasource.write_entries(writer.entry_json(frames, cells, loops), folder, "json", text_col="json")
+    read = star.from_json(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder))
+    return wide(entries.loops_by_category(read, "supplier"), columns, ["entry_id"]).drop("entry_id", ROW)
+
+
+@query("SELECT doc_id, text FROM documents")
+def compressed_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", datasource.inflate(datasource.deflate("text")).alias("text"))
+
+
+@query("SELECT c_custkey AS sf_ord FROM customer WHERE c_custkey % 3 <> 0")
+def drop_structural_frames(spark, d):
+    """Saveframes that hold only structural tags; a tag whose name only ends like one of them counts as data."""
+    customer = table(spark, d, "customer").withColumn("Sf_category", F.lit("customer")).withColumn("NMR_STAR_version", F.lit("3.1"))
+    frames, cells = frames_of(customer.withColumn("My_star_version", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(".")), "c_custkey", "customer", "Sf_category", "NMR_STAR_version", "My_star_version")
+    left, _ = entries.remove_empty_frames(cells, frames)
+    return frames.select("sf_ord").join(left.select("sf_ord").distinct(), "sf_ord", "left_anti")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey AS half FROM nation")
+def add_qualified_tag(spark, d):
+    """A tag named with its category is added; one of another category, or with a second dot, is an error."""
+    nation = table(spark, d, "nation")
+    loop = Loop(nation.withColumn(ROW, F.col("n_nationkey")), "_nation", ("n_nationkey", "n_name", "n_regionkey"))
+    for wrong in ("_nation.x.y", "_other.z", "_nation.", "a b"):
+        try:
+            loop.add_tag(wrong)
+        except ValueError:
+            continue
+        raise AssertionError(wrong)
+    return loop.add_tag("_Nation.half", F.col("n_regionkey")).df.select("n_nationkey", "n_name", "half")
+
+
+# whole normalisation
+
+
+@query("SELECT doc_id AS sf_ord, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS VARCHAR) AS frame_id FROM documents")
+def frame_numbers(spark, d):
+    """Every document's number among those of its source, all in one entry."""
+    docs = table(spark, d, "documents")
+    frames = docs.select(F.lit("e").alias("entry_id"), F.col("doc_id").alias("sf_ord"), F.col("source").alias("sf_category"), F.concat(F.lit("_"), "source").alias("tag_prefix"))
+    cells = docs.select(F.lit("e").alias("entry_id"), F.col("doc_id").alias("sf_ord"), F.lit("tag").alias("kind"), F.lit("ID").alias("tag"), F.lit(0).alias("col_ord"), F.col("doc_id").cast("string").alias("value"))
+    return normalize.frame_order(frames, cells, dictionary.from_rows(spark, [{"tag": "_de.ID"}])).select("sf_ord", "frame_id")
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS n FROM customer),
+o AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)
+SELECT n AS sf_ord, 'tag' AS kind, CAST(0 AS BIGINT) AS row_ord, 'ID' AS tag, CAST(n AS VARCHAR) AS value FROM c
+UNION ALL SELECT n, 'tag', 0, 'Name', c_name FROM c
+UNION ALL SELECT n, 'loop', r - 1, 'ID', CAST(r AS VARCHAR) FROM c JOIN o ON c_custkey = o_custkey
+UNION ALL SELECT n, 'loop', r - 1, 'Customer_ID', CAST(n AS VARCHAR) FROM c JOIN o ON c_custkey = o_custkey
+UNION ALL SELECT n, 'loop', r - 1, 'Status', o_orderstatus FROM c JOIN o ON c_custkey = o_custkey
+""")
+def normalize_whole(spark, d):
+    """Customers as saveframes of one entry, their orders as loops: new ids, and references that follow."""
+    known = dictionary.from_rows(spark, [
+        {"tag": "_Customer.ID", "sf_category": "customer", "star_type": "int", "local_id_flag": True}, {"tag": "_Customer.Name", "sf_category": "customer"},
+        {"tag": "_Order.ID", "sf_category": "customer", "is_loop": True, "star_type": "int"}, {"tag": "_Order.Status", "sf_category": "customer", "is_loop": True},
+        {"tag": "_Order.Customer_ID", "sf_category": "customer", "is_loop": True, "fk_table": "Customer", "fk_column": "ID"},
+    ])
+    customer = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 3 + 100).alias("ID"), F.col("c_name").alias("Name"))
+    frames, own = frames_of(customer, "c_custkey", "customer", "ID", "Name")
+    frames, own = frames.withColumn("tag_prefix", F.lit("_Customer")), own.withColumn("category", F.lit("_Customer"))
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("ID"), (F.col("o_custkey") * 3 + 100).alias("Customer_ID"), F.col("o_orderstatus").alias("Status"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("col_ord"), F.lit(t).alias("tag"), F.col(t).cast("string").alias("value")) for i, t in enumerate(("ID", "Customer_ID", "Status"))])
+    cells = orders.select(F.lit("e").alias("entry_id"), F.col("o_custkey").alias("sf_ord"), F.concat(F.lit("customer_"), "o_custkey").alias("sf_name"), F.lit("customer").alias("sf_category"), F.lit("loop").alias("kind"), F.lit(1).cast("long").alias("loop_ord"), F.lit("_Order").alias("category"), F.col("o_orderkey").alias("row_ord"), F.explode(pairs).alias("cell"))
+    done, _ = normalize.normalize(own.unionByName(cells.select("*", "cell.*").drop("cell")), frames, known)
+    return done.select("sf_ord", "kind", "row_ord", "tag", "value")
