@@ -18,3 +18,10 @@ class InvalidStateError(PySparkException, ValueError):
 
     def __init__(self, message: str):
         super().__init__(message=message)
+
+
+class MissingError(InvalidStateError, KeyError):
+    """What an operation names is not there."""
+
+    def __str__(self) -> str:
+        return PySparkException.__str__(self)

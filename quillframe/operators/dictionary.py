@@ -86,20 +86,33 @@ def frame_template(dictionary: DataFrame, sf_category: str, name: str, entry_id:
     return tags.select("tag", value.alias("value"), F.row_number().over(Window.orderBy("seq")).cast("long").alias("place"))
 
 
-def entry_template(dictionary: DataFrame, entry_id: str, all_tags: bool = False, default_values: bool = False) -> DataFrame:
-    """(sf_category, sf_name, place, tag, value): one saveframe for each category, with its tags and, on request, their defaults."""
+def entry_template(dictionary: DataFrame, entry_id: str, all_tags: bool = False, default_values: bool = False, values: Mapping[str, str] | None = None) -> DataFrame:
+    """(sf_category, sf_name, place, tag, value): one saveframe for each category, with its tags and, on request, their defaults.
+
+    ``values`` gives the values of some tags, by their whole names in any case: the version of the format, say.
+    """
     first = dictionary.where(~F.col("is_loop")).groupBy("sf_category").agg(F.min("seq").alias("first"))
     frames = first.select("sf_category", F.concat("sf_category", F.lit("_1")).alias("sf_name"), F.row_number().over(Window.orderBy("first")).cast("long").alias("place"))
     tags = dictionary.where(~F.col("is_loop") & (F.lit(all_tags) | (F.col("public") != "I"))).join(frames, "sf_category")
     value = F.when(F.lower("tag_field") == "sf_category", F.col("sf_category")).when(F.lower("tag_field") == "sf_framecode", F.col("sf_name")).when(F.col("entry_id_flag"), F.lit(entry_id)).when(F.lit(default_values), F.col("default_value"))
+    for name, given in (values or {}).items():
+        value = F.when(F.lower("tag") == name.lower(), F.lit(given)).otherwise(value)
     return tags.select("sf_category", "sf_name", "place", "tag", value.alias("value"))
 
 
 def listing(dictionary: DataFrame, search: str | None = None) -> DataFrame:
-    """(tag, line): a table row a tag, padded to the longest, optionally only tags that hold a text."""
-    width = dictionary.agg(F.max(F.length("tag"))).scalar()
-    rows = dictionary if search is None else dictionary.where(F.contains("tag", F.lit(search)))
-    return rows.select("tag", F.concat(F.rpad("tag", width + 2, F.lit(" ")), F.col("data_type")).alias("line"))
+    """(category, seq, line): every tag's name, type, nullability and category, padded to the longest of all, below a line for its prefix.
+
+    ``search`` keeps the tags that hold a text, and the prefixes of these. A prefix's line has no ``seq``.
+    """
+    null = F.when(F.col("nullable"), F.lit("")).otherwise(F.lit("NOT NULL"))
+    shown = dictionary.select("category", "seq", "tag", F.col("tag_field").alias("c0"), F.col("data_type").alias("c1"), null.alias("c2"), F.col("sf_category").alias("c3"))
+    widths = shown.agg(*[F.coalesce(F.max(F.length(f"c{i}")), F.lit(0)).alias(f"w{i}") for i in range(4)])
+    rows = shown if search is None else shown.where(F.contains("tag", F.lit(search)))
+    padded = rows.crossJoin(F.broadcast(widths))  # one row
+    line = F.concat(F.lit("  "), *[x for i in range(4) for x in (F.rpad(f"c{i}", F.col(f"w{i}"), F.lit(" ")), F.lit(" " if i < 2 else "  " if i == 2 else ""))])
+    prefixes = rows.select("category").distinct().select("category", F.lit(None).cast("double").alias("seq"), F.rpad("category", 30, F.lit(" ")).alias("line"))
+    return prefixes.unionByName(padded.select("category", "seq", line.alias("line")))
 
 
 def extend(dictionary: DataFrame, tag: str, data_type: str, after: str | None = None, **attributes: object) -> DataFrame:

@@ -14,14 +14,19 @@ from quillframe.operators.frames import raise_where
 STRUCTURAL = ("sf_category", "sf_framecode", "id", "entry_id", "nmr_star_version", "original_nmr_star_version")
 
 
-def _same(name: str, value: Column) -> Column:
-    return F.lower(value) == F.lit(name.lower())
+def lowered(cells: DataFrame, name: str) -> Column:
+    """A name in lower case: the stored column, which a scan can prune by, where there is one."""
+    return F.col(f"{name}_lc") if f"{name}_lc" in cells.columns else F.lower(name)
+
+
+def _same(cells: DataFrame, name: str, value: str) -> Column:
+    return lowered(cells, name) == F.lit(value.lower())
 
 
 def loops_by_category(cells: DataFrame, category: str) -> DataFrame:
     """Cells of all loops of a category, in any case and with or without its underscore."""
     name = category if category.startswith("_") else f"_{category}"
-    return cells.where((F.col("kind") == "loop") & _same(name.partition(".")[0], F.col("category")))
+    return cells.where((F.col("kind") == "loop") & _same(cells, "category", name.partition(".")[0]))
 
 
 def get_tags(cells: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -33,14 +38,16 @@ def get_tags(cells: DataFrame, names: Iterable[str]) -> DataFrame:
             raise ValueError(f"{name} names no category")
         wanted.append((name, (category if category.startswith("_") else f"_{category}").lower(), tag.lower()))
     asked = F.broadcast(cells.sparkSession.createDataFrame(wanted, "name string, _c string, _t string"))
-    found = cells.join(asked, (F.lower("category") == F.col("_c")) & (F.lower("tag") == F.col("_t")))
+    category, tag = lowered(cells, "category"), lowered(cells, "tag")
+    some = cells.where(category.isin(*{c for _, c, _ in wanted}) & tag.isin(*{t for _, _, t in wanted})) if wanted else cells
+    found = some.join(asked, (category == F.col("_c")) & (tag == F.col("_t")))
     return found.select("entry_id", "name", "sf_ord", "loop_ord", "row_ord", "value")
 
 
 def frames_by_tag_value(cells: DataFrame, tag: str, value: str) -> DataFrame:
     """(entry_id, sf_ord) of the saveframes whose first value of a tag is the given one."""
     first = Window.partitionBy("entry_id", "sf_ord").orderBy(F.desc("kind"), "loop_ord", "row_ord")
-    hits = cells.where(_same(tag.rpartition(".")[2], F.col("tag")) & (F.lit("." not in tag) | _same(tag.partition(".")[0], F.col("category"))))
+    hits = cells.where(_same(cells, "tag", tag.rpartition(".")[2]) & (_same(cells, "category", tag.partition(".")[0]) if "." in tag else F.lit(True)))
     return hits.withColumn("nth", F.row_number().over(first)).where((F.col("nth") == 1) & (F.col("value") == value)).select("entry_id", "sf_ord")
 
 

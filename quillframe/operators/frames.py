@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.errors import InvalidStateError
+from quillframe.errors import InvalidStateError, MissingError
 from quillframe.functions.names import NULL_TEXTS, format_category, format_tag, format_tag_lower
 
 KEYS = ["entry_id", "sf_ord"]
@@ -24,19 +24,41 @@ def checked_name(name: str | None, what: str = "name") -> str:
     return name
 
 
-def raise_where(rows: DataFrame, bad: DataFrame, message: str) -> DataFrame:
-    """The rows, or an ``InvalidStateError`` if ``bad`` (one text column) has any row. The check runs at once, and brings one row to the driver."""
+def raise_where(rows: DataFrame, bad: DataFrame, message: str, error: type[InvalidStateError] = InvalidStateError) -> DataFrame:
+    """The rows, or an error if ``bad`` (one text column) has any row. The check runs at once, and brings one row to the driver."""
     first = bad.agg(F.min(bad.columns[0])).first()[0]
     if first is not None:
-        raise InvalidStateError(f"{message}{first}")
+        raise error(f"{message}{first}")
+    return rows
+
+
+def present(rows: DataFrame, message: str) -> DataFrame:
+    """The rows, or a ``MissingError`` if there is none."""
+    if rows.isEmpty():
+        raise MissingError(message)
     return rows
 
 
 def frame_by_name(frames: DataFrame, name: str) -> DataFrame:
-    """The saveframes of a name, one an entry; an error if there is none."""
-    found = frames.where(F.col("sf_name") == name)
-    none = found.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(name).alias("name"))
-    return raise_where(found, none, "there is no saveframe ")
+    """The saveframes of a name, the first in each entry; a ``MissingError`` if there is none."""
+    found = present(frames.where(F.col("sf_name") == name), f"there is no saveframe {name}")
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy("entry_id").orderBy("sf_ord"))).where("_n = 1").drop("_n")
+
+
+def loop_of_frame(loops: DataFrame, item: int | str) -> DataFrame:
+    """In each saveframe its loop at a place, counted from 0 (below 0: from the end), or of a category in any case; a ``MissingError`` if there is none."""
+    if isinstance(item, str):
+        name = item if item.startswith("_") else f"_{item}"
+        return present(loops.where(F.lower("category") == name.lower()), f"there is no loop {item}")
+    order = Window.partitionBy(*KEYS).orderBy("loop_ord" if item >= 0 else F.desc("loop_ord"))
+    nth = item if item >= 0 else -item - 1
+    placed = loops.withColumn("_n", F.row_number().over(order) - 1).where(F.col("_n") == nth).drop("_n")
+    return present(placed, f"there is no loop at {item}")
+
+
+def frame_item(cells: DataFrame, item: str) -> DataFrame:
+    """(entry_id, sf_ord, row_ord, value) of a tag as ``frame_tag`` finds it; a ``MissingError`` if no saveframe has it."""
+    return present(frame_tag(cells, item), f"there is no tag {item}")
 
 
 def frame_by_place(frames: DataFrame, nth: int) -> DataFrame:
@@ -139,6 +161,29 @@ def add_missing_tags(cells: DataFrame, frames: DataFrame, dictionary: DataFrame,
     return order_tags(cells.select(*names).unionByName(made.select(*names)), dictionary)
 
 
+def add_missing_loop_tags(cells: DataFrame, loops: DataFrame, dictionary: DataFrame, all_tags: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The (cells, loops) whose loops have every tag that the dictionary has for their category, null where it was missing, in its order.
+
+    Tags that the dictionary does not know follow, by name; loops of unknown categories stay as they are.
+    """
+    keys = [*KEYS, "loop_ord"]
+    known = dictionary.where(F.col("is_loop") & (F.lit(all_tags) | (F.col("public") != "I"))).groupBy(F.lower("category").alias("_c"))
+    known = known.agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "tag_field"))), lambda x: x["tag_field"]).alias("_known"))
+    low = lambda tags: F.transform(tags, F.lower)
+    joined = loops.join(F.broadcast(known), F.lower("category") == F.col("_c"), "left")
+    own = F.transform("_known", lambda t: F.coalesce(F.get(F.filter("tags", lambda x: F.lower(x) == F.lower(t)), F.lit(0)), t))
+    others = F.array_sort(F.filter("tags", lambda t: ~F.array_contains(low(F.col("_known")), F.lower(t))))
+    new = joined.withColumn("_new", F.when(F.col("_known").isNull(), F.col("tags")).otherwise(F.concat(own, others)))
+    held = cells.where("kind = 'loop'")
+    rows = held.select("sf_name", "sf_category", *keys, "category", "row_ord").distinct()
+    wanted = rows.join(new.select(*keys, "_new"), keys).select("*", F.posexplode("_new").alias("_at", "_tag")).withColumn("_low", F.lower("_tag"))
+    values = held.select(*keys, "row_ord", F.lower("tag").alias("_low"), "value")
+    filled = wanted.join(values, [*keys, "row_ord", "_low"], "left")
+    made = filled.select(*KEYS, "sf_name", "sf_category", F.lit("loop").alias("kind"), "loop_ord", "category", "row_ord", F.col("_at").alias("col_ord"), F.col("_tag").alias("tag"), "value")
+    names = [c for c in made.columns if c in cells.columns]
+    return cells.where("kind <> 'loop'").select(*names).unionByName(made.select(*names)), new.withColumn("tags", F.col("_new")).select(*loops.columns)
+
+
 def sizes(frames: DataFrame, loops: DataFrame) -> DataFrame:
     """(entry_id, n_frames, n_loops, n_rows) of every entry."""
     held = loops.groupBy("entry_id").agg(F.count("*").alias("n_loops"), F.sum("n_rows").alias("n_rows"))

@@ -27,6 +27,28 @@ def tree_lines(frames: DataFrame, loops: DataFrame) -> DataFrame:
     return entry.unionByName(frame).unionByName(loop)
 
 
+def tag_outline(frames: DataFrame, cells: DataFrame, loops: DataFrame) -> DataFrame:
+    """(entry_id, sf_ord, loop_ord, col_ord, line): entries, their saveframes, these' tags, their loops and the loops' tags.
+
+    Sorted by the first four columns it reads as an outline; -1 stands before all that is numbered.
+    """
+    none = F.lit(-1).cast("long")
+    line = lambda *parts: F.concat(*[F.lit(x) if x.startswith((" ", ":", ".", "E")) else F.col(x) for x in parts]).alias("line")
+    entry = frames.select("entry_id").distinct().select("entry_id", none.alias("sf_ord"), none.alias("loop_ord"), none.alias("col_ord"), line("Entry ", "entry_id"))
+    frame = frames.select("entry_id", F.col("sf_ord").cast("long"), none.alias("loop_ord"), none.alias("col_ord"), F.concat(F.lit("  Saveframe "), "sf_name", F.lit(":"), F.coalesce("sf_category", F.lit("None"))).alias("line"))
+    tag = cells.where("kind = 'tag'").select("entry_id", F.col("sf_ord").cast("long"), none.alias("loop_ord"), F.col("col_ord").cast("long"), line("    ", "category", ".", "tag"))
+    loop = loops.select("entry_id", F.col("sf_ord").cast("long"), F.col("loop_ord").cast("long"), none.alias("col_ord"), line("    Loop ", "category"))
+    column = loops.select("entry_id", F.col("sf_ord").cast("long"), F.col("loop_ord").cast("long"), "category", F.posexplode("tags").alias("col_ord", "tag"))
+    column = column.select("entry_id", "sf_ord", "loop_ord", F.col("col_ord").cast("long"), line("      ", "category", ".", "tag"))
+    return entry.unionByName(frame).unionByName(tag).unionByName(loop).unionByName(column)
+
+
+def value_lines(cells: DataFrame) -> DataFrame:
+    """(entry_id, sf_ord, col_ord, line): each saveframe's own tags as ``tag: value``, newlines shown as two characters."""
+    shown = F.replace(F.coalesce("value", F.lit("None")), F.lit("\n"), F.lit("\\n"))
+    return cells.where("kind = 'tag'").select("entry_id", "sf_ord", "col_ord", F.concat("category", F.lit("."), "tag", F.lit(": "), shown).alias("line"))
+
+
 def frame_lines(frames: DataFrame, detail: Column) -> DataFrame:
     """(line): each saveframe's name and a detail."""
     return frames.select(F.concat("sf_name", F.lit(": "), detail).alias("line"))

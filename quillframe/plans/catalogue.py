@@ -555,7 +555,10 @@ def template_frame(spark, d):
     return dictionary.frame_template(fixture(spark), "orders", "orders_1", "e1", default_values=True)
 
 
-@query("SELECT t AS tag, rpad(t, 25, ' ') || k AS line FROM (VALUES ('_part.p_type', 'VARCHAR(255)'), ('_orders.o_orderstatus', 'CHAR(1)'), ('_orders.o_orderpriority', 'VARCHAR(8)')) v(t, k) WHERE contains(t, 'p_type')")
+@query("""
+SELECT '_part' AS category, CAST(NULL AS DOUBLE) AS seq, rpad('_part', 30, ' ') AS line
+UNION ALL SELECT '_part', 4.0, '  ' || rpad('p_type', 15, ' ') || ' ' || rpad('VARCHAR(255)', 12, ' ') || ' ' || rpad('', 8, ' ') || '  ' || rpad('part', 6, ' ')
+""")
 def dictionary_listing(spark, d):
     return dictionary.listing(fixture(spark), "p_type")
 
@@ -933,3 +936,110 @@ def normalize_whole(spark, d):
     cells = orders.select(F.lit("e").alias("entry_id"), F.col("o_custkey").alias("sf_ord"), F.concat(F.lit("customer_"), "o_custkey").alias("sf_name"), F.lit("customer").alias("sf_category"), F.lit("loop").alias("kind"), F.lit(1).cast("long").alias("loop_ord"), F.lit("_Order").alias("category"), F.col("o_orderkey").alias("row_ord"), F.explode(pairs).alias("cell"))
     done, _ = normalize.normalize(own.unionByName(cells.select("*", "cell.*").drop("cell")), frames, known)
     return done.select("sf_ord", "kind", "row_ord", "tag", "value")
+
+
+# dictionaries that a table gives, and listings over whole tables
+
+
+def _brand_dictionary(spark, d) -> DataFrame:
+    """A dictionary with a category for each brand of parts, and a tag for each of its types."""
+    kinds = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("seq"), F.max("p_size").alias("size"))
+    brand = F.replace("p_brand", F.lit("#"), F.lit("_"))
+    rows = kinds.select(
+        F.concat(F.lit("_"), brand, F.lit("."), F.replace("p_type", F.lit(" "), F.lit("_"))).alias("tag"), F.col("seq").cast("double").alias("seq"), F.lower(brand).alias("sf_category"), (F.col("seq") % 2 == 0).alias("is_loop"),
+        F.concat(F.lit("VARCHAR("), "size", F.lit(")")).alias("data_type"), F.lit("any").alias("star_type"), (F.col("size") > 25).alias("nullable"), F.when(F.col("seq") % 5 == 0, "I").otherwise("Y").alias("public"),
+        F.lit(None).cast("string").alias("default_value"), F.lit(False).alias("entry_id_flag"), F.lit(False).alias("local_id_flag"), F.lit(None).cast("string").alias("fk_table"), F.lit(None).cast("string").alias("fk_column"), F.lit(False).alias("sf_pointer"),
+    )
+    return dictionary.prepared(rows, {"any": ".*"})
+
+
+_BRANDS = """SELECT '_' || replace(p_brand, '#', '_') AS category, '_' || replace(p_brand, '#', '_') || '.' || replace(p_type, ' ', '_') AS tag, replace(p_type, ' ', '_') AS field, CAST(min(p_partkey) AS DOUBLE) AS seq, max(p_size) AS size,
+lower(replace(p_brand, '#', '_')) AS sf_category, min(p_partkey) % 2 = 0 AS is_loop, CASE WHEN min(p_partkey) % 5 = 0 THEN 'I' ELSE 'Y' END AS public FROM part GROUP BY p_brand, p_type"""
+
+
+@query(f"""
+WITH b AS ({_BRANDS}), s AS (SELECT *, 'VARCHAR(' || size || ')' AS kind, CASE WHEN size > 25 THEN '' ELSE 'NOT NULL' END AS n FROM b),
+w AS (SELECT CAST(max(length(field)) AS INT) AS w0, CAST(max(length(kind)) AS INT) AS w1, CAST(max(length(n)) AS INT) AS w2, CAST(max(length(sf_category)) AS INT) AS w3 FROM s)
+SELECT category, seq, '  ' || rpad(field, w0, ' ') || ' ' || rpad(kind, w1, ' ') || ' ' || rpad(n, w2, ' ') || '  ' || rpad(sf_category, w3, ' ') AS line FROM s, w
+UNION ALL SELECT DISTINCT category, CAST(NULL AS DOUBLE), rpad(category, 30, ' ') FROM s
+""")
+def dictionary_listing_of_parts(spark, d):
+    return dictionary.listing(_brand_dictionary(spark, d))
+
+
+@query(f"WITH b AS ({_BRANDS}) SELECT category, tag, row_number() OVER (PARTITION BY category ORDER BY seq) AS place FROM b WHERE category = (SELECT min(category) FROM b) AND public <> 'I'")
+def template_rows_of_parts(spark, d):
+    """The loop template of the first brand."""
+    known = _brand_dictionary(spark, d)
+    first = known.agg(F.min("category")).first()[0]
+    return dictionary.loop_template(known, first).select(F.lit(first).alias("category"), "tag", "place")
+
+
+@query(f"WITH b AS ({_BRANDS}), f AS (SELECT sf_category, row_number() OVER (ORDER BY min(seq)) AS place FROM b WHERE NOT is_loop GROUP BY sf_category) SELECT b.sf_category, b.sf_category || '_1' AS sf_name, f.place, b.tag, CASE WHEN b.field = 'LARGE_BRUSHED_TIN' THEN '3.2' END AS value FROM b JOIN f ON b.sf_category = f.sf_category WHERE NOT b.is_loop AND b.public <> 'I'")
+def entry_template_of_parts(spark, d):
+    """A whole entry from a dictionary; some tags are given their values."""
+    known = _brand_dictionary(spark, d)
+    tags = [r.tag for r in known.where("tag_field = 'LARGE_BRUSHED_TIN'").select("tag").collect()]
+    return dictionary.entry_template(known, "e", values={t.upper(): "3.2" for t in tags})
+
+
+def _nations_with_loops(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frames, cells, loops): nations as saveframes, each with a loop of its suppliers."""
+    frames, own = frames_of(table(spark, d, "nation"), "n_nationkey", "nation", "n_nationkey", "n_name")
+    supplier = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("col_ord"), F.lit(t).alias("tag"), F.col(t).cast("string").alias("value")) for i, t in enumerate(("s_suppkey", "s_name"))])
+    cells = supplier.select(F.lit("e").alias("entry_id"), F.col("s_nationkey").cast("long").alias("sf_ord"), F.concat(F.lit("nation_"), "s_nationkey").alias("sf_name"), F.lit("nation").alias("sf_category"), F.lit("loop").alias("kind"), F.lit(1).cast("long").alias("loop_ord"), F.lit("_Supplier").alias("category"), F.col("s_suppkey").alias("row_ord"), F.explode(pairs).alias("c")).select("*", "c.*").drop("c")
+    loops = cells.select("entry_id", "sf_ord", "sf_name", "loop_ord", "category").distinct().withColumn("tags", F.array(F.lit("s_suppkey"), F.lit("s_name")))
+    return frames, own.unionByName(cells), loops
+
+
+@query("""
+WITH l AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
+SELECT CAST(-1 AS BIGINT) AS sf_ord, CAST(-1 AS BIGINT) AS loop_ord, CAST(-1 AS BIGINT) AS col_ord, 'Entry e' AS line
+UNION ALL SELECT n_nationkey, -1, -1, '  Saveframe nation_' || n_nationkey || ':nation' FROM nation
+UNION ALL SELECT n_nationkey, -1, 0, '    _nation.n_nationkey' FROM nation UNION ALL SELECT n_nationkey, -1, 1, '    _nation.n_name' FROM nation
+UNION ALL SELECT k, 1, -1, '    Loop _Supplier' FROM l UNION ALL SELECT k, 1, 0, '      _Supplier.s_suppkey' FROM l UNION ALL SELECT k, 1, 1, '      _Supplier.s_name' FROM l
+""")
+def tag_outline(spark, d):
+    return listing.tag_outline(*_nations_with_loops(spark, d)).drop("entry_id")
+
+
+@query("SELECT doc_id AS sf_ord, '_document.text: ' || replace(coalesce(text, 'None'), chr(10), '\\n') AS line FROM documents")
+def tag_value_lines(spark, d):
+    _, cells = frames_of(table(spark, d, "documents"), "doc_id", "document", "text")
+    return listing.value_lines(cells).select("sf_ord", "line")
+
+
+@query("""
+SELECT s_suppkey AS row_ord, i AS col_ord, t AS tag, CASE i WHEN 1 THEN CAST(s_suppkey AS VARCHAR) WHEN 3 THEN s_name END AS value
+FROM supplier, (VALUES (0, 'First'), (1, 's_suppkey'), (2, 'Middle'), (3, 's_name')) v(i, t)
+""")
+def missing_loop_tags(spark, d):
+    """The dictionary's tags added to every loop, its order kept; a tag that it does not know comes last."""
+    known = dictionary.from_rows(spark, [{"tag": f"_supplier.{t}", "sf_category": "nation", "is_loop": True} for t in ("First", "S_SuppKey", "Middle")] + [{"tag": "_supplier.hidden", "is_loop": True, "public": "I"}])
+    _, cells, loops = _nations_with_loops(spark, d)
+    filled, wider = upkeep.add_missing_loop_tags(cells, loops, known)
+    same = wider.where(F.size("tags") == 4).select("entry_id", "sf_ord", "loop_ord")
+    return filled.where("kind = 'loop'").join(same, ["entry_id", "sf_ord", "loop_ord"], "left_semi").select("row_ord", "col_ord", "tag", "value")
+
+
+@query("SELECT s_suppkey AS row_ord, s_name AS value FROM supplier")
+def loop_by_place_and_name(spark, d):
+    """The loop at the first place of each saveframe is the one of its name, and its cells are those of the whole table."""
+    _, cells, loops = _nations_with_loops(spark, d)
+    keys = ["entry_id", "sf_ord", "loop_ord"]
+    both = upkeep.loop_of_frame(loops, 0).select(*keys).join(upkeep.loop_of_frame(loops, "SUPPLIER").select(*keys), keys)
+    return cells.join(both, keys, "left_semi").where("tag = 's_name'").select("row_ord", "value")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY m) AS n, row_number() OVER (ORDER BY m) || ': ' || m AS line
+FROM (SELECT 'Dangling saveframe reference $C' || user_id || ' in _events.ref' AS m FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)) t
+""")
+def validation_report(spark, d):
+    """Dangling references of all events as a numbered report."""
+    frames = table(spark, d, "customer").where("c_nationkey < 20").select(F.lit("e").alias("entry_id"), F.col("c_custkey").alias("sf_ord"), F.concat(F.lit("C"), "c_custkey").alias("sf_name"), F.lit("c").alias("sf_category"))
+    cells = table(spark, d, "events").select(F.lit("e").alias("entry_id"), F.lit(0).cast("long").alias("sf_ord"), F.lit("loop").alias("kind"), F.lit(1).cast("long").alias("loop_ord"), F.col("event_id").alias("row_ord"), F.lit("_events").alias("category"), F.lit("ref").alias("tag"), F.lit("c").alias("sf_category"), F.concat(F.lit("$C"), "user_id").alias("value"))
+    loops = spark.createDataFrame([("e", 0, 1, ["ref"])], "entry_id string, sf_ord long, loop_ord long, tags array<string>")
+    known = dictionary.from_rows(spark, [{"tag": "_events.ref", "sf_category": "c"}])
+    return validate.validation_report(validate.validate(cells, frames, loops, known))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import names, quoting, values
 from quillframe.errors import ParseError
 from quillframe.sources import star, tables, writer
-from quillframe.streaming.ingest import ingest
+from quillframe.streaming.ingest import ingest, read_store
 
 ENTRY = """data_e1
 # a comment with 'quotes
@@ -160,6 +160,35 @@ def test_files_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "cells")).count() == 20
 
 
+def test_the_latest_file_of_an_entry_counts(spark, tmp_path):
+    import os
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+
+    def put(name, entry, value, time):
+        (source / name).write_text(f"data_{entry}\nsave_a\n_A.v {value}\nloop_\n_B.x\n1\n2\nstop_\nsave_\n" if value else f"data_{entry}\n")
+        os.utime(source / name, (time, time))
+
+    def held():
+        ingest(spark, str(source), out, str(tmp_path / "check")).awaitTermination()
+        found = read_store(spark, out)
+        assert found.loops.count() == found.saveframes.count() == found.entries.count()
+        return {r.entry_id: r.value for r in found.cells.where("tag = 'v'").select("entry_id", "value").collect()}
+
+    put("a1", "a", "one", 1_000_000)
+    put("b1", "b", "one", 1_000_000)
+    assert held() == {"a": "one", "b": "one"}
+    put("a2", "a", "two", 2_000_000)
+    put("c", "c", "one", 2_000_000)
+    assert held() == {"a": "two", "b": "one", "c": "one"}
+    put("a0", "a", "late", 500_000)  # older than what is there
+    put("b2", "b", None, 3_000_000)  # takes the entry away
+    (source / "bad").write_text("# nothing")
+    assert held() == {"a": "two", "c": "one"} == held()
+    assert [r.message for r in read_store(spark, out).errors.collect()] == ["The file does not begin with 'data_' and a name."]
+
+
 @pytest.mark.parametrize(
     ("text", "message"),
     [
@@ -198,7 +227,13 @@ def test_csv_files(spark, tmp_path):
     assert category == "_L" and sorted(map(tuple, rows.collect())) == [("1", 'x, "y"'), ("2", "two\nlines")]
     lines = tables.loop_to_csv(rows.withColumn("n", F.col("a").cast("long")), ["a", "b"], "_L", "n", show_category=False).orderBy("n").collect()
     assert [r.line for r in lines] == ["a,b", '1,"x, ""y"""', '2,"two\nlines"']
-    category, tags = tables.frame_from_csv(spark, str(tmp_path / "l.csv"))
+    with pytest.raises(ValueError, match="one row"):
+        tables.frame_from_csv(spark, str(tmp_path / "l.csv"))
+    (tmp_path / "r.csv").write_text("_L.a,_L.b\n1,2,3\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        tables.frame_from_csv(spark, str(tmp_path / "r.csv"))
+    (tmp_path / "f.csv").write_text('_L.a,_L.b\n1,"x, ""y"""\n')
+    category, tags = tables.frame_from_csv(spark, str(tmp_path / "f.csv"))
     assert [(r.tag, r.value) for r in tags.orderBy("col_ord").collect()] == [("a", "1"), ("b", 'x, "y"')]
     (tmp_path / "m.csv").write_text("_L.a,_M.b\n1,2\n")
     with pytest.raises(ValueError):
