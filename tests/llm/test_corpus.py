@@ -89,6 +89,13 @@ def test_main_text_keeps_articles_and_sections(spark):
     assert found == {1: "The text", 2: "The text", 3: "The text", 4: "Related\nSea ways\n9 euros", 5: "The text"}
 
 
+def test_a_paragraph_ends_whatever_is_open_within():
+    for depth in (1, 3, 5, 400):
+        open_within = "".join(["<b>", "<i>", "<u>", "<em>", "<span>"][i % 5] for i in range(depth))
+        assert main_text.blocks(f"<body><p class=ad>{open_within}x<p>Real text</body>")[1] == ["Real text"]
+        assert main_text.blocks(f"<body><p class=ad>{open_within}<div>x</div>y<p>Real text</body>")[1] == ["x", "y", "Real text"]
+
+
 def test_main_text_keeps_copied_pages(spark):
     menu, story = " ".join(f"m{k}" for k in range(12)), [" ".join(f"s{p}x{k}" for k in range(30)) for p in range(3)]
     article = "".join(f"<p>{p}</p>" for p in story)
