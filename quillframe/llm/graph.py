@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quillframe.llm.common import join_hot, materialise
+from quillframe.llm.common import discard, join_hot, materialise
 
 #: Live edges up to which one task ends the contraction, instead of a dozen rounds over ever fewer rows. A fixed bound at any size of input.
 REST = 20_000
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         follows = materialise(first.select(F.col("a").alias("node"), label[first.schema["near"].dataType.names[1]].alias("label"), "key_rows"), "follows")
         moved = join_hot(live, follows.select(F.col("node").alias("a"), F.col("label").alias("to_a"), "key_rows"), "a", n)
         moved = join_hot(moved, follows.select(F.col("node").alias("b"), F.col("label").alias("to_b"), "key_rows"), "b", n)
-        live = materialise(moved.select(*_ordered("to_a", "to_b")).where("a <> b").distinct(), "edges")
+        before, live = live, materialise(moved.select(*_ordered("to_a", "to_b")).where("a <> b").distinct(), "edges")
+        discard(before)
         rounds.append(follows.select("node", "label"))
     if not rounds:
         return live.select(F.col("a").alias("node"), F.col("b").alias("label"))

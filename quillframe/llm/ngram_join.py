@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillframe.llm.common import join_hot, materialise, text_groups
+from quillframe.llm.common import discard, join_hot, materialise, text_groups
 from quillframe.llm.graph import connected_components
 from quillframe.llm.words import Words, mix
 
@@ -271,8 +271,15 @@ def link_stars(sets: list[np.ndarray], percent: int, asking: set[int] | None = N
 
 
 def _texts_of(dealt: DataFrame, rows: DataFrame) -> DataFrame:
-    """(row, text) of the rows that are dealt; rows that repeat one another in id and text are one row here."""
-    return rows.select("row", "text").join(dealt.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    """(row, text) of the rows that are dealt, from ``rows`` that ``_once`` gave."""
+    return rows.select("row", "text").join(dealt.select("row").distinct(), "row", "left_semi")
+
+
+def _once(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """(row, text) with rows that repeat one another in id and text as one; texts are shuffled only where there are such rows."""
+    if not table.groupBy("row").count().where("count > 1").limit(1).count():
+        return rows.select("row", "text")
+    return materialise(rows.groupBy("row").agg(F.first("text").alias("text")), "row_texts")
 
 
 def _cell_counts(texts: DataFrame, shingle: int) -> np.ndarray:
@@ -306,8 +313,8 @@ def first_members(members: np.ndarray, counts: np.ndarray, percent: int) -> np.n
     return members[np.lexsort((members, counts[_cells(members)]))[:reach]]
 
 
-def _rare_relations(sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): keys of sets (row, key, n) that share a member among their rarest, as stars.
+def _rare_relations(sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(a, b): keys of sets (row, key, n) that share a member among their rarest, as stars; and the scratch tables it reads.
 
     Rarity is told by the counts of ``CELLS`` cells, which are broadcast; so only the first members of a set leave its task.
     """
@@ -325,7 +332,7 @@ def _rare_relations(sets: DataFrame, rows: DataFrame, shingle: int, percent: int
 
     first = materialise(texts.mapInArrow(run, "key binary, member long"), "rare_members")
     least = first.groupBy("member").agg(F.min("key").alias("least"), F.count("*").alias("key_rows")).where("key_rows > 1")
-    return join_hot(first, least, "member").where("least is not null and least <> key").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    return join_hot(first, least, "member").where("least is not null and least <> key").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), (texts, first)
 
 
 def _join_blocks(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -362,9 +369,11 @@ def _components_of_links(members: DataFrame, rows: DataFrame, shingle: int, perc
     whole = told.where(narrow).drop("blocks", "family_sets")
     wide = materialise(told.where(~narrow).groupBy("key").agg(F.first("row").alias("row"), F.first("n").alias("n")), "wide_families")
     if wide.limit(1).count():
-        finer = connected_components(_rare_relations(wide, rows, shingle, percent)).select(F.col("node").alias("key"), F.col("label").alias("family"))
+        related, read = _rare_relations(wide, rows, shingle, percent)
+        finer = connected_components(related).select(F.col("node").alias("key"), F.col("label").alias("family"))
         finer = wide.join(finer, "key").select(F.xxhash64("family", F.lit("finer")).alias("family"), "row", "key", "n")
         sizes, told = _sized(materialise(whole.unionByName(finer), "finer_families"))
+        discard(*read)
     dealt = materialise(told.withColumn("one", F.pmod(F.hash("key"), "blocks")), "blocks")
     columns = ["row", "key", "family", "one", F.lit(0).alias("two"), F.lit(True).alias("asks")]
     large = dealt.where("blocks > 1")
@@ -398,7 +407,7 @@ def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     classes = materialise(classes, "set_classes")
     families = connected_components(_relations(rows, shingle, percent)).withColumnRenamed("label", "family")
     members = classes.select("key", "row", "n", F.explode("nodes").alias("node")).join(families, "node").select("family", "row", "key", "n")
-    found = materialise(_components_of_links(materialise(members, "family_members"), rows, shingle, percent), "set_components")
+    found = materialise(_components_of_links(materialise(members, "family_members"), _once(rows, table), shingle, percent), "set_components")
     first = found.join(classes.select("key", "least"), "key").groupBy("label").agg(F.min("least").alias("first"), F.count("*").alias("key_rows"))
     told = join_hot(found, first, "label").select("key", "first")
     return table.drop("nodes"), materialise(classes.join(told, "key", "left").select("key", F.coalesce("first", "least").alias("first"), "key_rows"), "class_components")
