@@ -64,20 +64,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete scratch tables that nothing will read again: whatever was computed from them must have been written by now.
-
-    Only folders in the scratch store are deleted.
-    """
-    for table in tables:
-        spark = table.sparkSession
-        base = scratch_folder(spark, "x").rpartition("/")[0].removeprefix("file://")
-        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(base).toUri().getPath() + "/"):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_hot(rows: DataFrame, small: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """Left join of ``rows`` with ``small``, which has one row a key, its columns, and in ``key_rows`` how many of ``rows`` have it.
 
