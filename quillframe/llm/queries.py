@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_token_orc": "token_store",
     "op2_spotsigs": "spotsigs",
-    "op2_near_duplicates": "spotsigs",
+    "near_duplicate_classes": "spotsigs",
     "op3_byte_bpe": "byte_bpe",
     "op4_maxent_lm": "maxent_lm",
     "op5_mix_sources": "mixing",

@@ -173,7 +173,7 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(docs, common_words(docs))
 
 
-def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of equal fingerprints and near-duplicate component of every row of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_components(fingerprint_documents(docs, common_words(docs)))
