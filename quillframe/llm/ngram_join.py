@@ -12,10 +12,11 @@ at least ``PERCENT`` hundredths of their union.
    size, and a set skips to the positions whose sizes allow a link. A set that differs little from the
    set before it derives its answers from that set's: only the lists of members that differ are read.
    Families of more than ``WIDE`` sets are dealt anew: with members in one order for all, about rarest first, linked sets share a member
-   among the first ones of each, one more than a set of that size may lack. Passages that many sets share come last there, as
-   a broadcast table of counted cells tells. A family still above a block is cut by hash into blocks, each joined together with the family's pivots. Sets that are in
-   the family's largest component by then have nothing to learn from each other; only the others are joined
-   with every block, in probe blocks of their own. So a group of copies of one text costs one pass over its blocks.
+   among the first ones of each, one more than a set of that size may lack. Sets go together only where they share a family, hence a size
+   class, and such a member, so that chains of unlike sets break at both. Passages that many sets share come last in the order, as a broadcast table of
+   counted cells tells. A family still above a block is cut by hash into blocks, each joined together with the family's pivots.
+   Sets that are in the family's largest component by then have nothing to learn from each other; only the others are joined
+   with every other block, in probe blocks of their own. So a group of copies of one text costs one pass over its blocks.
 3. Links become components; of each component only a spanning star leaves a task.
 
 Documents of one class are joined to their class by its key, never pair by pair; hot keys are joined by broadcast.
@@ -56,8 +57,8 @@ WIDE = 64
 PIVOTS = 4
 #: Rows up to which a table of family members is broadcast (some 20 MB, as rows have a fixed width); above, it is joined by shuffle.
 SMALL = 300_000
-#: Cells of the counts that order members by rarity: 8 MB, broadcast, at any size of input.
-CELLS = 1 << 20
+#: Cells of the counts that order members by rarity: 16 MB, broadcast, at any size of input; and cells in a row of counts.
+CELLS, STRETCH = 1 << 23, 1 << 13
 #: Shared signatures that a task remembers.
 REMEMBERED = 1 << 18
 
@@ -276,21 +277,36 @@ def _texts_of(dealt: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _cell_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How many members of the sets of all ``texts`` fall into each of ``CELLS`` cells by their hash."""
+    """How many members of the sets of all ``texts`` fall into each of ``CELLS`` cells by their hash, up to 65,535.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+    Tasks send their counts as stretches of cells; stretches of one place are added where they meet, and only the sums go to the driver.
+    """
+    most = np.iinfo(np.uint16).max
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(-(-CELLS // STRETCH) * STRETCH, np.uint16)
         for batch in batches:
             for _, group in text_groups(batch):
                 found, n = np.unique(_cells(np.concatenate(shingle_sets(group, shingle))), return_counts=True)
-                cells[found] += n
-        held = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(cells[held])], names=["cell", "n"])
+                cells[found] = np.minimum(cells[found] + n, most)
+        stretches = cells.reshape(-1, STRETCH)
+        for held in np.array_split(np.flatnonzero(stretches.any(axis=1)), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([stretches[i].tobytes() for i in held], pa.binary())], names=["stretch", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(counts.as_buffer(), np.uint16)
+                sums[i] = np.minimum(sums[i].astype(np.int64) + more, most).astype(np.uint16) if i in sums else more.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["stretch", "counts"])
 
-    table = texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int64)
-    counts[table["cell"].to_numpy()] = table["n"].to_numpy()
-    return counts
+    schema = "stretch int, counts binary"
+    table = texts.select("text").mapInArrow(count, schema).repartition("stretch").mapInArrow(add, schema).toArrow()
+    cells = np.zeros((-(-CELLS // STRETCH), STRETCH), np.uint16)
+    for i, counts in zip(table["stretch"].to_pylist(), table["counts"], strict=True):
+        cells[i] = np.frombuffer(counts.as_buffer(), np.uint16)
+    return cells.ravel()
 
 
 def _cells(members: np.ndarray) -> np.ndarray:
@@ -307,25 +323,29 @@ def first_members(members: np.ndarray, counts: np.ndarray, percent: int) -> np.n
 
 
 def _rare_relations(sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): keys of sets (row, key, n) that share a member among their rarest, as stars.
+    """(a, b): nodes of sets (row, key, dealt: their families and nodes) that share a family and a member among their rarest, as stars.
 
     Rarity is told by the counts of ``CELLS`` cells, which are broadcast; so only the first members of a set leave its task.
     """
     small = F.broadcast(sets) if sets.count() <= SMALL else sets
-    texts = materialise(_texts_of(small, rows).join(small, "row").select("text", "key"), "wide_texts")
+    texts = materialise(_texts_of(small, rows).join(small, "row").select("text", "key", "dealt.family", "dealt.node"), "wide_texts")
     shared = rows.sparkSession.sparkContext.broadcast(_cell_counts(texts, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, group in text_groups(batch):
-                keys = batch.column(1).slice(start, len(group))
-                found = [first_members(s, shared.value, percent) if _key(s) == k.as_py() else s[:0] for s, k in zip(shingle_sets(group, shingle), keys, strict=True)]
-                owner = np.repeat(np.arange(len(found)), [len(s) for s in found])
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(np.concatenate(found).view(np.int64))], names=["key", "member"])
+                keys, families, nodes = (batch.column(c).slice(start, len(group)).to_pylist() for c in (1, 2, 3))
+                owners, members = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for i, s in enumerate(shingle_sets(group, shingle)):
+                    if _key(s) == keys[i]:
+                        first = mix(first_members(s, shared.value, percent))
+                        members += [mix(first ^ f) for f in np.array(families[i], np.int64).view(np.uint64)]
+                        owners.append(np.repeat(np.array(nodes[i], np.int64), len(first)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(members).view(np.int64))], names=["node", "member"])
 
-    first = materialise(texts.mapInArrow(run, "key binary, member long"), "rare_members")
-    least = first.groupBy("member").agg(F.min("key").alias("least"), F.count("*").alias("key_rows")).where("key_rows > 1")
-    return join_hot(first, least, "member").where("least is not null and least <> key").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    first = materialise(texts.mapInArrow(run, "node long, member long"), "rare_members")
+    least = first.groupBy("member").agg(F.min("node").alias("least"), F.count("*").alias("key_rows")).where("key_rows > 1")
+    return join_hot(first, least, "member").where("least is not null and least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _join_blocks(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -356,14 +376,15 @@ def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _components_of_links(members: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(key, label): components of linked sets, from families (family, row, key, n)."""
+    """(key, label): components of linked sets, from families (family, row, key, n, node)."""
     sizes, told = _sized(members)
     narrow = F.col("family_sets") <= min(WIDE, BLOCK)
     whole = told.where(narrow).drop("blocks", "family_sets")
-    wide = materialise(told.where(~narrow).groupBy("key").agg(F.first("row").alias("row"), F.first("n").alias("n")), "wide_families")
+    wide = materialise(told.where(~narrow).drop("blocks", "family_sets"), "wide_families")
     if wide.limit(1).count():
-        finer = connected_components(_rare_relations(wide, rows, shingle, percent)).select(F.col("node").alias("key"), F.col("label").alias("family"))
-        finer = wide.join(finer, "key").select(F.xxhash64("family", F.lit("finer")).alias("family"), "row", "key", "n")
+        by_set = wide.groupBy("key").agg(F.first("row").alias("row"), F.collect_set(F.struct("family", "node")).alias("dealt"))
+        finer = connected_components(_rare_relations(materialise(by_set, "wide_sets"), rows, shingle, percent)).select("node", "label")
+        finer = wide.join(finer, "node").select(F.xxhash64("label", F.lit("finer")).alias("family"), "row", "key", "n", "node")
         sizes, told = _sized(materialise(whole.unionByName(finer), "finer_families"))
     dealt = materialise(told.withColumn("one", F.pmod(F.hash("key"), "blocks")), "blocks")
     columns = ["row", "key", "family", "one", F.lit(0).alias("two"), F.lit(True).alias("asks")]
@@ -382,7 +403,7 @@ def _components_of_links(members: DataFrame, rows: DataFrame, shingle: int, perc
     others = materialise(join_hot(placed, top, "family").where("label <> top"), "others")
     probes = others.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("probes"), F.sum(F.lit(1)).alias("n_others"))
     asked = join_hot(others, probes.withColumnRenamed("n_others", "key_rows"), "family").withColumn("two", F.pmod(F.xxhash64("key"), "probes").cast("int"))
-    asked = asked.select("row", "key", "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), "two", F.lit(True).alias("asks"))
+    asked = asked.select("row", "key", "family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("one"), "two", F.lit(True).alias("asks"), F.col("one").alias("own")).where("one <> own").drop("own")
     told = join_hot(large.select("row", "key", "family", "one"), probes.join(sizes.select("family", "key_rows"), "family").drop("n_others"), "family").where("probes is not null")
     told = told.select("row", "key", "family", "one", F.explode(F.sequence(F.lit(0), F.col("probes") - 1)).alias("two"), F.lit(False).alias("asks"))
     more = _join_blocks(asked.unionByName(told), rows, shingle, percent)
@@ -397,7 +418,7 @@ def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_c
     classes = table.where("key is not null").groupBy("key").agg(F.min(least).alias("least"), F.count("*").alias("key_rows"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
     classes = materialise(classes, "set_classes")
     families = connected_components(_relations(rows, shingle, percent)).withColumnRenamed("label", "family")
-    members = classes.select("key", "row", "n", F.explode("nodes").alias("node")).join(families, "node").select("family", "row", "key", "n")
+    members = classes.select("key", "row", "n", F.explode("nodes").alias("node")).join(families, "node").select("family", "row", "key", "n", "node")
     found = materialise(_components_of_links(materialise(members, "family_members"), rows, shingle, percent), "set_components")
     first = found.join(classes.select("key", "least"), "key").groupBy("label").agg(F.min("least").alias("first"), F.count("*").alias("key_rows"))
     told = join_hot(found, first, "label").select("key", "first")
