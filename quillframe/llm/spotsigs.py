@@ -135,7 +135,9 @@ def near_duplicates(fingerprints: DataFrame, similarity: float = SIMILARITY) ->
 
     Sets are partitioned by the logarithm of their size to the base 1 / similarity: a partner is in the
     same partition or a neighbour. Within a partition sets meet through the signatures of their prefix,
-    rarest first, of which linked sets share one; the bound of the sizes prunes before sets are compared.
+    rarest first, of which linked sets share one. Signatures that only one prefix has go first; a pair is made
+    only at the first signature that both prefixes share, hence once, and only where the sizes and what
+    follows that place in either set leave room for the overlap. Sets are compared after that.
     """
     classes = fingerprints.groupBy(set_class(F.col("found")).alias("class")).agg(F.min("doc_id").alias("doc_id"), F.first("found").alias("found"))
     # a number stands for the class from here on: it is shorter in every shuffle
@@ -144,12 +146,18 @@ def near_duplicates(fingerprints: DataFrame, similarity: float = SIMILARITY) ->
     frequent = held.groupBy("signature").agg(F.count("*").alias("held")).where("held > 1").orderBy(F.desc("held"), "signature").limit(FREQUENT)
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "signature")))
     sorted_ = held.join(F.broadcast(frequent), "signature", "left").groupBy("k", "n").agg(order.alias("order"))
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
     prefix = F.slice("order", 1, (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
-    entries = materialise(sorted_.select("k", "n", part.alias("part"), F.explode(prefix["signature"]).alias("signature")), "prefixes")
+    places = materialise(sorted_.select("k", "n", F.posexplode(prefix["signature"]).alias("place", "signature")), "prefixes")
+    shared = places.groupBy("signature").count().where("count > 1").select("signature")
+    kept = places.join(shared, "signature", "left_semi").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("place", "signature"))).alias("kept"))
+    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
+    kept = materialise(kept.withColumn("part", part), "shared_prefixes")
+    entries = kept.select("k", "n", "part", F.col("kept.signature").alias("prefix"), F.explode("kept").alias("at")).select("k", "n", "part", "prefix", "at.place", "at.signature")
     mine, other = entries.alias("x"), entries.withColumn("part", F.explode(F.array("part", F.col("part") + 1))).alias("y")
-    meet = mine.join(other, ["part", "signature"]).where("y.k <> x.k and y.n <= x.n").where(F.col("y.n") >= F.col("x.n") * similarity - 1e-9)
-    pairs = meet.select(F.least("x.k", "y.k").alias("k_a"), F.greatest("x.k", "y.k").alias("k_b")).distinct()
+    room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9
+    meet = mine.join(other, ["part", "signature"]).where("y.n < x.n or y.n = x.n and y.k < x.k").where(F.col("y.n") >= F.col("x.n") * similarity - 1e-9).where(room)
+    meet = meet.where(F.array_intersect("x.prefix", "y.prefix")[0] == F.col("signature"))
+    pairs = meet.select(F.least("x.k", "y.k").alias("k_a"), F.greatest("x.k", "y.k").alias("k_b"))
     sets = classes.select("k", "class", "doc_id", "found")
     both = pairs.join(sets.toDF("k_a", "class_a", "a", "found_a"), "k_a").join(sets.toDF("k_b", "class_b", "b", "found_b"), "k_b")
     both = both.withColumn("likeness", likeness(F.col("found_a"), F.col("found_b"))).where(F.col("likeness") >= similarity)

@@ -3,8 +3,11 @@
 import collections
 import hashlib
 
+import random
+
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillframe.llm import common, graph, ngram_join, spotsigs, substring_dedup
@@ -233,6 +236,48 @@ def test_spotsigs_pairs(docs):
     assert {(r.a, r.b) for r in spotsigs.near_duplicates(fingerprints).collect()} == expected
 
 
+def signatures(text, anchors):
+    w = [x for x in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if x]
+    found = {(a, tuple([x for x in w[i + 1 : i + 1 + spotsigs.REACH] if x not in anchors][: spotsigs.CHAIN])) for i, a in enumerate(w) if a in anchors}
+    return frozenset(found or {("whole", tuple(w))})
+
+
+def test_spotsigs_fingerprints_by_definition(docs):
+    rows = [(i, t or "") for i, t, *_ in corpus()]
+    anchors = spotsigs.common_words(docs)
+    told = spotsigs.compare_edits(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), anchors).collect()
+    texts = dict(r for r in reversed(rows) if r[0] is not None)
+    order = sorted(texts, reverse=True)
+    names = {}
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b)
+
+    for r in told:
+        text, following = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+        third = len(text) // 3
+        mine, changed, other = (signatures(t, anchors) for t in (text, text[: len(text) - third] + following[:third], following))
+        assert names.setdefault(r.fingerprint, mine) == mine and names.setdefault(r.edited_fingerprint, changed) == changed
+        assert len(r.fingerprint) == 16 * len(mine)
+        assert (r.near_edited, r.near_next) == (jaccard(mine, changed), jaccard(mine, other))
+    assert len(told) == len(texts) and len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_spotsigs_pairs_of_random_families(spark, monkeypatch, similarity):
+    monkeypatch.setattr(spotsigs, "FREQUENT", 20)
+    rng = random.Random(3)
+    sets = set()
+    for _ in range(12):
+        base = rng.sample(range(400), rng.randint(1, 40))
+        for _ in range(12):
+            sets.add(frozenset(set(rng.sample(base, max(1, len(base) - rng.randint(0, 6)))) | set(rng.sample(range(30), rng.randint(0, 3)))))
+    rows = [(i, sorted(s)) for i, s in enumerate(sorted(sets, key=sorted))]
+    expected = [(i, j) for i, a in rows for j, b in rows if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) >= similarity]
+    found = spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, found array<long>"), similarity).collect()
+    assert len(expected) > 100 and sorted((r.a, r.b) for r in found) == expected
+
+
 def test_spotsigs_components_name_every_row(spark):
     near = list(range(2, 12))
     rows = [(1, [500]), (2, [500]), (None, near), (None, near[:9]), (7, near[1:]), (9, [700, 701]), (9, [800, 801]), (None, [900]), (None, [900]), (5, [601, 602, 603, 604, 605]), (5, [601, 602, 603, 604])]
