@@ -167,12 +167,14 @@ def near_duplicates(fingerprints: DataFrame, similarity: float = SIMILARITY) ->
 
 def near_components(fingerprints: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class, component_id) of every row: its class of equal sets, and the least id of all rows linked to it (null: they have none)."""
-    rows = materialise(fingerprints.select("doc_id", set_class(F.col("found")).alias("class")), "class_members")
+    # texts are read and cut into signatures here and nowhere else
+    fingerprints = materialise(fingerprints.select("doc_id", "found"), "fingerprints")
+    rows = fingerprints.select("doc_id", set_class(F.col("found")).alias("class"))
     labels = connected_components(near_duplicates(fingerprints, similarity).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
     least = rows.groupBy("class").agg(F.min("doc_id").alias("least")).join(labels, F.col("class") == F.col("node"), "left")
     named = least.select("class", "least", F.coalesce("label", "class").alias("component"))
     told = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("class", "component_id")
-    return rows.select("doc_id", "class").join(told, "class", "left").select("doc_id", "class", "component_id")
+    return rows.join(told, "class", "left").select("doc_id", "class", "component_id")
 
 
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
