@@ -76,10 +76,11 @@ def cut_texts(texts: DataFrame, size: int = SEGMENT) -> DataFrame:
 
     A segment ends with a line, and before a line that does not begin with a semicolon, so no delimiter is cut.
     """
-    whole = texts.select("file", repaired(F.col("text")).alias("text"))
-    pieces = F.when(F.length("text") <= size, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"[\\s\\S]{{{size}}}[\\s\\S]*?\\n(?!;)|[\\s\\S]+"), F.lit(0)))
-    found = whole.select("file", F.posexplode(pieces).alias("seg", "piece"), F.size(pieces).alias("n"))
-    return found.select("file", "seg", (F.col("seg") == F.col("n") - 1).alias("last"), F.col("piece").alias("text"))
+    pattern = F.lit(f"[\\s\\S]{{{size}}}[\\s\\S]*?\\n(?!;)|[\\s\\S]+")
+    # a lambda's variable holds its value: a text is repaired and cut once, not once for each of its segments
+    pieces = F.transform(F.array(repaired(F.col("text"))), lambda t: F.when(F.length(t) <= size, F.array(t)).otherwise(F.regexp_extract_all(t, pattern, F.lit(0))))
+    numbered = F.flatten(F.transform(pieces, lambda ps: F.transform(ps, lambda p, i: F.struct(i.alias("seg"), (i == F.size(ps) - 1).alias("last"), p.alias("text")))))
+    return texts.select("file", F.explode(numbered).alias("piece")).select("file", "piece.*")
 
 
 def _all_tokens(text: Column, open_end: bool = False) -> Column:
@@ -186,45 +187,31 @@ def tokens_of_segments(segments: DataFrame) -> DataFrame:
 
 
 def _with_states(segments: DataFrame) -> DataFrame:
-    joined = segments.join(segment_states(segments), ["file", "seg"])
+    joined = segments.join(cut(segment_states(segments)), ["file", "seg"])
     return joined.join(_stitched(joined), ["file", "seg"], "left")
 
 
-def _running(rows: DataFrame, sums: dict[str, Column], lasts: dict[str, Column], segmented: bool) -> DataFrame:
-    """Rows with, for each name, the sum so far, or the last value so far that is not null, over the file's tokens."""
-    here = Window.partitionBy("file", "seg").orderBy("at").rowsBetween(*_RUNNING)
-    columns = {k: F.sum(c).over(here) for k, c in sums.items()} | {k: F.last(c, True).over(here) for k, c in lasts.items()}
-    found = rows.withColumns(columns)
-    if not segmented:
-        return found
-    latest = {k: F.max(F.when(c.isNotNull(), F.struct(F.col("at"), c.alias("v")))) for k, c in lasts.items()}
-    totals = rows.groupBy("file", "seg").agg(*[F.sum(c).alias(k) for k, c in sums.items()], *[c["v"].alias(k) for k, c in latest.items()])
-    past = Window.partitionBy("file").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("file", "seg", *[F.sum(k).over(past).alias(f"_{k}") for k in sums], *[F.last(k, True).over(past).alias(f"_{k}") for k in lasts])
-    joined = found.join(carried, ["file", "seg"])
-    whole = {k: F.col(k) + F.coalesce(f"_{k}", F.lit(0)) for k in sums} | {k: F.coalesce(k, f"_{k}") for k in lasts}
-    return joined.withColumns(whole).drop(*[f"_{k}" for k in whole])
-
-
-def _neighbour(rows: DataFrame, name: str, value: Column, ahead: bool, segmented: bool) -> DataFrame:
-    """Rows with the value of the token after (``ahead``) or before; ``value`` is never null."""
-    here = Window.partitionBy("file", "seg").orderBy("at")
-    found = rows.withColumn(name, F.lead(value).over(here) if ahead else F.lag(value).over(here))
-    if not segmented:
-        return found
-    edge = rows.groupBy("file", "seg").agg((F.min_by if ahead else F.max_by)(value, "at").alias("v"))
-    by_seg = Window.partitionBy("file").orderBy("seg")
-    beyond = F.first("v").over(by_seg.rowsBetween(1, 1)) if ahead else F.last("v").over(by_seg.rowsBetween(-1, -1))
-    # every segment but an empty one has tokens, and those without are not rows here
-    return found.join(edge.select("file", "seg", beyond.alias("_v")), ["file", "seg"]).withColumn(name, F.coalesce(name, "_v")).drop("_v")
-
-
 def _classified(found: DataFrame, segmented: bool = False) -> DataFrame:
-    """Tokens with their kind, the numbers of their frame and loop, and their place in these."""
+    """Tokens with their kind, the numbers of their frame and loop, and their place in these.
+
+    Everything is counted within segments first. What segments pass on is found from two small tables with a row a segment:
+    the depth of loops and the last token, on which kinds rest, then counts and the last marks. The tokens are read for
+    each of these once, however many counts there are.
+    """
+    here, by_seg = Window.partitionBy("file", "seg").orderBy("at"), Window.partitionBy("file").orderBy("seg")
+    so_far, past = here.rowsBetween(*_RUNNING), by_seg.rowsBetween(Window.unboundedPreceding, -1)
     low, bare = F.lower("token"), F.coalesce(F.col("delim").isin(" ", "$"), F.lit(False))
     rows = found.withColumn("bare", bare).withColumn("is_loop", bare & (low == "loop_")).withColumn("is_stop", bare & (low == "stop_"))
-    rows = _running(rows, {"depth": F.col("is_loop").cast("int") - F.col("is_stop").cast("int"), "nth_token": F.lit(1)}, {}, segmented).withColumn("in_loop", F.col("depth") > 0)
-    rows = _neighbour(rows, "after_tag", F.col("bare") & F.col("token").startswith("_") & ~F.col("in_loop"), False, segmented).withColumn("after_tag", F.coalesce("after_tag", F.lit(False)))
+    step, tag_like = F.col("is_loop").cast("int") - F.col("is_stop").cast("int"), F.col("bare") & F.col("token").startswith("_")
+    depth, nth, before = F.sum(step).over(so_far), F.sum(F.lit(1)).over(so_far), F.lag(tag_like).over(here)
+    if segmented:
+        ends = rows.groupBy("file", "seg").agg(F.sum(step).alias("depth"), F.count("*").alias("n"), F.max(F.struct(F.col("at"), tag_like.alias("tag_like"))).alias("end"))
+        entry = cut(ends.select("file", "seg", F.coalesce(F.sum("depth").over(past), F.lit(0)).alias("_depth"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_nth"), F.lag("end.tag_like").over(by_seg).alias("_before")))
+        rows = rows.join(entry, ["file", "seg"])
+        depth, nth, before = depth + F.col("_depth"), nth + F.col("_nth"), F.coalesce(before, "_before")
+    rows = rows.withColumns({"depth": depth, "nth_token": nth, "after_tag": before}).drop("_depth", "_nth", "_before")
+    # the token before had this one's depth less its own step
+    rows = rows.withColumn("in_loop", F.col("depth") > 0).withColumn("after_tag", F.coalesce("after_tag", F.lit(False)) & (F.col("depth") - step <= 0))
     outside = F.col("bare") & ~F.col("in_loop") & ~F.col("after_tag")
     kind = (
         F.when(F.col("delim").isNull(), "end").when(F.col("is_loop"), "loop").when(F.col("is_stop"), "stop").when(outside & low.startswith("data_"), "data").when(outside & (low == "save_"), "close")
@@ -234,14 +221,25 @@ def _classified(found: DataFrame, segmented: bool = False) -> DataFrame:
     count = lambda *kinds: F.col("kind").isin(*kinds).cast("int")
     name = F.substring(F.col("token"), F.lit(6), F.length("token"))
     sums = {"sf_ord": count("open"), "closed": count("close"), "loop_no": count("loop"), "n_values": count("value") * F.col("in_loop").cast("int"), "n_tags": count("tag") * F.col("in_loop").cast("int"), "n_own": count("tag") * (~F.col("in_loop")).cast("int"), "n_data": count("data")}
-    rows = _running(rows, sums, {"sf_name": F.when(F.col("kind") == "open", name)}, segmented)
     opens, loops = F.col("kind") == "open", F.col("kind") == "loop"
-    marks = {"_loops": F.when(opens, F.col("loop_no")), "_own": F.when(opens, F.col("n_own")), "_values": F.when(loops, F.col("n_values")), "_tags": F.when(loops, F.col("n_tags")), "entry_id": F.when((F.col("kind") == "data") & (F.col("n_data") == 1), name)}
-    rows = _running(rows, {}, marks, segmented)
-    since = lambda n, mark: F.col(n) - F.coalesce(mark, F.lit(0))
-    rows = rows.withColumns({"loop_ord": since("loop_no", "_loops"), "nth_own": since("n_own", "_own"), "loop_values": since("n_values", "_values"), "loop_tags": since("n_tags", "_tags")}).drop(*[m for m in marks if m != "entry_id"], "n_values", "n_tags", "n_own", "n_data")
     following = F.struct(F.col("token").alias("token"), F.col("delim").alias("delim"), F.col("kind").alias("kind"))
-    rows = _neighbour(rows, "next", following, True, segmented)
+    rows = rows.withColumns({k: F.sum(c).over(so_far) for k, c in sums.items()} | {"sf_name": F.last(F.when(opens, name), True).over(so_far), "next": F.lead(following).over(here)})
+    # counts at the last saveframe's or loop's beginning
+    marks = {"_loops": ("loop_no", opens), "_own": ("n_own", opens), "_values": ("n_values", loops), "_tags": ("n_tags", loops)}
+    first_data = F.when((F.col("kind") == "data") & (F.col("n_data") == 1), name)
+    rows = rows.withColumns({m: F.last(F.when(at, F.col(n)), True).over(so_far) for m, (n, at) in marks.items()} | {"entry_id": F.last(first_data, True).over(so_far)})
+    if segmented:
+        names = [*sums, *marks, "sf_name", "entry_id"]
+        ends = rows.groupBy("file", "seg").agg(F.max(F.struct("at", *names)).alias("end"), F.min(F.struct(F.col("at"), following.alias("token"))).alias("begin"))
+        ends = ends.withColumns({f"b_{k}": F.coalesce(F.sum(f"end.{k}").over(past), F.lit(0)) for k in sums})
+        last = {m: F.col(f"end.{m}") + F.col(f"b_{n}") for m, (n, _) in marks.items()} | {"sf_name": F.col("end.sf_name"), "entry_id": F.when(F.col("b_n_data") == 0, F.col("end.entry_id"))}
+        ends = ends.withColumns({f"b_{k}": F.last(c, True).over(past) for k, c in last.items()} | {"b_next": F.lead("begin.token").over(by_seg)})
+        rows = rows.join(cut(ends.select("file", "seg", *[f"b_{k}" for k in names], "b_next")), ["file", "seg"])
+        whole = {m: F.coalesce(F.col(m) + F.col(f"b_{n}"), f"b_{m}") for m, (n, _) in marks.items()} | {"entry_id": F.coalesce(F.when(F.col("b_n_data") == 0, F.col("entry_id")), "b_entry_id")}
+        whole |= {k: F.col(k) + F.col(f"b_{k}") for k in sums} | {k: F.coalesce(k, f"b_{k}") for k in ("sf_name", "next")}
+        rows = rows.withColumns(whole).drop(*[f"b_{k}" for k in names], "b_next")
+    since = lambda n, mark: F.col(n) - F.coalesce(mark, F.lit(0))
+    rows = rows.withColumns({"loop_ord": since("loop_no", "_loops"), "nth_own": since("n_own", "_own"), "loop_values": since("n_values", "_values"), "loop_tags": since("n_tags", "_tags")}).drop(*marks, "n_values", "n_tags", "n_own", "n_data")
     return rows.select("*", F.col("next.token").alias("next_token"), F.col("next.delim").alias("next_delim"), F.col("next.kind").alias("next_kind")).drop("next")
 
 
@@ -256,6 +254,9 @@ def parse(texts: DataFrame) -> StarTables:
 
 def parse_segments(segments: DataFrame) -> StarTables:
     """As ``parse``, of texts in segments (file, seg, last, text), so that no task holds a large file's tokens."""
+    # written once: a source is read and cut once. The number is given, as small parts of text are much work and must not be put together
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segments = cut(segments.select("file", "seg", "last", "text").repartition(parts, "file", "seg"))
     return _tables(cut(_classified(cut(_explode_tokens(_with_states(segments))), True)), True)
 
 

@@ -115,3 +115,19 @@ def test_tag_without_category_takes_its_frames(spark):
     found = star.parse(spark.createDataFrame([("f", "data_a save_a _A.b c _d 'stop_' _A.Sf_framecode a save_")], "file string, text string"))
     assert found.errors.collect() == []
     assert [(r.category, r.tag, r.value) for r in found.cells.orderBy("col_ord").collect()] == [("_A", "b", "c"), ("_A", "d", "stop_"), ("_A", "Sf_framecode", "a")]
+
+
+def test_a_text_is_cut_once_and_tokens_are_read_a_few_times(spark):
+    texts = spark.createDataFrame([("w", WHOLE)], "file string, text string")
+    cut = star.cut_texts(texts, 20)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    tokens = star._explode_tokens(cut.selectExpr("*", "false AS inside", "false AS opens", "'' AS block", "0L AS line_before")).checkpoint()
+    plan = star._classified(tokens, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 4, plan
+
+
+def test_a_loop_over_many_segments(spark):
+    text = "data_a\nsave_a\n_A.b c\nloop_\n_B.x\n" + "".join(f"{i}\n" for i in range(4000)) + "stop_\nsave_\n"
+    parsed = star.parse_segments(star.cut_texts(spark.createDataFrame([("w", text)], "file string, text string"), 100))
+    assert parsed.cells.where("kind = 'loop'").agg(F.count("*"), F.sum("value"), F.max("row_ord")).first()[:] == (4000, 7998000.0, 3999)
+    assert parsed.errors.count() == 0
