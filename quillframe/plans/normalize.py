@@ -3,15 +3,19 @@
 Stages, each a join or a window over cells of one entry: order frames, loops, rows and tags; number the
 frames of a category; note every key's old and new value; rewrite foreign keys; let labels decide the
 ids beside them; number loop ids. Later stages win over earlier ones on the same cell. The cells are
-checkpointed between stages, each of which reads them more than once.
+written to the shared store by column between stages, each of which reads some of them more than once.
+Only cells that a join can change are shuffled for it; what is told of loops and saveframes goes to the
+cells beside their column's place, in one join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.lineage import cut
+from quillframe.functions.lineage import stored
 from quillframe.functions.names import is_null
 from quillframe.functions.values import is_integer_text, is_number_text
 from quillframe.operators.dictionary import category_order
@@ -30,8 +34,8 @@ def frame_order(frames: DataFrame, cells: DataFrame, dictionary: DataFrame) -> D
     return numbered.withColumn("frame_id", F.col("frame_id").cast("string")).drop("sf_category")
 
 
-def _ordered(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Cells with new loop, row and column ordinals: by dictionary, by ``Ordinal``, by dictionary.
+def _ordered(cells: DataFrame, dictionary: DataFrame, order: DataFrame) -> DataFrame:
+    """Cells with new loop, row and column ordinals (by dictionary, by ``Ordinal``, by dictionary) and their saveframe's of ``order``.
 
     Each is ranked over the distinct loops, rows or tags and joined back, so no task holds a loop.
     """
@@ -47,7 +51,8 @@ def _ordered(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
     loops = rows.where("kind = 'loop'").groupBy(*keys).agg(F.first("category").alias("category")).join(F.broadcast(category_order(dictionary)), "category", "left")
     place = F.row_number().over(Window.partitionBy("entry_id", "sf_ord").orderBy(F.asc_nulls_last("place"), F.sha1("category"), "loop_ord"))
     new_loops = loops.select(*keys, place.cast("long").alias("_loop"))
-    joined = rows.join(new_rows, [*keys, "row_ord"]).join(new_tags, [*keys, "col_ord"]).join(new_loops, keys, "left")
+    placed = new_tags.join(new_loops, keys, "left").join(order, ["entry_id", "sf_ord"])
+    joined = rows.join(new_rows, [*keys, "row_ord"]).join(placed, [*keys, "col_ord"]).drop("sf_ord").withColumnRenamed("new_ord", "sf_ord")
     return joined.drop("row_ord", "col_ord", "loop_ord").withColumnsRenamed({"_row": "row_ord", "_col": "col_ord"}).withColumn("loop_ord", F.coalesce("_loop", F.lit(0).cast("long"))).drop("_loop")
 
 
@@ -67,38 +72,47 @@ def ids_of_labels(rows: DataFrame, ids: DataFrame, label: str, keys: list[str],
     return rows.join(ids, [*[k for k in keys if k in ids.columns], label], how)
 
 
+def _where(rows: DataFrame, held: Column, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows that ``held`` names with what ``change`` adds to them, and all others as they are, with nulls there."""
+    held = F.coalesce(held, F.lit(False))
+    return change(rows.where(held)).unionByName(rows.where(~held), allowMissingColumns=True)
+
+
 def normalize(cells: DataFrame, frames: DataFrame, dictionary: DataFrame, keeps_ids: tuple[str, ...] = ("_Experiment",)) -> tuple[DataFrame, DataFrame]:
     """The (cells, frames) of normalised entries; loops of the categories ``keeps_ids`` keep their own ids."""
-    order = cut(frame_order(frames, cells, dictionary))
+    order = stored(frame_order(frames, cells, dictionary))
     names = [c for c in cells.columns]
-    rows = _ordered(cells, dictionary).join(order, ["entry_id", "sf_ord"]).drop("sf_ord").withColumnRenamed("new_ord", "sf_ord")
+    rows = _ordered(cells, dictionary, order)
     rows = rows.withColumn("tag", F.coalesce("tag_field", "tag")).withColumn("old", F.col("value"))
-    rows = cut(rows)
+    rows = stored(rows.select(*names, "old", "frame_id", "known_tag", "nullable", "star_type", "entry_id_flag", "local_id_flag", "fk_table", "fk_column", "sf_pointer"))
 
     local, null = F.coalesce("local_id_flag", F.lit(False)), is_null(F.col("value"))
     parent = rows.where("kind = 'tag'").select("entry_id", "sf_ord", F.lower(F.concat(F.substring(F.col("category"), F.lit(2), F.length("category")), F.lit("."), "tag")).alias("_parent"), F.col("value").alias("_parent_value"))
     rows = rows.withColumn("_parent", F.lower(F.concat("fk_table", F.lit("."), "fk_column")))
-    rows = beside_parent(rows, parent)
+    rows = _where(rows, F.col("_parent").isNotNull(), lambda held: beside_parent(held, parent))
     value = (
         F.when(local & F.col("entry_id_flag"), F.col("entry_id"))
         .when(local & (F.col("star_type") == "int"), F.when((F.col("kind") == "tag") | null, F.col("frame_id")).otherwise(F.col("value")))
         .when(local & (F.col("kind") == "loop"), F.coalesce("_parent_value", "value"))
         .otherwise(F.col("value"))
     )
-    rows = cut(rows.withColumn("value", value).drop("_parent", "_parent_value"))
+    rows = stored(rows.withColumn("value", value).drop("_parent", "_parent_value"))
 
-    key = [F.lower(F.substring(F.col("category"), F.lit(2), F.length("category"))).alias("_table"), F.lower("tag").alias("_column")]
+    key = [F.lower(F.substring(F.col("category"), F.lit(2), F.length("category"))), F.lower("tag")]
     new = F.when(F.col("kind") == "tag", F.col("value")).otherwise(F.col("old"))
-    mapping = rows.where("known_tag is not null").groupBy("entry_id", *key, F.col("old").alias("_old")).agg(F.max_by(new, F.struct("sf_ord", "loop_ord", "row_ord", "col_ord")).alias("_new"))
+    pointed = dictionary.select(F.lower("fk_table").alias("_table"), F.lower("fk_column").alias("_column")).where("_table is not null and _column is not null").distinct()
+    keyed = rows.where("known_tag is not null").withColumns(dict(zip(("_table", "_column"), key, strict=True))).join(F.broadcast(pointed), ["_table", "_column"], "left_semi")
+    mapping = keyed.groupBy("entry_id", "_table", "_column", F.col("old").alias("_old")).agg(F.max_by(new, F.struct("sf_ord", "loop_ord", "row_ord", "col_ord")).alias("_new"))
     points = F.col("fk_table").isNotNull() & ~F.coalesce("sf_pointer", F.lit(False)) & ~(is_null(F.col("value")) & F.coalesce("nullable", F.lit(True)))
     rows = rows.withColumn("_table", F.when(points, F.lower("fk_table"))).withColumn("_column", F.lower("fk_column"))
-    rows = cut(remap(rows, mapping).withColumn("value", F.coalesce("_new", "value")).drop("_table", "_column", "_old", "_new"))
+    rows = stored(_where(rows, F.col("_table").isNotNull(), lambda held: remap(held, mapping)).withColumn("value", F.coalesce("_new", "value")).drop("_table", "_column", "_old", "_new"))
 
     frame_ids = rows.where((F.col("kind") == "tag") & (F.lower("tag") == "id")).select("entry_id", F.concat(F.lit("$"), "sf_name").alias("_label"), F.col("value").alias("_id"))
     labels = rows.where((F.col("kind") == "loop") & (F.lower("fk_column") == "sf_framecode")).select("entry_id", "sf_ord", "loop_ord", "row_ord", F.lower("fk_table").alias("_table"), F.col("value").alias("_label"))
     told = ids_of_labels(labels, frame_ids, "_label", ["entry_id"], "inner").groupBy("entry_id", "sf_ord", "loop_ord", "row_ord", "_table").agg(F.max("_id").alias("_id"))
     takes = (F.col("kind") == "loop") & (F.lower("fk_column") == "id") & ~F.coalesce("entry_id_flag", F.lit(False))
-    rows = rows.withColumn("_table", F.when(takes, F.lower("fk_table"))).join(told, ["entry_id", "sf_ord", "loop_ord", "row_ord", "_table"], "left").withColumn("value", F.coalesce("_id", "value"))
+    rows = rows.withColumn("_table", F.when(takes, F.lower("fk_table")))
+    rows = _where(rows, F.col("_table").isNotNull(), lambda held: held.join(told, ["entry_id", "sf_ord", "loop_ord", "row_ord", "_table"], "left")).withColumn("value", F.coalesce("_id", "value"))
 
     numbered = (F.col("kind") == "loop") & (F.lower("tag") == "id") & ~F.col("category").isin(*keeps_ids)
     rows = rows.withColumn("value", F.when(numbered, (F.col("row_ord") + 1).cast("string")).otherwise(F.col("value")))

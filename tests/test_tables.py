@@ -249,3 +249,20 @@ def test_typed_loops(spark, loop):
     assert dictionary.loop_from_template(known, "t").tags == ("i", "f", "d")
     with pytest.raises(ValueError):
         dictionary.loop_from_template(known, "nothing")
+
+
+def test_normalisation_shuffles_only_cells_that_point_and_keeps_stages_by_column(spark):
+    known = dictionary.from_rows(spark, [
+        {"tag": "_C.ID", "sf_category": "c", "star_type": "int", "local_id_flag": True},
+        {"tag": "_O.C_ID", "sf_category": "c", "is_loop": True, "fk_table": "C", "fk_column": "ID"}, {"tag": "_O.Name", "sf_category": "c", "is_loop": True},
+    ])
+    cells = [("e", k, f"c{k}", "c", "tag", 0, "_C", 0, 0, "ID", str(10 * k)) for k in (1, 2)]
+    cells += [("e", k, f"c{k}", "c", "loop", 1, "_O", r, i, t, v) for k in (1, 2) for r in (0, 1) for i, (t, v) in enumerate((("Name", None), ("C_ID", str(10 * k) if r else "99")))]
+    cells = spark.createDataFrame(cells, "entry_id string, sf_ord long, sf_name string, sf_category string, kind string, loop_ord long, category string, row_ord long, col_ord int, tag string, value string")
+    frames = spark.createDataFrame([("e", k, f"c{k}", "c", "_C") for k in (1, 2)], "entry_id string, sf_ord long, sf_name string, sf_category string, tag_prefix string")
+    done, _ = normalize.normalize(cells, frames, known)
+    found = {(r.sf_ord, r.kind, r.row_ord, r.tag): r.value for r in done.collect()}
+    assert {k: v for k, v in found.items() if k[1] == "tag"} == {(1, "tag", 0, "ID"): "1", (2, "tag", 0, "ID"): "2"}
+    assert [found[k, "loop", r, "C_ID"] for k in (1, 2) for r in (0, 1)] == ["99", "1", "99", "2"]
+    assert len(found) == 10 and found[1, "loop", 0, "Name"] is None
+    assert any("/rows-" in f for f in done.inputFiles())
