@@ -52,16 +52,23 @@ def vocabulary_pretokens(tokenizer_json: str) -> dict[str, int]:
     return table
 
 
+_NEW = object()
+
+
 class _Memo(dict):
-    """A bounded cache: ``make`` computes what is missing; a full cache starts anew from the entries it was given."""
+    """A bounded cache: ``make`` computes what is missing. Half of it is filled anew each time, from the entries it was given; what the
+    half before holds moves there as it is asked for again, so frequent entries stay and those that came once go."""
 
     def __init__(self, make: Callable, most: int, given: dict | None = None):
         super().__init__(given or {})
-        self.make, self.most, self.given = make, most + len(self), dict(self)
+        self.make, self.most, self.given, self.before = make, most // 2 + len(self), dict(self), {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
+        value = self.before.get(key, _NEW)
+        if value is _NEW:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
             self.update(self.given)
         self[key] = value
@@ -78,6 +85,8 @@ class Library:
         kind = made.get("pre_tokenizer") or {}
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # words are kept here
         self.by_piece = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not made.get("normalizer")
         self.joins = re.compile("|".join([r"\s\s", r"\s\Z", "\0", *(re.escape(t["content"]) for t in made.get("added_tokens", []))]))
         self.table = {p: int(n).to_bytes(4, "little") for p, n in table.items()}
@@ -95,13 +104,20 @@ class Library:
         """Ids of one pre-token: the frequent ones from the table, the others by the model."""
         return self.table.get(p) or array("I", [t.id for t in self.model.tokenize(p.encode().decode("latin1").translate(_LETTERS))]).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space, which no cache holds: most such words come once, so they are kept as pieces only."""
+        letters = f"\u0120{word}" if word.isascii() else f" {word}".encode().decode("latin1").translate(_LETTERS)
+        return self.table.get(f" {word}") or array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _piece(self, key: str) -> bytes | None:
         """Ids of a piece, None if it can't be taken alone. A key begins with NUL at a text's start, with its newline, or stands after a space."""
         if not key:
             return None
         stem = key[:-1] if key[-1] in ".,!" else key
         if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ"):
-            return self.pretokens[f" {stem}"] + (b"" if len(stem) == len(key) else self.pretokens[key[-1]])
+            if len(stem) == len(key):
+                return self._word(stem)
+            return (self.ids.get(stem) or self._word(stem)) + self.pretokens[key[-1]]
         text = key[1:] if key[0] == "\0" else key if key[0] == "\n" else f" {key}"
         if self.joins.search(text):
             return None

@@ -138,3 +138,14 @@ def test_byte_bpe(docs, chunk, overlap):
     ids = encoding.encode_ordinary(text)
     assert digest[1:] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert byte_bpe.digests(byte_bpe.encode_texts(docs.limit(0), RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+
+
+def test_frequent_entries_stay_in_a_full_cache():
+    from quillframe.llm.pretokens import _Memo
+
+    made: list[str] = []
+    memo = _Memo(lambda k: made.append(k) or k.upper(), 10, {"given": "G"})
+    for i in range(100):
+        assert (memo["often"], memo[f"once{i}"], memo["given"]) == ("OFTEN", f"ONCE{i}", "G")
+        assert len(memo) + len(memo.before) <= 12
+    assert made.count("often") == 1 and "given" not in made
