@@ -278,6 +278,28 @@ def test_spotsigs_pairs_of_random_families(spark, monkeypatch, similarity):
     assert len(expected) > 100 and sorted((r.a, r.b) for r in found) == expected
 
 
+@pytest.mark.parametrize("frequent", [0, 15, 1000])
+def test_spotsigs_prefixes_by_definition(spark, monkeypatch, frequent):
+    monkeypatch.setattr(spotsigs, "FREQUENT", frequent)
+    rng = random.Random(frequent)
+    sets = {k: sorted(rng.sample(range(-40, 40), rng.randint(1, 30))) for k in range(40)}
+    held = collections.Counter(x for s in sets.values() for x in s)
+    top = dict(sorted(((x, c) for x, c in held.items() if c > 1), key=lambda p: (-p[1], p[0]))[:frequent])
+    expected = []
+    for k, s in sets.items():
+        order = sorted(s, key=lambda x: (top.get(x, 0), x))
+        expected += [(k, len(s), place, x) for place, x in enumerate(order[: len(s) - -(-len(s) * 8 // 10) + 1])]
+    rows = spark.createDataFrame([(k, len(s), s) for k, s in sets.items()], "k long, n int, found array<long>")
+    assert sorted(map(tuple, spotsigs._prefixes(rows, 0.8).collect())) == expected
+    assert spotsigs._prefixes(rows.limit(0), 0.8).count() == 0
+
+
+def test_spotsigs_class_names(spark):
+    rows = [(1, [1, 2]), (2, [1, 2]), (3, [1]), (4, [2]), (5, [1, 2, 3]), (6, [-1])]
+    names = {r.doc_id: r["class"] for r in spotsigs._classed(spark.createDataFrame(rows, "doc_id long, found array<long>")).collect()}
+    assert names[1] == names[2] and len(set(names.values())) == 5 and all(len(n) == 32 for n in names.values())
+
+
 def test_spotsigs_components_name_every_row(spark):
     near = list(range(2, 12))
     rows = [(1, [500]), (2, [500]), (None, near), (None, near[:9]), (7, near[1:]), (9, [700, 701]), (9, [800, 801]), (None, [900]), (None, [900]), (5, [601, 602, 603, 604, 605]), (5, [601, 602, 603, 604])]
