@@ -13,7 +13,7 @@ at least ``PERCENT`` hundredths of their union.
    set before it derives its answers from that set's: only the lists of members that differ are read.
    Families of more than ``WIDE`` sets are dealt anew: with members in one order for all, about rarest first, linked sets share a member
    among the first ones of each, one more than a set of that size may lack. Sets go together only where they share a family, hence a size
-   class, and such a member, so that chains of unlike sets break at both. Passages that many sets share come last in the order, as a broadcast table of
+   class, and such a member, so that chains of unlike sets break at both. Near copies are related by a few members first, and stand as one for the rest. Passages that many sets share come last in the order, as a broadcast table of
    counted cells tells. A family still above a block is cut by hash into blocks, each joined together with the family's pivots.
    Sets that are in the family's largest component by then have nothing to learn from each other; only the others are joined
    with every other block, in probe blocks of their own. So a group of copies of one text costs one pass over its blocks.
@@ -59,6 +59,8 @@ PIVOTS = 4
 SMALL = 300_000
 #: Cells of the counts that order members by rarity: 16 MB, broadcast, at any size of input; and cells in a row of counts.
 CELLS, STRETCH = 1 << 23, 1 << 13
+#: First members of a set, by hash, that relate near copies before all others are compared.
+LEADS = 4
 #: Shared signatures that a task remembers.
 REMEMBERED = 1 << 18
 
@@ -323,9 +325,12 @@ def first_members(members: np.ndarray, counts: np.ndarray, percent: int) -> np.n
 
 
 def _rare_relations(sets: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): nodes of sets (row, key, dealt: their families and nodes) that share a family and a member among their rarest, as stars.
+    """(node, label): components of nodes of sets (row, key, dealt: their families and nodes) that share a family and a member among their rarest.
 
-    Rarity is told by the counts of ``CELLS`` cells, which are broadcast; so only the first members of a set leave its task.
+    Rarity is told by the counts of ``CELLS`` cells, which are broadcast; so only the first members of a set leave its task. Near copies share
+    most of these, so nodes are first related by ``LEADS`` members each, least by hash, of which near copies share one as a rule. Then a
+    component stands for its nodes: all members are compared, but only those that two components have are joined, not
+    all that near copies share.
     """
     small = F.broadcast(sets) if sets.count() <= SMALL else sets
     texts = materialise(_texts_of(small, rows).join(small, "row").select("text", "key", "dealt.family", "dealt.node"), "wide_texts")
@@ -335,17 +340,27 @@ def _rare_relations(sets: DataFrame, rows: DataFrame, shingle: int, percent: int
         for batch in batches:
             for start, group in text_groups(batch):
                 keys, families, nodes = (batch.column(c).slice(start, len(group)).to_pylist() for c in (1, 2, 3))
-                owners, members = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                owners, members = [], []
                 for i, s in enumerate(shingle_sets(group, shingle)):
                     if _key(s) == keys[i]:
-                        first = mix(first_members(s, shared.value, percent))
-                        members += [mix(first ^ f) for f in np.array(families[i], np.int64).view(np.uint64)]
-                        owners.append(np.repeat(np.array(nodes[i], np.int64), len(first)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owners)), pa.array(np.concatenate(members).view(np.int64))], names=["node", "member"])
+                        first = np.sort(mix(first_members(s, shared.value, percent)))
+                        owners += nodes[i]
+                        members += [mix(first ^ f).view(np.int64) for f in np.array(families[i], np.int64).view(np.uint64)]
+                yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["node", "members"])
 
-    first = materialise(texts.mapInArrow(run, "node long, member long"), "rare_members")
-    least = first.groupBy("member").agg(F.min("node").alias("least"), F.count("*").alias("key_rows")).where("key_rows > 1")
-    return join_hot(first, least, "member").where("least is not null and least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    first = materialise(texts.mapInArrow(run, "node long, members array<long>"), "rare_members")
+    leads = materialise(_member_stars(first.select("node", F.explode(F.slice("members", 1, LEADS)).alias("member"))), "lead_relations")
+    related = connected_components(leads)
+    held = first.join(related, "node", "left").select(F.coalesce("label", "node").alias("node"), F.explode("members").alias("member"))
+    stars = materialise(_member_stars(held), "rare_relations")
+    return connected_components(leads.unionByName(stars))
+
+
+def _member_stars(held: DataFrame) -> DataFrame:
+    """(a, b): nodes of (node, member) and the least node that has the same member."""
+    held = materialise(held, "held_members")
+    least = held.groupBy("member").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("key_rows")).where("least < most").drop("most")
+    return join_hot(held, least, "member").where("least is not null and least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _join_blocks(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -383,8 +398,7 @@ def _components_of_links(members: DataFrame, rows: DataFrame, shingle: int, perc
     wide = materialise(told.where(~narrow).drop("blocks", "family_sets"), "wide_families")
     if wide.limit(1).count():
         by_set = wide.groupBy("key").agg(F.first("row").alias("row"), F.collect_set(F.struct("family", "node")).alias("dealt"))
-        finer = connected_components(_rare_relations(materialise(by_set, "wide_sets"), rows, shingle, percent)).select("node", "label")
-        finer = wide.join(finer, "node").select(F.xxhash64("label", F.lit("finer")).alias("family"), "row", "key", "n", "node")
+        finer = wide.join(_rare_relations(materialise(by_set, "wide_sets"), rows, shingle, percent), "node").select(F.xxhash64("label", F.lit("finer")).alias("family"), "row", "key", "n", "node")
         sizes, told = _sized(materialise(whole.unionByName(finer), "finer_families"))
     dealt = materialise(told.withColumn("one", F.pmod(F.hash("key"), "blocks")), "blocks")
     columns = ["row", "key", "family", "one", F.lit(0).alias("two"), F.lit(True).alias("asks")]

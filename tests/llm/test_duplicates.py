@@ -126,6 +126,33 @@ def test_first_members_meet_every_link(monkeypatch, cells):
     assert [len(ngram_join.first_members(np.arange(n, dtype=np.uint64), counts, 85)) for n in (0, 1, 7, 20, 100)] == [0, 1, 2, 4, 16]
 
 
+def test_near_copies_of_a_wide_family_are_related_by_few_members(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "WIDE", 4)
+    joined, plain = [], ngram_join.join_hot
+
+    def counted(rows, small, key, total=None):
+        found = plain(rows, small, key, total)
+        if key == "member":
+            joined.append(found.where("least is not null and least <> node").count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "join_hot", counted)
+    rng = random.Random(8)
+    texts = []
+    for base in range(3):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(200)]
+        for _ in range(25):
+            at = rng.randrange(200)
+            texts.append(" ".join([*words[:at], f"x{rng.random()}", *words[at + 1 :]][base:]))
+        words = words[:150] + [f"v{rng.randint(0, 5000)}" for _ in range(50)]
+        texts.append(" ".join(words))
+    found = ngram_join.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85).collect()
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    roots = components(sets, 85)
+    assert len({(r.component_id, roots[r.doc_id]) for r in found}) == len(set(roots)) == len({r.component_id for r in found}) == 6
+    assert joined and 0 < sum(joined) < 8 * len(texts)
+
+
 @pytest.mark.parametrize("rest", [0, 20, 20_000])
 def test_components_of_long_chains(spark, monkeypatch, rest):
     monkeypatch.setattr(graph, "REST", rest)
