@@ -56,12 +56,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and of the bytes they decode to, for every document of the mix."""
+    """Token count and digests of the ids and of the bytes they decode to, for every document of the mix.
+
+    The ids are written between the two, so that a task has one Python worker at a time and not two.
+    """
     import public_tokenizers
 
     bound_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return byte_bpe.digests(materialise(byte_bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN), "token_ids"), ranks)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -80,6 +80,11 @@ def _coder(shared) -> Coder:
     return _coders[shared.id]
 
 
+def _forget_coder() -> None:
+    """The worker goes on to other work, and a coder takes more memory than time to make. Tasks call this by name: what they name themselves is sent as a copy."""
+    _coders.clear()
+
+
 class _Shared:
     """A broadcast with a number that names it in workers."""
 
@@ -108,7 +113,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CH
         for batch in batches:
             for start, group in text_groups(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(group)), _lists([coder.encode(t) for t in group])], names=["doc_id", "token_ids"])
-        coder.memo.clear()  # the worker goes on to other work
+        _forget_coder()
 
     short = texts.where(~long).mapInArrow(whole, "doc_id long, token_ids array<int>")
     return short.unionByName(_encode_long(texts.where(long), shared, chunk, overlap))
@@ -135,6 +140,7 @@ def _encode_long(texts: DataFrame, shared: _Shared, chunk: int, overlap: int) ->
                 if c < last_chunk:
                     out.append((doc, row, c + 1, "previous", None, last_chunk, (bounds[bounds >= chunk] - chunk).astype(np.int32)))
             yield pd.DataFrame(out, columns=["doc_id", "row", "chunk", "kind", "text", "last", "bounds"])
+        _forget_coder()
 
     def stitch(frame: pd.DataFrame) -> pd.DataFrame:
         """A window's piece between shared boundaries; an unshared start or end is marked and leaves text to be encoded later."""

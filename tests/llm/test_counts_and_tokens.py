@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillframe.llm import byte_bpe, pretokens, quality, token_counts, token_store
 from quillframe.llm.common import scratch_folder
 from tests.llm.samples import SCHEMA, corpus, words
@@ -149,3 +151,24 @@ def test_frequent_entries_stay_in_a_full_cache():
         assert (memo["often"], memo[f"once{i}"], memo["given"]) == ("OFTEN", f"ONCE{i}", "G")
         assert len(memo) + len(memo.before) <= 12
     assert made.count("often") == 1 and "given" not in made
+
+
+def test_encoding_leaves_no_coder_in_workers(spark, docs):
+    def held(batches):
+        from quillframe.llm import byte_bpe as in_worker
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(in_worker._coders)])], names=["coders"])
+            in_worker._coders.clear()
+
+    workers = spark.range(64).repartition(64).mapInArrow(held, "coders long")
+    workers.collect()  # what other tests left
+    byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN).write.format("noop").mode("overwrite").save()
+    assert sum(r.coders for r in workers.collect()) == 0
+
+
+def test_pipeline_encodes_and_digests_one_after_the_other(spark, docs):
+    staged = corpus_pipeline.encoding_stage(spark, docs, "")
+    assert str(staged._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+    direct = byte_bpe.digests(byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert collections.Counter(map(tuple, staged.collect())) == collections.Counter(map(tuple, direct.collect()))
