@@ -106,6 +106,49 @@ def test_main_text_keeps_copied_pages(spark):
     assert found == told | {i: "a short text that two pages of a host have" for i in (7, 8)}
 
 
+def test_host_repeats_by_a_sorted_suffix_array(spark):
+    rng = np.random.default_rng(3)
+    menu = [f"m{k}" for k in range(11)]
+    pages = []
+    for i in range(60):
+        text = [f"{rng.integers(6)}" if rng.random() < 0.8 else f"u{i}x{k}" for k in range(int(rng.integers(0, 60)))]
+        pages.append((i, f"http://h{i % 3}/", i, " ".join(menu + text if i % 3 else text)))
+    run, expected = 4, {}
+    suffixes = sorted((url, tuple(text.split()[k : k + run]), row, k) for _, url, row, text in pages for k in range(len(text.split()) - run + 1))
+    held = collections.defaultdict(list)
+    for url, head, row, k in suffixes:
+        held[url, head].append((row, k))
+    starts = collections.defaultdict(dict)
+    for same in held.values():
+        if (n := len({row for row, _ in same})) > 1:
+            for row, k in same:
+                starts[row][k] = n
+    for i, _, row, text in pages:
+        tokens, mine = text.split(), starts[row]
+        gone = {k + d for k in mine for d in range(run)}
+        if mine and 2 * len(gone) > len(tokens) and (len(gone) >= main_text.COPIED or len(gone) == len(tokens)):
+            usual = sorted(mine.values())[len(mine) // 2]
+            gone = {k + d for k, n in mine.items() if n > usual for d in range(run)}
+        expected[i] = " ".join(t for k, t in enumerate(tokens) if k not in gone)
+    table = spark.createDataFrame(pages, "page_id long, url string, row long, text string")
+    assert {r.page_id: r.text for r in main_text.drop_host_repeats(table, run).collect()} == expected
+
+
+def test_slices_of_a_suffix_array_meet_at_their_edges(spark, monkeypatch):
+    same = [(i, "http://h/", i, "a b c d e f g h " + f"own{i}") for i in range(400)]
+    table = spark.createDataFrame(same, "page_id long, url string, row long, text string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    monkeypatch.setattr(main_text, "materialise", lambda df, name: seen.append(df) or df)
+    try:
+        assert {r.page_id: r.text for r in main_text.drop_host_repeats(table).collect()} == {i: f"own{i}" for i in range(400)}
+        run = seen[0].where("n > 1").groupBy("rank", "slice").count().groupBy("rank").count().collect()
+        assert max(r["count"] for r in run) > 1  # a run on every page is spread over tasks
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_language_model(spark, docs):
     rows = corpus()
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
