@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import id_and_text, scratch_folder, text_groups
+from quillframe.llm.common import id_and_text, scratch_folder, text_slices
 from quillframe.llm.pretokens import library, load
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, token_ids array<int>"
+#: Bytes of text that are encoded at once in a task.
+GROUP = 1 << 22
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
     "orc.row.index.stride": "2000", "orc.stripe.size": str(32 << 20), "compression": "zstd",
@@ -36,16 +38,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     shared = docs.sparkSession.sparkContext.broadcast(load(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, written, end = library(shared.value), 0, end_id.to_bytes(4, "little")
+        encoder, written = library(shared.value), 0
         for batch in batches:
-            for start, texts in text_groups(batch):
-                lists = [encoder.encode(t) + end for t in texts]
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                ids = np.frombuffer(b"".join(lists), np.int32)
-                rows = len(texts)
-                columns = [batch.column(0).slice(start, rows), batch.column(2).slice(start, rows), pa.array(written + offsets[:-1]), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets.astype(np.int32), ids)]
-                written += int(offsets[-1])
+            for start, texts in text_slices(batch, limit=GROUP):
+                lists, rows = encoder.encode_texts(texts, [end_id]), len(texts)
+                bounds = lists.offsets.to_numpy().astype(np.int64)
+                columns = [batch.column(0).slice(start, rows), batch.column(2).slice(start, rows), pa.array(written + bounds[:-1]), pa.array(np.diff(bounds).astype(np.int32)), lists]
+                written += int(bounds[-1])
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "local_start", "n_tokens", "token_ids"])
 
     keys = [F.col("doc_id"), F.xxhash64("text")]

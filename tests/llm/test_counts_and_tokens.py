@@ -107,6 +107,40 @@ def test_full_caches_keep_the_first_tier(monkeypatch, tokenizer):
     assert "the" in library.counts and len(library.counts) <= len(library.counts.given) + 3
 
 
+def test_ids_of_many_texts_at_once(monkeypatch, tokenizer):
+    rng = random.Random(3)
+    bag = ["the", "naïve", "日本", "Привет", " ", "  ", "\n", "\n\n", "\t", "\0", ".", ",", "''s", "it's", "<|endoftext|>", "<|", "|>", "endoftext", "123", "\x1c", "\x85", "\u00a0", "\u3000", "\u200d", "²", "\r", "#$%"]
+    texts = [None, "", *("".join(rng.choice(bag) + rng.choice(["", "", " "]) for _ in range(rng.randrange(14))) for _ in range(8000)), "x" * 5000, None]
+    monkeypatch.setattr(pretokens, "LISTS_KEPT", 500)
+    monkeypatch.setattr(pretokens, "RUN", 300)
+    library = pretokens.Library(*pretokens.load(JSON))
+    column = pa.array(texts)
+    for kind in (pa.string(), pa.large_string()):
+        found = [ids for a in range(0, len(texts), 450) for ids in library.encode_texts(column.cast(kind).slice(a, 450), [7]).to_pylist()]
+        assert found == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert len(library.kept) == len(library.lists) == len(library.uses) <= 500 and "x" * 5000 not in library.kept.to_pylist()
+    assert library.encode_texts(column.slice(0, 0), [7]).to_pylist() == []
+    library.opens[:] = False  # as if the vocabulary had no spaces
+    words = pa.array(["new0 new1, new2\nnew3", "new4"])
+    assert library.encode_texts(words).to_pylist() == [tokenizer.encode(t, add_special_tokens=False).ids for t in words.to_pylist()]
+
+
+def test_new_pieces_go_to_the_library_together():
+    library = pretokens.Library(*pretokens.load(JSON))
+    asked, given = [], library.tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda *a, **b: asked.append(name) or getattr(given, name)(*a, **b)
+
+    library.tokenizer = library.model = Counted()
+    texts = pa.array([" ".join(f"{chr(97 + k % 26)}x{k}th" for k in range(a, a + 500)) for a in range(0, 5000, 250)])
+    library.encode_texts(texts)
+    assert len(asked) == 1  # some 5,000 words that no cache holds
+    library.encode_texts(texts)
+    assert len(asked) == 1
+
+
 def test_token_store(spark, docs, tokenizer):
     path = scratch_folder(spark, "store")
     token_store.write_tokens(docs, path, JSON)
