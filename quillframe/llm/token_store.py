@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import id_and_text, scratch_folder, text_slices
+from quillframe.llm.common import gathered, id_and_text, scratch_folder, text_slices
 from quillframe.llm.pretokens import library, load
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, token_ids array<int>"
@@ -39,7 +39,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, written = library(shared.value), 0
-        for batch in batches:
+        for batch in gathered(batches, GROUP):
             for start, texts in text_slices(batch, limit=GROUP):
                 lists, rows = encoder.encode_texts(texts, [end_id]), len(texts)
                 bounds = lists.offsets.to_numpy().astype(np.int64)

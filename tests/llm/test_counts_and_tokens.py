@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillframe.llm import byte_bpe, pretokens, quality, token_counts, token_store
-from quillframe.llm.common import scratch_folder
+from quillframe.llm.common import gathered, scratch_folder
 from tests.llm.samples import SCHEMA, corpus, words
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -141,6 +141,13 @@ def test_new_pieces_go_to_the_library_together():
     assert len(asked) == 1
 
 
+def test_small_batches_are_gathered_in_order():
+    given = [pa.RecordBatch.from_arrays([pa.array(range(a, a + n), pa.int64())], names=["k"]) for a, n in ((0, 3), (3, 2), (5, 1000), (1005, 0), (1005, 4))]
+    found = list(gathered(iter(given), 50))
+    assert [len(b) for b in found] == [5, 1000, 4] and pa.Table.from_batches(found) == pa.Table.from_batches(given)
+    assert list(gathered(iter([]), 50)) == []
+
+
 def test_token_store(spark, docs, tokenizer):
     path = scratch_folder(spark, "store")
     token_store.write_tokens(docs, path, JSON)
