@@ -13,18 +13,19 @@ Defined results: a null or empty text fails the base rules of stage 1, and is ke
 kept, and count as the last in stages 2 and 3; rows that repeat one another in id and text count as one in stage 2; ties are
 decided by a hash of the text; an empty table stays empty through all stages. ``n_chars`` is set anew in stage 3 where the
 input has it. The stages bound the Arrow batches of the session they are given, and leave the bound set: it must still hold
-when their result is read.
+when their result is read. The last stage writes the ids it makes of the documents, so its result reads no earlier stage's table.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import byte_bpe, mixing, ngram_join, quality, substring_dedup
-from quillframe.llm.common import bound_batches, materialise
+from quillframe.llm.common import bound_batches, held_table, materialise
 
 #: SQL cannot express fitted trees or byte-pair merges; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -77,8 +78,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each but the last written and read again."""
+    """All stages over ``documents``, each but the last written and read again; a stage's table goes when the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = contextlib.ExitStack()
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with held:
+            following = contextlib.ExitStack()
+            docs = following.enter_context(held_table(stage(spark, docs, sf_dir), name.replace(" ", "_")))
+        held = following
+    with held:
+        return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,8 @@ at least ``PERCENT`` hundredths of their union.
    more than linked sets of that class can differ by, so linked sets agree in a whole part. A set sends a
    signature for each of its fullest parts, as many as that takes: full parts rarely agree by chance.
    Sets that agree are joined in their task, and one row a signature and one row a set go on; a signature that
-   a task has seen in several sets is kept, and sent no more. Related sets form families, by connected components.
+   a task has seen in several sets is kept, and sent no more. Signatures are written once, eight bytes each, and meet range by range of
+   their hash, so that their shuffle is never on disk as a whole. Related sets form families, by connected components.
 2. Within a family, the sets of a block are joined exactly. Index lists hold sets by position in order of
    size, and a set skips to the positions whose sizes allow a link. A set that differs little from the
    set before it derives its answers from that set's: only the lists of members that differ are read.
@@ -32,6 +33,7 @@ empty result; other columns are ignored by ``similar_components`` and kept by ``
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillframe.llm.common import join_hot, materialise, text_groups
+from quillframe.llm.common import held_table, join_hot, materialise, text_groups
 from quillframe.llm.graph import connected_components
 from quillframe.llm.words import Words, mix
 
@@ -63,6 +65,8 @@ CELLS, STRETCH = 1 << 23, 1 << 13
 LEADS = 4
 #: Shared signatures that a task remembers.
 REMEMBERED = 1 << 18
+#: Ranges of their hash in which signatures meet, a power of two, and signatures that meet at once at least (some 300 MB in the shuffle).
+SLICES, ROUND = 8, 1 << 24
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -111,9 +115,11 @@ def _signatures(sets: list[np.ndarray], keys: list[bytes], percent: int) -> tupl
     if not picks:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     nodes = np.array([_node(keys[i], c) for i, c in picks], np.int64)
-    # |A - B| + |B - A| of a link is at most (100 - percent) / (100 + percent) of |A| + |B|
-    differ = np.array([2 * int(ends[c]) * (100 - percent) // (100 + percent) for _, c in picks], np.int64)
-    parts = differ + 2 + 3 * differ // 20
+    # |A - B| + |B - A| of a link is at most (100 - percent) / (100 + percent) of |A| + |B|; parts are as many as a class needs, so
+    # that all its sets are cut alike, but a small set's links cannot differ by so much
+    most = np.array([2 * int(ends[c]) * (100 - percent) // (100 + percent) for _, c in picks], np.int64)
+    parts = most + 2 + 3 * most // 20
+    differ = np.array([(len(sets[i]) + min(int(ends[c]), len(sets[i]) * 100 // percent)) * (100 - percent) // (100 + percent) for i, c in picks], np.int64)
     base = np.cumsum(parts) - parts
     members = np.concatenate([sets[i] for i, _ in picks])
     owner = np.repeat(np.arange(len(picks)), [len(sets[i]) for i, _ in picks])
@@ -152,8 +158,31 @@ def _set_table(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, n long, key binary, nodes array<long>")
 
 
+#: Rows of packed signatures: ``n`` of a slice, and nodes, each with the number of its signatures; slice -1 has pairs of nodes that tasks have related.
+_PACKED = "slice int, n long, signatures binary, nodes binary, sizes binary"
+
+
+def _packed(signatures: np.ndarray, nodes: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    part = (signatures >> np.uint64(65 - SLICES.bit_length())).astype(np.int64)
+    order = np.lexsort((nodes, part))
+    signatures, nodes = signatures[order], nodes[order]
+    rows = [(-1, len(pairs), pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), b"")] if len(pairs) else []
+    ends = np.searchsorted(part[order], np.arange(SLICES + 1)).tolist()
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if a < b:
+            first = np.flatnonzero(np.concatenate([[True], nodes[a + 1 : b] != nodes[a : b - 1]]))
+            sizes = np.diff(np.concatenate([first, [b - a]])).astype(np.int32)
+            rows.append((k, b - a, signatures[a:b].tobytes(), nodes[a:b][first].tobytes(), sizes.tobytes()))
+    kinds = {"slice": pa.int32(), "n": pa.int64(), "signatures": pa.binary(), "nodes": pa.binary(), "sizes": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+
 def _relations(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b): nodes that agree in a part, as stars."""
+    """(a, b): nodes that agree in a part, as stars.
+
+    Signatures are written once, packed by ``SLICES`` ranges of their hash, and meet range by range (several at a time while they are few), so
+    that the shuffle of all of them with their nodes never stands on disk as a whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, kept_nodes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -181,13 +210,24 @@ def _relations(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
                     kept, kept_nodes = np.concatenate([kept, found[new][several]]), np.concatenate([kept_nodes, heads[several]])
                     order = np.argsort(kept)
                     kept, kept_nodes = kept[order], kept_nodes[order]
-                n = len(heads)
-                columns = [pa.array(np.concatenate([found[new].view(np.int64), mix(pairs[:, 0].astype(np.uint64)).view(np.int64)])), pa.array(np.concatenate([heads, pairs[:, 0]])), pa.array(np.concatenate([heads, pairs[:, 1]]), mask=np.arange(n + len(pairs)) < n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["signature", "a", "b"])
+                yield _packed(found[new], heads, pairs)
 
-    found = rows.select("text").mapInArrow(run, "signature long, a long, b long")
-    least = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("signature"))
-    return found.withColumn("b", F.coalesce("b", least)).where("a <> b").select("a", "b").distinct()
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for signatures, nodes, sizes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held = np.frombuffer(nodes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(signatures, np.int64)), pa.array(np.repeat(held, np.frombuffer(sizes, np.int32)) if sizes else held)], names=["a", "b"])
+
+    columns = ["signatures", "nodes", "sizes"]
+    with held_table(rows.select("text").mapInArrow(run, _PACKED), "signatures", "slice") as table:
+        n = table.where("slice >= 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rounds = max(1, min(SLICES, -(-n // ROUND)))
+        parts = [materialise(table.where("slice = -1").select(columns).mapInArrow(unpacked, "a long, b long").distinct(), "relations")]
+        for k in range(rounds):
+            sent = table.where(F.col("slice").isin([s for s in range(SLICES) if s * rounds // SLICES == k])).select(columns).mapInArrow(unpacked, "signature long, a long")
+            least = F.min("a").over(Window.partitionBy("signature"))
+            parts.append(materialise(sent.withColumn("b", least).where("a <> b").select("a", "b").distinct(), "relations"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _stars(pairs: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
@@ -333,34 +373,35 @@ def _rare_relations(sets: DataFrame, rows: DataFrame, shingle: int, percent: int
     all that near copies share.
     """
     small = F.broadcast(sets) if sets.count() <= SMALL else sets
-    texts = materialise(_texts_of(small, rows).join(small, "row").select("text", "key", "dealt.family", "dealt.node"), "wide_texts")
-    shared = rows.sparkSession.sparkContext.broadcast(_cell_counts(texts, shingle))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, group in text_groups(batch):
-                keys, families, nodes = (batch.column(c).slice(start, len(group)).to_pylist() for c in (1, 2, 3))
-                owners, members = [], []
-                for i, s in enumerate(shingle_sets(group, shingle)):
-                    if _key(s) == keys[i]:
-                        first = np.sort(mix(first_members(s, shared.value, percent)))
-                        owners += nodes[i]
-                        members += [mix(first ^ f).view(np.int64) for f in np.array(families[i], np.int64).view(np.uint64)]
-                yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["node", "members"])
-
-    first = materialise(texts.mapInArrow(run, "node long, members array<long>"), "rare_members")
-    leads = materialise(_member_stars(first.select("node", F.explode(F.slice("members", 1, LEADS)).alias("member"))), "lead_relations")
+    with held_table(_texts_of(small, rows).join(small, "row").select("text", "key", "dealt.family", "dealt.node"), "wide_texts") as texts:
+        shared = rows.sparkSession.sparkContext.broadcast(_cell_counts(texts, shingle))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start, group in text_groups(batch):
+                    keys, families, nodes = (batch.column(c).slice(start, len(group)).to_pylist() for c in (1, 2, 3))
+                    owners, members = [], []
+                    for i, s in enumerate(shingle_sets(group, shingle)):
+                        if _key(s) == keys[i]:
+                            first = np.sort(mix(first_members(s, shared.value, percent)))
+                            owners += nodes[i]
+                            members += [mix(first ^ f).view(np.int64) for f in np.array(families[i], np.int64).view(np.uint64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["node", "members"])
+
+        first = materialise(texts.mapInArrow(run, "node long, members array<long>"), "rare_members")
+    leads = _member_stars(first.select("node", F.explode(F.slice("members", 1, LEADS)).alias("member")), "lead_relations")
     related = connected_components(leads)
     held = first.join(related, "node", "left").select(F.coalesce("label", "node").alias("node"), F.explode("members").alias("member"))
-    stars = materialise(_member_stars(held), "rare_relations")
+    stars = _member_stars(held, "rare_relations")
     return connected_components(leads.unionByName(stars))
 
 
-def _member_stars(held: DataFrame) -> DataFrame:
-    """(a, b): nodes of (node, member) and the least node that has the same member."""
-    held = materialise(held, "held_members")
-    least = held.groupBy("member").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("key_rows")).where("least < most").drop("most")
-    return join_hot(held, least, "member").where("least is not null and least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+def _member_stars(held: DataFrame, name: str) -> DataFrame:
+    """(a, b): nodes of (node, member) and the least node that has the same member, as a table of that name."""
+    with held_table(held, "held_members") as held:
+        least = held.groupBy("member").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("key_rows")).where("least < most").drop("most")
+        stars = join_hot(held, least, "member").where("least is not null and least <> node").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+        return materialise(stars, name)
 
 
 def _join_blocks(dealt: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:

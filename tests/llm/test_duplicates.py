@@ -153,6 +153,26 @@ def test_near_copies_of_a_wide_family_are_related_by_few_members(spark, monkeypa
     assert joined and 0 < sum(joined) < 8 * len(texts)
 
 
+def test_signatures_are_few_and_leave_nothing_on_disk(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (600, 650, 700, 750, 800, 850, 900, 950)]
+    signatures, nodes = ngram_join._signatures(sets, [bytes([k]) for k in range(len(sets))], 80)
+    assert len(set(nodes.tolist())) == 14 and len(signatures) < 3100  # 3,430 if small sets of a class sent as many as its largest
+
+    monkeypatch.setattr(ngram_join, "ROUND", 50)
+    monkeypatch.setattr(ngram_join, "WIDE", 4)
+    monkeypatch.setattr(common, "scratch_folder", lambda spark, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.integers(5000)}" for _ in range(60)]
+        texts += [" ".join([*words[:at], f"x{rng.random()}", *words[at + 1 :]]) for at in rng.integers(0, 60, 6)]
+    found = ngram_join.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85).collect()
+    roots = components([shingles(t, 4) for t in texts], 85)
+    assert len({(r.component_id, roots[r.doc_id]) for r in found}) == len(set(roots)) == len({r.component_id for r in found})
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "relations" in left and "rare_relations" in left and not left & {"signatures", "wide_texts", "held_members"}
+
+
 @pytest.mark.parametrize("rest", [0, 20, 20_000])
 def test_components_of_long_chains(spark, monkeypatch, rest):
     monkeypatch.setattr(graph, "REST", rest)
