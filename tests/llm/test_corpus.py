@@ -106,6 +106,18 @@ def test_main_text_keeps_copied_pages(spark):
     assert found == told | {i: "a short text that two pages of a host have" for i in (7, 8)}
 
 
+def test_host_repeats_decide_beside_articles(spark):
+    menu, teaser = " ".join(f"m{k}" for k in range(12)), " ".join(f"t{k}" for k in range(10))
+    shared = " ".join(f"s{k}" for k in range(60))
+    pages = [
+        (1, "http://h/1", f"<h1>Own title</h1><article><p>Story one<p>{shared}</article><div>{menu}</div>"), (2, "http://h/2", f"<div>{menu}</div><article><p>{shared}</article><p>after it</p><nav>no</nav>"),
+        (3, "http://h/3", f"<article><p>Story three</article><div>{teaser}</div>"), (4, "http://h/4", f"<article><p>{teaser}<p>and on</article>"),
+        (5, "http://g/5", f"<article><p>{shared}<p>five</article>"), (6, "http://g/6", f"<article><p>{shared}</article><footer>no</footer>"), (7, "http://g/7", f"<article><p>x</article><div>{menu}</div>"),
+    ]
+    found = {r.page_id: r.text for r in main_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {1: f"Own title\nStory one\n{shared}", 2: f"{shared}\nafter it", 3: "Story three", 4: f"{teaser}\nand on", 5: f"{shared}\nfive", 6: shared, 7: f"x\n{menu}"}
+
+
 def test_host_repeats_by_a_sorted_suffix_array(spark):
     rng = np.random.default_rng(3)
     menu = [f"m{k}" for k in range(11)]
